@@ -154,18 +154,22 @@ def count_by(df: DataFrame, key: str, out: str = "raw_count") -> DataFrame:
 def measures_by(
     df: DataFrame, key: str, entity: str | None = None, condition: Column | None = None
 ) -> DataFrame:
-    """Rows, distinct entities, conditional rows and their rate in one aggregation.
+    """Counts per key in one aggregation: rows, distinct entities, conditional rows and their rate.
 
-    The rate's denominator is the row count, floored at one.
+    With an entity ``raw_count`` counts entities and ``inspection_count`` rows, otherwise ``raw_count``
+    counts rows. The rate is over rows, never below one.
     """
-    aggs = [F.count(F.lit(1)).alias("raw_count")]
+    rows = F.count(F.lit(1))
     if entity:
-        aggs.append(F.count_distinct(entity).alias("entity_count"))
+        aggs = [F.count_distinct(entity).alias("raw_count"), rows.alias("inspection_count")]
+    else:
+        aggs = [rows.alias("raw_count")]
     if condition is not None:
-        aggs.append(F.sum(F.coalesce(condition, F.lit(False)).cast("bigint")).alias("critical_count"))
+        aggs.append(F.count_if(F.coalesce(condition, F.lit(False))).alias("critical_count"))
     out = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
     if condition is not None:
-        rate = F.col("critical_count") / F.greatest(F.col("raw_count"), F.lit(1))
+        base = F.col("inspection_count" if entity else "raw_count")
+        rate = F.col("critical_count") / F.greatest(base, F.lit(1))
         out = out.withColumn("critical_rate", F.bround(rate, 3))
     return out
 
