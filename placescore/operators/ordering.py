@@ -27,33 +27,33 @@ def _before(window) -> object:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """One row per (by, distinct value): ``n`` rows hold it, ``below`` rows are smaller, ``total`` in all.
 
-    NULL values take no part.
+    NULL values take no part. ``prefix`` goes before the three names.
     """
     keys = list(by)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_bucket", value_bucket(F.col(value)))
     )
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_rows"))
+    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_sum"))
     over = Window.partitionBy(*keys)
     offsets = totals.select(
         *keys,
         "_bucket",
-        F.coalesce(F.sum("_rows").over(_before(over.orderBy("_bucket"))), F.lit(0)).alias("_offset"),
-        F.sum("_rows").over(over).alias("total"),
+        F.coalesce(F.sum("_sum").over(_before(over.orderBy("_bucket"))), F.lit(0)).alias("_offset"),
+        F.sum("_sum").over(over).alias("_total"),
     )
     inside = _before(Window.partitionBy(*keys, "_bucket").orderBy(value))
     return counts.join(offsets, [*keys, "_bucket"]).select(
         *keys,
         value,
-        "n",
-        (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"),
-        "total",
+        F.col("_rows").alias(f"{prefix}n"),
+        (F.col("_offset") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias(f"{prefix}below"),
+        F.col("_total").alias(f"{prefix}total"),
     )
 
 
@@ -63,11 +63,7 @@ def with_positions(df: DataFrame, value: str, by: Sequence[str] = (), prefix: st
     The joined side has one row per distinct value, so a hot value is skewed on the left only and
     the adaptive skew join can split it.
     """
-    names = {c: f"{prefix}{c}" for c in ("n", "below", "total")}
-    side = value_positions(df, value, by)
-    for old, new in names.items():
-        side = side.withColumnRenamed(old, new)
-    return df.join(side, [*by, value], "left")
+    return df.join(value_positions(df, value, by, prefix), [*by, value], "left")
 
 
 def average_rank(prefix: str = "") -> Column:
@@ -124,14 +120,14 @@ def exact_quantiles(
     Only two order statistics per share leave the tasks, so no task ever holds a group.
     """
     keys = list(by)
-    positions = value_positions(df, value, keys)
+    positions = value_positions(df, value, keys, "_q_")
     picks = []
     for i, share in enumerate(shares):
-        at = F.lit(float(share)) * (F.col("total") - 1)
+        at = F.lit(float(share)) * (F.col("_q_total") - 1)
         for name, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (F.col("below") <= index) & (index < F.col("below") + F.col("n"))
+            here = (F.col("_q_below") <= index) & (index < F.col("_q_below") + F.col("_q_n"))
             picks.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{name}{i}"))
-    summary = positions.groupBy(*keys).agg(F.max("total").alias("_total"), *picks)
+    summary = positions.groupBy(*keys).agg(F.max("_q_total").alias("_total"), *picks)
     values = []
     for i, share in enumerate(shares):
         at = F.lit(float(share)) * (F.col("_total") - 1)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def increasing_violations(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose key does not exceed the key before it in ``order`` (ties by key).
 
-    Days are compared in parallel; only each day's first and last key meet in one window.
+    Minutes are compared in parallel; only each minute's first and last key meet in one window.
     """
-    day = df.select(key, order, F.to_date(order).alias("_day"))
+    day = df.select(key, order, F.date_trunc("minute", order).alias("_day"))
     within = Window.partitionBy("_day").orderBy(order, key)
     inside = day.withColumn("_prev", F.lag(key).over(within))
     seams = inside.groupBy("_day").agg(

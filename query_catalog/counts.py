@@ -434,11 +434,12 @@ def u01(spark, sf):
 
 @query(
     "u02_last_wins",
-    "SELECT source AS id, max(doc_id) AS version, max_by(lang, doc_id) AS lang FROM documents GROUP BY 1",
+    """SELECT source AS id, max_by(doc_id, (CASE WHEN lang = 'en' THEN 0 ELSE 1000000000 END) + doc_id) AS version,
+    max_by(lang, (CASE WHEN lang = 'en' THEN 0 ELSE 1000000000 END) + doc_id) AS lang FROM documents GROUP BY 1""",
 )
 def u02(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("version"), "lang")
-    return tables.concat_last_wins([d.where("lang <> 'en'").limit(0), d], "id", ["version"])
+    return tables.concat_last_wins([d.where("lang = 'en'"), d.where("lang <> 'en'")], "id", ["version"])
 
 
 @query(
