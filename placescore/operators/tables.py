@@ -375,7 +375,7 @@ def normalise(
     stats = df.groupBy(*by).agg(
         F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_sd")
     )
-    joined = df.join(F.broadcast(stats), list(by)) if by else df.join(F.broadcast(stats), F.lit(True))
+    joined = df.join(stats, list(by)) if by else df.join(F.broadcast(stats), F.lit(True))
     if method == "minmax":
         raw = F.when(F.col("_hi") == F.col("_lo"), 50.0).otherwise(
             (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100

@@ -1,9 +1,29 @@
-"""Profile, detectors, cleaning runs, before/after differences and audits."""
+"""Profile, detectors, cleaning runs, before/after differences and audits.
+
+Wide checks are one aggregation over the table: every column contributes a few expressions, and the one
+row that comes back is turned into one row per column or issue inside Spark.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from placescore.functions import clean
+
+NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _is_text(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, T.StringType)
+
+
+def _is_number(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, NUMERIC)
 
 
 def increasing_violations(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -11,17 +31,682 @@ def increasing_violations(df: DataFrame, key: str, order: str) -> DataFrame:
 
     Minutes are compared in parallel; only each minute's first and last key meet in one window.
     """
-    day = df.select(key, order, F.date_trunc("minute", order).alias("_day"))
-    within = Window.partitionBy("_day").orderBy(order, key)
-    inside = day.withColumn("_prev", F.lag(key).over(within))
-    seams = inside.groupBy("_day").agg(
+    slot = df.select(key, order, F.date_trunc("minute", order).alias("_slot"))
+    within = Window.partitionBy("_slot").orderBy(order, key)
+    inside = slot.withColumn("_prev", F.lag(key).over(within))
+    seams = inside.groupBy("_slot").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(key) <= F.col("_prev")).alias("_bad"),
         F.min(F.struct(order, key))[key].alias("_first"),
         F.max(F.struct(order, key))[key].alias("_last"),
     )
-    linked = seams.withColumn("_before", F.lag("_last").over(Window.orderBy("_day")))
+    linked = seams.withColumn("_before", F.lag("_last").over(Window.orderBy("_slot")))
     return linked.agg(
         (F.sum("_bad") + F.count_if(F.col("_first") <= F.col("_before"))).alias("violations"),
         F.sum("rows").alias("rows"),
     )
+
+
+# ---- profile -----------------------------------------------------------------------------------
+
+
+def column_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Distinct (column, value, n) over all columns: one shuffle, hot values combined map-side."""
+    names = list(columns or df.columns)
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names]
+    return (
+        df.select(F.explode(F.array(*pairs)).alias("_p"))
+        .groupBy("_p.column", "_p.value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def profile_columns(df: DataFrame, samples: int = 5) -> DataFrame:
+    """Per column: type, nulls, distinct values, min, max and the smallest ``samples`` values as text."""
+    values = column_values(df)
+    known = F.col("value").isNotNull()
+    stats = values.groupBy("column").agg(
+        F.sum("n").alias("row_count"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count("value").alias("n_unique"),
+    )
+    w = Window.partitionBy("column").orderBy("value")
+    first = (
+        values.where(known)
+        .withColumn("_r", F.row_number().over(w))
+        .where(F.col("_r") <= samples)
+        .groupBy("column")
+        .agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    )
+    extremes = df.agg(
+        *[F.min(f"`{c}`").cast("string").alias(f"lo_{i}") for i, c in enumerate(df.columns)],
+        *[F.max(f"`{c}`").cast("string").alias(f"hi_{i}") for i, c in enumerate(df.columns)],
+    )
+    spread = extremes.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column"),
+                        F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+                        F.col(f"lo_{i}").alias("min_value"),
+                        F.col(f"hi_{i}").alias("max_value"),
+                    )
+                    for i, c in enumerate(df.columns)
+                ]
+            )
+        ).alias("_e")
+    ).select("_e.*")
+    return (
+        spread.join(stats, "column")
+        .join(first, "column", "left")
+        .withColumn("null_rate", F.round(F.col("null_count") / F.col("row_count"), 4))
+        .withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+        .withColumn("role", semantic_role())
+    )
+
+
+# Name hints of the semantic roles.
+DATE_HINTS = ["date", "time", "timestamp", "created", "updated", "modified", "dt", "year", "month", "day"]
+ID_HINTS = ["id", "key", "code", "uuid", "guid", "number", "num", "no", "index", "pk"]
+GEO_HINTS = [
+    "lat", "lng", "lon", "longitude", "latitude", "zip", "zipcode", "postal", "city", "state", "country",
+    "borough", "boro", "address", "street", "county", "region", "geo", "coord",
+]
+POSITIVE_HINTS = [
+    "price", "amount", "cost", "fee", "qty", "quantity", "count", "rate", "size", "duration", "weight",
+    "height", "length", "age", "rev", "revenue", "income", "balance",
+]
+
+
+def semantic_role() -> Column:
+    """Role of a profiled column from its name, type and cardinality."""
+    name, dtype = F.lower(F.trim("column")), F.col("dtype")
+    share = F.col("n_unique") / F.greatest(F.col("row_count"), F.lit(1))
+    is_id = name.rlike("^(" + "|".join(ID_HINTS) + ")$|_(" + "|".join(ID_HINTS) + ")$|^(" + "|".join(ID_HINTS) + ")_")
+    text = dtype == "string"
+    number = dtype.rlike("int|double|float|decimal")
+    size = F.aggregate(F.transform("sample_values", F.length), F.lit(0), lambda a, v: a + v) / F.greatest(
+        F.size("sample_values"), F.lit(1)
+    )
+    return (
+        F.when(name.rlike("|".join(DATE_HINTS)) | dtype.rlike("date|timestamp"), "date")
+        .when(is_id & (share > 0.9), "identifier")
+        .when(name.rlike("|".join(GEO_HINTS)), "geographic")
+        .when(text & F.col("n_unique").between(1, 49) & (F.col("row_count") > 100), "category")
+        .when(number & ((F.col("n_unique") > 20) | (F.col("row_count") <= 20)), "measure")
+        .when(number, "category")
+        .when(text & ((size > 50) | (share > 0.5)), "text")
+        .when(text, "category")
+        .otherwise("unknown")
+    )
+
+
+def structural_issues(profile: DataFrame) -> DataFrame:
+    """high_null_rate, empty_column, constant_column, problematic_column_name, suspected_duplicate_columns.
+
+    The profile has one row per column of the table, so pairing columns is small whatever the data; the
+    pairs still come from an equi-join on (unique count, samples).
+    """
+    rate, unique = F.col("null_rate"), F.col("n_unique")
+    bad_name = reduce(lambda a, b: a | b, [F.contains("column", F.lit(ch)) for ch in clean.BAD_NAME_CHARACTERS])
+    found = F.array(
+        F.when(rate > 0.5, F.struct(F.lit("high_null_rate").alias("type"), F.when(rate > 0.8, "high").otherwise("medium").alias("severity"))),
+        F.when(rate >= 1.0, F.struct(F.lit("empty_column").alias("type"), F.lit("high").alias("severity"))),
+        F.when((unique == 1) & (rate < 1.0), F.struct(F.lit("constant_column").alias("type"), F.lit("low").alias("severity"))),
+        F.when(bad_name, F.struct(F.lit("problematic_column_name").alias("type"), F.lit("low").alias("severity"))),
+    )
+    single = profile.select(
+        F.col("column"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_i")
+    ).select("column", "_i.type", "_i.severity")
+    a = profile.where(unique > 0).select("column", "n_unique", "sample_values")
+    b = a.withColumnRenamed("column", "other")
+    twins = a.join(b, ["n_unique", "sample_values"]).where(F.col("column") < F.col("other")).select(
+        F.concat("column", F.lit(","), "other").alias("column"),
+        F.lit("suspected_duplicate_columns").alias("type"),
+        F.lit("medium").alias("severity"),
+    )
+    return single.unionByName(twins)
+
+
+# ---- value scanners ----------------------------------------------------------------------------
+
+
+def scan_quality(df: DataFrame, row_id: str | None = None, examples: int = 5) -> DataFrame:
+    """Eleven value-level scanners as (type, column, n, severity, example_rows).
+
+    Row-level faults (whitespace, bad dates, negatives, ...) need one pass with a partial top-k of row
+    ids; value-level faults (casing, boolean tokens, duplicates) work on distinct values.
+    """
+    names = [c for c in df.columns if c != row_id]
+    parts = [_row_faults(df, names, row_id, examples), _casing(df, names), _booleans(df, names), _duplicates(df, names)]
+    parts += [p for p in (_mixed_dates(df, names), _numeric_text(df, names)) if p is not None]
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+
+
+def _issue(df: DataFrame, kind: str | Column, severity: str | Column, examples: Column | None = None) -> DataFrame:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return df.select(
+        lit(kind).alias("type"),
+        "column",
+        F.col("n").cast("bigint").alias("n"),
+        lit(severity).alias("severity"),
+        (examples if examples is not None else F.array().cast("array<bigint>")).alias("example_rows"),
+    )
+
+
+def _row_faults(df: DataFrame, names: Sequence[str], row_id: str | None, examples: int) -> DataFrame | None:
+    """Faults decided row by row: whitespace, unparseable dates, negatives, zeros, coordinates out of bounds."""
+    faults: list[tuple[str, str, str, Column]] = []
+    for c in names:
+        col, lower = F.col(f"`{c}`"), c.lower()
+        if _is_text(df, c):
+            faults.append(("whitespace_drift", c, "low", col != F.trim(col)))
+            faults.append(
+                ("invalid_dates", c, "high", clean.any_date_shape(col) & _lenient_date(F.trim(col)).isNull())
+            )
+        elif _is_number(df, c):
+            if any(h in lower for h in POSITIVE_HINTS):
+                faults.append(("negative_value_unexpected", c, "high", col < 0))
+                faults.append(("suspicious_zero", c, "medium", col == 0))
+            if "lat" in lower:
+                faults.append(("geographic_out_of_bounds", c, "high", ~col.between(-90, 90)))
+            elif "lon" in lower or "lng" in lower:
+                faults.append(("geographic_out_of_bounds", c, "high", ~col.between(-180, 180)))
+    if not faults:
+        return None
+    counts = df.agg(
+        *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n_{i}") for i, (_, _, _, t) in enumerate(faults)],
+        *[F.count(f"`{c}`").alias(f"k_{i}") for i, (_, c, _, _) in enumerate(faults)],
+        *[
+            (F.count_if(clean.any_date_shape(F.col(f"`{c}`"))) if kind == "invalid_dates" else F.lit(0)).alias(f"d_{i}")
+            for i, (kind, c, _, _) in enumerate(faults)
+        ],
+    )
+
+    def kept(i: int, kind: str) -> Column:
+        n, k = F.col(f"n_{i}"), F.col(f"k_{i}")
+        if kind == "invalid_dates":
+            return (n > 0) & (F.col(f"d_{i}") >= 0.5 * k)
+        if kind == "suspicious_zero":
+            return (n > 0) & (n / k < 0.5)
+        return n > 0
+
+    rows = counts.select(
+        F.explode(
+            F.filter(
+                F.array(
+                    *[
+                        F.when(
+                            kept(i, kind),
+                            F.struct(
+                                F.lit(kind).alias("type"), F.lit(c).alias("column"), F.col(f"n_{i}").alias("n"),
+                                F.lit(sev).alias("severity"),
+                            ),
+                        )
+                        for i, (kind, c, sev, _) in enumerate(faults)
+                    ]
+                ),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("_f")
+    ).select("_f.*")
+    if row_id is None:
+        return _issue(rows, F.col("type"), F.col("severity"))
+    hits = df.select(
+        F.col(row_id).cast("bigint").alias("_row"),
+        F.explode(
+            F.filter(
+                F.array(
+                    *[
+                        F.when(F.coalesce(t, F.lit(False)), F.struct(F.lit(kind).alias("type"), F.lit(c).alias("column")))
+                        for kind, c, _, t in faults
+                    ]
+                ),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("_h"),
+    ).select("_row", "_h.*")
+    w = Window.partitionBy("type", "column").orderBy("_row")
+    shown = (
+        hits.withColumn("_r", F.row_number().over(w))
+        .where(F.col("_r") <= examples)
+        .groupBy("type", "column")
+        .agg(F.array_sort(F.collect_list("_row")).alias("_examples"))
+    )
+    joined = rows.join(shown, ["type", "column"], "left")
+    return _issue(joined, F.col("type"), F.col("severity"), F.col("_examples"))
+
+
+def _lenient_date(text: Column) -> Column:
+    shapes = ["M/d/yyyy", "M/d/yy", "M-d-yyyy", "M-d-yy", "d MMM yyyy", "d-MMM-yyyy", "d/M/yyyy"]
+    return F.coalesce(
+        text.try_cast("timestamp"), clean.parse_date(text), *[F.try_to_timestamp(text, F.lit(s)) for s in shapes]
+    )
+
+
+def _casing(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    text = [c for c in names if _is_text(df, c)]
+    if not text:
+        return None
+    v = column_values(df, text).where(F.col("value").isNotNull())
+    per = v.groupBy("column", F.lower("value").alias("_l")).agg(F.count(F.lit(1)).alias("_v"))
+    found = per.groupBy("column").agg((F.sum("_v") - F.count(F.lit(1))).alias("n")).where(F.col("n") > 0)
+    return _issue(found, "casing_inconsistency", "medium")
+
+
+def _booleans(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    text = [c for c in names if _is_text(df, c)]
+    if not text:
+        return None
+    v = column_values(df, text).where(F.col("value").isNotNull())
+    trimmed = v.select("column", F.trim("value").alias("_t")).distinct()
+    token = F.when(F.lower("_t").isin(clean.BOOLEAN_TOKENS), F.lower("_t"))
+    found = (
+        trimmed.groupBy("column")
+        .agg(F.count(F.lit(1)).alias("_u"), F.count_distinct(token).alias("n"))
+        .where((F.col("_u") <= 10) & (F.col("n") >= 3))
+    )
+    return _issue(found, "mixed_boolean_encoding", "high")
+
+
+def _mixed_dates(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    text = [c for c in names if _is_text(df, c)]
+    if not text:
+        return None
+    counts = df.agg(
+        *[F.count_if(clean.date_shape(F.col(f"`{c}`"), s)).alias(f"{i}_{s}") for i, c in enumerate(text) for s in clean.DATE_SHAPES],
+        *[F.count(f"`{c}`").alias(f"{i}_k") for i, c in enumerate(text)],
+    )
+    rows = []
+    for i, c in enumerate(text):
+        seen = [F.col(f"{i}_{s}") for s in clean.DATE_SHAPES]
+        kinds = sum((F.when(x > 0, 1).otherwise(0) for x in seen), F.lit(0))
+        total = sum(seen, F.lit(0))
+        rows.append(
+            F.when(
+                (kinds >= 2) & (total > 0.25 * F.col(f"{i}_k")),
+                F.struct(F.lit(c).alias("column"), kinds.cast("bigint").alias("n")),
+            )
+        )
+    flat = counts.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("_i")).select("_i.*")
+    return _issue(flat, "mixed_date_formats", "high")
+
+
+def _numeric_text(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    text = [c for c in names if _is_text(df, c)]
+    if not text:
+        return None
+    counts = df.agg(
+        *[F.count(clean.numeric_text(F.col(f"`{c}`"))).alias(f"{i}_n") for i, c in enumerate(text)],
+        *[F.count(f"`{c}`").alias(f"{i}_k") for i, c in enumerate(text)],
+    )
+    rows = []
+    for i, c in enumerate(text):
+        n, k = F.col(f"{i}_n"), F.col(f"{i}_k")
+        share = n / F.greatest(k, F.lit(1))
+        kind = F.when(share >= 0.95, "numeric_stored_as_string").otherwise("mixed_numeric_string")
+        rows.append(
+            F.when(
+                (k > 0) & (share >= 0.70),
+                F.struct(F.lit(c).alias("column"), n.alias("n"), kind.alias("kind"), F.when(share >= 0.95, "medium").otherwise("high").alias("sev")),
+            )
+        )
+    flat = counts.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("_i")).select("_i.*")
+    return _issue(flat, F.col("kind"), F.col("sev"))
+
+
+def _duplicates(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows taking part in exact-duplicate groups; hot copies collapse map-side."""
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    found = groups.agg(F.sum("_n").alias("n")).where(F.col("n").isNotNull()).withColumn("column", F.lit(""))
+    return _issue(found, "exact_row_duplicates", "high")
+
+
+def duplicate_identifiers(df: DataFrame, id_columns: Sequence[str]) -> DataFrame:
+    """Identifier columns with rows sharing a value."""
+    v = column_values(df, id_columns).where(F.col("value").isNotNull() & (F.col("n") > 1))
+    return _issue(v.groupBy("column").agg(F.sum("n").alias("n")), "duplicate_identifier", "high")
+
+
+# ---- cleaning ----------------------------------------------------------------------------------
+
+CAST_TYPES = {
+    "BOOLEAN": "boolean", "TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "BIGINT": "bigint",
+    "HUGEINT": "decimal(38,0)", "UTINYINT": "smallint", "USMALLINT": "int", "UINTEGER": "bigint",
+    "UBIGINT": "decimal(20,0)", "FLOAT": "float", "REAL": "float", "DOUBLE": "double", "DECIMAL": "double",
+    "VARCHAR": "string", "TEXT": "string", "BLOB": "string", "DATE": "date", "TIME": "string",
+    "TIMESTAMP": "timestamp", "TIMESTAMP_S": "timestamp", "TIMESTAMP_MS": "timestamp", "TIMESTAMP_NS": "timestamp",
+    "INTERVAL": "interval day to second", "UUID": "string", "JSON": "string",
+}
+
+
+def _known(df: DataFrame, column: str | None) -> str:
+    if column not in df.columns:
+        raise ValueError(f"unknown column {column!r}")
+    return column
+
+
+def _drop_column(df: DataFrame, p: Mapping) -> DataFrame:
+    return df.drop(_known(df, p.get("column")))
+
+
+def _rename_column(df: DataFrame, p: Mapping) -> DataFrame:
+    old, new = _known(df, p.get("old_name")), p.get("new_name")
+    if not new or (new in df.columns and new != old):
+        raise ValueError(f"rename target {new!r} is empty or exists")
+    return df.withColumnRenamed(old, new)
+
+
+def _replace_values(df: DataFrame, p: Mapping) -> DataFrame:
+    c, mapping = _known(df, p.get("column")), p.get("mapping")
+    if not mapping:
+        raise ValueError("replace_values needs a mapping")
+    return df.withColumn(c, F.coalesce(F.try_element_at(clean.literal_map(mapping), F.col(c)), F.col(c)))
+
+
+def _cast_type(df: DataFrame, p: Mapping) -> DataFrame:
+    c, target = _known(df, p.get("column")), str(p.get("target_type")).upper()
+    if target not in CAST_TYPES:
+        raise ValueError(f"type {target} is not allowed")
+    col = F.col(c)
+    if target == "BOOLEAN":
+        out = clean.parse_boolean(col)
+    elif target == "DATE" or target.startswith("TIMESTAMP"):
+        out = _lenient_date(F.trim(col.cast("string"))).cast(CAST_TYPES[target])
+    elif "int" in CAST_TYPES[target] and target != "INTERVAL":
+        out = clean.to_float(col).try_cast(CAST_TYPES[target])
+    else:
+        out = col.try_cast(CAST_TYPES[target])
+    if target.startswith("U") and target != "UUID":
+        out = F.when(out >= 0, out)
+    return df.withColumn(c, out)
+
+
+def _drop_duplicates(df: DataFrame, p: Mapping) -> DataFrame:
+    from placescore.operators.tables import drop_duplicates
+
+    subset = p.get("subset")
+    if not subset:
+        return df.distinct()
+    for c in subset:
+        _known(df, c)
+    return drop_duplicates(df, subset, p.get("order") or [c for c in df.columns if c not in subset])
+
+
+def _drop_nulls(df: DataFrame, p: Mapping) -> DataFrame:
+    return df.dropna(subset=[_known(df, p.get("column"))])
+
+
+def condition(c: Column, kind: str, value: object = None, value2: object = None, values: Sequence | None = None) -> Column:
+    """Row condition; a NULL comparison is false."""
+    if kind == "is_null":
+        return c.isNull()
+    if kind == "not_null":
+        return c.isNotNull()
+    if kind in ("in", "not_in"):
+        if not values:
+            raise ValueError(f"{kind} needs values")
+        hit = F.coalesce(c.isin(list(values)), F.lit(False))
+        return ~hit if kind == "not_in" else hit
+    if value is None or (kind == "between" and value2 is None):
+        raise ValueError(f"{kind} needs a value")
+    tests: dict[str, Callable[[], Column]] = {
+        "gt": lambda: c > value,
+        "lt": lambda: c < value,
+        "gte": lambda: c >= value,
+        "lte": lambda: c <= value,
+        "eq": lambda: c == value,
+        "neq": lambda: c.isNull() | (c != value),
+        "between": lambda: c.between(value, value2),
+    }
+    if kind not in tests:
+        raise ValueError(f"condition {kind!r} is not allowed")
+    return F.coalesce(tests[kind](), F.lit(False))
+
+
+def _filter_rows(df: DataFrame, p: Mapping) -> DataFrame:
+    c = _known(df, p.get("column"))
+    return df.where(condition(F.col(c), p.get("condition"), p.get("value"), p.get("value2"), p.get("values")))
+
+
+def _strip(df: DataFrame, p: Mapping) -> DataFrame:
+    c = _known(df, p.get("column"))
+    return df.withColumn(c, F.regexp_replace(F.col(c).cast("string"), r"^\s+|\s+$", ""))
+
+
+def _case(df: DataFrame, p: Mapping) -> DataFrame:
+    c, mode = _known(df, p.get("column")), p.get("mode", "lower")
+    modes = {"lower": F.lower, "upper": F.upper, "title": clean.title_first}
+    if mode not in modes:
+        raise ValueError(f"case mode {mode!r} is not allowed")
+    return df.withColumn(c, modes[mode](F.col(c).cast("string")))
+
+
+def _new(df: DataFrame, name: str) -> str:
+    if name in df.columns:
+        raise ValueError(f"column {name!r} exists")
+    return name
+
+
+def _add_cell(df: DataFrame, p: Mapping) -> DataFrame:
+    from placescore.functions import cells
+
+    lat, lon = _known(df, p.get("lat_col")), _known(df, p.get("lon_col"))
+    out = _new(df, p.get("output_col", "cell"))
+    return df.withColumn(out, cells.cell(F.col(lat).try_cast("double"), F.col(lon).try_cast("double")))
+
+
+def _transform_coords(df: DataFrame, p: Mapping) -> DataFrame:
+    from placescore.functions import cells
+
+    xy = cells.transform_coords(F.col(_known(df, p.get("x_col"))), F.col(_known(df, p.get("y_col"))), p.get("source_crs"))
+    lon, lat = _new(df, p.get("out_lon_col", "longitude")), _new(df, p.get("out_lat_col", "latitude"))
+    return df.withColumns({lon: xy["lon"], lat: xy["lat"]})
+
+
+def _polygon_centroid(df: DataFrame, p: Mapping) -> DataFrame:
+    from placescore.functions import cells
+
+    c = cells.polygon_centroid(F.col(_known(df, p.get("geom_col"))))
+    lon, lat = _new(df, p.get("out_lon_col", "centroid_lon")), _new(df, p.get("out_lat_col", "centroid_lat"))
+    return df.withColumns({lon: c["lon"], lat: c["lat"]})
+
+
+OPERATIONS: dict[str, Callable[[DataFrame, Mapping], DataFrame]] = {
+    "drop_column": _drop_column,
+    "rename_column": _rename_column,
+    "replace_values": _replace_values,
+    "cast_type": _cast_type,
+    "drop_duplicates": _drop_duplicates,
+    "drop_nulls": _drop_nulls,
+    "filter_rows": _filter_rows,
+    "strip_whitespace": _strip,
+    "transform_case": _case,
+    "add_cell_index": _add_cell,
+    "transform_coords": _transform_coords,
+    "polygon_centroid": _polygon_centroid,
+}
+ROW_CHANGING = {"drop_duplicates", "drop_nulls", "filter_rows"}
+
+
+def apply_plan(df: DataFrame, plan: Sequence[Mapping]) -> tuple[DataFrame, list[dict], list[DataFrame]]:
+    """Fold the operations; an unknown or failing one is noted and skipped. Returns result, log, stages."""
+    log, stages, now = [], [df], df
+    for step, op in enumerate(plan, start=1):
+        kind = op.get("op")
+        try:
+            if kind not in OPERATIONS:
+                raise ValueError(f"unknown operation {kind!r}")
+            now = OPERATIONS[kind](now, op)
+            now.schema  # noqa: B018  (resolves names now, so a bad step fails here and not later)
+            log.append({"step": step, "op": kind, "status": "ok", "detail": ""})
+        except Exception as problem:  # noqa: BLE001
+            log.append({"step": step, "op": str(kind), "status": "skipped", "detail": type(problem).__name__})
+        stages.append(now)
+    return now, log, stages
+
+
+def run_plan(df: DataFrame, plan: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:
+    """Cleaned rows and a log (step, op, status, rows_before, rows_after).
+
+    Steps that cannot change the row count reuse the count before them; the others are counted in one
+    union job.
+    """
+    spark = df.sparkSession
+    out, log, stages = apply_plan(df, plan)
+    size_of, index = {0: 0}, 0
+    for i, entry in enumerate(log, start=1):
+        if entry["status"] == "ok" and entry["op"] in ROW_CHANGING:
+            index = i
+        size_of[i] = index
+    counted = [stages[i].agg(F.lit(i).alias("stage"), F.count(F.lit(1)).alias("rows")) for i in sorted(set(size_of.values()))]
+    counts = reduce(DataFrame.unionByName, counted)
+    steps = spark.createDataFrame(
+        [(e["step"], e["op"], e["status"], e["detail"], size_of[e["step"] - 1], size_of[e["step"]]) for e in log],
+        "step int, op string, status string, detail string, _b int, _a int",
+    )
+    before = counts.select(F.col("stage").alias("_b"), F.col("rows").alias("rows_before"))
+    after = counts.select(F.col("stage").alias("_a"), F.col("rows").alias("rows_after"))
+    return out, steps.join(before, "_b").join(after, "_a").drop("_a", "_b")
+
+
+# ---- differences and audits --------------------------------------------------------------------
+
+
+def column_stats(df: DataFrame) -> DataFrame:
+    v = column_values(df)
+    known = F.col("value").isNotNull()
+    types = clean.literal_map({c: df.schema[c].dataType.simpleString() for c in df.columns})
+    return v.groupBy("column").agg(
+        F.round(F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)) / F.sum("n"), 4).alias("null_rate"),
+        F.count("value").alias("n_unique"),
+    ).withColumn("dtype", F.element_at(types, F.col("column")))
+
+
+def diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Column by column: status, types, null-rate change, unique counts and the problems that appeared."""
+    b = column_stats(before).select("column", *[F.col(c).alias(f"{c}_before") for c in ("dtype", "null_rate", "n_unique")])
+    a = column_stats(after).select("column", *[F.col(c).alias(f"{c}_after") for c in ("dtype", "null_rate", "n_unique")])
+    j = b.join(a, "column", "full")
+    nb, na = F.col("null_rate_before"), F.col("null_rate_after")
+    problems = F.array(
+        F.when((na > nb) & (nb < 0.01), F.lit("new_nulls_introduced")),
+        F.when(na > nb + 0.1, F.lit("significant_null_increase")),
+        F.when((F.col("n_unique_after") == 1) & (F.col("n_unique_before") > 1), F.lit("collapsed_to_constant")),
+    )
+    status = F.when(F.col("dtype_after").isNull(), "removed").when(F.col("dtype_before").isNull(), "added").otherwise("common")
+    return j.withColumns(
+        {
+            "status": status,
+            "type_changed": F.col("dtype_before") != F.col("dtype_after"),
+            "null_rate_delta": F.round(na - nb, 4),
+            "problems": F.array_join(F.filter(problems, lambda x: x.isNotNull()), ","),
+        }
+    )
+
+
+def audit_ready(tables: Mapping[str, DataFrame], as_of: Column, box: tuple[float, float, float, float]) -> DataFrame:
+    """Gate counts per published table: bad scores, coordinates, cells, quarters and rows."""
+    from placescore.functions import cells
+
+    parts = []
+    for name, df in tables.items():
+        have = set(df.columns)
+        zero = F.lit(0).cast("bigint")
+        quarter = F.col("quarter") if "quarter" in have else None
+        limit = F.concat(F.year(as_of).cast("string"), F.lit("Q"), F.quarter(as_of).cast("string"))
+        shape = r"^\d{4}Q[1-4]$"
+        parts.append(
+            df.agg(
+                F.count(F.lit(1)).alias("rows"),
+                (F.count_if(~F.coalesce(F.col("score").between(0, 100), F.lit(False))) if "score" in have else zero).alias("bad_scores"),
+                (F.count_if(~cells.in_box(F.col("lat"), F.col("lon"), box)) if {"lat", "lon"} <= have else zero).alias("bad_coordinates"),
+                (F.count_if(F.col("cell").isNull()) if "cell" in have else zero).alias("empty_cells"),
+                (F.count_if(~F.coalesce(quarter.rlike(shape), F.lit(False))) if quarter is not None else zero).alias("malformed_quarters"),
+                (F.count_if(quarter.rlike(shape) & (quarter < "2000Q1")) if quarter is not None else zero).alias("early_quarters"),
+                (F.count_if(quarter.rlike(shape) & (quarter > limit)) if quarter is not None else zero).alias("future_quarters"),
+            ).select(F.lit(name).alias("table"), "*")
+        )
+    rows = reduce(DataFrame.unionByName, parts)
+    bad = F.col("bad_scores") + F.col("bad_coordinates") + F.col("empty_cells") + F.col("malformed_quarters") + F.col("early_quarters") + F.col("future_quarters")
+    return rows.withColumn("valid", (F.col("rows") > 0) & (bad == 0))
+
+
+def audit_raw(expected: DataFrame, actual: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
+    """Snapshot files against expectations: ok, missing, incompatible (columns), invalid (unexpected).
+
+    ``expected`` is (path, columns), ``actual`` (path, columns, rows); columns are sorted arrays.
+    """
+    j = expected.withColumnRenamed("columns", "_want").withColumn("_e", F.lit(True)).join(
+        actual.withColumnRenamed("columns", "_have").withColumn("_a", F.lit(True)), "path", "full"
+    )
+    status = (
+        F.when(F.col("_a").isNull(), "missing")
+        .when(F.col("_e").isNull() & F.col("path").isin(list(allowed)), "auxiliary")
+        .when(F.col("_e").isNull(), "invalid")
+        .when(F.size(F.array_except("_want", "_have")) > 0, "incompatible")
+        .otherwise("ok")
+    )
+    return j.select("path", "rows", status.alias("status"))
+
+
+def assert_domain(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Violations per rule in one aggregation."""
+    one = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
+    return one.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("_r")
+    ).select("_r.*")
+
+
+def cross_check(a: DataFrame, b: DataFrame, key: str, date: str | None = None) -> DataFrame:
+    """Shared columns, key overlap both ways, orphan keys, key types and date-range overlap of two tables."""
+    shared = sorted(set(a.columns) & set(b.columns))
+    ka, kb = a.select(key).where(F.col(key).isNotNull()).distinct(), b.select(key).where(F.col(key).isNotNull()).distinct()
+    both = ka.withColumn("_a", F.lit(True)).join(kb.withColumn("_b", F.lit(True)), key, "full")
+    out = both.agg(
+        F.count_if(F.col("_a") & F.col("_b")).alias("shared_keys"),
+        F.count_if(F.col("_b").isNull()).alias("orphans_a"),
+        F.count_if(F.col("_a").isNull()).alias("orphans_b"),
+    ).withColumns(
+        {
+            "shared_columns": F.lit(",".join(shared)),
+            "same_key_type": F.lit(a.schema[key].dataType == b.schema[key].dataType),
+        }
+    )
+    if date:
+        ra = a.agg(F.min(date).alias("_a0"), F.max(date).alias("_a1"))
+        rb = b.agg(F.min(date).alias("_b0"), F.max(date).alias("_b1"))
+        overlap = (F.col("_a0") <= F.col("_b1")) & (F.col("_b0") <= F.col("_a1"))
+        out = out.join(F.broadcast(ra), F.lit(True)).join(F.broadcast(rb), F.lit(True)).withColumn("dates_overlap", overlap).drop("_a0", "_a1", "_b0", "_b1")
+    return out
+
+
+def extra_checks(df: DataFrame, value: str, date: str, required: Sequence[str]) -> DataFrame:
+    """Row completeness, largest gap between days, and values above ten times the 99th percentile."""
+    from placescore.operators import ordering
+
+    complete = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in required])
+    p99 = ordering.exact_quantiles(df, value, [0.99]).select(F.col("quantiles")[0].alias("_p99"))
+    head = df.join(F.broadcast(p99), F.lit(True)).agg(
+        F.round(F.count_if(complete) / F.count(F.lit(1)), 4).alias("completeness"),
+        F.count_if(F.col(value) > 10 * F.col("_p99")).alias("outliers"),
+    )
+    # one row per calendar day meets in this window: bounded by the span of dates
+    days = df.select(F.to_date(date).alias("_day")).where(F.col("_day").isNotNull()).distinct()
+    gaps = days.withColumn("_gap", F.datediff("_day", F.lag("_day").over(Window.orderBy("_day")))).agg(
+        F.max("_gap").alias("largest_gap_days"), F.count(F.lit(1)).alias("days")
+    )
+    return head.join(F.broadcast(gaps), F.lit(True))
+
+
+def catalog_sync(pages: DataFrame, reported_total: int, minimum_share: float = 0.97) -> DataFrame:
+    """Catalogue pages merged by id (newest page wins); refuses when under 97 % of the reported total."""
+    from placescore.operators.tables import concat_last_wins
+
+    merged = concat_last_wins([pages], "id", ["page", "updated_at"])
+    total = merged.agg(F.count(F.lit(1)).alias("_n"))
+    ok = F.col("_n") >= F.lit(minimum_share * reported_total)
+    return merged.join(F.broadcast(total), F.lit(True)).withColumn(
+        "complete", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("catalogue is truncated")).cast("boolean"))
+    ).drop("_n")

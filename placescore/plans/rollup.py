@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.functions import cells
 from placescore.functions import score as S
-from placescore.operators import ordering, polygons, tables
+from placescore.functions.clean import literal_map
+from placescore.operators import ordering, polygons
+from placescore.plans.registry import Metric
 
 
 def assert_conserved(allocated: DataFrame, parents: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -25,15 +27,27 @@ def parent_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy(cells.parent(F.col("cell")).alias("parent"), "metric").agg(F.avg("score").alias("value"))
 
 
-def build_overview(scores: DataFrame, registry: DataFrame, overall: Mapping[str, float]) -> DataFrame:
+def build_overview(scores: DataFrame, metrics: Sequence[Metric], overall: Mapping[str, float]) -> DataFrame:
     """Parent tiles with a score and coverage per category and overall, from the long score table.
 
     Two shuffles whatever the number of metrics: cell to parent, then parent to one wide row. Postal
-    metrics are not in ``registry`` and the remaining weights renormalise.
+    metrics take no part and the remaining weights renormalise.
     """
-    positive = registry.where(F.col("weight") > 0).select("metric", "category", "weight")
-    totals = {r["category"]: (r["n"], r["w"]) for r in positive.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
-    members = parent_means(scores).join(F.broadcast(positive), "metric")
+    used = [m for m in metrics if m.grain == "cell" and m.weight > 0]
+    totals: dict[str, tuple[int, float]] = {}
+    for m in used:
+        n, w = totals.get(m.category, (0, 0.0))
+        totals[m.category] = (n + 1, w + m.weight)
+    members = (
+        parent_means(scores)
+        .where(F.col("metric").isin([m.id for m in used]))
+        .withColumns(
+            {
+                "category": F.element_at(literal_map({m.id: m.category for m in used}), F.col("metric")),
+                "weight": F.element_at(literal_map({m.id: float(m.weight) for m in used}), F.col("metric")),
+            }
+        )
+    )
     aggs = []
     for cat in totals:
         mine = F.col("category") == cat

@@ -36,3 +36,302 @@ def slope(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return known.groupBy(*by).agg(
         F.when(F.max(x) > F.min(x), F.round(fit, 6)).alias("slope"), F.count(F.lit(1)).alias("n")
     )
+
+
+def _ranked_corr(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Pearson correlation of tie-averaged ranks per group; NULL below three rows or when a side is constant."""
+    ranked = ordering.with_positions(
+        ordering.with_positions(rows, a, keys, prefix="_a_"), b, keys, prefix="_b_"
+    )
+    ra, rb = ordering.average_rank("_a_"), ordering.average_rank("_b_")
+    varies = (F.max(ra) > F.min(ra)) & (F.max(rb) > F.min(rb)) & (F.count(F.lit(1)) >= 3)
+    return ranked.groupBy(*keys).agg(
+        F.when(varies, F.corr(ra, rb)).alias("rho"), F.count(F.lit(1)).cast("bigint").alias("n")
+    )
+
+
+def metric_pairs(wide: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Rows of (metric_a, metric_b, va, vb) for every registered pair known on both sides.
+
+    The pairs come from the metric registry (at most a few hundred whatever the data), one pass per row.
+    """
+    pairs = [
+        F.struct(
+            F.lit(a).alias("metric_a"),
+            F.lit(b).alias("metric_b"),
+            F.col(a).cast("double").alias("va"),
+            F.col(b).cast("double").alias("vb"),
+        )
+        for a, b in combinations(metrics, 2)
+    ]
+    return (
+        wide.select(F.explode(F.array(*pairs)).alias("_p"))
+        .select("_p.*")
+        .where(F.col("va").isNotNull() & F.col("vb").isNotNull())
+    )
+
+
+def spearman(wide: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Pairwise-complete Spearman matrix (upper triangle) of the columns of a wide table."""
+    return _ranked_corr(metric_pairs(wide, metrics), ["metric_a", "metric_b"], "va", "vb")
+
+
+def spearman_xy(df: DataFrame, x: str, y: str) -> DataFrame:
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.lit(1).alias("_g"), x, y)
+    return _ranked_corr(known, ["_g"], x, y).drop("_g")
+
+
+def spearman_series(rows: DataFrame, keys: Sequence[str], signal: str, period: str, value: str) -> DataFrame:
+    """Spearman per group and signal pair over common periods.
+
+    A (group, period) holds at most one row per registered signal, so the pairs stay few; ranks are
+    windows over the quarters of one series.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    a = known.select(*keys, period, F.col(signal).alias("signal_a"), F.col(value).alias("_va"))
+    b = known.select(*keys, period, F.col(signal).alias("signal_b"), F.col(value).alias("_vb"))
+    both = a.join(b, [*keys, period]).where(F.col("signal_a") < F.col("signal_b"))
+    group = [*keys, "signal_a", "signal_b"]
+
+    def rank(c: str) -> Column:
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*group, c))
+        return F.rank().over(Window.partitionBy(*group).orderBy(c)) + (ties - 1) / 2.0
+
+    ranked = both.withColumns({"_ra": rank("_va"), "_rb": rank("_vb")})
+    varies = (F.max("_ra") > F.min("_ra")) & (F.max("_rb") > F.min("_rb"))
+    return ranked.groupBy(*group).agg(
+        F.when(varies, F.corr("_ra", "_rb")).alias("rho"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def with_p_value(df: DataFrame, rho: str = "rho", n: str = "n", out: str = "p_value") -> DataFrame:
+    """Two-sided Student-t tail of a rank correlation, from the finite series for whole degrees of freedom."""
+    nu = (F.col(n) - 2).cast("int")
+    r = F.abs(F.col(rho))
+    theta = F.atan(r / F.sqrt(F.greatest(1 - r * r, F.lit(1e-300))))
+    sin, cos2 = F.sin(theta), F.cos(theta) * F.cos(theta)
+
+    def series(last: Column, first: Column, ratio) -> Column:
+        zero = F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+
+        def step(acc: Column, k: Column) -> Column:
+            return F.struct(
+                (acc["sum"] + acc["term"]).alias("sum"), (acc["term"] * ratio(k + 1) * cos2).alias("term")
+            )
+
+        steps = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, zero, step)["sum"]
+
+    even = sin * series(((nu - 2) / 2).cast("int"), F.lit(1.0), lambda k: (2.0 * k - 1) / (2.0 * k))
+    odd_sum = series(F.when(nu >= 3, ((nu - 3) / 2).cast("int")).otherwise(F.lit(-1)), F.cos(theta), lambda k: 2.0 * k / (2.0 * k + 1))
+    odd = F.lit(2.0 / 3.141592653589793) * (theta + sin * odd_sum)
+    inside = F.when(nu % 2 == 0, even).otherwise(odd)
+    return df.withColumn(out, F.when(nu >= 1, F.greatest(F.lit(0.0), 1 - inside)))
+
+
+# Flag levels of the correlation audit.
+HIGH, COLLINEAR = 0.7, 0.9
+
+
+def correlation_report(wide: DataFrame, metrics: Sequence[str], declared: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Every metric pair with rho, n, flag level and whether the registry declares the overlap."""
+    rho = spearman(wide, metrics)
+    size = F.abs("rho")
+    known = F.lit(False)
+    for a, b in declared:
+        known = known | F.col("metric_a").isin(a, b) & F.col("metric_b").isin(a, b)
+    return rho.select(
+        "metric_a",
+        "metric_b",
+        F.round("rho", 3).alias("rho"),
+        "n",
+        F.when(size >= COLLINEAR, "collinear").when(size >= HIGH, "high").alias("level"),
+        known.alias("declared"),
+    )
+
+
+MAX_CURVE_POINTS = 60
+
+
+def thin(curve: DataFrame, x: str, by: Sequence[str] = (), n: int = MAX_CURVE_POINTS) -> DataFrame:
+    """At most n evenly spaced points of a curve (one row per x), the last one always kept."""
+    placed = ordering.with_positions(curve, x, by, prefix="_t_")
+    at, total = F.col("_t_below"), F.col("_t_total")
+    slot = F.ceil(at * F.lit(float(n)) / total)
+    chosen = (slot < n) & (F.floor(slot * total / F.lit(float(n))) == at)
+    return placed.where((total <= n) | chosen | (at == total - 1)).select(*curve.columns)
+
+
+def fit_curves(rows: DataFrame, minimum: int = 10) -> DataFrame:
+    """Count-to-score curve per asset: monotone mean curve, slope, rank correlation, availability.
+
+    ``rows`` is (asset, count, score). A curve has at most 61 points, so it travels as an array.
+    """
+    known = rows.where(F.col("count").isNotNull() & F.col("score").isNotNull()).withColumns(
+        {"count": F.col("count").cast("double"), "score": F.col("score").cast("double")}
+    )
+    curve = running_max(mean_curve(known, "count", "score", ["asset"]), "count", "score", ["asset"])
+    kept = thin(curve, "count", ["asset"]).select(
+        "asset", F.struct(F.col("count").alias("x"), F.round("running", 3).alias("y")).alias("_p")
+    )
+    curves = kept.groupBy("asset").agg(F.array_sort(F.collect_list("_p")).alias("curve"))
+    fit = slope(known, "count", "score", ["asset"])
+    rho = _ranked_corr(known, ["asset"], "count", "score").select("asset", F.round("rho", 4).alias("rho"))
+    return (
+        fit.join(rho, "asset")
+        .join(curves, "asset")
+        .withColumn("available", F.col("n") >= minimum)
+        .withColumn("curve", F.when(F.col("available"), F.col("curve")))
+    )
+
+
+def project(
+    targets: DataFrame, scored: DataFrame, fits: DataFrame, asset: str, k: int, radius_m: float
+) -> DataFrame:
+    """Local mean score before and after adding k assets to each target's own cell.
+
+    Only the curve's marginal effect is applied to the cell's real score; a cell without a score takes
+    the curve level. ``scored`` is (cell, raw_count, score), ``fits`` the output of :func:`fit_curves`.
+    """
+    from placescore.functions import cells
+    from placescore.functions.score import curve_lookup
+    from placescore.operators import spatial
+
+    own = targets.withColumn("own_cell", cells.cell(F.col("lat"), F.col("lon")))
+    disk = spatial.cells_within(own, radius_m).join(scored, "cell")
+    mine = F.col("cell") == F.col("own_cell")
+    local = (
+        disk.join(own.select("target_id", "own_cell"), "target_id")
+        .groupBy("target_id")
+        .agg(
+            F.avg("score").alias("_mean"),
+            F.sum(F.when(~mine, F.col("score"))).alias("_others"),
+            F.count(F.when(~mine, F.col("score"))).alias("_n"),
+            F.max(F.when(mine, F.col("score"))).alias("_score"),
+            F.max(F.when(mine, F.col("raw_count"))).alias("_count"),
+        )
+    )
+    fit = fits.where((F.col("asset") == asset) & F.col("available")).select("curve", "slope", "rho")
+    joined = targets.select("target_id").join(local, "target_id", "left").join(F.broadcast(fit), F.lit(True))
+    before = F.coalesce(F.col("_count"), F.lit(0)).cast("double")
+    now = curve_lookup(F.col("curve"), F.col("slope"), before)
+    after = curve_lookup(F.col("curve"), F.col("slope"), before + float(k))
+    unit = F.when(F.col("_score").isNull(), after).otherwise(
+        F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("_score") + after - now))
+    )
+    projected = (F.coalesce(F.col("_others"), F.lit(0)) + unit) / (F.coalesce(F.col("_n"), F.lit(0)) + 1)
+    base = F.bround(F.col("_mean"), 0).cast("int")
+    return joined.select(
+        "target_id",
+        F.coalesce(F.col("_count"), F.lit(0)).alias("count_before"),
+        base.alias("baseline"),
+        F.bround(projected, 0).cast("int").alias("projected"),
+        F.round((F.bround(projected, 0) - F.bround(F.col("_mean"), 0)), 2).alias("delta"),
+        (F.coalesce(F.col("rho"), F.lit(1.0)) < 0.7).alias("weak_fit"),
+    )
+
+
+# ---- sensitivity -------------------------------------------------------------------------------
+
+NORMALISATIONS = ("percentile", "minmax", "zscore")
+WEIGHT_NOISE = 0.25
+_PRIME = 2147483647
+
+
+def uniform(draw: Column, stream: int, seed: int) -> Column:
+    """Reproducible uniform in [0, 1) of a draw and a stream number, by two multiplicative steps."""
+    x = (draw.cast("bigint") * 1000003 + F.lit(stream * 7919 + seed + 1)) % _PRIME
+    for _ in range(2):
+        x = (x * 48271) % _PRIME
+    return x / F.lit(float(_PRIME))
+
+
+def draw_scores(
+    frame: DataFrame,
+    metrics: Sequence[str],
+    structure: Mapping[str, tuple[float, Mapping[str, float]]],
+    draws: int,
+    seed: int,
+    toggles: Sequence[str] = (),
+) -> DataFrame:
+    """Composite per (cell, draw) under perturbed weights, normalisation, toggles and missing-data rule.
+
+    ``frame`` has cell and ``{norm}_{metric}`` columns, ``structure`` is category -> (weight, metric
+    weights). Every row expands to its draws in place; draw parameters are arithmetic on the draw
+    number, so nothing is joined or shuffled here.
+    """
+    means = frame.agg(
+        *[F.avg(f"{n}_{m}").alias(f"_mean_{n}_{m}") for n in NORMALISATIONS for m in metrics]
+    )
+    rows = frame.join(F.broadcast(means), F.lit(True)).withColumn(
+        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))
+    )
+    d = F.col("draw")
+    norm = F.floor(uniform(d, 1, seed) * len(NORMALISATIONS)).cast("int")
+    impute = uniform(d, 2, seed) < 0.5
+    rows = rows.withColumns({"norm": norm, "imputed": impute}).withColumns(
+        {f"with_{m}": uniform(d, 1000 + i, seed) < 0.5 for i, m in enumerate(toggles)}
+    )
+
+    def pick(prefix: str, m: str) -> Column:
+        a, b, c = (F.col(f"{prefix}{n}_{m}") for n in NORMALISATIONS)
+        return F.when(F.col("norm") == 0, a).when(F.col("norm") == 1, b).otherwise(c)
+
+    top, bottom = F.lit(0.0), F.lit(0.0)
+    for weight, members in structure.values():
+        if weight <= 0:
+            continue
+        num, den = F.lit(0.0), F.lit(0.0)
+        for m, w in members.items():
+            noise = F.lit(1 - WEIGHT_NOISE) + F.lit(2 * WEIGHT_NOISE) * uniform(d, 10 + list(metrics).index(m), seed)
+            effective = F.lit(float(w)) * noise
+            if m in toggles:
+                effective = F.when(F.col(f"with_{m}"), effective).otherwise(F.lit(0.0))
+            value = pick("", m)
+            value = F.when(F.col("imputed"), F.coalesce(value, pick("_mean_", m))).otherwise(value)
+            used = value.isNotNull()
+            num = num + F.when(used, value * effective).otherwise(F.lit(0.0))
+            den = den + F.when(used, effective).otherwise(F.lit(0.0))
+        category = F.when(den > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(num / den, 0))))
+        top = top + F.when(category.isNotNull(), category * weight).otherwise(F.lit(0.0))
+        bottom = bottom + F.when(category.isNotNull(), F.lit(float(weight))).otherwise(F.lit(0.0))
+    score = F.when(bottom > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(top / bottom, 0))))
+    return rows.select(
+        "cell", "draw", "norm", "imputed", *[f"with_{m}" for m in toggles], score.cast("int").alias("score")
+    )
+
+
+def draw_summary(draws: DataFrame) -> DataFrame:
+    """Median, 95 % interval, production-normalisation interval and rank interval per cell.
+
+    A group holds one row per draw, a parameter, so exact percentiles stay small. Ranks within a draw
+    come from distributed numbering, not from a window over all cells.
+    """
+    ranked = ordering.global_row_number(draws, "score", "cell", out="rank", by=["draw"])
+    production = F.col("norm") == 0
+    return ranked.groupBy("cell").agg(
+        F.percentile("score", F.lit(0.5)).alias("median"),
+        F.percentile("score", F.lit(0.025)).alias("low"),
+        F.percentile("score", F.lit(0.975)).alias("high"),
+        F.percentile(F.when(production, F.col("score")), F.lit(0.025)).alias("production_low"),
+        F.percentile(F.when(production, F.col("score")), F.lit(0.975)).alias("production_high"),
+        F.percentile("rank", F.lit(0.5)).alias("rank_median"),
+        F.percentile("rank", F.lit(0.05)).alias("rank_low"),
+        F.percentile("rank", F.lit(0.95)).alias("rank_high"),
+    )
+
+
+def branch_effects(draws: DataFrame, branches: Mapping[str, Column]) -> DataFrame:
+    """Mean and 95th percentile over cells of |mean score with the branch - without it|."""
+    per_cell = draws.groupBy("cell").agg(
+        *[
+            F.abs(F.avg(F.when(test, F.col("score"))) - F.avg(F.when(~test, F.col("score")))).alias(name)
+            for name, test in branches.items()
+        ]
+    )
+    long = per_cell.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("branch"), F.col(n).alias("delta")) for n in branches])).alias("_s")
+    ).select("_s.*").where(F.col("delta").isNotNull())
+    p95 = ordering.exact_quantiles(long, "delta", [0.95], by=["branch"])
+    mean = long.groupBy("branch").agg(F.round(F.avg("delta"), 2).alias("mean_abs_delta"))
+    return mean.join(p95, "branch").select("branch", "mean_abs_delta", F.round(F.col("quantiles")[0], 2).alias("p95_abs_delta"))
