@@ -86,3 +86,56 @@ def reach_summary(reached: DataFrame) -> DataFrame:
     return reached.groupBy("target_id").agg(
         F.count(F.lit(1)).alias("nodes"), F.round(F.max("dist"), 4).alias("farthest_m")
     )
+
+
+def _hull(pts):
+    """Convex hull of an (n, 2) array by a monotone chain, counter-clockwise."""
+    import numpy as np
+
+    p = np.unique(pts, axis=0)
+    if len(p) < 3:
+        return p
+
+    def chain(rows):
+        out: list = []
+        for r in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]):
+                out.pop()
+            out.append(r)
+        return out[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def hull_area(reached: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Convex-hull area in square kilometres of the nodes each target reaches.
+
+    Hulls merge: every Arrow batch is first reduced to its hull per target, so what meets per target is
+    a few hull vertices and never its whole node set.
+    """
+    at = reached.join(nodes.select(F.col("node_id").alias("node"), "lat", "lon"), "node").select(
+        F.col("target_id").cast("bigint").alias("target_id"),
+        cells.metres_x(F.col("lon")).alias("x"),
+        cells.metres_y(F.col("lat")).alias("y"),
+    )
+
+    def partial(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for key, rows in batch.groupby("target_id"):
+                h = _hull(rows[["x", "y"]].to_numpy())
+                yield pd.DataFrame({"target_id": key, "x": h[:, 0], "y": h[:, 1]})
+
+    def area(key, rows):
+        import numpy as np
+        import pandas as pd
+
+        h = _hull(rows[["x", "y"]].to_numpy())
+        x, y = h[:, 0], h[:, 1]
+        size = abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2.0 if len(h) > 2 else 0.0
+        return pd.DataFrame({"target_id": [key[0]], "area_km2": [size / 1e6]})
+
+    schema = "target_id bigint, x double, y double"
+    corners = at.mapInPandas(partial, schema)
+    return corners.groupBy("target_id").applyInPandas(area, "target_id bigint, area_km2 double")
