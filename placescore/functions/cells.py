@@ -192,30 +192,54 @@ def wkt_vertices(wkt: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, as the variable of a one-element transform."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def polygon_centroid(wkt: Column) -> Column:
     """Area centroid of the outer ring of a WKT polygon; NULL when empty or invalid."""
     outer = F.regexp_extract(wkt, r"(?i)POLYGON\s*\(+\s*([^()]*)\)", 1)
-    v = wkt_vertices(F.when(F.length(outer) > 0, outer))
-    n = F.size(v)
-    base_lon, base_lat = v[0]["lon"], v[0]["lat"]
-
-    def step(acc: Column, i: Column) -> Column:
-        x0, y0 = v[i]["lon"] - base_lon, v[i]["lat"] - base_lat
-        x1, y1 = v[i + 1]["lon"] - base_lon, v[i + 1]["lat"] - base_lat
-        cross = x0 * y1 - x1 * y0
-        return F.struct(
-            (acc["a"] + cross).alias("a"),
-            (acc["x"] + (x0 + x1) * cross).alias("x"),
-            (acc["y"] + (y0 + y1) * cross).alias("y"),
+
+    def of_ring(v: Column) -> Column:
+        n = F.size(v)
+        base_lon, base_lat = v[0]["lon"], v[0]["lat"]
+        edges = F.zip_with(
+            F.slice(v, F.lit(1), n - 1),
+            F.slice(v, F.lit(2), n - 1),
+            lambda p, q: F.struct(
+                (p["lon"] - base_lon).alias("x0"),
+                (p["lat"] - base_lat).alias("y0"),
+                (q["lon"] - base_lon).alias("x1"),
+                (q["lat"] - base_lat).alias("y1"),
+            ),
         )
 
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    total = F.aggregate(F.sequence(F.lit(0), n - 2), zero, step)
-    centre = F.struct(
-        (base_lon + total["x"] / (total["a"] * 3)).alias("lon"),
-        (base_lat + total["y"] / (total["a"] * 3)).alias("lat"),
-    )
-    return F.when((n >= 4) & (total["a"] != 0), centre)
+        def step(acc: Column, e: Column) -> Column:
+            cross = e["x0"] * e["y1"] - e["x1"] * e["y0"]
+            return F.struct(
+                (acc["a"] + cross).alias("a"),
+                (acc["x"] + (e["x0"] + e["x1"]) * cross).alias("x"),
+                (acc["y"] + (e["y0"] + e["y1"]) * cross).alias("y"),
+            )
+
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        total = F.aggregate(edges, zero, step)
+        return F.when(
+            n >= 4,
+            let(
+                total,
+                lambda t: F.when(
+                    t["a"] != 0,
+                    F.struct(
+                        (base_lon + t["x"] / (t["a"] * 3)).alias("lon"),
+                        (base_lat + t["y"] / (t["a"] * 3)).alias("lat"),
+                    ),
+                ),
+            ),
+        )
+
+    return F.when(F.length(outer) > 0, let(wkt_vertices(outer), of_ring))
 
 
 def from_web_mercator(x: Column, y: Column) -> Column:

@@ -173,3 +173,53 @@ def similar(scores: DataFrame, target_id: object, columns: list[str], k: int = 5
         .orderBy("distance", "target_id")
         .limit(k)
     )
+
+
+def score_places(
+    targets: DataFrame, scores: DataFrame, radius_m: float, metrics: list, overall: Mapping[str, float]
+) -> DataFrame:
+    """Category and overall scores of many places from the long (cell, metric, score) table.
+
+    Disks are taken per occupied cell pattern: the wide score row of a cell is joined once per
+    (target, cell), and all metrics are averaged in the same aggregation.
+    """
+    ids = [m.id for m in metrics if m.grain == "cell"]
+    wide = scores.groupBy("cell").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(f"_s_{m}") for m in ids]
+    )
+    local = (
+        spatial.cells_within(targets, radius_m)
+        .join(wide, "cell")
+        .groupBy("target_id")
+        .agg(*[F.bround(F.avg(f"_s_{m}"), 0).cast("int").alias(f"_s_{m}") for m in ids])
+    )
+    weights: dict[str, dict[str, float]] = {}
+    for m in metrics:
+        weights.setdefault(m.category, {})[m.id] = m.weight
+    prepared = {
+        c: {m: F.col(f"_s_{m}") if m in ids else F.lit(None).cast("int") for m in w} for c, w in weights.items()
+    }
+    out = composite(targets.select("target_id").join(local, "target_id", "left"), prepared, {}, weights, overall)
+    return out.drop(*[f"_s_{m}" for m in ids])
+
+
+def uncertainty(summary: DataFrame) -> DataFrame:
+    """Median, its mid-rank among all cells and the public tier of the production interval, per cell."""
+    placed = ordering.with_positions(summary, "median", prefix="_u_")
+    return placed.select(
+        "cell",
+        "median",
+        S.midrank_from_positions("_u_").alias("percentile"),
+        S.public_tier(F.col("production_low"), F.col("production_high")).alias("tier"),
+    )
+
+
+def overview_context(targets: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Score, risk level and mid-rank of the fine cell nearest to each target."""
+    placed = ordering.with_positions(tiles.select("cell", "score"), "score", prefix="_o_").select(
+        "cell", "score", S.midrank_from_positions("_o_").alias("percentile")
+    )
+    near = spatial.nearest_cell(targets, tiles.where(F.col("score").isNotNull()))
+    return near.join(placed, "cell", "left").select(
+        "target_id", "cell", "score", S.risk_level(F.col("score")).alias("risk_level"), "percentile"
+    )

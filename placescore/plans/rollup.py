@@ -167,3 +167,13 @@ def class_breaks(df: DataFrame, column: str, k: int, by: list[str] | None = None
 def class_index(value, breaks):
     """Number of edges at or below the value."""
     return F.size(F.filter(breaks, lambda e: value >= e))
+
+
+def bivariate(df: DataFrame, a: str, b: str, classes: int = 3) -> DataFrame:
+    """Class of two columns at once, each by its own quantile breaks; the pair is the map legend's cell."""
+    ba = class_breaks(df, a, classes).withColumnRenamed("breaks", "_ba")
+    bb = class_breaks(df, b, classes).withColumnRenamed("breaks", "_bb")
+    joined = df.join(F.broadcast(ba), F.lit(True)).join(F.broadcast(bb), F.lit(True))
+    return joined.withColumns(
+        {"class_a": class_index(F.col(a), F.col("_ba")), "class_b": class_index(F.col(b), F.col("_bb"))}
+    ).withColumn("class", F.col("class_a") * classes + F.col("class_b")).drop("_ba", "_bb")
