@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placescore.operators import ordering, tables
+from placescore.operators import ordering
+from placescore.session import cut_lineage
 
 
 def mean_curve(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -277,27 +278,76 @@ def draw_scores(
         a, b, c = (F.col(f"{prefix}{n}_{m}") for n in NORMALISATIONS)
         return F.when(F.col("norm") == 0, a).when(F.col("norm") == 1, b).otherwise(c)
 
-    top, bottom = F.lit(0.0), F.lit(0.0)
-    for weight, members in structure.values():
-        if weight <= 0:
-            continue
-        num, den = F.lit(0.0), F.lit(0.0)
-        for m, w in members.items():
-            noise = F.lit(1 - WEIGHT_NOISE) + F.lit(2 * WEIGHT_NOISE) * uniform(d, 10 + list(metrics).index(m), seed)
-            effective = F.lit(float(w)) * noise
-            if m in toggles:
-                effective = F.when(F.col(f"with_{m}"), effective).otherwise(F.lit(0.0))
-            value = pick("", m)
-            value = F.when(F.col("imputed"), F.coalesce(value, pick("_mean_", m))).otherwise(value)
-            used = value.isNotNull()
-            num = num + F.when(used, value * effective).otherwise(F.lit(0.0))
-            den = den + F.when(used, effective).otherwise(F.lit(0.0))
-        category = F.when(den > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(num / den, 0))))
-        top = top + F.when(category.isNotNull(), category * weight).otherwise(F.lit(0.0))
-        bottom = bottom + F.when(category.isNotNull(), F.lit(float(weight))).otherwise(F.lit(0.0))
-    score = F.when(bottom > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(top / bottom, 0))))
+    # staged columns: each stage is used several times by the next, so the optimizer keeps them apart
+    order = list(metrics)
+    used = [(c, m, w) for c, (weight, members) in structure.items() if weight > 0 for m, w in members.items()]
+    values, weights = {}, {}
+    for _, m, w in used:
+        value = pick("", m)
+        values[f"_v_{m}"] = F.when(F.col("imputed"), F.coalesce(value, pick("_mean_", m))).otherwise(value)
+        noise = F.lit(1 - WEIGHT_NOISE) + F.lit(2 * WEIGHT_NOISE) * uniform(d, 10 + order.index(m), seed)
+        effective = F.lit(float(w)) * noise
+        weights[f"_e_{m}"] = F.when(F.col(f"with_{m}"), effective).otherwise(F.lit(0.0)) if m in toggles else effective
+    rows = rows.select(
+        "cell", "draw", "norm", "imputed", *[f"with_{m}" for m in toggles],
+        *[c.alias(n) for n, c in values.items()], *[c.alias(n) for n, c in weights.items()],
+    )
+    zero = F.lit(0.0)
+    for c in structure:
+        members = [m for cat, m, _ in used if cat == c]
+        num = sum((F.coalesce(F.col(f"_v_{m}") * F.col(f"_e_{m}"), zero) for m in members), zero)
+        den = sum((F.when(F.col(f"_v_{m}").isNotNull(), F.col(f"_e_{m}")).otherwise(zero) for m in members), zero)
+        rows = rows.withColumns({f"_num_{c}": num, f"_den_{c}": den})
+    live = [c for c, (weight, _) in structure.items() if weight > 0]
+    rows = rows.withColumns({f"_c_{c}": _bounded(F.col(f"_num_{c}"), F.col(f"_den_{c}")) for c in live})
+    top = sum((F.coalesce(F.col(f"_c_{c}") * structure[c][0], zero) for c in live), zero)
+    bottom = sum((F.when(F.col(f"_c_{c}").isNotNull(), float(structure[c][0])).otherwise(zero) for c in live), zero)
+    rows = rows.withColumns({"_top": top, "_bottom": bottom})
     return rows.select(
-        "cell", "draw", "norm", "imputed", *[f"with_{m}" for m in toggles], score.cast("int").alias("score")
+        "cell", "draw", "norm", "imputed", *[f"with_{m}" for m in toggles],
+        _bounded(F.col("_top"), F.col("_bottom")).cast("int").alias("score"),
+    )
+
+
+def _bounded(top: Column, bottom: Column) -> Column:
+    """Half-even rounded quotient within 0..100, NULL without weight."""
+    return F.when(bottom > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(top / bottom, 0))))
+
+
+def normalised_frame(long: DataFrame, metrics: Mapping[str, bool]) -> DataFrame:
+    """(cell, metric, value) to one row per cell with {norm}_{metric} columns, all metrics in one pass.
+
+    ``metrics`` maps a metric to whether higher is better.
+    """
+    from placescore.functions.clean import literal_map
+
+    known = long.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+    better = F.element_at(literal_map(dict(metrics)), F.col("metric"))
+    placed = ordering.with_positions(known, "value", ["metric"], prefix="_p_")
+    share = (F.col("_p_below") + (F.col("_p_n") + 1) / 2.0) / F.col("_p_total") * 100
+    # one row per metric
+    stats = known.groupBy("metric").agg(
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd")
+    )
+    v, flat = F.col("value"), F.col("_hi") == F.col("_lo")
+    minmax = F.when(flat, 50.0).otherwise((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100)
+    zscore = F.when(flat, 50.0).otherwise(
+        F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + 10 * (v - F.col("_mean")) / F.col("_sd")))
+    )
+    scored = placed.join(F.broadcast(stats), "metric").withColumns({"_pct": share, "_mm": minmax, "_z": zscore, "_up": better})
+    scored = scored.select(
+        "cell",
+        "metric",
+        F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.bround(F.when(F.col("_up"), F.col("_pct")).otherwise(100.0 - F.col("_pct")), 0))).alias("percentile"),
+        F.when(F.col("_up"), F.col("_mm")).otherwise(100 - F.col("_mm")).alias("minmax"),
+        F.when(F.col("_up"), F.col("_z")).otherwise(100 - F.col("_z")).alias("zscore"),
+    )
+    return scored.groupBy("cell").agg(
+        *[
+            F.max(F.when(F.col("metric") == m, F.col(n))).alias(f"{n}_{m}")
+            for n in NORMALISATIONS
+            for m in metrics
+        ]
     )
 
 
@@ -305,8 +355,10 @@ def draw_summary(draws: DataFrame) -> DataFrame:
     """Median, 95 % interval, production-normalisation interval and rank interval per cell.
 
     A group holds one row per draw, a parameter, so exact percentiles stay small. Ranks within a draw
-    come from distributed numbering, not from a window over all cells.
+    come from distributed numbering, not from a window over all cells. The draws are read twice by that
+    numbering, so they are written once to the shared folder first.
     """
+    draws = cut_lineage(draws)
     ranked = ordering.global_row_number(draws, "score", "cell", out="rank", by=["draw"])
     production = F.col("norm") == 0
     return ranked.groupBy("cell").agg(

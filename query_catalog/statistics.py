@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from placescore.operators import tables
 from placescore.plans import registry, stats
+from placescore.session import cut_lineage
 from query_catalog.fixtures import INCIDENTS, KIND_METRIC, TARGETS, ctes, incidents, query, sql_pct, table, targets
 from query_catalog.jobs import metric_scores
 from query_catalog.places import _DISK, _OFF
@@ -46,8 +47,8 @@ def d23(spark, sf):
 
 
 _CURVE_ROWS = f"""ct AS (SELECT kind AS asset, cell, count(*)::DOUBLE AS count FROM incidents GROUP BY 1, 2), cs AS (SELECT asset, cell, count, {sql_pct('count', True, 'asset')}::DOUBLE AS score FROM ct)"""
-_FIT = """mn AS (SELECT asset, count AS x, avg(score) AS y FROM cs GROUP BY 1, 2), rm AS (SELECT asset, x, max(y) OVER (PARTITION BY asset ORDER BY x) AS y, row_number() OVER (PARTITION BY asset ORDER BY x) - 1 AS at, count(*) OVER (PARTITION BY asset) AS total FROM mn),
-  kept AS (SELECT * FROM rm WHERE total <= 60 OR at = total - 1 OR (ceil(at * 60.0::DOUBLE / total) < 60 AND floor(ceil(at * 60.0::DOUBLE / total) * total / 60.0::DOUBLE) = at)),
+_FIT = """mn AS (SELECT asset, count AS x, avg(score) AS y FROM cs GROUP BY 1, 2), rm AS (SELECT asset, x, max(y) OVER (PARTITION BY asset ORDER BY x) AS y, row_number() OVER (PARTITION BY asset ORDER BY x) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS total FROM mn),
+  kept AS (SELECT * FROM rm WHERE total <= 60 OR pos = total - 1 OR (ceil(pos * 60.0::DOUBLE / total) < 60 AND floor(ceil(pos * 60.0::DOUBLE / total) * total / 60.0::DOUBLE) = pos)),
   ft AS (SELECT asset, round(regr_slope(score, count), 6) AS slope, count(*) AS n FROM cs GROUP BY 1)"""
 
 
@@ -99,16 +100,9 @@ _STRUCTURE = {
 
 def norm_frame(spark, sf):
     """cell with {norm}_{metric} columns for the three normalisations."""
-    out = frame(spark, sf)
-    base = out
-    for m in METRICS:
-        better = registry.METRICS_BY_ID[m].higher_is_better
-        known = base.select("cell", F.col(m).cast("double").alias("v")).where("v IS NOT NULL")
-        p = tables.percentile_score(known, "v", better, f"percentile_{m}")
-        p = tables.normalise(p, "v", "minmax", better, out=f"minmax_{m}")
-        p = tables.normalise(p, "v", "zscore", better, out=f"zscore_{m}").drop("v")
-        out = out.join(p, "cell", "left")
-    return out.drop(*METRICS)
+    f = frame(spark, sf)
+    long = f.select("cell", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("_m")).select("cell", "_m.*")
+    return stats.normalised_frame(long, {m: registry.METRICS_BY_ID[m].higher_is_better for m in METRICS})
 
 
 def _u(draw: str, stream: int) -> str:
@@ -192,4 +186,4 @@ def a34(spark, sf):
 def d25(spark, sf):
     from placescore.plans import composite
 
-    return composite.uncertainty(stats.draw_summary(draws(spark, sf)))
+    return composite.uncertainty(cut_lineage(stats.draw_summary(draws(spark, sf))))
