@@ -38,7 +38,7 @@ def reachable(targets: DataFrame, nodes: DataFrame, edges: DataFrame, minutes: f
     Targets reaching fewer than four nodes are left out.
     """
     budget = minutes * 60.0 * WALK_SPEED_M_S
-    both = cut_lineage(
+    both = (
         edges.select("u", "v", "length_m")
         .unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m"))
         .where(F.col("length_m") <= budget)
@@ -49,7 +49,8 @@ def reachable(targets: DataFrame, nodes: DataFrame, edges: DataFrame, minutes: f
     start = snap.where(F.col("node_id").isNotNull()).select("target_id", F.col("node_id").alias("node"), F.lit(0.0).alias("dist"))
     box = targets.select("target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     spots = nodes.select(F.col("node_id").alias("v"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"))
-    both = both.join(spots, "v")
+    # edges stay partitioned by their start for all rounds; only the frontier moves
+    both = cut_lineage(both.join(spots, "v").repartition("u"))
     reach = budget * SEARCH_STRETCH
     near = (F.abs(F.col("v_lat") - F.col("t_lat")) * cells.METRES_PER_DEGREE <= reach) & (
         F.abs(F.col("v_lon") - F.col("t_lon")) * cells.METRES_PER_DEGREE * cells.COS_LAT <= reach

@@ -260,33 +260,53 @@ def cover_block(targets: DataFrame, reach: float, size: float = cells.FINE_CELL_
     )
 
 
-def nearest_cell(targets: DataFrame, known: DataFrame, rings: Sequence[int] = (1, 4, 16, 64)) -> DataFrame:
-    """Closest known cell centre per target, widening the searched block until everyone is served.
+NEAREST_LEVELS = tuple(cells.FINE_CELL_M * 4.0**i for i in range(6))
 
-    The last pass compares with the block of 64 cells; further away a target keeps NULL.
+
+def nearest_cell(targets: DataFrame, known: DataFrame, levels: Sequence[float] = NEAREST_LEVELS) -> DataFrame:
+    """Closest known cell centre per target, NULL beyond one coarsest side (307 km).
+
+    Lattices four times coarser each stand over the known cells. A target looks up its 3x3 block on every
+    lattice (nine keys each) and searches one level above the finest block that holds anything: what it
+    found is at most 2.83 sides away and the coarser block reaches four, so the search is exact.
     """
     size = cells.FINE_CELL_M
-    centres = known.select("cell").distinct()
-    parts, rest = [], targets
-    for k in rings:
-        block = cover_block(rest, k * size).join(centres, "cell")
-        d = F.hypot(
-            F.col("_tx") - cells.centre_x(F.col("cell")), F.col("_ty") - cells.centre_y(F.col("cell"))
-        )
-        best = (
-            block.withColumn("distance_m", d)
-            .groupBy("target_id")
-            .agg(F.min(F.struct("distance_m", "cell")).alias("_b"))
-            .select("target_id", "_b.cell", "_b.distance_m")
-        )
-        limit = (k - 0.5) * size if k != rings[-1] else float("inf")
-        sure = best.where(F.col("distance_m") <= limit)
-        parts.append(sure)
-        rest = rest.join(sure.select("target_id"), "target_id", "left_anti")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return targets.select("target_id").join(found, "target_id", "left")
+    sizes = F.array(*[F.lit(s) for s in levels])
+    centres = known.select("cell").distinct().select(
+        "cell", cells.centre_x(F.col("cell"), size).alias("_cx"), cells.centre_y(F.col("cell"), size).alias("_cy")
+    )
+
+    def stacked(x: Column, y: Column, around: bool) -> Column:
+        def keys(s: Column, i: Column) -> Column:
+            ix, iy = F.floor(x / s), F.floor(y / s)
+            at = _neighbour_cells(ix, iy) if around else F.array(cells.pack(ix, iy))
+            return F.transform(at, lambda c: F.struct(i.alias("level"), c.alias("_c")))
+
+        return F.flatten(F.transform(sizes, keys))
+
+    held = centres.withColumn("_k", F.explode(stacked(F.col("_cx"), F.col("_cy"), False))).select(
+        "cell", "_cx", "_cy", "_k.level", "_k._c"
+    )
+    based = targets.select(
+        "target_id", cells.metres_x(F.col("lon")).alias("_tx"), cells.metres_y(F.col("lat")).alias("_ty")
+    )
+    asked = based.withColumn("_k", F.explode(stacked(F.col("_tx"), F.col("_ty"), True))).select(
+        "target_id", "_tx", "_ty", "_k.level", "_k._c"
+    )
+    occupied = held.select("level", "_c").distinct()
+    finest = asked.join(occupied, ["level", "_c"], "left_semi").groupBy("target_id").agg(
+        F.least(F.min("level") + 1, F.lit(len(levels) - 1)).alias("level")
+    )
+    d = F.hypot(F.col("_tx") - F.col("_cx"), F.col("_ty") - F.col("_cy"))
+    best = (
+        asked.join(finest, ["target_id", "level"])
+        .join(held, ["level", "_c"])
+        .withColumn("distance_m", d)
+        .groupBy("target_id")
+        .agg(F.min(F.struct("distance_m", "cell")).alias("_b"))
+        .select("target_id", "_b.cell", "_b.distance_m")
+    )
+    return targets.select("target_id").join(best, "target_id", "left")
 
 
 # ---- k nearest neighbours ----------------------------------------------------------------------
@@ -308,7 +328,9 @@ def knn_mean(points: DataFrame, id_col: str, k: int = 3, levels: Sequence[float]
     one level above the finest level whose own 3x3 block still holds k others: the k nearest lie within
     2.83 fine sides, the coarser block reaches at least 8. Fewer than k others at a level also bounds
     the number of coordinates asking per coarser cell (64 k), so the join stays linear in the data
-    however dense a spot is. Neighbours are looked for within one coarsest side (300 km).
+    however dense a spot is. Few coordinates ask on the coarse lattices, whose cells hold many points: the
+    skew is on one side of an inner join, where the adaptive skew join splits it. Neighbours are looked
+    for within one coarsest side (300 km).
     """
     x, y = cells.metres_x(F.col("lon")), cells.metres_y(F.col("lat"))
     at = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_x": x, "_y": y})

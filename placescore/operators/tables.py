@@ -54,7 +54,7 @@ def anchored_window(df: DataFrame, date: str, years: int, as_of: Column) -> Data
     day = F.to_date(F.col(date))
     last = df.where(day <= as_of).agg(F.max(day).alias("_last"))
     since = F.add_months(F.col("_last"), -12 * years)
-    return df.join(last, (day >= since) & (day <= F.col("_last")), "inner").drop("_last")
+    return df.join(F.broadcast(last), (day >= since) & (day <= F.col("_last")), "inner").drop("_last")
 
 
 # ---- joins and sets ----------------------------------------------------------------------------

@@ -54,36 +54,46 @@ def composite(
     A category uses its prepared sub-scores when any is known, otherwise the fallback ones. Overall
     coverage is measured against every category that could have contributed.
     """
-    scores: dict[str, Column] = {}
     out: dict[str, Column] = {}
-    ratios: dict[str, Column] = {}
+    stage: dict[str, Column] = {}
+    ready_of: dict[str, Column] = {}
     null_int = F.lit(None).cast("int")
     for cat, w in weights.items():
         ready, spare = prepared.get(cat, {}), fallback.get(cat, {})
         has_ready = F.lit(False)
         for c in ready.values():
             has_ready = has_ready | c.isNotNull()
-        used = {m: F.when(has_ready, ready.get(m, null_int)).otherwise(spare.get(m, null_int)) for m in w}
+        ready_of[cat] = has_ready
+        stage |= {
+            f"_u_{cat}_{m}": F.when(has_ready, ready.get(m, null_int)).otherwise(spare.get(m, null_int)) for m in w
+        }
+    # sub-scores first, category scores next: later stages use them many times over
+    df = df.withColumns(stage)
+    scores = {cat: F.col(f"{cat}_score") for cat in weights}
+    ratios = {cat: F.col(f"{cat}_ratio") for cat in weights}
+    for cat, w in weights.items():
+        spare = fallback.get(cat, {})
+        used = {m: F.col(f"_u_{cat}_{m}") for m in w}
         counted = {m: x for m, x in w.items() if x > 0}
-        scores[cat] = S.weighted_score(used, w)
-        present = F.filter(
-            F.array(*[F.when(used[m].isNotNull(), F.lit(m)) for m in sorted(counted)]), lambda x: x.isNotNull()
-        )
-        missing = F.filter(
-            F.array(*[F.when(used[m].isNull(), F.lit(m)) for m in sorted(counted)]), lambda x: x.isNotNull()
-        )
+
+        def names(test, used=used, counted=counted) -> Column:
+            return F.filter(
+                F.array(*[F.when(test(used[m]), F.lit(m)) for m in sorted(counted)]), lambda x: x.isNotNull()
+            )
+
+        present = names(lambda c: c.isNotNull())
         have = sum((F.when(used[m].isNotNull(), F.lit(float(x))).otherwise(F.lit(0.0)) for m, x in counted.items()), F.lit(0.0))
         total = float(sum(counted.values()))
-        ratios[cat] = F.round(have / total, 4) if total else F.lit(0.0)
         out |= {
-            f"{cat}_score": scores[cat],
-            f"{cat}_source": F.when(has_ready, "prepared").otherwise("fallback" if spare else "none"),
+            f"{cat}_score": S.weighted_score(used, w),
+            f"{cat}_source": F.when(ready_of[cat], "prepared").otherwise("fallback" if spare else "none"),
             f"{cat}_available": F.size(present),
             f"{cat}_total": F.lit(len(counted)),
-            f"{cat}_ratio": ratios[cat],
+            f"{cat}_ratio": F.round(have / total, 4) if total else F.lit(0.0),
             f"{cat}_present": F.array_join(present, ","),
-            f"{cat}_missing": F.array_join(missing, ","),
+            f"{cat}_missing": F.array_join(names(lambda c: c.isNull()), ","),
         }
+    df = df.withColumns(out).drop(*stage)
     candidates = {c: float(x) for c, x in overall.items() if x > 0}
     grand = sum(candidates.values())
 
@@ -95,13 +105,13 @@ def composite(
     ones = {c: F.lit(1.0) for c in candidates}
     bottom = over(ones)
     weakest = F.array_min(F.array(*[F.when(scores[c].isNotNull(), ratios[c]) for c in candidates]))
-    out |= {
+    final = {
         "overall_score": F.when(bottom > 0, S.clamp_score(over(scores) / bottom)),
         "overall_ratio": F.round(bottom / grand, 4),
         "overall_effective_ratio": F.round(over(ratios) / grand, 4),
         "overall_weakest_ratio": F.coalesce(weakest, F.lit(0.0)),
     }
-    return df.withColumns(out)
+    return df.withColumns(final)
 
 
 # Evidence, actionability and baseline per signal.

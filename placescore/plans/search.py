@@ -16,11 +16,16 @@ def search(queries: DataFrame, sources: Sequence[DataFrame], limit: int = 5) ->
     ``queries`` is (query_id, query); each source is (place_id, name[, borough]) and the first source
     with a hit wins. Names are inverted once to (word, place); a query meets only the postings of its
     rarest word and its other words are then tested on the place's own word list, so a common word
-    never drags in its whole posting list unless the query has nothing rarer.
+    never drags in its whole posting list unless the query has nothing rarer. Queries with the same words
+    are answered once, so a query repeated in a third of the rows costs one search.
     """
-    parsed = queries.select("query_id", text.parse_query(F.col("query")).alias("_q")).select(
-        "query_id", "_q.tokens", "_q.borough"
-    ).where(F.size("tokens") > 0)
+    asked_by = queries.select("query_id", text.parse_query(F.col("query")).alias("_q")).select(
+        "query_id", F.array_sort(F.array_distinct("_q.tokens")).alias("tokens"), "_q.borough"
+    ).where(F.size("tokens") > 0).withColumn("_set", F.concat_ws(" ", F.col("tokens"))).withColumn(
+        "_in", F.coalesce("borough", F.lit(""))
+    )
+    parsed = asked_by.groupBy("_set", "_in").agg(F.first("tokens").alias("tokens"), F.first("borough").alias("borough"))
+    parsed = parsed.withColumn("query_id", F.struct("_set", "_in")).select("query_id", "tokens", "borough")
     found = None
     for rank, source in enumerate(sources):
         named = source if "borough" in source.columns else source.withColumn("borough", F.lit(None).cast("string"))
@@ -48,11 +53,13 @@ def search(queries: DataFrame, sources: Sequence[DataFrame], limit: int = 5) ->
         found = hits if found is None else found.unionByName(hits)
     first = found.groupBy("query_id").agg(F.min("source_rank").alias("source_rank"))
     w = Window.partitionBy("query_id").orderBy(F.length("name"), "name")
-    return (
+    answers = (
         found.join(first, ["query_id", "source_rank"], "left_semi")
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= limit)
+        .select("query_id._set", "query_id._in", "source_rank", "place_id", "name", "rank")
     )
+    return asked_by.select("query_id", "_set", "_in").join(answers, ["_set", "_in"]).drop("_set", "_in")
 
 
 def fold_filters(df: DataFrame, filters: Mapping[str, object]) -> tuple[Column, list[str], list[str]]:

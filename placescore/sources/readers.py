@@ -28,15 +28,19 @@ def read_csv(
     sep: str = ",",
     encoding: str = "UTF-8",
     ignore_errors: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """All-text scan of a delimited file; typing happens later with try_cast, so no inference pass."""
+    """All-text scan of a delimited file; typing happens later with try_cast, so no inference pass.
+
+    ``multi_line`` is for quoted line breaks only: such a file cannot be split between tasks.
+    """
     names = header_of(spark, path, sep, encoding)
     reader = (
         spark.read.schema(text_schema(names))
         .option("encoding", encoding)
         .option("mode", "DROPMALFORMED" if ignore_errors else "PERMISSIVE")
     )
-    df = reader.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True)
+    df = reader.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line)
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
@@ -60,8 +64,9 @@ def count_strict(spark: SparkSession, path: str) -> int:
     """Rows of a file that must parse throughout."""
     names = header_of(spark, path)
     df = spark.read.schema(text_schema(names)).option("mode", "FAILFAST").option("enforceSchema", False).csv(path, header=True)
-    # a projection of every column keeps the parser from skipping unread fields
-    return df.select(F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h")).agg(F.count("h")).first()[0]
+    # the hash reads every column, so the parser cannot skip fields that a bare count would prune away
+    digest = F.max(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    return df.agg(F.count(F.lit(1)), digest).first()[0]
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
