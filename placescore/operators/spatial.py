@@ -312,7 +312,7 @@ def nearest_cell(targets: DataFrame, known: DataFrame, levels: Sequence[float] =
 # ---- k nearest neighbours ----------------------------------------------------------------------
 
 
-KNN_LEVELS = (300000.0, 37500.0, 4687.5, 585.9375, 73.2421875, 9.1552734375, 1.1444091796875, 0.1430511474609375)
+KNN_LEVELS = tuple(300000.0 / 4.0**i for i in range(11))
 
 
 def _neighbour_cells(ix: Column, iy: Column) -> Column:
@@ -324,13 +324,13 @@ def knn_mean(points: DataFrame, id_col: str, k: int = 3, levels: Sequence[float]
     """Mean metre distance to the k nearest other points (fewer when there are fewer), and 1/max(d, 1).
 
     Distinct coordinates are the unit and carry how many points share them, so copies never pair up.
-    Every level is a lattice eight times finer than the one before. A coordinate searches the 3x3 block
-    one level above the finest level whose own 3x3 block still holds k others: the k nearest lie within
-    2.83 fine sides, the coarser block reaches at least 8. Fewer than k others at a level also bounds
-    the number of coordinates asking per coarser cell (64 k), so the join stays linear in the data
-    however dense a spot is. Few coordinates ask on the coarse lattices, whose cells hold many points: the
-    skew is on one side of an inner join, where the adaptive skew join splits it. Neighbours are looked
-    for within one coarsest side (300 km).
+    Lattices four times finer each are counted in one pass. A coordinate first searches the 3x3 block of
+    the finest lattice that still holds k others there; when its k-th neighbour lies beyond the block's
+    guaranteed reach (one side) it searches once more one lattice up, which reaches four sides and is
+    exact, because the k found lie within 2.83. Fewer than k others on the next finer lattice bounds the
+    coordinates asking per cell (16 k), so the joins stay linear in the data however dense a spot is.
+    Few coordinates ask on the coarse lattices, whose cells hold many points: that skew is on one side of
+    an inner join, where the adaptive skew join splits it. Neighbours are looked for within 300 km.
     """
     x, y = cells.metres_x(F.col("lon")), cells.metres_y(F.col("lat"))
     at = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_x": x, "_y": y})
@@ -355,32 +355,41 @@ def knn_mean(points: DataFrame, id_col: str, k: int = 3, levels: Sequence[float]
     served = own.join(around.select("level", "_c"), ["level", "_c"]).groupBy("lat", "lon").agg(
         F.max("level").alias("_finest")
     )
-    asking = at.join(served, ["lat", "lon"], "left").withColumn(
-        "level", F.greatest(F.coalesce(F.col("_finest"), F.lit(0)) - 1, F.lit(0))
-    )
-    size = F.element_at(sizes, F.col("level") + 1)
-    block = asking.withColumn(
-        "_c", F.explode(_neighbour_cells(F.floor(F.col("_x") / size), F.floor(F.col("_y") / size)))
-    ).select("lat", "lon", "_x", "_y", "level", "_c")
     held = own.select(
         "level", "_c", F.col("_x").alias("_px"), F.col("_y").alias("_py"), F.col("_n").alias("_pn")
     )
-    d = F.hypot(F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py"))
-    pairs = block.join(held, ["level", "_c"]).select("lat", "lon", d.alias("_d"), "_pn")
-    # keep the k+1 closest coordinates per point; the window limit prunes before the shuffle
-    w = Window.partitionBy("lat", "lon").orderBy("_d")
-    top = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-    nearest = top.groupBy("lat", "lon").agg(
-        F.array_sort(F.collect_list(F.struct("_d", "_pn"))).alias("_near")
-    )
-    copies = F.flatten(
-        F.transform(
-            F.col("_near"), lambda s: F.array_repeat(s["_d"], F.least(s["_pn"], F.lit(k + 1)).cast("int"))
+
+    def nearest(asking: DataFrame) -> DataFrame:
+        """The k+1 closest coordinates (itself included) of each asking coordinate on its level."""
+        size = F.element_at(sizes, F.col("level") + 1)
+        block = asking.withColumn(
+            "_c", F.explode(_neighbour_cells(F.floor(F.col("_x") / size), F.floor(F.col("_y") / size)))
+        ).select("lat", "lon", "_x", "_y", "level", "_c")
+        d = F.hypot(F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py"))
+        pairs = block.join(held, ["level", "_c"]).select("lat", "lon", "level", d.alias("_d"), "_pn")
+        # the window limit prunes to k+1 rows per coordinate before the shuffle
+        w = Window.partitionBy("lat", "lon").orderBy("_d")
+        top = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
+        found = top.groupBy("lat", "lon", "level").agg(
+            F.array_sort(F.collect_list(F.struct("_d", "_pn"))).alias("_near")
         )
+        copies = F.flatten(
+            F.transform(
+                F.col("_near"), lambda s: F.array_repeat(s["_d"], F.least(s["_pn"], F.lit(k + 1)).cast("int"))
+            )
+        )
+        return found.select("lat", "lon", "level", F.slice(copies, 2, k).alias("_others"))
+
+    first = nearest(
+        at.join(served, ["lat", "lon"], "left").withColumn("level", F.coalesce(F.col("_finest"), F.lit(0)))
     )
-    others = F.slice(copies, 2, k)
-    mean = F.aggregate(others, F.lit(0.0), lambda a, v: a + v) / F.size(others)
-    means = nearest.select("lat", "lon", F.when(F.size(others) > 0, mean).alias("mean_m"))
+    reach = F.element_at(sizes, F.col("level") + 1)
+    settled = (F.col("level") == 0) | ((F.size("_others") == k) & (F.array_max("_others") <= reach))
+    open_ones = first.where(~settled).select("lat", "lon", (F.col("level") - 1).alias("level"))
+    second = nearest(open_ones.withColumns({"_x": x, "_y": y}))
+    done = first.where(settled).unionByName(second)
+    mean = F.aggregate("_others", F.lit(0.0), lambda a, v: a + v) / F.size("_others")
+    means = done.select("lat", "lon", F.when(F.size("_others") > 0, mean).alias("mean_m"))
     density = F.when(F.col("mean_m").isNull(), 0.0).otherwise(
         1.0 / F.greatest(F.col("mean_m"), F.lit(1.0))
     )

@@ -12,6 +12,11 @@ from placescore.operators import ordering
 from placescore.session import cut_lineage
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation, NULL when a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def mean_curve(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean y per distinct x."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -33,7 +38,8 @@ def running_max(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str
 def slope(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares slope, NULL when x is constant."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    fit = F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double"))
+    vx, vy = F.col(x).cast("double"), F.col(y).cast("double")
+    fit = F.try_divide(F.covar_pop(vy, vx), F.var_pop(vx))
     return known.groupBy(*by).agg(
         F.when(F.max(x) > F.min(x), F.round(fit, 6)).alias("slope"), F.count(F.lit(1)).alias("n")
     )
@@ -47,7 +53,7 @@ def _ranked_corr(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFr
     ra, rb = ordering.average_rank("_a_"), ordering.average_rank("_b_")
     varies = (F.max(ra) > F.min(ra)) & (F.max(rb) > F.min(rb)) & (F.count(F.lit(1)) >= 3)
     return ranked.groupBy(*keys).agg(
-        F.when(varies, F.corr(ra, rb)).alias("rho"), F.count(F.lit(1)).cast("bigint").alias("n")
+        F.when(varies, correlation(ra, rb)).alias("rho"), F.count(F.lit(1)).cast("bigint").alias("n")
     )
 
 
@@ -101,7 +107,7 @@ def spearman_series(rows: DataFrame, keys: Sequence[str], signal: str, period: s
     ranked = both.withColumns({"_ra": rank("_va"), "_rb": rank("_vb")})
     varies = (F.max("_ra") > F.min("_ra")) & (F.max("_rb") > F.min("_rb"))
     return ranked.groupBy(*group).agg(
-        F.when(varies, F.corr("_ra", "_rb")).alias("rho"), F.count(F.lit(1)).alias("n")
+        F.when(varies, correlation(F.col("_ra"), F.col("_rb"))).alias("rho"), F.count(F.lit(1)).alias("n")
     )
 
 
