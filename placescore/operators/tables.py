@@ -351,16 +351,22 @@ def weighted_present(long: DataFrame, key: Sequence[str], registry: DataFrame) -
 
 
 def percentile_score(
-    df: DataFrame, value: str, higher_is_better: bool = True, out: str = "score", by: Sequence[str] = ()
+    df: DataFrame, value: str, higher_is_better: bool | Column = True, out: str = "score", by: Sequence[str] = ()
 ) -> DataFrame:
-    """0..100 percentile score of a column; NULL counts as zero, ties share their average rank."""
+    """0..100 percentile score of a column; NULL counts as zero, ties share their average rank.
+
+    The direction may be a column, so metrics of both kinds are ranked in one job.
+    """
     from placescore.functions.score import percentile_from_positions
 
     rows = df.withColumn("_pv", F.coalesce(F.col(value).cast("double"), F.lit(0.0)))
     placed = ordering.with_positions(rows, "_pv", by, prefix="_p_")
-    return placed.withColumn(out, percentile_from_positions(higher_is_better, "_p_")).select(
-        *df.columns, out
-    )
+    if isinstance(higher_is_better, Column):
+        up, down = (percentile_from_positions(x, "_p_") for x in (True, False))
+        scored = F.when(higher_is_better, up).otherwise(down)
+    else:
+        scored = percentile_from_positions(higher_is_better, "_p_")
+    return placed.withColumn(out, scored).select(*df.columns, out)
 
 
 def blend(a: Column, b: Column) -> Column:

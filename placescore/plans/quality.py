@@ -175,12 +175,12 @@ def structural_issues(profile: DataFrame) -> DataFrame:
 def scan_quality(df: DataFrame, row_id: str | None = None, examples: int = 5) -> DataFrame:
     """Eleven value-level scanners as (type, column, n, severity, example_rows).
 
-    Row-level faults (whitespace, bad dates, negatives, ...) need one pass with a partial top-k of row
-    ids; value-level faults (casing, boolean tokens, duplicates) work on distinct values.
+    Everything that can be decided row by row (whitespace, date shapes, numeric text, negatives, bounds)
+    is counted in one pass over the table; casing, boolean tokens and duplicates work on distinct
+    values. Example rows come from a top-k per fault that is pruned before the shuffle.
     """
     names = [c for c in df.columns if c != row_id]
-    parts = [_row_faults(df, names, row_id, examples), _casing(df, names), _booleans(df, names), _duplicates(df, names)]
-    parts += [p for p in (_mixed_dates(df, names), _numeric_text(df, names)) if p is not None]
+    parts = [_counted_faults(df, names, row_id, examples), _casing(df, names), _booleans(df, names), _duplicates(df, names)]
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
@@ -195,8 +195,8 @@ def _issue(df: DataFrame, kind: str | Column, severity: str | Column, examples:
     )
 
 
-def _row_faults(df: DataFrame, names: Sequence[str], row_id: str | None, examples: int) -> DataFrame | None:
-    """Faults decided row by row: whitespace, unparseable dates, negatives, zeros, coordinates out of bounds."""
+def _row_tests(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, str, Column]]:
+    """(type, column, severity, row test) of the faults decided row by row."""
     faults: list[tuple[str, str, str, Column]] = []
     for c in names:
         col, lower = F.col(f"`{c}`"), c.lower()
@@ -213,44 +213,56 @@ def _row_faults(df: DataFrame, names: Sequence[str], row_id: str | None, example
                 faults.append(("geographic_out_of_bounds", c, "high", ~col.between(-90, 90)))
             elif "lon" in lower or "lng" in lower:
                 faults.append(("geographic_out_of_bounds", c, "high", ~col.between(-180, 180)))
+    return faults
+
+
+def _counted_faults(df: DataFrame, names: Sequence[str], row_id: str | None, examples: int) -> DataFrame | None:
+    faults = _row_tests(df, names)
+    text = [c for c in names if _is_text(df, c)]
     if not faults:
         return None
-    counts = df.agg(
-        *[F.count_if(F.coalesce(t, F.lit(False))).alias(f"n_{i}") for i, (_, _, _, t) in enumerate(faults)],
-        *[F.count(f"`{c}`").alias(f"k_{i}") for i, (_, c, _, _) in enumerate(faults)],
-        *[
-            (F.count_if(clean.any_date_shape(F.col(f"`{c}`"))) if kind == "invalid_dates" else F.lit(0)).alias(f"d_{i}")
-            for i, (kind, c, _, _) in enumerate(faults)
-        ],
-    )
+    at = {c: i for i, c in enumerate(names)}
+    aggs = [F.count(f"`{c}`").alias(f"k_{at[c]}") for c in names]
+    aggs += [F.count_if(F.coalesce(t, F.lit(False))).alias(f"f_{i}") for i, (_, _, _, t) in enumerate(faults)]
+    for c in text:
+        col = F.col(f"`{c}`")
+        aggs.append(F.count_if(clean.any_date_shape(col)).alias(f"d_{at[c]}"))
+        aggs.append(F.count(clean.numeric_text(col)).alias(f"m_{at[c]}"))
+        aggs += [F.count_if(clean.date_shape(col, s)).alias(f"s_{at[c]}_{s}") for s in clean.DATE_SHAPES]
+    counts = df.agg(*aggs)
+
+    def issue(test: Column, kind: str | Column, c: str, n: Column, severity: str | Column) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.when(
+            test,
+            F.struct(lit(kind).alias("type"), F.lit(c).alias("column"), n.cast("bigint").alias("n"), lit(severity).alias("severity")),
+        )
 
-    def kept(i: int, kind: str) -> Column:
-        n, k = F.col(f"n_{i}"), F.col(f"k_{i}")
+    found = []
+    for i, (kind, c, severity, _) in enumerate(faults):
+        n, k = F.col(f"f_{i}"), F.col(f"k_{at[c]}")
+        test = n > 0
         if kind == "invalid_dates":
-            return (n > 0) & (F.col(f"d_{i}") >= 0.5 * k)
-        if kind == "suspicious_zero":
-            return (n > 0) & (n / k < 0.5)
-        return n > 0
-
-    rows = counts.select(
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.when(
-                            kept(i, kind),
-                            F.struct(
-                                F.lit(kind).alias("type"), F.lit(c).alias("column"), F.col(f"n_{i}").alias("n"),
-                                F.lit(sev).alias("severity"),
-                            ),
-                        )
-                        for i, (kind, c, sev, _) in enumerate(faults)
-                    ]
-                ),
-                lambda x: x.isNotNull(),
+            test = test & (F.col(f"d_{at[c]}") >= 0.5 * k)
+        elif kind == "suspicious_zero":
+            test = test & (n < 0.5 * k)
+        found.append(issue(test, kind, c, n, severity))
+    for c in text:
+        k, numeric = F.col(f"k_{at[c]}"), F.col(f"m_{at[c]}")
+        seen = [F.col(f"s_{at[c]}_{s}") for s in clean.DATE_SHAPES]
+        kinds = sum((F.when(x > 0, 1).otherwise(0) for x in seen), F.lit(0))
+        found.append(issue((kinds >= 2) & (sum(seen, F.lit(0)) > 0.25 * k), "mixed_date_formats", c, kinds, "high"))
+        most = numeric >= 0.95 * k
+        found.append(
+            issue(
+                (k > 0) & (numeric >= 0.70 * k),
+                F.when(most, "numeric_stored_as_string").otherwise("mixed_numeric_string"),
+                c,
+                numeric,
+                F.when(most, "medium").otherwise("high"),
             )
-        ).alias("_f")
-    ).select("_f.*")
+        )
+    rows = counts.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("_f")).select("_f.*")
     if row_id is None:
         return _issue(rows, F.col("type"), F.col("severity"))
     hits = df.select(
@@ -275,7 +287,8 @@ def _row_faults(df: DataFrame, names: Sequence[str], row_id: str | None, example
         .agg(F.array_sort(F.collect_list("_row")).alias("_examples"))
     )
     joined = rows.join(shown, ["type", "column"], "left")
-    return _issue(joined, F.col("type"), F.col("severity"), F.col("_examples"))
+    none = F.array().cast("array<bigint>")
+    return _issue(joined, F.col("type"), F.col("severity"), F.coalesce(F.col("_examples"), none))
 
 
 def _lenient_date(text: Column) -> Column:
@@ -310,52 +323,6 @@ def _booleans(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
     return _issue(found, "mixed_boolean_encoding", "high")
 
 
-def _mixed_dates(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
-    text = [c for c in names if _is_text(df, c)]
-    if not text:
-        return None
-    counts = df.agg(
-        *[F.count_if(clean.date_shape(F.col(f"`{c}`"), s)).alias(f"{i}_{s}") for i, c in enumerate(text) for s in clean.DATE_SHAPES],
-        *[F.count(f"`{c}`").alias(f"{i}_k") for i, c in enumerate(text)],
-    )
-    rows = []
-    for i, c in enumerate(text):
-        seen = [F.col(f"{i}_{s}") for s in clean.DATE_SHAPES]
-        kinds = sum((F.when(x > 0, 1).otherwise(0) for x in seen), F.lit(0))
-        total = sum(seen, F.lit(0))
-        rows.append(
-            F.when(
-                (kinds >= 2) & (total > 0.25 * F.col(f"{i}_k")),
-                F.struct(F.lit(c).alias("column"), kinds.cast("bigint").alias("n")),
-            )
-        )
-    flat = counts.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("_i")).select("_i.*")
-    return _issue(flat, "mixed_date_formats", "high")
-
-
-def _numeric_text(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
-    text = [c for c in names if _is_text(df, c)]
-    if not text:
-        return None
-    counts = df.agg(
-        *[F.count(clean.numeric_text(F.col(f"`{c}`"))).alias(f"{i}_n") for i, c in enumerate(text)],
-        *[F.count(f"`{c}`").alias(f"{i}_k") for i, c in enumerate(text)],
-    )
-    rows = []
-    for i, c in enumerate(text):
-        n, k = F.col(f"{i}_n"), F.col(f"{i}_k")
-        share = n / F.greatest(k, F.lit(1))
-        kind = F.when(share >= 0.95, "numeric_stored_as_string").otherwise("mixed_numeric_string")
-        rows.append(
-            F.when(
-                (k > 0) & (share >= 0.70),
-                F.struct(F.lit(c).alias("column"), n.alias("n"), kind.alias("kind"), F.when(share >= 0.95, "medium").otherwise("high").alias("sev")),
-            )
-        )
-    flat = counts.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("_i")).select("_i.*")
-    return _issue(flat, F.col("kind"), F.col("sev"))
-
-
 def _duplicates(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows taking part in exact-duplicate groups; hot copies collapse map-side."""
     groups = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)

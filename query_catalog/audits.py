@@ -468,3 +468,55 @@ def s09(spark, sf):
     langs = table(spark, sf, "documents").select(F.col("lang").alias("dataset")).distinct()
     have = langs.where("dataset <> 'fr'")
     return langs.join(have.withColumn("available", F.lit(True)), "dataset", "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+@query(
+    "s05_delimited_estimates",
+    "SELECT CAST(36000 + c_custkey AS VARCHAR) AS fips, c_acctbal AS estimate, CAST(c_nationkey AS DOUBLE) AS moe FROM customer WHERE CAST(36000 + c_custkey AS VARCHAR) LIKE '361%' OR CAST(36000 + c_custkey AS VARCHAR) LIKE '3605%'",
+)
+def s05(spark, sf):
+    path = scratch_path(spark, "estimates")
+    c = table(spark, sf, "customer").select(
+        F.concat(F.lit("1400000US"), (36000 + F.col("c_custkey")).cast("string")).alias("GEO_ID"), F.col("c_acctbal").alias("E"), F.col("c_nationkey").alias("M")
+    )
+    c.write.option("header", True).option("sep", "|").csv(path)
+    return readers.read_acs(spark, path, ["361", "3605"], "E", "M")
+
+
+@query("s06_feature_collection", ctes(PLACES) + "SELECT zip AS zone_name, round(min(lon), 6) AS x0, round(max(lat), 6) AS y1, 5 AS vertices FROM places GROUP BY 1")
+def s06(spark, sf):
+    """Bounding boxes of the 25 postal codes as one feature collection, read back as shapes."""
+    path = scratch_path(spark, "features")
+    box = places(spark, sf).groupBy("zip").agg(F.min("lon").alias("a"), F.max("lon").alias("c"), F.min("lat").alias("b"), F.max("lat").alias("d"))
+    v = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(v("a", "b"), v("c", "b"), v("c", "d"), v("a", "d"), v("a", "b"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("zip").alias("ZIPCODE")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+    )
+    doc = box.agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value"))
+    doc.write.text(path)
+    f = readers.read_features(spark, path, {"zone_name": ["zip", "ZIPCODE"]})
+    outline = F.col("shape")[0][0]
+    return f.select(
+        "zone_name", F.round(F.array_min(F.transform(outline, lambda p: p["x"])), 6).alias("x0"), F.round(F.array_max(F.transform(outline, lambda p: p["y"])), 6).alias("y1"), F.size(outline).alias("vertices")
+    )
+
+
+@query("s07_json_lines_responses", "SELECT conv_id || '-' || turn AS case_id, role AS answer_role, length(text) AS n FROM conversations")
+def s07(spark, sf):
+    path = scratch_path(spark, "responses")
+    c = table(spark, sf, "conversations")
+    case = F.concat_ws("-", "conv_id", "turn").alias("case_id")
+    bare = F.to_json(F.struct(case, "role", "text"))
+    wrapped = F.to_json(F.struct(case, F.struct("role", "text").alias("response")))
+    c.select(F.when(F.col("turn") % 2 == 0, bare).otherwise(wrapped).alias("value")).write.text(path)
+    r = readers.read_responses(spark, path)
+    return r.select("case_id", F.get_json_object("response", "$.role").alias("answer_role"), F.length(F.get_json_object("response", "$.text")).alias("n"))
+
+
+@query("t09_cluster_layout", ctes(INCIDENTS) + "SELECT cell, min(event_ts) AS first_ts, count(*) AS n FROM incidents GROUP BY cell")
+def t09(spark, sf):
+    """Range-partitioned by cell and sorted by cell and time: the aggregate needs no further shuffle of rows."""
+    i = incidents(spark, sf).select("cell", "event_ts")
+    return publish.cluster_layout(i, ["cell", "event_ts"]).groupBy("cell").agg(F.min("event_ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))

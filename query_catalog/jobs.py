@@ -182,10 +182,8 @@ def metric_scores(spark, sf):
     """(cell, metric, raw_count, score) of the five metrics the event kinds stand for; one job for all."""
     metric = F.element_at(clean.literal_map(KIND_METRIC), F.col("kind"))
     counted = incidents(spark, sf).groupBy("cell", metric.alias("metric")).agg(F.count(F.lit(1)).alias("raw_count"))
-    up = tables.percentile_score(counted, "raw_count", True, "_up", by=["metric"])
-    both = tables.percentile_score(up, "raw_count", False, "_down", by=["metric"])
     better = F.element_at(clean.literal_map({m.id: m.higher_is_better for m in registry.METRICS}), F.col("metric"))
-    return both.select("cell", "metric", "raw_count", F.when(better, F.col("_up")).otherwise(F.col("_down")).alias("score"))
+    return tables.percentile_score(counted, "raw_count", better, by=["metric"])
 
 
 METRIC_SCORES = f"""mc AS (SELECT cell, CASE kind WHEN 'error' THEN 'collision' WHEN 'click' THEN '311_sanitation' WHEN 'view' THEN 'subway' WHEN 'purchase' THEN 'trees' ELSE 'linknyc' END AS metric, count(*) AS raw_count FROM incidents GROUP BY 1, 2),
@@ -546,3 +544,16 @@ def d15(spark, sf):
     scored = composite.score_places(p, metric_scores(spark, sf), 500.0, registry.METRICS, registry.CATEGORIES)
     inside = polygons.pip_join(p, zones(spark), "target_id").select("target_id")
     return scored.join(inside, "target_id", "left_semi").select("target_id", F.col("overall_score").alias("overall"))
+
+
+@query(
+    "d31_similar_places",
+    ctes(FACTS, "s AS (SELECT place AS target_id, count(*) FILTER (class = 'F') AS a, count(*) FILTER (class = 'O') AS b, count(*) FILTER (class = 'P') AS c FROM facts GROUP BY 1)")
+    + "SELECT y.target_id, round(sqrt((y.a - x.a) ** 2 + (y.b - x.b) ** 2 + (y.c - x.c) ** 2), 4) AS distance FROM s x, s y WHERE x.target_id = 0 AND y.target_id <> 0 ORDER BY distance, y.target_id LIMIT 5",
+)
+def d31s(spark, sf):
+    """The five places whose class counts lie closest to place 0."""
+    s = facts(spark, sf).groupBy(F.col("place").alias("target_id")).agg(
+        *[F.count_if(F.col("class") == k).alias(n) for k, n in (("F", "a"), ("O", "b"), ("P", "c"))]
+    )
+    return composite.similar(s, 0, ["a", "b", "c"], 5)

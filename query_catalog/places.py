@@ -336,7 +336,7 @@ def f08(spark, sf):
     "f09_circle_ring",
     ctes(TARGETS)[:-1] + """, v AS (SELECT target_id, radians(lat) AS la, radians(lon) AS lo, (i % 64) * (2 * pi() / 64) AS b, 500.0::DOUBLE / 6371000 AS a FROM targets, range(65) r(i)),
       w AS (SELECT target_id, la, lo, a, b, asin(sin(la) * cos(a) + cos(la) * sin(a) * cos(b)) AS olat FROM v)
-      SELECT target_id, count(*) AS n, round(max(degrees(olat)), 6) AS north, round(max(degrees(lo + atan2(sin(b) * sin(a) * cos(la), cos(a) - sin(la) * sin(olat)))), 6) AS east FROM w GROUP BY 1""",
+      SELECT target_id, count(*) AS n, round(round(max(degrees(olat)), 7), 6) AS north, round(round(max(degrees(lo + atan2(sin(b) * sin(a) * cos(la), cos(a) - sin(la) * sin(olat)))), 7), 6) AS east FROM w GROUP BY 1""",
 )
 def f09(spark, sf):
     r = targets(spark, sf).select("target_id", cells.circle_ring(F.col("lat"), F.col("lon"), 500.0).alias("ring"))
