@@ -118,7 +118,9 @@ def radius_measures(
     inside = F.col("far_m") <= radius_m - EDGE_M
     keep = [] if entity is None else [entity]
     points = rows.groupBy("cell", "lat", "lon", *keep).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    per_cell = points.groupBy("cell", *keep).agg(*[F.sum(n).alias(n) for n in sums])
+    # straight from the rows: the map side already folds a cell to one row per task, so this second scan
+    # of a few columns shuffles almost nothing, unlike a second pass over the coordinates
+    per_cell = rows.groupBy("cell", *keep).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
     whole = covered.where(inside).select("target_id", "cell").join(per_cell, "cell")
     edge = covered.where(~inside).select(

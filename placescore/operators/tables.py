@@ -256,11 +256,14 @@ def age_summary(df: DataFrame, key: str, date: str, as_of: Column) -> DataFrame:
 WINDOWS = {"last_30d": (0, 30), "prev_30d": (30, 60), "last_90d": (0, 90), "same_90d_last_year": (365, 455)}
 
 
-def window_counts(df: DataFrame, keys: Sequence[str], date: str, as_of: Column) -> DataFrame:
-    """Rows by age window (start, end] in days; age zero is in none."""
+def window_counts(
+    df: DataFrame, keys: Sequence[str], date: str, as_of: Column, total: str | None = None
+) -> DataFrame:
+    """Rows by age window (start, end] in days; age zero is in none. ``total`` adds the count of all rows."""
     age = F.datediff(as_of, F.col(date))
+    every = [F.count(F.lit(1)).alias(total)] if total else []
     return df.groupBy(*keys).agg(
-        *[F.count_if((age > lo) & (age <= hi)).alias(name) for name, (lo, hi) in WINDOWS.items()]
+        *every, *[F.count_if((age > lo) & (age <= hi)).alias(name) for name, (lo, hi) in WINDOWS.items()]
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placescore.functions import cells, clean, text
 from placescore.operators import spatial, tables
 from placescore.plans.registry import DatasetSpec
+from placescore.session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -36,7 +37,8 @@ def score_points(spec: DatasetSpec, indexed: DataFrame) -> DataFrame:
     critical = None
     if spec.critical:
         critical = F.upper(F.coalesce(F.col(f"`{spec.critical}`"), F.lit(""))) == "CRITICAL"
-    counted = tables.measures_by(indexed, "cell", spec.entity, critical)
+    # the ranks read the counts twice; written once, the raw rows are scanned once
+    counted = cut_lineage(tables.measures_by(indexed, "cell", spec.entity, critical))
     if not spec.critical:
         return tables.percentile_score(counted, "raw_count", spec.more_is_better)
     both = tables.percentile_score(counted, "raw_count", True, "_abundance")
@@ -58,8 +60,8 @@ def score_zip(spec: DatasetSpec, indexed: DataFrame) -> DataFrame:
     typed = indexed.withColumn(spec.value, clean.to_float(F.col(spec.value)))
     if spec.kind == "zip_response":
         mean = tables.mean_by(typed, "zip", spec.value).withColumnRenamed("avg_value", "avg_response_seconds")
-        return tables.percentile_score(mean, "avg_response_seconds", False)
-    return tables.percentile_score(tables.sum_by(typed, "zip", spec.value), "total_value", spec.more_is_better)
+        return tables.percentile_score(cut_lineage(mean), "avg_response_seconds", False)
+    return tables.percentile_score(cut_lineage(tables.sum_by(typed, "zip", spec.value)), "total_value", spec.more_is_better)
 
 
 def build_zip(spec: DatasetSpec, raw: DataFrame) -> Tables:
@@ -91,7 +93,7 @@ def build_lines(spec: DatasetSpec, raw: DataFrame, box: tuple[float, float, floa
         .where(cells.in_box(F.col("latitude"), F.col("longitude"), box))
     )
     indexed = spatial.with_cell(vertices, "latitude", "longitude")
-    counted = indexed.groupBy("cell").agg(F.count_distinct("record_index").alias("raw_count"))
+    counted = cut_lineage(indexed.groupBy("cell").agg(F.count_distinct("record_index").alias("raw_count")))
     return {"indexed": indexed, "scores": tables.percentile_score(counted, "raw_count", True)}
 
 
@@ -119,8 +121,10 @@ def rescore(spec: DatasetSpec, indexed: DataFrame) -> DataFrame:
 
 def build_rate_score(events: DataFrame, positive: Column) -> DataFrame:
     """Shrunk positive rate per cell, its percentile score (lower is better) and the raw parts."""
-    c = events.where(F.col("cell").isNotNull()).groupBy("cell").agg(
-        F.count(F.lit(1)).alias("inspections"), F.count_if(F.coalesce(positive, F.lit(False))).alias("positives")
+    c = cut_lineage(
+        events.where(F.col("cell").isNotNull())
+        .groupBy("cell")
+        .agg(F.count(F.lit(1)).alias("inspections"), F.count_if(F.coalesce(positive, F.lit(False))).alias("positives"))
     )
     s = tables.shrink(c, "positives", "inspections", "raw_count").withColumn(
         "raw_rate", F.bround(F.col("positives") / F.col("inspections"), 4)
@@ -132,7 +136,7 @@ def build_exposure_score(
     events: DataFrame, exposure: DataFrame, killed: Column, injured: Column
 ) -> tuple[DataFrame, DataFrame]:
     rated, lost = tables.exposure_rate(events, exposure, "cell", killed, injured)
-    return tables.percentile_score(rated, "rate", False), lost
+    return tables.percentile_score(cut_lineage(rated), "rate", False), lost
 
 
 def build_ordinal(rows: DataFrame, key: str, ordinal: str, top: int = 5) -> DataFrame:
@@ -156,4 +160,4 @@ def build_raster_score(polys: DataFrame, raster: DataFrame, georef: dict[str, fl
         {"lat": cells.centre_lat(F.col("cell")), "lon": cells.centre_lon(F.col("cell"))}
     )
     sampled = spatial.sample_raster(centres, raster, **georef).select("cell", F.col("value").alias("raw_count"))
-    return tables.percentile_score(sampled, "raw_count", False)
+    return tables.percentile_score(cut_lineage(sampled), "raw_count", False)

@@ -12,6 +12,7 @@ from placescore.functions import score as S
 from placescore.functions.clean import literal_map
 from placescore.operators import ordering, polygons
 from placescore.plans.registry import Metric
+from placescore.session import cut_lineage
 
 
 def assert_conserved(allocated: DataFrame, parents: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -139,6 +140,7 @@ def timeline(quarterly: DataFrame, n: int, classes: int = 4) -> DataFrame:
         "parent", F.explode(F.transform("_kept", lambda k: k["quarter"])).alias("quarter")
     )
     full = frame.join(sums, ["parent", "quarter"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    full = cut_lineage(full)
     breaks = class_breaks(full, "count", classes, by=["quarter"])
     return full.join(F.broadcast(breaks), "quarter").select(
         "parent", "quarter", "count", class_index(F.col("count"), F.col("breaks")).alias("class")
@@ -171,6 +173,7 @@ def class_index(value, breaks):
 
 def bivariate(df: DataFrame, a: str, b: str, classes: int = 3) -> DataFrame:
     """Class of two columns at once, each by its own quantile breaks; the pair is the map legend's cell."""
+    df = cut_lineage(df)
     ba = class_breaks(df, a, classes).withColumnRenamed("breaks", "_ba")
     bb = class_breaks(df, b, classes).withColumnRenamed("breaks", "_bb")
     joined = df.join(F.broadcast(ba), F.lit(True)).join(F.broadcast(bb), F.lit(True))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.functions import clean, text
+from placescore.session import cut_lineage
 
 
 def search(queries: DataFrame, sources: Sequence[DataFrame], limit: int = 5) -> DataFrame:
@@ -35,6 +36,7 @@ def search(queries: DataFrame, sources: Sequence[DataFrame], limit: int = 5) ->
             .agg(F.min("place_id").alias("place_id"))
             .withColumn("_words", clean.words_of(F.col("name")))
         )
+        names = cut_lineage(names)
         postings = names.withColumn("_w", F.explode("_words"))
         frequency = postings.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
         probe = (

@@ -47,8 +47,9 @@ def slope(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 def _ranked_corr(rows: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Pearson correlation of tie-averaged ranks per group; NULL below three rows or when a side is constant."""
-    ranked = ordering.with_positions(
-        ordering.with_positions(rows, a, keys, prefix="_a_"), b, keys, prefix="_b_"
+    rows = cut_lineage(rows.select(*keys, a, b))
+    ranked = rows.join(ordering.value_positions(rows, a, keys, "_a_"), [*keys, a]).join(
+        ordering.value_positions(rows, b, keys, "_b_"), [*keys, b]
     )
     ra, rb = ordering.average_rank("_a_"), ordering.average_rank("_b_")
     varies = (F.max(ra) > F.min(ra)) & (F.max(rb) > F.min(rb)) & (F.count(F.lit(1)) >= 3)
@@ -177,8 +178,9 @@ def fit_curves(rows: DataFrame, minimum: int = 10) -> DataFrame:
     known = rows.where(F.col("count").isNotNull() & F.col("score").isNotNull()).withColumns(
         {"count": F.col("count").cast("double"), "score": F.col("score").cast("double")}
     )
+    known = cut_lineage(known.select("asset", "count", "score"))
     curve = running_max(mean_curve(known, "count", "score", ["asset"]), "count", "score", ["asset"])
-    kept = thin(curve, "count", ["asset"]).select(
+    kept = thin(cut_lineage(curve), "count", ["asset"]).select(
         "asset", F.struct(F.col("count").alias("x"), F.round("running", 3).alias("y")).alias("_p")
     )
     curves = kept.groupBy("asset").agg(F.array_sort(F.collect_list("_p")).alias("curve"))
@@ -327,7 +329,7 @@ def normalised_frame(long: DataFrame, metrics: Mapping[str, bool]) -> DataFrame:
     """
     from placescore.functions.clean import literal_map
 
-    known = long.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+    known = cut_lineage(long.where(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double")))
     better = F.element_at(literal_map(dict(metrics)), F.col("metric"))
     placed = ordering.with_positions(known, "value", ["metric"], prefix="_p_")
     share = (F.col("_p_below") + (F.col("_p_n") + 1) / 2.0) / F.col("_p_total") * 100
@@ -390,6 +392,7 @@ def branch_effects(draws: DataFrame, branches: Mapping[str, Column]) -> DataFram
     long = per_cell.select(
         F.explode(F.array(*[F.struct(F.lit(n).alias("branch"), F.col(n).alias("delta")) for n in branches])).alias("_s")
     ).select("_s.*").where(F.col("delta").isNotNull())
+    long = cut_lineage(long)
     p95 = ordering.exact_quantiles(long, "delta", [0.95], by=["branch"])
     mean = long.groupBy("branch").agg(F.round(F.avg("delta"), 2).alias("mean_abs_delta"))
     return mean.join(p95, "branch").select("branch", "mean_abs_delta", F.round(F.col("quantiles")[0], 2).alias("p95_abs_delta"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from placescore.functions import cells, clean
 from placescore.operators import cluster, graph, spatial, tables
 from placescore.plans import composite, evals, quality, search
-from placescore.session import scratch_path
+from placescore.session import cut_lineage, scratch_path
 from placescore.sources import publish, readers
 from query_catalog.fixtures import (
-    FACTS, INCIDENTS, PLACES, TARGETS, ctes, facts, incidents, places, query, sql_cell, sql_ix, sql_iy, sql_pct, sql_x, sql_y,
+    FACTS, INCIDENTS, PLACES, TARGETS, cell_counts, ctes, facts, incidents, places, query, sql_cell, sql_ix, sql_iy, sql_pct, sql_x, sql_y,
     table, targets, with_as_of,
 )
 from query_catalog.shaping import DIRTY, dirty
@@ -324,8 +324,8 @@ _CX, _CY = f"(({sql_ix('f.cell')} + 0.5::DOUBLE) * 300::DOUBLE)", f"(({sql_iy('f
       SELECT target_id, f.cell, score, percentile, row_number() OVER (PARTITION BY target_id ORDER BY sqrt(({sql_x('t.lon')} - {_CX}) ** 2 + ({sql_y('t.lat')} - {_CY}) ** 2), f.cell) AS rn FROM targets t, r f) WHERE rn = 1""",
 )
 def d33(spark, sf):
-    c = tables.count_by(incidents(spark, sf).where("kind = 'view'"), "cell", "n")
-    return composite.overview_context(targets(spark, sf), tables.percentile_score(c, "n"))
+    c = cell_counts(spark, sf, "n", "kind = 'view'")
+    return composite.overview_context(targets(spark, sf), cut_lineage(tables.percentile_score(c, "n")))
 
 
 @query("d22_hotspots")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from placescore.functions import cells, clean, score
 from placescore.operators import ordering, tables
+from placescore.session import cut_lineage
 from query_catalog.fixtures import (
-    FACTS, INCIDENTS, PLACES, ctes, facts, incidents, places, query, sql_cell, sql_clamp, sql_parent,
+    FACTS, INCIDENTS, PLACES, cell_counts, ctes, facts, incidents, places, query, sql_cell, sql_clamp, sql_parent,
     sql_pct, table, with_as_of,
 )
 
@@ -22,7 +23,7 @@ COUNTS = "counts AS (SELECT cell, count(*) AS raw_count FROM incidents GROUP BY
 )
 def flagship(spark, sf):
     """Which cells fare worst: index, count, percentile score, rank."""
-    counted = tables.measures_by(incidents(spark, sf), "cell", entity="entity_id")
+    counted = cut_lineage(tables.measures_by(incidents(spark, sf), "cell", entity="entity_id"))
     scored = tables.percentile_score(counted, "raw_count", higher_is_better=False)
     return ordering.global_row_number(scored, "score", "cell")
 
@@ -108,7 +109,7 @@ SCORED = f"scored AS (SELECT cell, raw_count, {sql_pct('raw_count', False)} AS s
 
 
 def scored_cells(spark, sf):
-    return tables.percentile_score(tables.count_by(incidents(spark, sf), "cell"), "raw_count", False)
+    return tables.percentile_score(cell_counts(spark, sf), "raw_count", False)
 
 
 @query(
@@ -132,7 +133,7 @@ def a11(spark, sf):
 )
 def a14(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_totalprice").alias("total_value"))
-    return tables.baselines({"incidents": tables.count_by(incidents(spark, sf), "cell"), "orders": o})
+    return tables.baselines({"incidents": cell_counts(spark, sf), "orders": o})
 
 
 @query(
@@ -205,7 +206,7 @@ def a18(spark, sf):
     rated, lost = tables.exposure_rate(
         incidents(spark, sf), exposure, "cell", (F.col("kind") == "error").cast("int"), (F.col("kind") == "view").cast("int")
     )
-    scored = tables.percentile_score(rated, "rate", False)
+    scored = tables.percentile_score(cut_lineage(rated), "rate", False)
     return scored.join(F.broadcast(lost), F.lit(True)).select(
         "cell", "severity", "raw_count", F.round("rate", 6).alias("rate"), "score", "dropped_cells"
     )
@@ -274,7 +275,7 @@ def a30(spark, sf):
     from placescore.plans import stats
 
     c = incidents(spark, sf).groupBy("cell").agg(F.count(F.lit(1)).alias("x"), F.avg("value").alias("y"))
-    return stats.running_max(stats.mean_curve(c, "x", "y"), "x", "y").select("x", F.round("y", 6).alias("y"), F.round("running", 3).alias("running"))
+    return stats.running_max(cut_lineage(stats.mean_curve(c, "x", "y")), "x", "y").select("x", F.round("y", 6).alias("y"), F.round("running", 3).alias("running"))
 
 
 @query(
@@ -293,7 +294,7 @@ def a31(spark, sf):
 
 @query("w01_percentile_score", ctes(INCIDENTS, COUNTS) + f"SELECT cell, raw_count, {sql_pct('raw_count')} AS score FROM counts")
 def w01(spark, sf):
-    return tables.percentile_score(tables.count_by(incidents(spark, sf), "cell"), "raw_count")
+    return tables.percentile_score(cell_counts(spark, sf), "raw_count")
 
 
 @query("w01_percentile_score_rows", f"SELECT o_orderkey, {sql_pct('o_totalprice')} AS score FROM orders")
@@ -311,7 +312,7 @@ def w01_rows(spark, sf):
     + f"SELECT cell, abundance, quality, {sql_clamp('(abundance + quality) / 2.0::DOUBLE')} AS score FROM b",
 )
 def w02(spark, sf):
-    c = tables.measures_by(incidents(spark, sf), "cell", "entity_id", F.col("kind") == "error")
+    c = cut_lineage(tables.measures_by(incidents(spark, sf), "cell", "entity_id", F.col("kind") == "error"))
     a = tables.percentile_score(c, "raw_count", True, "abundance")
     b = tables.percentile_score(a, "critical_rate", False, "quality")
     return b.select("cell", "abundance", "quality", tables.blend(F.col("abundance"), F.col("quality")).alias("score"))
@@ -319,7 +320,7 @@ def w02(spark, sf):
 
 @query("w03_rank_descending", ctes(INCIDENTS, COUNTS) + "SELECT cell, row_number() OVER (ORDER BY raw_count DESC, cell) AS rank FROM counts")
 def w03(spark, sf):
-    c = tables.count_by(incidents(spark, sf), "cell")
+    c = cell_counts(spark, sf)
     return ordering.global_row_number(c, "raw_count", "cell").select("cell", "rank")
 
 
@@ -329,7 +330,7 @@ def w03(spark, sf):
       / count(*) OVER (), 4) AS midrank FROM counts""",
 )
 def w04(spark, sf):
-    c = ordering.with_positions(tables.count_by(incidents(spark, sf), "cell"), "raw_count")
+    c = ordering.with_positions(cell_counts(spark, sf), "raw_count")
     return c.select("cell", score.midrank_from_positions().alias("midrank"))
 
 
@@ -416,7 +417,7 @@ def t06(spark, sf):
 )
 def t08(spark, sf):
     """A deterministic sample of about fifty cells: every n-th in key order."""
-    c = tables.count_by(incidents(spark, sf), "cell").withColumn("key", F.col("cell").cast("double"))
+    c = cell_counts(spark, sf).withColumn("key", F.col("cell").cast("double"))
     placed = ordering.with_positions(c, "key")
     step = F.greatest(F.lit(1), F.floor(F.col("total") / 50))
     return placed.where(F.col("below") % step == 0).select("cell")

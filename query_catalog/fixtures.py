@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placescore.functions import cells
+from placescore.operators.tables import count_by
+from placescore.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,6 +143,11 @@ INCIDENTS = f"""incidents AS (
     FROM events))"""
 
 
+def cell_counts(spark: SparkSession, sf: str, out: str = "raw_count", where: str = "true") -> DataFrame:
+    """Incidents per cell, written once: rank operators read their input twice, the events only once."""
+    return cut_lineage(count_by(incidents(spark, sf).where(where), "cell", out))
+
+
 def targets(spark: SparkSession, sf: str) -> DataFrame:
     """Every supplier is a target location."""
     s = table(spark, sf, "supplier")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from placescore.functions import cells, clean, score
 from placescore.operators import spatial, tables
 from placescore.plans import composite, datasets, registry, rollup, series
+from placescore.session import cut_lineage
 from query_catalog.fixtures import (
-    FACTS, INCIDENTS, KIND_METRIC, PLACES, TARGETS, ZONES, as_of, ctes, facts, incidents, places, query, sql_cell,
+    FACTS, INCIDENTS, KIND_METRIC, PLACES, TARGETS, ZONES, as_of, cell_counts, ctes, facts, incidents, places, query, sql_cell,
     sql_clamp, sql_in_zone, sql_ix, sql_iy, sql_parent, sql_pct, table, targets, with_as_of, zones,
 )
 
@@ -183,7 +184,7 @@ def metric_scores(spark, sf):
     metric = F.element_at(clean.literal_map(KIND_METRIC), F.col("kind"))
     counted = incidents(spark, sf).groupBy("cell", metric.alias("metric")).agg(F.count(F.lit(1)).alias("raw_count"))
     better = F.element_at(clean.literal_map({m.id: m.higher_is_better for m in registry.METRICS}), F.col("metric"))
-    return tables.percentile_score(counted, "raw_count", better, by=["metric"])
+    return tables.percentile_score(cut_lineage(counted), "raw_count", better, by=["metric"])
 
 
 METRIC_SCORES = f"""mc AS (SELECT cell, CASE kind WHEN 'error' THEN 'collision' WHEN 'click' THEN '311_sanitation' WHEN 'view' THEN 'subway' WHEN 'purchase' THEN 'trees' ELSE 'linknyc' END AS metric, count(*) AS raw_count FROM incidents GROUP BY 1, 2),
@@ -291,7 +292,7 @@ def d30(spark, sf):
     + "SELECT cell, n, (a > lo AND n >= round(a, 2))::INT + (b > lo AND b > a AND n >= round(b, 2))::INT + (c > lo AND c > b AND n >= round(c, 2))::INT + (d > lo AND d > c AND n >= round(d, 2))::INT AS class FROM counts, b",
 )
 def w14(spark, sf):
-    c = tables.count_by(incidents(spark, sf), "cell", "n")
+    c = cell_counts(spark, sf, "n")
     b = rollup.class_breaks(c, "n", 5)
     return c.join(F.broadcast(b), F.lit(True)).select("cell", "n", rollup.class_index(F.col("n"), F.col("breaks")).alias("class"))
 
@@ -342,14 +343,15 @@ def w12(spark, sf):
 
 def place_trends(spark, sf):
     f = with_as_of(facts(spark, sf).withColumnRenamed("place", "target_id"), "day")
-    w = tables.window_counts(f, ["target_id", "signal"], "day", F.col("as_of"))
-    now = f.groupBy("target_id", "signal").agg(F.count(F.lit(1)).alias("value"))
+    w = cut_lineage(tables.window_counts(f, ["target_id", "signal"], "day", F.col("as_of"), total="value"))
+    now = w.select("target_id", "signal", "value")
+    w = w.drop("value")
     from placescore.operators import ordering
 
     q = ordering.exact_quantiles(now, "value", [0.25, 0.5, 0.75], by=["signal"])
     base = q.select("signal", *[F.col("quantiles")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
     runs = series.persistence(place_series(spark, sf), ["target_id", "signal"], F.lit(2))
-    return series.trends(w, runs, now, base, ["target_id", "signal"])
+    return cut_lineage(series.trends(w, runs, now, base, ["target_id", "signal"]))
 
 
 TRENDS = """ag AS (SELECT place AS target_id, signal, date_diff('day', day, (SELECT max(day) FROM facts)) AS age FROM facts),

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from placescore.functions import cells
 from placescore.operators import polygons, spatial, tables
+from placescore.session import cut_lineage
 from query_catalog.fixtures import (
-    INCIDENTS, PLACES, TARGETS, ZONES, ctes, incidents, places, query, sql_cell, sql_d2, sql_hav, sql_in_zone,
+    INCIDENTS, PLACES, TARGETS, ZONES, cell_counts, ctes, incidents, places, query, sql_cell, sql_d2, sql_hav, sql_in_zone,
     sql_ix, sql_iy, sql_pack, sql_pct, sql_x, sql_y, table, targets, zones,
 )
 
@@ -79,7 +80,7 @@ def a10(spark, sf):
     """Mean of the cell scores within 500 m, half-even to an integer, NULL when nothing is there."""
     from placescore.plans import composite
 
-    scored = tables.percentile_score(tables.count_by(incidents(spark, sf), "cell"), "raw_count", False)
+    scored = tables.percentile_score(cell_counts(spark, sf), "raw_count", False)
     return composite.prepared_scores(targets(spark, sf), scored, 500.0)
 
 
@@ -272,7 +273,7 @@ def _anchored(v: str, anchor: str, invert: bool) -> str:
 def w05(spark, sf):
     from placescore.plans import composite
 
-    c = tables.count_by(incidents(spark, sf), "cell", "n")
+    c = cell_counts(spark, sf, "n")
     return composite.anchored_rank(c, "n", 60, invert=True).select("cell", "score")
 
 
@@ -288,7 +289,7 @@ def d34(spark, sf):
 
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("place_id"), F.col("c_acctbal").alias("base"))
     k = spatial.knn_mean(places(spark, sf), "place_id", 3).withColumn("density", F.round("density", 6))
-    return composite.render_points(k.join(c, "place_id"), "place_id", 55, invert_density=True)
+    return composite.render_points(cut_lineage(k.join(c, "place_id")), "place_id", 55, invert_density=True)
 
 
 @query(
