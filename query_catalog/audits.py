@@ -218,7 +218,7 @@ def d32(spark, sf):
 
 
 _CASES = """cases AS (SELECT conv_id AS case_id, CASE conv_id % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'compare' ELSE 'refuse' END AS intent, conv_id % 3 AS k FROM conversations GROUP BY 1),
-  rs AS (SELECT conv_id AS case_id, list(role ORDER BY turn) AS tools, count(*) AS evidence, max(CASE WHEN role = 'assistant' THEN text END) AS answer, sum(length(text))::DOUBLE AS latency FROM conversations WHERE conv_id % 10 <> 9 GROUP BY 1)"""
+  rs AS (SELECT conv_id AS case_id, list(role ORDER BY turn) AS tools, count(*) AS evidence, max(CASE WHEN role = 'assistant' THEN text END) AS answer, sum(length(text))::DOUBLE AS latency FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'assistant') > 0)"""
 
 
 def graded(spark, sf):
@@ -236,14 +236,14 @@ def graded(spark, sf):
         F.when(k == 1, arr("the", "DE ")).otherwise(none).alias("answer_terms_any"),
     )
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    # a response is lost for every tenth conversation, as in a broken run
-    responses = c.where(F.col("conv_id") % 10 != 9).groupBy(F.col("conv_id").alias("case_id")).agg(
+    # a conversation without an assistant turn has no response
+    responses = c.groupBy(F.col("conv_id").alias("case_id")).agg(
         F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("answer"),
         F.transform(turns, lambda t: t["role"]).alias("tools_called"),
         F.count(F.lit(1)).cast("int").alias("evidence"),
         F.sum(F.length("text")).cast("double").alias("latency_ms"),
     )
-    return evals.grade(cases, responses)
+    return evals.grade(cases, responses.where(F.col("answer").isNotNull()))
 
 
 _GRADE = ctes(_CASES, """g AS (SELECT case_id, intent, latency, trim(coalesce(answer, '')) <> '' AND CASE k WHEN 0 THEN coalesce(list_has_all(tools, ['user', 'assistant']), false) AND coalesce(evidence, 0) > 0
@@ -266,7 +266,7 @@ def a38(spark, sf):
 
 @query(
     "f34_number_grounding",
-    r"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\d+\.\d+|\d{2,}')) AS c FROM documents), s AS (SELECT source, list_distinct(flatten(list(c))) AS pool FROM n JOIN documents USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY 1),
+    r"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\d+\.\d+|\d{2,}')) AS c FROM documents), s AS (SELECT source, list_distinct(flatten(list(c))) AS pool FROM n JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY 1),
       j AS (SELECT doc_id, c, coalesce(pool, []) AS pool, list_slice(list_sort(list_distinct(list_transform(coalesce(pool, []), lambda t: t::DOUBLE))), 1, 120) AS p FROM n JOIN documents USING (doc_id) LEFT JOIN s USING (source)),
       u AS (SELECT doc_id, unnest(c) AS token, pool, p FROM j), v AS (SELECT *, token::DOUBLE AS v FROM u)
     SELECT doc_id, token, CASE WHEN list_contains(pool, token) THEN 'literal' WHEN len(list_filter(p, lambda x: abs(v - x) <= 0.5)) > 0 THEN 'rounded'
@@ -274,12 +274,12 @@ def a38(spark, sf):
         OR abs(v - (a + b)) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(a + b))) OR (b <> 0 AND abs(v - a / b * 100) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(a / b * 100)))) OR (a <> 0 AND abs(v - b / a * 100) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(b / a * 100))))))) > 0)) > 0 THEN 'derived' ELSE 'unsupported' END AS label FROM v""",
 )
 def f34(spark, sf):
-    """Numbers of every document against the numbers of the even documents of its source."""
+    """Numbers of every document against the numbers of the English documents of its source."""
     from placescore.functions import text
 
-    n = table(spark, sf, "documents").select("doc_id", "source", text.numbers(F.col("text")).alias("claimed"))
+    n = table(spark, sf, "documents").select("doc_id", "source", "lang", text.numbers(F.col("text")).alias("claimed"))
     # distinct (source, number) first: copies of a text add nothing, whatever their share of the rows
-    pool = n.where("doc_id % 2 = 0").select("source", F.explode("claimed").alias("t")).distinct().groupBy("source").agg(F.collect_list("t").alias("supported"))
+    pool = n.where("lang = 'en'").select("source", F.explode("claimed").alias("t")).distinct().groupBy("source").agg(F.collect_list("t").alias("supported"))
     rows = n.join(pool, "source", "left").withColumn("supported", F.coalesce("supported", F.array().cast("array<string>")))
     return evals.classify_numbers(rows, "doc_id", "claimed", "supported")
 
