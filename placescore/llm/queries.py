@@ -1,4 +1,4 @@
 """Collects the registered queries of this folder."""
 
-from placescore.llm import exact_dedup, url_filters  # noqa: F401
+from placescore.llm import bpe, exact_dedup, packing, url_filters  # noqa: F401
 from placescore.llm.common import ORACLES, QUERIES  # noqa: F401
