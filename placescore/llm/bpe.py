@@ -103,10 +103,27 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(eighth >= floor) if floor is not None else counts.limit(0)
 
 
+def dictionary_of(folded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes ascending, ids per word, all ids) of the folded words: three arrays whose size the dictionary's limit bounds."""
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(words.hashes(b.column(0).to_pylist()).view(np.int64)), b.column(1)], names=["h", "ids"])
+
+    found = folded.select("word", F.col("ids").cast("array<int>")).mapInArrow(key, "h bigint, ids array<int>").toArrow().combine_chunks()
+    keys = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    ids = found.column("ids").take(pa.array(order)).combine_chunks()
+    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
+    if not len(order):
+        return keys, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    return keys[order], np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten(), np.uint32)
+
+
 class TextEncoder:
     """Encodes whole texts by a dictionary of folded words; other words are merged here."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: list[tuple[str, list[int]]]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: tuple[np.ndarray, np.ndarray, np.ndarray]):
         import tiktoken
 
         merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -119,12 +136,12 @@ class TextEncoder:
             self.bytes += [b"".join([self.piece[i] for i in x]) for x in ids]
             return ids
 
-        self.dictionary = words.Dictionary(lambda batch: note([merge._encode_single_piece(w) for w in batch]), limit=1_500_000)
-        if known:
-            h = words.hashes([w for w, _ in known])
-            order = np.argsort(h)
-            ids = note([known[i][1] for i in order.tolist()])
-            self.dictionary.add(h[order], np.zeros(len(order), np.int64), ids)
+        self.dictionary = words.Dictionary(lambda batch: note([merge._encode_single_piece(w) for w in batch]), limit=600_000)
+        keys, count, flat = known
+        ends = np.cumsum(count).tolist()
+        ids = flat.tolist()
+        self.dictionary.add(keys, np.zeros(len(keys), np.int64), note([ids[e - n : e] for e, n in zip(ends, count.tolist(), strict=True)]))
+        self.dictionary.keep()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, ids in decimal, decoded bytes) of each text."""
@@ -132,8 +149,9 @@ class TextEncoder:
             joined, starts, ends, h, bounds = words.split(part)
             before = len(self.dictionary.count)
             slots = self.dictionary.slots(joined, starts, ends, h)
-            if len(self.dictionary.count) < before:  # it forgot all and began anew
-                self.shown, self.bytes = self.shown[before:], self.bytes[before:]
+            if len(self.dictionary.count) < before:  # it forgot and began anew
+                kept = len(self.dictionary.kept[2])
+                self.shown, self.bytes = self.shown[:kept] + self.shown[before:], self.bytes[:kept] + self.bytes[before:]
             lengths = np.concatenate([[0], np.cumsum(self.dictionary.count[slots])])[bounds]
             slots = slots.tolist()
             for i in range(len(part)):
@@ -141,7 +159,7 @@ class TextEncoder:
                 yield int(lengths[i + 1] - lengths[i]), b" ".join([self.shown[s] for s in own]), b"".join([self.bytes[s] for s in own])
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_words: int = 400_000) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", dictionary_words: int = 200_000) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null text is empty; an empty text has no ids. Null ids and repeated rows are encoded like any other row; very long texts
@@ -153,9 +171,8 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     short = counts.where(F.octet_length("word") <= FOLD_BYTES)
     chosen = frequent(short, dictionary_words).repartition(spark.sparkContext.defaultParallelism * 4)
     folded = written(chosen.select("word", fold_merges(F.col("word"), rank_map(ranks)).alias("ids")), "bpe-dictionary")
-    arrow = folded.toArrow()  # dictionary_words rows at most
     key = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((ranks, pattern, list(zip(arrow.column("word").to_pylist(), arrow.column("ids").to_pylist(), strict=True))))
+    sent = spark.sparkContext.broadcast((ranks, pattern, dictionary_of(folded)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _encoders:

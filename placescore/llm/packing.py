@@ -22,7 +22,7 @@ from placescore.llm import words
 from placescore.llm.common import query, table, written
 
 #: Pieces numbered in one window.
-ROWS_PER_WINDOW = 50_000
+ROWS_PER_WINDOW = 5_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _encoders: dict = {}
 

@@ -12,7 +12,7 @@ import numpy as np
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Code points worked on at once; one longer document is taken whole.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 1_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _state: dict = {}
 
@@ -111,21 +111,23 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 class Dictionary:
-    """Words seen and their ids; forgets all when it holds more than ``limit`` words, so memory is bounded.
+    """Words seen and their ids; forgets all but the kept ones when it holds more than ``limit``, so memory is bounded.
 
     Words are told apart by a 64-bit hash: at ``limit`` entries a lookup is wrong with a chance below 1e-12.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
-        self.clear()
+        none = np.zeros(0, np.int64)
+        self.keys, self.slot, self.count, self.first, self.flat = none.astype(np.uint64), none, none, none, none.astype(np.uint32)
+        self.keep()
+
+    def keep(self) -> None:
+        """What is held now is never forgotten."""
+        self.kept = self.keys, self.slot, self.count, self.first, self.flat
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.keys, self.slot, self.count, self.first, self.flat = self.kept
 
     def add(self, keys: np.ndarray, at: np.ndarray, ids: list) -> None:
         """``keys`` ascending and new; ``at`` where they belong."""
