@@ -1,4 +1,4 @@
 """Collects the registered queries of this folder."""
 
-from placescore.llm import bpe, exact_dedup, language, packing, pii, topk, url_filters, warc  # noqa: F401
+from placescore.llm import bpe, exact_dedup, jaccard, language, packing, pii, topk, url_filters, warc  # noqa: F401
 from placescore.llm.common import ORACLES, QUERIES  # noqa: F401
