@@ -39,14 +39,16 @@ def _columns(sets: shingles.Sets):
 
 
 def set_keys(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp1, fp2, n) per row of ``docs`` (doc_id, text)."""
+    """(doc_id, text_key, fp1, fp2, n) per row of ``docs`` (doc_id, text)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, last, sets in shingles.in_chunks(b.column(1).to_pylist(), k):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), *_columns(sets)], names=["doc_id", *KEY])
+            for first, last, sets in shingles.in_chunks(b.column(2).to_pylist(), k):
+                own = [c.slice(first, last - first) for c in b.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*own, *_columns(sets)], names=["doc_id", "text_key", *KEY])
 
-    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id bigint, fp1 bigint, fp2 bigint, n bigint")
+    marked = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    return marked.mapInArrow(keys, "doc_id bigint, text_key bigint, fp1 bigint, fp2 bigint, n bigint")
 
 
 def set_heads(docs: DataFrame, k: int, percent: int, share: float) -> DataFrame:
@@ -184,7 +186,7 @@ def with_tokens(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links: one row per input row.
+    """doc_id, n_shingles, component_id, n_links, text_key (64-bit hash of the text): one row per input row.
 
     Two documents are linked when the overlap of their sets is at least ``percent`` of the union; ``component_id`` is the smallest id
     reachable by links, ``n_links`` the number of linked documents. Null or empty text, or white space alone, has no shingle and no link and is its own
@@ -221,6 +223,7 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("bigint").alias("n_links"),
+        "text_key",
     )
 
 

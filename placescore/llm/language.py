@@ -99,7 +99,7 @@ def evidence(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(4).to_pylist()]
+            texts = [t or "" for t in batch.column(5).to_pylist()]
             fit = np.zeros((len(texts), len(languages)))
             for i, n in trigrams(texts):
                 seen = np.flatnonzero(n)
@@ -107,10 +107,10 @@ def evidence(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
             p = np.exp(fit - fit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             as_list = lambda x: pa.array(list(x), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], as_list(fit), as_list(p)], names=["doc_id", "declared", "suffix", "host", "fit", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], as_list(fit), as_list(p)], names=["doc_id", "text_key", "declared", "suffix", "host", "fit", "p"])
 
-    columns = docs.select("doc_id", "declared", "suffix", "host", "text")
-    return columns.mapInArrow(score, "doc_id bigint, declared string, suffix string, host string, fit array<double>, p array<double>")
+    columns = docs.select("doc_id", "text_key", "declared", "suffix", "host", "text")
+    return columns.mapInArrow(score, "doc_id bigint, text_key bigint, declared string, suffix string, host string, fit array<double>, p array<double>")
 
 
 def sums_by(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -138,7 +138,7 @@ def identify(
     min_share: float = 1e-4,
     max_languages: int = 200,
 ) -> DataFrame:
-    """doc_id, language, posterior, text_language, accepted: one row per input row.
+    """doc_id, text_key, language, posterior, text_language, accepted: one row per input row; ``text_key`` is the 64-bit hash of the text.
 
     ``language`` has the largest fused posterior (ties to the first by name). A document is rejected when that is the class UNKNOWN or
     below ``min_posterior``. Null or empty text gives no evidence, so declaration, suffix and host decide; where these are missing as
@@ -151,7 +151,7 @@ def identify(
     suffix = none_if_empty(column(suffix_col)) if suffix_col else F.when(host.contains("."), F.substring_index(host, ".", -1))
     named = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), none_if_empty(column(declared_col)).alias("declared"), suffix.alias("suffix"), host.alias("host"), F.col(text_col).cast("string").alias("text")
-    )
+    ).withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     languages, model = train(named, min_share, max_languages)
     n = len(languages)
     rows = written(evidence(named, languages, model), "language-evidence")
@@ -183,6 +183,7 @@ def identify(
     posterior = F.lit(1.0) / total_of(F.transform("_log", lambda x: F.exp(x - F.col("_best"))))
     result = out.select(
         "doc_id",
+        "text_key",
         F.element_at(names, F.col("_at")).alias("language"),
         F.round(posterior, 6).alias("posterior"),
         F.element_at(names, F.col("_text")).alias("text_language"),

@@ -283,7 +283,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     All other columns and their order stay; a text without spans (null included) stays as it is.
     """
-    rows = docs.withColumns({"_id": F.col(id_col), "_text": F.coalesce(F.col(text_col).cast("string"), F.lit(""))})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), text.alias("_text"))
     model = train(with_candidates(rows.select("_id", "_text")))
     found = with_spans(with_candidates(rows), model)
     by_place = F.array_sort(F.transform("_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
@@ -297,7 +298,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     cleaned = F.aggregate(by_place, start, step, lambda a: F.concat(a["out"], F.substring("_text", a["at"] + 1, F.length("_text"))))
-    return found.withColumn(text_col, F.when(F.size("_all") > 0, cleaned).otherwise(F.col(text_col))).select(*docs.columns)
+    old = F.col("_doc")
+    return found.select(*[(F.when(F.size("_all") > 0, cleaned).otherwise(old[c]) if c == text_col else old[c]).alias(c) for c in docs.columns])
 
 
 @query("op1_pii")
