@@ -115,9 +115,19 @@ def is_consecutive(earlier: Column, later: Column) -> Column:
     return quarter_index(later) - quarter_index(earlier) == 1
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
+def as_double(c: Column) -> Column:
+    """Number or NULL; a text that ends in a letter ('1d', '2f', 'NaN') is no number."""
+    return F.when(~c.cast("string").rlike(r"[A-Za-z]\s*$"), c.try_cast("double"))
+
+
 def to_float(c: Column) -> Column:
     """Finite number or NULL."""
-    v = c.try_cast("double")
+    v = as_double(c)
     return F.when(F.abs(v) < F.lit(float("inf")), v)
 
 
@@ -144,7 +154,7 @@ def within_days(c: Column, days: int, as_of: Column) -> Column:
 
 
 def between_cast(c: Column, low: float, high: float) -> Column:
-    return F.coalesce(c.try_cast("double").between(low, high), F.lit(False))
+    return F.coalesce(as_double(c).between(low, high), F.lit(False))
 
 
 # The named row filters. contains any / one of / lacks.
@@ -192,7 +202,7 @@ def first_valid(
     """First candidate with 0 < value <= limit, times its factor; plus whether any was usable."""
     picked = F.coalesce(
         *[
-            F.when((c.try_cast("double") > 0) & (c.try_cast("double") <= limit), c.try_cast("double") * factor)
+            F.when((as_double(c) > 0) & (as_double(c) <= limit), as_double(c) * factor)
             for c, limit, factor in candidates
         ]
     )
@@ -224,4 +234,4 @@ def any_date_shape(c: Column) -> Column:
 
 def numeric_text(c: Column) -> Column:
     """The number behind a text with thousands separators, or NULL."""
-    return F.regexp_replace(F.trim(c), ",", "").try_cast("double")
+    return as_double(F.regexp_replace(strip(c), ",", ""))

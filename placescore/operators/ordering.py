@@ -1,26 +1,38 @@
 """Global ranks, row numbers and exact quantiles without a single-task window.
 
-A plain ``rank() over (order by v)`` sends the whole table to one task. Here the values are first
-collapsed to one row per distinct value (ties, however hot, become a count), then cut into
-order-preserving buckets that depend on the value alone. Only the bucket totals meet in one task, and
-their number is bounded by the float format (64 per power of two), not by the data.
+A plain ``rank() over (order by v)`` sends the whole table to one task. Here the values are first collapsed to one row per
+distinct value (ties, however hot, become a count), then cut at split points taken from those very values, so that narrow
+and wide ranges are cut alike. Only the bucket totals meet in one task; there are at most SPLITS + 1 per group. Values
+keep their own type; NaN is larger than any number, infinities are ordinary values. Group keys may be NULL.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_OCTAVE = 64
+SPLITS = 127
 
 
-def value_bucket(value: Column) -> Column:
-    """Order-preserving bucket: v <= w implies bucket(v) <= bucket(w)."""
-    v = value.cast("double")
-    magnitude = F.floor(F.log2(F.lit(1.0) + F.abs(v)) * F.lit(float(BUCKETS_PER_OCTAVE)))
-    return F.when(v < 0, -magnitude - 1).otherwise(magnitude).cast("int")
+def with_bucket(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Add an order-preserving bucket: how many split points are at or below the value.
+
+    The split points are one row of SPLITS values near the quantiles of the rows given. Any choice of them keeps the order.
+    """
+    shares = [(i + 1) / (SPLITS + 1) for i in range(SPLITS)]
+    splits = df.agg(F.percentile_approx(value, shares, 1_000).alias("_splits"))
+    at = F.size(F.filter("_splits", lambda s: s <= F.col(value)))
+    return df.join(F.broadcast(splits), F.lit(True)).withColumn(out, at).drop("_splits")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    test = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(other, test, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _before(window) -> object:
@@ -33,12 +45,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), prefix: s
     NULL values take no part. ``prefix`` goes before the three names.
     """
     keys = list(by)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_bucket", value_bucket(F.col(value)))
-    )
+    counts = with_bucket(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_rows")), value, "_bucket")
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_rows").alias("_sum"))
     over = Window.partitionBy(*keys)
     offsets = totals.select(
@@ -48,7 +55,7 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), prefix: s
         F.sum("_sum").over(over).alias("_total"),
     )
     inside = _before(Window.partitionBy(*keys, "_bucket").orderBy(value))
-    return counts.join(offsets, [*keys, "_bucket"]).select(
+    return join_null_safe(counts, offsets, [*keys, "_bucket"]).select(
         *keys,
         value,
         F.col("_rows").alias(f"{prefix}n"),
@@ -63,7 +70,7 @@ def with_positions(df: DataFrame, value: str, by: Sequence[str] = (), prefix: st
     The joined side has one row per distinct value, so a hot value is skewed on the left only and
     the adaptive skew join can split it.
     """
-    return df.join(value_positions(df, value, by, prefix), [*by, value], "left")
+    return join_null_safe(df, value_positions(df, value, by, prefix), [*by, value], "left")
 
 
 def average_rank(prefix: str = "") -> Column:
@@ -80,32 +87,32 @@ def global_row_number(
     by: Sequence[str] = (),
     tie_bucket: Column | None = None,
 ) -> DataFrame:
-    """Dense 1..N numbering ordered by value then tie; NULL values stay unnumbered.
+    """Dense 1..N numbering ordered by value then tie (NULL last) then row hash; NULL values stay unnumbered.
 
     A hot value is split again by an order-preserving bucket of the tie column.
     """
     keys = list(by)
-    signed = -F.col(value).cast("double") if descending else F.col(value).cast("double")
     tied = tie_bucket if tie_bucket is not None else F.shiftright(F.col(tie), 20)
-    rows = df.withColumn("_v", signed).withColumn("_t", tied)
-    known = rows.where(F.col("_v").isNotNull()).withColumn("_b", value_bucket(F.col("_v")))
-    counts = known.groupBy(*keys, "_b", "_v", "_t").agg(F.count(F.lit(1)).alias("_n"))
-    over = Window.partitionBy(*keys).orderBy("_b")
+    rows = df.withColumn("_v", F.col(value)).withColumn("_t", tied)
+    known = rows.where(F.col("_v").isNotNull())
+    counts = with_bucket(known.groupBy(*keys, "_v", "_t").agg(F.count(F.lit(1)).alias("_n")), "_v", "_b")
+    towards = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    over = Window.partitionBy(*keys).orderBy(towards("_b"))
     outer = (
         counts.groupBy(*keys, "_b")
         .agg(F.sum("_n").alias("_bn"))
         .select(*keys, "_b", F.coalesce(F.sum("_bn").over(_before(over)), F.lit(0)).alias("_o1"))
     )
-    inside = _before(Window.partitionBy(*keys, "_b").orderBy("_v", "_t"))
-    start = counts.join(outer, [*keys, "_b"]).select(
+    inside = _before(Window.partitionBy(*keys, "_b").orderBy(towards("_v"), F.col("_t").asc_nulls_last()))
+    start = join_null_safe(counts, outer, [*keys, "_b"]).select(
         *keys,
-        "_b",
         "_v",
         "_t",
         (F.col("_o1") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start"),
     )
-    numbered = Window.partitionBy(*keys, "_b", "_v", "_t").orderBy(tie)
-    ranked = known.join(start, [*keys, "_b", "_v", "_t"]).withColumn(
+    last = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    numbered = Window.partitionBy(*keys, "_v", "_t").orderBy(F.col(tie).asc_nulls_last(), last)
+    ranked = join_null_safe(known, start, [*keys, "_v", "_t"]).withColumn(
         out, (F.col("_start") + F.row_number().over(numbered)).cast("bigint")
     )
     missing = rows.where(F.col("_v").isNull()).withColumn(out, F.lit(None).cast("bigint"))

@@ -416,6 +416,10 @@ def sample_raster(
 
 
 def zip_lookup(units: DataFrame, zip_of: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
-    """Value of the unit's postal code (first five characters), repeated, never interpolated."""
+    """Value of the unit's postal code (first five characters), repeated, never interpolated.
+
+    Of several rows of one five-character code the smallest value counts, so a unit stays one row.
+    """
     code = zip_of.select(key, F.left("zip", F.lit(5)).alias("zip"))
-    return units.join(code, key, "left").join(table.select(F.left("zip", F.lit(5)).alias("zip"), value), "zip", "left")
+    values = table.groupBy(F.left("zip", F.lit(5)).alias("zip")).agg(F.min(value).alias(value))
+    return units.join(code, key, "left").join(values, "zip", "left")

@@ -201,7 +201,7 @@ def _row_tests(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, str,
     for c in names:
         col, lower = F.col(f"`{c}`"), c.lower()
         if _is_text(df, c):
-            faults.append(("whitespace_drift", c, "low", col != F.trim(col)))
+            faults.append(("whitespace_drift", c, "low", col != clean.strip(col)))
             faults.append(
                 ("invalid_dates", c, "high", clean.any_date_shape(col) & _lenient_date(F.trim(col)).isNull())
             )
@@ -373,7 +373,8 @@ def _replace_values(df: DataFrame, p: Mapping) -> DataFrame:
 
 
 def _cast_type(df: DataFrame, p: Mapping) -> DataFrame:
-    c, target = _known(df, p.get("column")), str(p.get("target_type")).upper()
+    c = _known(df, p.get("column"))
+    target = str(p.get("target_type")).upper().partition("(")[0].strip()  # DECIMAL(10,2) counts as DECIMAL
     if target not in CAST_TYPES:
         raise ValueError(f"type {target} is not allowed")
     col = F.col(c)
@@ -434,7 +435,9 @@ def condition(c: Column, kind: str, value: object = None, value2: object = None,
 
 def _filter_rows(df: DataFrame, p: Mapping) -> DataFrame:
     c = _known(df, p.get("column"))
-    return df.where(condition(F.col(c), p.get("condition"), p.get("value"), p.get("value2"), p.get("values")))
+    numbers = [x for x in (p.get("value"), p.get("value2"), *(p.get("values") or ())) if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    left = clean.as_double(F.col(c)) if numbers and _is_text(df, c) else F.col(c)  # a text that is no number meets no number test
+    return df.where(condition(left, p.get("condition"), p.get("value"), p.get("value2"), p.get("values")))
 
 
 def _strip(df: DataFrame, p: Mapping) -> DataFrame:

@@ -75,6 +75,9 @@ def fold_filters(df: DataFrame, filters: Mapping[str, object]) -> tuple[Column,
             unknown.append(name)
             continue
         c = F.col(f"`{name}`")
+        asked = [*want.values()] if isinstance(want, Mapping) else want if isinstance(want, (list, tuple)) else [want]
+        if df.schema[name].dataType.typeName() == "string" and any(isinstance(x, (int, float)) and not isinstance(x, bool) for x in asked):
+            c = clean.as_double(c)  # a text that is no number meets no number test
         if isinstance(want, Mapping):
             if not want or set(want) - {"min", "max"}:
                 bad.append(name)

@@ -26,12 +26,12 @@ def mean_curve(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
 def running_max(df: DataFrame, x: str, y: str, by: Sequence[str] = (), out: str = "running") -> DataFrame:
     """Largest y at or before each x, as a prefix maximum over order-preserving buckets of x."""
     keys = list(by)
-    rows = df.withColumn("_b", ordering.value_bucket(F.col(x)))
+    rows = ordering.with_bucket(df, x, "_b")
     tops = rows.groupBy(*keys, "_b").agg(F.max(y).alias("_top"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*keys, "_b", F.max("_top").over(before).alias("_carry"))
     inside = Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(carried, [*keys, "_b"])
+    joined = ordering.join_null_safe(rows, carried, [*keys, "_b"])
     return joined.withColumn(out, F.greatest(F.max(y).over(inside), F.col("_carry"))).select(*df.columns, out)
 
 
@@ -200,7 +200,7 @@ def project(
     """Local mean score before and after adding k assets to each target's own cell.
 
     Only the curve's marginal effect is applied to the cell's real score; a cell without a score takes
-    the curve level. ``scored`` is (cell, raw_count, score), ``fits`` the output of :func:`fit_curves`.
+    the curve level. Without an available curve every target stays, with its baseline and no projection. ``scored`` is (cell, raw_count, score), ``fits`` the output of :func:`fit_curves`.
     """
     from placescore.functions import cells
     from placescore.functions.score import curve_lookup
@@ -221,7 +221,7 @@ def project(
         )
     )
     fit = fits.where((F.col("asset") == asset) & F.col("available")).select("curve", "slope", "rho")
-    joined = targets.select("target_id").join(local, "target_id", "left").join(F.broadcast(fit), F.lit(True))
+    joined = targets.select("target_id").join(local, "target_id", "left").join(F.broadcast(fit), F.lit(True), "left")
     before = F.coalesce(F.col("_count"), F.lit(0)).cast("double")
     now = curve_lookup(F.col("curve"), F.col("slope"), before)
     after = curve_lookup(F.col("curve"), F.col("slope"), before + float(k))

@@ -445,23 +445,23 @@ def u02(spark, sf):
 
 @query(
     "u03_set_difference",
-    "SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal < -900 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AND c_nationkey NOT IN (3, 7)",
+    "SELECT c_custkey AS customer FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) AND c_custkey NOT IN (3, 7)",
 )
 def u03(spark, sf):
-    a = table(spark, sf, "customer").where("c_acctbal < -900").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
-    return tables.set_difference(a, b, "nation", allowed=[3, 7])
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"))
+    b = table(spark, sf, "events").select(F.col("user_id").alias("customer"))
+    return tables.set_difference(a, b, "customer", allowed=[3, 7])
 
 
 @query(
     "u04_set_intersection",
-    "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000 INTERSECT SELECT n_nationkey FROM nation",
+    "SELECT c_custkey AS customer FROM customer INTERSECT SELECT user_id FROM events INTERSECT SELECT o_custkey FROM orders",
 )
 def u04(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
-    c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"))
-    return tables.set_intersection([a, b, c], "nation")
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"))
+    b = table(spark, sf, "events").select(F.col("user_id").alias("customer"))
+    c = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"))
+    return tables.set_intersection([a, b, c], "customer")
 
 
 @query("u06_distinct", "SELECT DISTINCT lang, source FROM documents")

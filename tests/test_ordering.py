@@ -74,3 +74,36 @@ def test_spearman_and_p_value(spark):
     assert round(r.rho, 9) == 1.0 and r.n == 12
     flat = spark.createDataFrame([(1.0, float(i)) for i in range(5)], "a double, b double")
     assert stats.spearman(flat, ["a", "b"]).first().rho is None
+
+
+def test_positions_of_odd_values(spark):
+    rows = [(1, 1.0), (2, 50.0), (3, 900.0), (4, float("nan")), (5, float("inf")), (6, float("-inf")), (7, None), (8, 50.0)]
+    got = {r.id: (r.below, r.n) for r in ordering.with_positions(spark.createDataFrame(rows, "id int, v double"), "v").collect()}
+    assert got == {6: (0, 1), 1: (1, 1), 2: (2, 2), 8: (2, 2), 3: (4, 1), 5: (5, 1), 4: (6, 1), 7: (None, None)}
+
+
+def test_row_number_keeps_large_integers_null_ties_and_groups(spark):
+    rows = [(None, 2**53, 1), (None, 2**53 + 1, None), (None, 2**53 + 2, 3), ("a", 5, None), ("a", 5, 2), ("a", 5, 1), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "g string, v bigint, id bigint")
+    got = {(r.g, r.v, r.id): r.rank for r in ordering.global_row_number(df, "v", "id", by=["g"]).collect()}
+    assert got == {
+        (None, 2**53, 1): 3,
+        (None, 2**53 + 1, None): 2,
+        (None, 2**53 + 2, 3): 1,
+        ("a", 5, 1): 1,
+        ("a", 5, 2): 2,
+        ("a", 5, None): 3,
+        ("a", None, 1): None,
+    }
+
+
+def test_quantiles_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 7.0)], "k string, v double")
+    assert {r.k: r.quantiles for r in ordering.exact_quantiles(df, "v", [0.5], by=["k"]).collect()} == {None: [2.0], "a": [7.0]}
+
+
+def test_narrow_values_are_spread_over_buckets(spark):
+    df = spark.range(100_000).select((F.col("id") + 1_700_000_000_000_000).alias("v"), (F.col("id") / 1e8).alias("w"))
+    for c in ("v", "w"):
+        sizes = [r["count"] for r in ordering.with_bucket(df, c, "b").groupBy("b").count().collect()]
+        assert len(sizes) > 100 and max(sizes) < 4 * 100_000 / len(sizes)
