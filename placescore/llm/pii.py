@@ -97,9 +97,10 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def apart(spans: str, others: str) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda x: ~F.exists(others, lambda b: overlaps(x, b)))
+def fresh(wide: str, base: str) -> Column:
+    """The wide spans that are not a base span themselves and overlap no confirmed one of their kind."""
+    same = lambda x, b: (x["start"] == b["start"]) & (x["end"] == b["end"])
+    return F.filter(wide, lambda x: ~F.exists(base, lambda b: same(x, b) | b["label"] & overlaps(x, b)))
 
 
 def checked(kind: str, match: Column) -> Column:
@@ -135,8 +136,8 @@ def feature_bits(kind: str, m: Column, before: Column, after: Column) -> Column:
 def with_candidates(df: DataFrame, text: str = "_text") -> DataFrame:
     """Add ``_cand``: array of (kind, start, end, base, label, bits) over all kinds.
 
-    A base match is labelled by its check. A wide match that lies over a base match of its own kind is dropped; over a
-    confirmed match of another kind it is labelled false; else it has no label.
+    A base match is labelled by its check. A wide match that is a base match itself or lies over a confirmed one of its own kind is
+    dropped; over a confirmed match of another kind it is labelled false; else it has no label.
     """
     t = F.col(text)
     has_digit = t.rlike("[0-9]")
@@ -174,7 +175,7 @@ def with_candidates(df: DataFrame, text: str = "_text") -> DataFrame:
     confirmed = F.filter(F.concat(*[F.col(f"_base_{k}") for k in KINDS]), lambda x: x["label"])
     df = df.withColumn("_confirmed", confirmed)
     for kind in KINDS:
-        df = df.withColumn(f"_w_{kind}", apart(f"_w_{kind}", f"_b_{kind}"))
+        df = df.withColumn(f"_w_{kind}", fresh(f"_w_{kind}", f"_base_{kind}"))
         df = df.withColumn(f"_wide_{kind}", described("w", kind, False, lambda x: F.when(F.exists("_confirmed", lambda b: overlaps(x, b)), F.lit(False))))
     parts = [F.col(f"_{tag}_{k}") for k in KINDS for tag in ("base", "wide")]
     df = df.withColumn("_cand", F.concat(*parts))
