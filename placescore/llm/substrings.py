@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placescore.llm.common import query, table, written
+from placescore.llm.common import packed, query, table, written
 from placescore.llm.shingles import mix
 from placescore.llm.words import _powers, chunks
 
@@ -146,20 +146,6 @@ def settle(found: DataFrame) -> DataFrame:
     return ordered.mapInArrow(stream, "h bigint, key bigint, lo int, hi int, open boolean")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, packed): texts compressed before they are shuffled."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            small = pa.array([press.compress(t.encode("utf-8", "replace")) for t in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), small], names=["doc_id", "key", "packed"])
-
-    return docs.select("doc_id", "key", "text").mapInArrow(pack, "doc_id bigint, key bigint, packed binary")
-
-
 def regions(docs: DataFrame, settled: DataFrame, width: int) -> DataFrame:
     """(h, key, lo, bytes) of the open places; a minimiser with very many classes gives a row per window, under the window's own hash."""
     open_places = settled.where("open")
@@ -247,29 +233,38 @@ def repeats(strings: list[bytes], key: np.ndarray, lo: np.ndarray, width: int) -
 def resolve(rows: DataFrame, width: int) -> DataFrame:
     """(key, lo, hi): runs of windows that repeat an earlier one, from regions that share a minimiser."""
 
-    def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def judged(block: list[tuple]) -> pa.RecordBatch:
+        key, lo = np.array([x[1] for x in block]), np.array([x[2] for x in block])
+        hit = repeats([x[3] for x in block], key, lo, width)
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        return runs_of(key[i], lo[i] + a, lo[i] + b - 1)
 
-        def judged(block: list[tuple]):
-            key, lo = np.array([x[1] for x in block]), np.array([x[2] for x in block])
-            hit = repeats([x[3] for x in block], key, lo, width)
-            edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            out = pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array((lo[i] + a).astype(np.int32)), pa.array((lo[i] + b - 1).astype(np.int32))], names=["key", "lo", "hi"])
-            return out, hit
+    def runs_of(key, lo, hi) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["key", "lo", "hi"])
 
+    def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # regions to be sorted together
+        at, first = None, {}  # the hash at hand and its distinct strings; BLOCK at most but for clashes of a window's hash
         for b in batches:
+            whole = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if len(held) >= BLOCK and held[-1][0] != row[0]:
-                    yield judged(held)[0]
-                    held = []
-                elif len(held) >= 4 * BLOCK:  # one hash goes on: those that held a first occurrence stay to be met by later ones
-                    out, hit = judged(held)
-                    yield out
-                    held = [x for x, h in zip(held, hit, strict=True) if x[0] == row[0] and h.sum() < len(x[3]) - width + 1]
-                held.append(row)
+                if row[0] != at:
+                    if len(first) > 1:
+                        held += first.values()
+                    at, first = row[0], {}
+                    if len(held) >= BLOCK:
+                        yield judged(held)
+                        held = []
+                known = first.setdefault(row[3], row)
+                if known[1:3] != row[1:3]:
+                    whole.append((row[1], row[2], row[2] + len(row[3]) - width))
+            if whole:
+                yield runs_of(*zip(*whole, strict=True))
+        if len(first) > 1:
+            held += first.values()
         if held:
-            yield judged(held)[0]
+            yield judged(held)
 
     return rows.repartition("h").sortWithinPartitions("h", "key", "lo").mapInArrow(sort_blocks, "key bigint, lo int, hi int")
 
