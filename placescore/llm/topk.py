@@ -8,8 +8,6 @@ queries meets each shard in one task, and the shard results are merged per query
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
