@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.llm import shingles
-from placescore.llm.common import query, table, written
+from placescore.llm.common import packed, query, table, written
 from placescore.operators.cluster import connected_components
 
 #: Nodes of a connected part in one block.
 BLOCK = 256
+#: Document frequencies are told apart up to this one.
+MOST = 100_000
 #: Seeds of the further token orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 KEY = ["fp1", "fp2", "n"]
@@ -72,11 +74,37 @@ def set_heads(docs: DataFrame, k: int, percent: int, share: float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(heads, "doc_id bigint, fp1 bigint, fp2 bigint, n bigint, head array<bigint>, rest array<bigint>")
 
 
+def shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (token, node) in the order of token those whose token has several, with their number as ``df``.
+
+    Above MOST the number is MOST: the order of tokens stays the same for all, and a token of any size passes as a stream.
+    """
+    none = np.zeros(0, np.int64)
+    token, node = none, none  # the last run, which may go on
+    open_run = None  # a token known to have MOST rows
+    for b in batches:
+        token, node = np.concatenate([token, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()])
+        last = int(np.searchsorted(token, token[-1])) if len(token) else 0
+        if len(token) - last >= MOST:
+            open_run, last = token[-1], len(token)
+        yield _with_df(token[:last], node[:last], open_run)
+        token, node = token[last:], node[last:]
+    yield _with_df(token, node, open_run)
+
+
+def _with_df(token: np.ndarray, node: np.ndarray, open_run) -> pa.RecordBatch:
+    begins = np.flatnonzero(np.diff(token, prepend=token[:1] - 1)) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begins, len(token)))
+    size = np.where(token[begins] == open_run, MOST, np.minimum(size, MOST)) if open_run is not None else np.minimum(size, MOST)
+    df = np.repeat(size, np.diff(np.append(begins, len(token))))
+    keep = df > 1
+    return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(node[keep]), pa.array(df[keep], pa.int64())], names=["token", "node", "df"])
+
+
 def prefixes(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, token): prefix tokens under the order by frequency that some other node holds as well."""
-    postings = nodes.select("node", F.explode("head").alias("token"))
-    often = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    common = postings.join(often, "token")
+    postings = nodes.select(F.explode("head").alias("token"), "node")
+    common = postings.repartition("token").sortWithinPartitions("token").mapInArrow(shared_tokens, "token bigint, node bigint, df bigint")
     by_order = Window.partitionBy("node").orderBy("df", "token")
     ranked = common.withColumn("_rank", F.row_number().over(by_order)).withColumn("_common", F.count("*").over(Window.partitionBy("node")))
     size = nodes.select("node", "n", F.size("head").alias("_head"))
@@ -144,15 +172,38 @@ def compare(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> tuple[np.n
     return links, forest
 
 
+def dealt_in_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Copies of the nodes (part, n, …) for every pair of blocks that may hold links: columns _cell, _low, _high, _block.
+
+    A part of at most BLOCK nodes is one block. A larger one is first cut into bands of set size, each ``percent`` of the next, as linked sets lie in
+    one band or in neighbours; a cell compares a band with itself (_low <= _high < 0) or with the next (_low < 0 <= _high).
+    """
+    large = F.col("part_nodes") > BLOCK
+    band = F.when(large, F.floor(F.log("n") / F.lit(-np.log(percent / 100))).cast("int")).otherwise(F.lit(0))
+    banded = members.withColumn("_band", band)
+    sizes = banded.groupBy("part", "_band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    upper = sizes.select("part", (F.col("_band") - 1).alias("_band"), F.col("_blocks").alias("_above"))
+    lower = sizes.select("part", (F.col("_band") + 1).alias("_band"), F.col("_blocks").alias("_below"))
+    around = sizes.join(upper, ["part", "_band"], "left").join(lower, ["part", "_band"], "left")
+    banded = banded.join(around, ["part", "_band"])
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int")
+    banded = banded.withColumn("_own", own)
+    pair = lambda cell, low, high, block: F.struct(cell.alias("cell"), low.alias("low"), high.alias("high"), block.alias("block"))
+    mine, cell = F.col("_own"), F.col("_band")
+    none = F.array().cast("array<struct<cell:int,low:int,high:int,block:int>>")
+    inside = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: pair(cell, -1 - F.greatest(mine, i), -1 - F.least(mine, i), -1 - mine))
+    to_next = F.when(F.col("_above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("_above") - 1), lambda i: pair(cell, -1 - mine, i, -1 - mine))).otherwise(none)
+    from_last = F.when(F.col("_below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("_below") - 1), lambda i: pair(cell - 1, -1 - i, mine, mine))).otherwise(none)
+    dealt = banded.withColumn("_to", F.explode(F.concat(inside, to_next, from_last)))
+    return dealt.select("part", "_to.*", *[c for c in ("node", "copies", "tokens") if c in members.columns])
+
+
 def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """(node, other, links) from nodes dealt by part and block: an edge of a forest, or a count with no other node."""
-    blocks = F.ceil(F.col("part_nodes") / BLOCK).cast("int")
-    dealt = members.withColumn("_block", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")).withColumn("_of", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"_low": F.least("_block", "_of"), "_high": F.greatest("_block", "_of")})
+    """(node, other, links) from the nodes of connected parts: an edge of a forest, or a count with no other node."""
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
-        low, high = rows["_low"].iloc[0], rows["_high"].iloc[0]
-        a, b = rows[rows["_block"] == low].reset_index(drop=True), rows[rows["_block"] == high].reset_index(drop=True)
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        a, b = rows[rows["block"] == low].reset_index(drop=True), rows[rows["block"] == high].reset_index(drop=True)
         out = []
         if len(a) and (low == high or len(b)):
             links, forest = compare(a, None if low == high else b, percent)
@@ -160,20 +211,25 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
             out = [(int(x), None, int(c)) for x, c in zip(nodes, links, strict=True) if c] + [(x, y, 0) for x, y in forest]
         return pd.DataFrame(out, columns=["node", "other", "links"]).astype({"node": "Int64", "other": "Int64", "links": "Int64"})
 
-    columns = dealt.select("part", "_low", "_high", "_block", "node", "copies", "tokens")
-    return columns.groupBy("part", "_low", "_high").applyInPandas(judge, "node bigint, other bigint, links bigint")
+    dealt = dealt_in_blocks(members, percent)
+    return dealt.groupBy("part", "cell", "low", "high").applyInPandas(judge, "node bigint, other bigint, links bigint")
 
 
 def with_tokens(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Add the whole set to every wanted node (node, first_id, fp1, fp2, …), from the text of a document that has it."""
     extra = [c for c in wanted.columns if c not in ("node", "first_id", "fp1", "fp2")]
     # a row of documents repeated with the id, or another text under it, is told apart by the fingerprint
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("text", "node", "fp1", "fp2", *extra)
+    texts = packed(docs.select("doc_id", F.lit(0).cast("bigint").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select("packed", "node", "fp1", "fp2", *extra)
     kinds = dict(wanted.dtypes)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for first, last, sets in shingles.in_chunks(b.column(0).to_pylist(), k):
+            texts = [unpack.decompress(x).decode("utf-8") for x in b.column(0).to_pylist()]
+            for first, last, sets in shingles.in_chunks(texts, k):
                 part = b.slice(first, last - first)
                 fp1, fp2 = shingles.fingerprints(sets)
                 same = (part.column(2).to_numpy() == fp1.view(np.int64)) & (part.column(3).to_numpy() == fp2.view(np.int64))
@@ -193,7 +249,7 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     component. Rows repeated with an id are documents of their own that are linked by their text. Null ids are linked like others, and are no component's id unless it has no other.
     An empty table gives an empty result; other columns are not read.
     """
-    share = share or min(1.0, 1.5 * (1 - percent / 100))
+    share = share or min(1.0, 1.1 - percent / 100)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     heads = set_heads(docs, k, percent, share).where("n > 0").groupBy(*KEY)
     nodes = heads.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("head").alias("head"), F.first("rest").alias("rest"))
@@ -204,7 +260,7 @@ def similar(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     edges = shared.join(star, "token").where("node <> hub").select(F.col("hub").alias("ga"), F.col("node").alias("gb"))
     parts = connected_components(shared.select("node").distinct(), edges).withColumnRenamed("label", "part")
     parts = parts.join(parts.groupBy("part").agg(F.count("*").alias("part_nodes")).where("part_nodes > 1"), "part")
-    wanted = parts.join(nodes.select("node", "first_id", "fp1", "fp2", "copies"), "node")
+    wanted = parts.join(nodes.select("node", "first_id", "fp1", "fp2", "n", "copies"), "node")
     found = written(block_links(with_tokens(docs, wanted, k), percent), "jaccard-links")
 
     forest = found.where("other IS NOT NULL").select(F.col("node").alias("ga"), F.col("other").alias("gb"))
