@@ -208,3 +208,30 @@ def test_awkward_and_empty_tables(spark, ranks):
         assert bpe.encode_documents(df, ranks, public_tokenizers.PATTERN).count() == len(rows)
         pieces = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"))
         assert pieces.where("piece = 0").count() == len(rows)
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_thin_languages_are_kept(spark, copies):
+    """A language of a few documents is told by its declaration and host, however large the rest of the corpus is."""
+    random.seed(11)
+    vocabulary = {"aa": "lor bim sut tam kel vor", "bb": "xoq zux wiq yuz qex jax", "cc": "ĉeŝ ŭnĝ ĵaĥ"}
+    text = lambda lang, n: " ".join(random.choice(vocabulary[lang].split()) for _ in range(n))
+    rows = [(i, text(lang, 60), lang, "src0") for i, lang in enumerate(["aa", "bb"] * 60 * copies)]
+    rows += [(900_000, text("cc", 6), "cc", "src0"), (900_001, text("cc", 6), None, "src0"), (900_002, "漢字" * 300, None, "src0")]
+    rows += [(910_000 + i, text("cc", 6), "cc", "site.cc") for i in range(12)] + [(920_000, text("cc", 6), None, "site.cc"), (920_001, text("aa", 40), None, "site.cc")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(df).where("doc_id >= 900000").collect()}
+    assert all(got[i].language == "cc" and got[i].accepted for i in [900_000, 920_000, *range(910_000, 910_012)])
+    assert got[900_002].language == language.UNKNOWN and got[920_001].language == "aa"
+
+
+def test_more_languages_than_a_model_of_two_hundred(spark):
+    random.seed(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(230):
+        own = ["".join(random.choice(letters) for _ in range(5)) for _ in range(6)]
+        rows += [(10 * k + j, " ".join(random.choice(own) for _ in range(260)), f"l{k:03}" if j else None, None) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert all(got[d].language == f"l{d // 10:03}" and got[d].accepted for d, *_ in rows)
