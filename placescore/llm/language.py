@@ -255,6 +255,30 @@ def identify(
     return result.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("posterior") >= min_posterior))
 
 
+#: What a page shows nobody: comments, scripts, styles and tags.
+MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[a-z/!?][^>]*>", re.I | re.S)
+
+
+def of_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, text, lang, host, suffix of (page_id, url, html): shown text, language of the html tag without its region, host and its last label.
+
+    Addresses without a dot in the host and numeric ones have no suffix.
+    """
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else html.unescape(MARKUP.sub(" ", t)) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["doc_id", "lang", "host", "text"])
+
+    markup = F.col("html").cast("string")
+    declared = F.regexp_extract(markup, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1)
+    columns = pages.select(F.col("page_id").cast("bigint").alias("doc_id"), declared.alias("lang"), host_of(F.col("url").cast("string")).alias("host"), markup.alias("html"))
+    texts = columns.mapInArrow(shown, "doc_id bigint, lang string, host string, text string")
+    last = F.substring_index("host", ".", -1)
+    return texts.withColumn("suffix", F.when(F.col("host").contains(".") & ~last.rlike("^[0-9]+$"), last))
+
+
 @query("op4_language_id")
 def op4(spark, sf):
-    return identify(table(spark, sf, "documents"))
+    """The whole pages table; documents, which have no address, are judged in the pipeline."""
+    return identify(of_pages(table(spark, sf, "pages")), host_col="host", suffix_col="suffix")

@@ -235,3 +235,22 @@ def test_more_languages_than_a_model_of_two_hundred(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     got = {r.doc_id: r for r in language.identify(df).collect()}
     assert all(got[d].language == f"l{d // 10:03}" and got[d].accepted for d, *_ in rows)
+
+
+def test_language_of_pages_uses_address_and_markup(spark):
+    """Pages without text or declaration are told by host, parent domain and suffix; the registered query judges every page."""
+    random.seed(13)
+    words_of = {"aa": "lor bim sut tam kel vor", "bb": "xoq zux wiq yuz qex jax"}
+    page = lambda lang, n: f"<html lang='{lang}-XY'><script>{'zux ' * 90}</script><p>" + " ".join(random.choice(words_of[lang].split()) for _ in range(n)) + "</p></html>"
+    rows = [(i, f"https://www.{lang}{i % 3}.{lang}/x", page(lang, 60)) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(900, "http://deep.aa1.aa:80/", "<p></p>"), (901, "http://new.example.bb/", None), (902, "http://10.0.0.1/", page("bb", 40)), (903, None, "<HTML LANG=bb><p>&lt;</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    flat = {r.doc_id: r for r in language.of_pages(df).collect()}
+    assert flat[0].lang == "aa" and "zux" not in flat[0].text and (flat[900].host, flat[900].suffix) == ("deep.aa1.aa", "aa") and flat[902].suffix is None and flat[903].text.strip() == "<"
+    got = {r.doc_id: r for r in language.identify(language.of_pages(df), host_col="host", suffix_col="suffix").collect()}
+    assert len(got) == len(rows) and all(got[i].language == lang for i, lang in enumerate(["aa", "bb"] * 60))
+    assert got[900].language == "aa" and got[901].language == "bb" and got[902].language == "bb" and got[903].language == "bb"
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    judged = language.op4(spark, SF)
+    assert sorted(r.doc_id for r in judged.collect()) == sorted(r.page_id for r in pages.collect())
+    assert judged.where("accepted").count() >= 0.95 * pages.count()
