@@ -265,18 +265,41 @@ def cover_block(targets: DataFrame, reach: float, size: float = cells.FINE_CELL_
 NEAREST_LEVELS = tuple(cells.FINE_CELL_M * 4.0**i for i in range(6))
 
 
+def _covering(levels: Sequence[float], *located: DataFrame) -> list[float]:
+    """Ascending levels and coarser ones until a side spans all (_x, _y), so that a 3x3 block of the last holds everything."""
+    rows = located[0]
+    for more in located[1:]:
+        rows = rows.unionByName(more)
+    for c in ("_x", "_y"):
+        rows = rows.where(F.abs(c) < float("inf"))
+    ends = rows.agg(*[f(c).alias(f"{n}{c}") for c in ("_x", "_y") for n, f in (("low", F.min), ("high", F.max))]).first()
+    span = max((ends[f"high{c}"] or 0.0) - (ends[f"low{c}"] or 0.0) for c in ("_x", "_y"))
+    out = sorted(levels)
+    while out[-1] < span:
+        out.append(out[-1] * 4.0)
+    return out
+
+
 def nearest_cell(targets: DataFrame, known: DataFrame, levels: Sequence[float] = NEAREST_LEVELS) -> DataFrame:
-    """Closest known cell centre per target, NULL beyond one coarsest side (307 km).
+    """Closest known cell centre per target at any distance, NULL only when no cell is known.
 
     Lattices four times coarser each stand over the known cells. A target looks up its 3x3 block on every
     lattice (nine keys each) and searches one level above the finest block that holds anything: what it
     found is at most 2.83 sides away and the coarser block reaches four, so the search is exact.
     """
     size = cells.FINE_CELL_M
-    sizes = F.array(*[F.lit(s) for s in levels])
     centres = known.select("cell").distinct().select(
         "cell", cells.centre_x(F.col("cell"), size).alias("_cx"), cells.centre_y(F.col("cell"), size).alias("_cy")
     )
+    based = targets.select(
+        "target_id", cells.metres_x(F.col("lon")).alias("_tx"), cells.metres_y(F.col("lat")).alias("_ty")
+    )
+    levels = _covering(
+        levels,
+        centres.select(F.col("_cx").alias("_x"), F.col("_cy").alias("_y")),
+        based.select(F.col("_tx").alias("_x"), F.col("_ty").alias("_y")),
+    )
+    sizes = F.array(*[F.lit(s) for s in levels])
 
     def stacked(x: Column, y: Column, around: bool) -> Column:
         def keys(s: Column, i: Column) -> Column:
@@ -289,9 +312,6 @@ def nearest_cell(targets: DataFrame, known: DataFrame, levels: Sequence[float] =
     held = centres.withColumn("_k", F.explode(stacked(F.col("_cx"), F.col("_cy"), False))).select(
         "cell", "_cx", "_cy", "_k.level", "_k._c"
     )
-    based = targets.select(
-        "target_id", cells.metres_x(F.col("lon")).alias("_tx"), cells.metres_y(F.col("lat")).alias("_ty")
-    )
     asked = based.withColumn("_k", F.explode(stacked(F.col("_tx"), F.col("_ty"), True))).select(
         "target_id", "_tx", "_ty", "_k.level", "_k._c"
     )
@@ -332,11 +352,11 @@ def knn_mean(points: DataFrame, id_col: str, k: int = 3, levels: Sequence[float]
     exact, because the k found lie within 2.83. Fewer than k others on the next finer lattice bounds the
     coordinates asking per cell (16 k), so the joins stay linear in the data however dense a spot is.
     Few coordinates ask on the coarse lattices, whose cells hold many points: that skew is on one side of
-    an inner join, where the adaptive skew join splits it. Neighbours are looked for within 300 km.
+    an inner join, where the adaptive skew join splits it. Coarser levels are added until one block holds all.
     """
     x, y = cells.metres_x(F.col("lon")), cells.metres_y(F.col("lat"))
     at = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_x": x, "_y": y})
-    sizes = F.array(*[F.lit(s) for s in levels])
+    sizes = F.array(*[F.lit(s) for s in reversed(_covering(levels, at.select("_x", "_y")))])
     level_cell = F.transform(
         sizes,
         lambda s, i: F.struct(

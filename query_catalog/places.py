@@ -132,6 +132,18 @@ def j09(spark, sf):
     return n.select("target_id", "cell", F.round("distance_m", 4).alias("distance_m"))
 
 
+@query(
+    "j09_nearest_occupied_cell",
+    ctes(INCIDENTS, TARGETS, "k AS (SELECT DISTINCT cell FROM incidents)") + f"""SELECT target_id, cell, round(d, 4) AS distance_m FROM (
+      SELECT target_id, f.cell, sqrt(({sql_x('t.lon')} - {_CX}) ** 2 + ({sql_y('t.lat')} - {_CY}) ** 2) AS d,
+        row_number() OVER (PARTITION BY target_id ORDER BY sqrt(({sql_x('t.lon')} - {_CX}) ** 2 + ({sql_y('t.lat')} - {_CY}) ** 2), f.cell) AS r
+      FROM targets t, k f) WHERE r = 1""",
+)
+def j09_occupied(spark, sf):
+    n = spatial.nearest_cell(targets(spark, sf), incidents(spark, sf).select("cell"))
+    return n.select("target_id", "cell", F.round("distance_m", 4).alias("distance_m"))
+
+
 @query(
     "j10_point_in_polygon",
     ctes(INCIDENTS, ZONES) + f"SELECT event_id, min(zone_id) AS zone_id FROM incidents JOIN zones ON {sql_in_zone('lat', 'lon')} GROUP BY 1",

@@ -150,3 +150,21 @@ def test_state_plane_origin(spark):
     assert bad is None
     with pytest.raises(ValueError):
         cells.transform_coords(F.lit(1), F.lit(1), "EPSG:9999")
+
+
+def test_nearest_searches_have_no_farthest_distance(spark):
+    """Sparse points hundreds of kilometres apart: the nearer one outside a block of the coarsest lattice, and the only one."""
+    rng = np.random.default_rng(5)
+    spots = [(float(a), float(b)) for a, b in zip(40.45 + rng.random(12) * 30, -74.3 + rng.random(12) * 60)]
+    goals = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(40.45 + rng.random(40) * 30, -74.3 + rng.random(40) * 60))]
+    known = spatial.with_cell(spark.createDataFrame(spots, "lat double, lon double"))
+    t = spark.createDataFrame(goals, "target_id int, lat double, lon double")
+    centre = [((math.floor((a - 40.45) * K / 300) + 0.5) * 300, (math.floor((b + 74.30) * K * C / 300) + 0.5) * 300) for a, b in spots]
+    got = {r.target_id: r.distance_m for r in spatial.nearest_cell(t, known).collect()}
+    for i, a, b in goals:
+        assert got[i] == pytest.approx(min(math.hypot((a - 40.45) * K - y, (b + 74.30) * K * C - x) for y, x in centre), abs=0.01)
+    mean = {r.target_id: r.mean_m for r in spatial.knn_mean(t, "target_id", 3).collect()}
+    for i, a, b in goals:
+        near = sorted(_d((a, b), (c, d)) for j, c, d in goals if j != i)[:3]
+        assert mean[i] == pytest.approx(sum(near) / 3, abs=0.01)
+    assert spatial.nearest_cell(t, known.limit(0)).where("cell IS NULL").count() == len(goals)
