@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from placescore.operators import tables
 from placescore.plans import registry, stats
 from placescore.session import cut_lineage
-from query_catalog.fixtures import INCIDENTS, KIND_METRIC, TARGETS, ctes, incidents, query, sql_pct, table, targets
+from query_catalog.fixtures import INCIDENTS, KIND_METRIC, ORACLES, TARGETS, ctes, incidents, query, sql_pct, table, targets
 from query_catalog.jobs import metric_scores
 from query_catalog.places import _DISK, _OFF
 
@@ -91,6 +91,8 @@ def d27(spark, sf):
 # ---- sensitivity -------------------------------------------------------------------------------
 
 DRAWS, SEED = 60, 20260811
+#: Draws of the reference.
+FULL_DRAWS = 1000
 _STRUCTURE = {
     "safety": (0.4, {"collision": 0.3125, "311_sanitation": 0.125}),
     "transit": (0.3, {"subway": 1.0}),
@@ -150,8 +152,8 @@ def _draw_sql() -> str:
     )
 
 
-def draws(spark, sf):
-    return stats.draw_scores(norm_frame(spark, sf), METRICS, _STRUCTURE, DRAWS, SEED, toggles=["311_sanitation"])
+def draws(spark, sf, n):
+    return stats.draw_scores(norm_frame(spark, sf), METRICS, _STRUCTURE, n, SEED, toggles=["311_sanitation"])
 
 
 @query(
@@ -161,8 +163,8 @@ def draws(spark, sf):
       round(quantile_cont(score::DOUBLE, 0.025) FILTER (norm = 0), 4) AS production_low, round(quantile_cont(score::DOUBLE, 0.975) FILTER (norm = 0), 4) AS production_high,
       quantile_cont(rank::DOUBLE, 0.5) AS rank_median, round(quantile_cont(rank::DOUBLE, 0.05), 4) AS rank_low, round(quantile_cont(rank::DOUBLE, 0.95), 4) AS rank_high FROM rk GROUP BY cell""",
 )
-def d24(spark, sf):
-    s = stats.draw_summary(draws(spark, sf))
+def d24(spark, sf, n=DRAWS):
+    s = stats.draw_summary(draws(spark, sf, n))
     return s.withColumns({c: F.round(c, 4) for c in ("low", "high", "production_low", "production_high", "rank_low", "rank_high")})
 
 
@@ -172,8 +174,8 @@ def d24(spark, sf):
     lg AS (SELECT 'toggle' AS branch, toggle AS delta FROM pc UNION ALL SELECT 'impute', impute FROM pc)
     SELECT branch, round(avg(delta), 2) AS mean_abs_delta, round(quantile_cont(delta, 0.95), 2) AS p95_abs_delta FROM lg WHERE delta IS NOT NULL GROUP BY 1""",
 )
-def a34(spark, sf):
-    return stats.branch_effects(draws(spark, sf), {"toggle": F.col("with_311_sanitation"), "impute": F.col("imputed")})
+def a34(spark, sf, n=DRAWS):
+    return stats.branch_effects(draws(spark, sf, n), {"toggle": F.col("with_311_sanitation"), "impute": F.col("imputed")})
 
 
 @query(
@@ -183,7 +185,18 @@ def a34(spark, sf):
     SELECT cell, median, round((rank() OVER (ORDER BY median) - 1 + 0.5::DOUBLE * count(*) OVER (PARTITION BY median)) / count(*) OVER (), 4) AS percentile,
       CASE WHEN least(4, floor(lo / 20)) = least(4, floor(hi / 20)) THEN names[CAST(least(4, floor(lo / 20)) AS INT) + 1] ELSE names[CAST(least(4, floor(lo / 20)) AS INT) + 1] || '–' || names[CAST(least(4, floor(hi / 20)) AS INT) + 1] END AS tier FROM it, n""",
 )
-def d25(spark, sf):
+def d25(spark, sf, n=DRAWS):
     from placescore.plans import composite
 
-    return composite.uncertainty(cut_lineage(stats.draw_summary(draws(spark, sf))))
+    return composite.uncertainty(cut_lineage(stats.draw_summary(draws(spark, sf, n))))
+
+
+def _with_all_draws(name: str, short: str, fn) -> None:
+    """Register a sensitivity query a second time with the draws of the reference; its SQL differs in the range only."""
+    sql = ORACLES[name].replace(f"range({DRAWS}) r(i)", f"range({FULL_DRAWS}) r(i)")
+    query(f"{short}_{FULL_DRAWS}_draws", sql)(lambda spark, sf: fn(spark, sf, FULL_DRAWS))
+
+
+_with_all_draws("d24_sensitivity_a33_j17", "d24_sensitivity", d24)
+_with_all_draws("a34_branch_effects", "a34_branch_effects", a34)
+_with_all_draws("d25_uncertainty_lookup", "d25_uncertainty_lookup", d25)

@@ -28,3 +28,13 @@ def test_against_sql(spark, name):
     want = sorted((tuple(norm(x) for x in r) for r in cur.fetchall()), key=str)
     got = sorted((tuple(norm(r[c]) for c in names) for r in df.collect()), key=str)
     assert got == want
+
+
+def test_sensitivity_is_registered_with_the_draws_of_the_reference(spark):
+    from query_catalog import statistics
+    from query_catalog.fixtures import ORACLES, QUERIES
+
+    for name in ("d24_sensitivity_1000_draws", "a34_branch_effects_1000_draws", "d25_uncertainty_lookup_1000_draws"):
+        assert name in QUERIES and "range(1000) r(i)" in ORACLES[name] and "range(60)" not in ORACLES[name]
+    drawn = statistics.draws(spark, "/root/testdata/sf0.001", statistics.FULL_DRAWS)
+    assert drawn.select("draw").distinct().count() == 1000
