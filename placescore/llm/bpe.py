@@ -103,27 +103,22 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(eighth >= floor) if floor is not None else counts.limit(0)
 
 
-def dictionary_of(folded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes ascending, ids per word, all ids) of the folded words: three arrays whose size the dictionary's limit bounds."""
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(words.hashes(b.column(0).to_pylist()).view(np.int64)), b.column(1)], names=["h", "ids"])
-
-    found = folded.select("word", F.col("ids").cast("array<int>")).mapInArrow(key, "h bigint, ids array<int>").toArrow().combine_chunks()
-    keys = found.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
+def dictionary_of(folded: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words in the order of their hashes, ids per word, all ids) of the folded words: the dictionary's limit bounds them."""
+    found = folded.select("word", F.col("ids").cast("array<int>")).toArrow().combine_chunks()
+    own = found.column("word").to_pylist()
+    keys, order = np.unique(words.hashes(own), return_index=True)  # a word whose hash another one holds is left to the tasks
     ids = found.column("ids").take(pa.array(order)).combine_chunks()
     ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
     if not len(order):
-        return keys, np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    return keys[order], np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten(), np.uint32)
+        return [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    return [own[i] for i in order.tolist()], np.asarray(ids.value_lengths(), np.int64), np.asarray(ids.flatten(), np.uint32)
 
 
 class TextEncoder:
     """Encodes whole texts by a dictionary of folded words; other words are merged here."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: tuple[list[str], np.ndarray, np.ndarray]):
         import tiktoken
 
         merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -137,10 +132,10 @@ class TextEncoder:
             return ids
 
         self.dictionary = words.Dictionary(lambda batch: note([merge._encode_single_piece(w) for w in batch]), limit=600_000)
-        keys, count, flat = known
+        found, count, flat = known
         ends = np.cumsum(count).tolist()
         ids = flat.tolist()
-        self.dictionary.add(keys, np.zeros(len(keys), np.int64), note([ids[e - n : e] for e, n in zip(ends, count.tolist(), strict=True)]))
+        self.dictionary.add(words.hashes(found), np.zeros(len(found), np.int64), found, note([ids[e - n : e] for e, n in zip(ends, count.tolist(), strict=True)]))
         self.dictionary.keep()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:

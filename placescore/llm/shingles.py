@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from placescore.llm.words import _powers, chunks
+from placescore.llm.words import _powers, chunks, prime_hash
 
 #: A-Z lowered; other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -39,10 +39,7 @@ def shingle_sets(texts: list[str], k: int) -> Sets:
     solid = ~BREAK[buf]
     edge = np.diff(solid.astype(np.int8), prepend=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * power[: len(buf)], out=sums[1:])
-    word = mix((sums[ends] - sums[starts]) * inverse[starts])
+    word = mix(prime_hash(buf, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     at = np.searchsorted(starts, first)
     n = np.diff(at)
     factor = np.array([0x9E3779B97F4A7C15, *_powers(k + 2)[0][2 : k + 1].tolist()], np.uint64)

@@ -47,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(joined text, word starts, word ends, 64-bit word hashes, first word of each text and the total)."""
     joined = "".join(texts)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cp = code_points(joined)
     n = len(cp)
     firsts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=firsts[1:])
@@ -79,11 +79,14 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
     return joined, starts, ends, _hash(cp, starts, ends), np.searchsorted(starts, firsts)
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def hashes(found: list[str]) -> np.ndarray:
     """The hash that ``split`` gives to each of these words."""
-    joined = "".join(found)
-    ends = np.cumsum([len(w) for w in found])
-    return _hash(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], ends[:-1]]), ends)
+    ends = np.cumsum([len(w) for w in found], dtype=np.int64)
+    return _hash(code_points("".join(found)), np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(found)], ends)
 
 
 def _hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -98,6 +101,36 @@ def _hash(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+#: A prime below 2**31, so products of two residues fit 64 bits, and two bases of no special form.
+PRIME = (1 << 31) - 1
+PRIME_BASES = (1_103_527_591, 741_103_597)
+
+
+def _residues(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME, at least n of each."""
+    known = _state.setdefault("residues", {})
+    if len(known.get(base, ((),))[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < n:
+                p = np.concatenate([p, p * np.uint64(pow(b, len(p), PRIME)) % np.uint64(PRIME)])
+            out.append(p)
+        known[base] = tuple(out)
+    return known[base]
+
+
+def prime_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 bits for each stretch of ``values``: two polynomials modulo a prime, so no text has the structure to make two agree."""
+    parts = []
+    for base in PRIME_BASES:
+        power, inverse = _residues(len(values) + 1, base)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)] % np.uint64(PRIME), out=sums[1:])
+        parts.append((sums[ends] - sums[starts]) % np.uint64(PRIME) * inverse[starts] % np.uint64(PRIME))
+    return parts[0] << np.uint64(31) | parts[1]
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """(position of the first, texts) with about BATCH_CHARS in each."""
     begin = size = 0
@@ -111,38 +144,43 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 class Dictionary:
-    """Words seen and their ids; forgets all but the kept ones when it holds more than ``limit``, so memory is bounded.
+    """Words seen and their ids; forgets all but the kept ones when it holds more than ``limit`` words or ``weight`` code
+    points and ids, so memory is bounded.
 
-    Words are told apart by a 64-bit hash: at ``limit`` entries a lookup is wrong with a chance below 1e-12.
+    Words are found by a 64-bit hash and every hit is compared by its code points; a word whose hash another one holds
+    gets an entry without a key.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, weight: int = 64_000_000, dtype=np.uint32):
+        self.encode, self.limit, self.weight = encode, limit, weight
         none = np.zeros(0, np.int64)
-        self.keys, self.slot, self.count, self.first, self.flat = none.astype(np.uint64), none, none, none, none.astype(np.uint32)
+        self.keys, self.slot, self.count, self.first, self.flat = none.astype(np.uint64), none, none, none, none.astype(dtype)
+        self.begin, self.chars = np.zeros(1, np.int64), none.astype(np.uint32)
         self.keep()
 
     def keep(self) -> None:
         """What is held now is never forgotten."""
-        self.kept = self.keys, self.slot, self.count, self.first, self.flat
+        self.kept = self.keys, self.slot, self.count, self.first, self.flat, self.begin, self.chars
 
     def clear(self) -> None:
-        self.keys, self.slot, self.count, self.first, self.flat = self.kept
+        self.keys, self.slot, self.count, self.first, self.flat, self.begin, self.chars = self.kept
 
-    def add(self, keys: np.ndarray, at: np.ndarray, ids: list) -> None:
-        """``keys`` ascending and new; ``at`` where they belong."""
+    def add(self, keys: np.ndarray, at: np.ndarray, found: list[str], ids: list) -> None:
+        """``keys`` ascending and new, ``at`` where they belong; words without a key come last."""
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+        flat = np.fromiter((i for x in ids for i in x), self.flat.dtype, int(count.sum()))
         base = len(self.count)
         self.keys = np.insert(self.keys, at, keys)
         self.slot = np.insert(self.slot, at, np.arange(base, base + len(keys)))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(w) for w in found], dtype=np.int64)])
+        self.chars = np.concatenate([self.chars, code_points("".join(found))])
 
     def slots(self, joined: str, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Entry of every word; new words are encoded once."""
-        if len(self.keys) > self.limit:
+        if len(self.keys) > self.limit or len(self.flat) + len(self.chars) > self.weight:
             self.clear()
         unique, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
@@ -150,10 +188,30 @@ class Dictionary:
         known[known] = self.keys[at[known]] == unique[known]
         if not known.all():
             new = sample[~known]
-            words = [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            self.add(unique[~known], at[~known], self.encode(words))
+            found = [joined[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            self.add(unique[~known], at[~known], found, self.encode(found))
             at = np.searchsorted(self.keys, unique)
-        return self.slot[at][inverse]
+        slot = self.slot[at][inverse]
+        wrong = self.differing(code_points(joined), starts, ends, slot)
+        if len(wrong):
+            own = [joined[s:e] for s, e in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)]
+            found = sorted(set(own))
+            base = len(self.count)
+            self.add(unique[:0], at[:0], found, self.encode(found))
+            where = {w: base + i for i, w in enumerate(found)}
+            slot[wrong] = [where[w] for w in own]
+        return slot
+
+    def differing(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Positions of the words that are not the word of their entry."""
+        n = ends - starts
+        wrong = n != self.begin[slot + 1] - self.begin[slot]
+        n = np.where(wrong, 0, n)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        off = self.chars[np.repeat(self.begin[slot], n) + inside] != cp[np.repeat(starts, n) + inside]
+        if off.any():
+            wrong[np.repeat(np.arange(len(slot)), n)[off]] = True
+        return np.flatnonzero(wrong)
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words one after the other, end of each word in them)."""
