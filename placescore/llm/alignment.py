@@ -57,6 +57,7 @@ class TokenizerPair:
         self.nb = len(names)
         #: a piece with a space after another character could cross a cut; then a text is one stretch
         self.cuts = not any(SPACE_MARK in n.lstrip(SPACE_MARK) for n in names)
+        self.lone_space = self.b.encode("a ")[len(self.b.encode("a")) :]
         self.clear_notes()
 
         owner = self
@@ -77,7 +78,7 @@ class TokenizerPair:
         out = []
         encoded = self.a.encode_batch_fast(found, add_special_tokens=False)
         for text, x, b in zip(found, encoded, self.b.encode([t[1:] for t in found], num_threads=1), strict=True):
-            a, raw = x.ids, text.encode("utf-8", "surrogatepass")
+            a, b, raw = x.ids, b or self.lone_space, text.encode("utf-8", "surrogatepass")
             parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
             if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
                 self.numbers.append((0, 0, 0, False))
