@@ -58,8 +58,10 @@ class TokenizerPair:
         #: a piece with a space after another character could cross a cut; then a text is one stretch
         self.cuts = not any(SPACE_MARK in n.lstrip(SPACE_MARK) for n in names)
         self.lone_space = self.b.encode("a ")[len(self.b.encode("a")) :]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # how an id is shown inside a group and at its end
+        self.a_shown, self.b_shown = ([np.array([b"%d%c" % (i, c) for i in range(n)] + [b""], object)[:-1] for c in marks] for n, marks in ((size, b",|"), (self.nb, b",;")))
         self.clear_notes()
-
         owner = self
 
         class Stretches(words.Dictionary):
@@ -67,36 +69,43 @@ class TokenizerPair:
                 super().clear()
                 owner.clear_notes()
 
-        self.known = Stretches(self.align, limit=400_000, weight=24_000_000, dtype=np.uint64)
+        self.known = Stretches(self.align, limit=800_000, weight=32_000_000, dtype=np.uint64)
 
     def clear_notes(self) -> None:
-        self.numbers: list[tuple[int, int, int, bool]] = []
+        self.numbers = np.zeros((0, 4), np.int64)  # ids of A, ids of B, groups, whether it can be aligned
         self.shown: list[bytes] = []
 
-    def align(self, found: list[str]) -> list[list[int]]:
-        """Links of each stretch as a_id * nb + b_id; counts and the shown groups are noted in the same order."""
-        out = []
-        encoded = self.a.encode_batch_fast(found, add_special_tokens=False)
-        for text, x, b in zip(found, encoded, self.b.encode([t[1:] for t in found], num_threads=1), strict=True):
-            a, b, raw = x.ids, b or self.lone_space, text.encode("utf-8", "surrogatepass")
-            parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-                self.numbers.append((0, 0, 0, False))
-                self.shown.append(b"")
-                out.append([])
-                continue
-            ends_a, ends_b = np.cumsum([len(p) for p in parts_a]), np.cumsum([len(p) for p in parts_b])
-            ends = np.union1d(ends_a, ends_b)
-            both = np.intersect1d(ends_a, ends_b)
-            links = np.asarray(a)[np.searchsorted(ends_a, ends)] * self.nb + np.asarray(b)[np.searchsorted(ends_b, ends)]
-            groups, i, j = [], 0, 0
-            for m, n in zip((np.searchsorted(ends_a, both) + 1).tolist(), (np.searchsorted(ends_b, both) + 1).tolist(), strict=True):
-                groups.append(",".join(map(str, a[i:m])) + "|" + ",".join(map(str, b[j:n])))
-                i, j = m, n
-            self.numbers.append((len(a), len(b), len(both), True))
-            self.shown.append(";".join(groups).encode())
-            out.append(links.tolist())
-        return out
+    def align(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of links, all links as a_id * nb + b_id) of each stretch; counts and the shown groups are noted in the same order."""
+        a = [x.ids for x in self.a.encode_batch_fast(found, add_special_tokens=False)]
+        b = [x or self.lone_space for x in self.b.encode([t[1:] for t in found], num_threads=1)]
+        raw = [t.encode("utf-8", "surrogatepass") for t in found]
+        fits = self.spelled(a, self.a_bytes, raw) & self.spelled(b, self.b_bytes, raw)
+        kept = np.flatnonzero(fits).tolist()
+        n_a, n_b = (np.where(fits, np.fromiter(map(len, x), np.int64, len(x)), 0) for x in (a, b))
+        a, b = (np.fromiter((i for k in kept for i in x[k]), np.int64) for x in (a, b))
+        # the stretches one after the other: ends of tokens, of both tokenizers' tokens, of stretches
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends, both = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last = np.cumsum(np.where(fits, np.fromiter(map(len, raw), np.int64, len(raw)), 0))
+        links = a[np.searchsorted(ends_a, ends)] * self.nb + b[np.searchsorted(ends_b, ends)]
+        groups = np.bincount(np.searchsorted(last, both), minlength=len(found))
+        # shown ids in the order of groups: A's ids of a group, then B's
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        done_a, done_b = np.cumsum(np.bincount(group_a, minlength=len(both))), np.cumsum(np.bincount(group_b, minlength=len(both)))
+        shown = np.empty(len(a) + len(b), object)
+        close_a, close_b = both[group_a] == ends_a, both[group_b] == ends_b
+        shown[np.arange(len(a)) + np.concatenate([[0], done_b])[group_a]] = np.where(close_a, self.a_shown[1][a], self.a_shown[0][a])
+        shown[np.arange(len(b)) + done_a[group_b]] = np.where(close_b, self.b_shown[1][b], self.b_shown[0][b])
+        shown, upto = shown.tolist(), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        self.shown += [b"".join(shown[i:j])[:-1] for i, j in zip(upto[:-1], upto[1:], strict=True)]
+        self.numbers = np.concatenate([self.numbers, np.stack([n_a, n_b, groups, fits], axis=1).astype(np.int64)])
+        return np.bincount(np.searchsorted(last, ends), minlength=len(found)), links.astype(np.uint64)
+
+    @staticmethod
+    def spelled(ids: list[list[int]], pieces: list[bytes], raw: list[bytes]) -> np.ndarray:
+        """Which stretches the bytes of their tokens spell out."""
+        return np.array([b"".join([pieces[i] for i in x]) == r for x, r in zip(ids, raw, strict=True)], bool)
 
     def stretches(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As ``words.split``, of a space and each text, cut where both tokenizers have a boundary."""
@@ -117,9 +126,8 @@ class TokenizerPair:
         """(n_a, n_b, n_groups, n_links, groups_sha256) of each text, and its distinct links: (text, pair, times), by text."""
         joined, starts, ends, h, bounds = self.stretches(texts)
         slots = self.known.slots(joined, starts, ends, h)
-        noted = np.array(self.numbers, np.int64)
         sums = np.zeros((len(slots) + 1, 4), np.int64)
-        np.cumsum(noted[slots], axis=0, out=sums[1:])
+        np.cumsum(self.numbers[slots], axis=0, out=sums[1:])
         own = sums[bounds[1:]] - sums[bounds[:-1]]
         whole = (own[:, 3] == np.diff(bounds)) & np.array([len(t) > 0 for t in texts])
         links, at = self.known.gather(slots)

@@ -165,10 +165,13 @@ class Dictionary:
     def clear(self) -> None:
         self.keys, self.slot, self.count, self.first, self.flat, self.begin, self.chars = self.kept
 
-    def add(self, keys: np.ndarray, at: np.ndarray, found: list[str], ids: list) -> None:
-        """``keys`` ascending and new, ``at`` where they belong; words without a key come last."""
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), self.flat.dtype, int(count.sum()))
+    def add(self, keys: np.ndarray, at: np.ndarray, found: list[str], ids: list | tuple[np.ndarray, np.ndarray]) -> None:
+        """``keys`` ascending and new, ``at`` where they belong; words without a key come last. Ids are lists, or (counts, all ids)."""
+        if isinstance(ids, tuple):
+            count, flat = ids
+        else:
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), self.flat.dtype, int(count.sum()))
         base = len(self.count)
         self.keys = np.insert(self.keys, at, keys)
         self.slot = np.insert(self.slot, at, np.arange(base, base + len(keys)))
