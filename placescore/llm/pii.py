@@ -1,24 +1,25 @@
 """Personal data by boosted trees over overlapping candidates. DataFrame operations only.
 
-Strict patterns give the base spans; wide patterns propose further ones (spelled-out addresses, national numbers,
-longer internet addresses, cards with other separators). Candidates that a checksum, range or digit count confirms or refutes
-are the labels. All candidates of the corpus are counted per combination of binary features, so training sees a table whose
-size the number of features bounds. Boosted trees of depth two are fitted to those counts; a threshold per kind, the
-lowest that keeps the wanted precision on the held-out fifth of documents, selects what is added to the base.
+Strict patterns give the base spans; wide patterns propose further ones (spelled-out addresses, national numbers, longer
+internet addresses, cards with other separators). A strict match is labelled by its checksum, range or digit count, and
+these are no features of its kind: trees see only format and context. All labelled candidates of the corpus are counted per
+combination of binary features, so training sees a table whose size the number of features bounds. A stated prior, a
+short list of labelled examples, stands beside the corpus, which weighs n / (n + PRIOR_ROWS), so every kind has trees and
+a threshold at every size. Boosted trees of depth two are fitted per kind; a threshold, set on prior and held-out documents
+where scores cease to be right often enough, selects what is added to the base.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from functools import partial
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placescore.llm.common import query, table
+from placescore.llm.common import query, table, written
 
 KINDS = ["email", "ip", "card", "phone"]
 # What the base patterns of the contract match, written so that no input makes them backtrack far.
@@ -41,9 +42,60 @@ WORDS_BEFORE = {
     "phone": r"(?i)(tel|phone|call|fax|mobile|cell|sms|number|no)[^0-9A-Za-z]{0,3}$",
 }
 BYTE = "0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-#: Labelled candidates of either sign below which nothing is learnt and nothing added.
-LEAST_LABELS = 30
-FEATURES = ["email", "ip", "card", "phone", "plus", "at_sign", "luhn", "phone_digits", "bracket", "one_separator", "word_before", "glued_before", "glued_after", "same_digits"]
+#: Labelled corpus candidates that weigh as much as the prior.
+PRIOR_ROWS = 200
+FEATURES = ["bracket", "one_separator", "dotted", "word_before", "glued_before", "glued_after", "same_digits", "known_ending", "double_colon", "hex_letter", "zero_first"]
+#: What a kind is known to look like before any corpus is seen: (features, right, wrong), in parts of one.
+PRIOR = {
+    "email": [
+        (["bracket", "word_before", "known_ending"], 6, 0),
+        (["bracket", "known_ending"], 8, 0),
+        (["bracket"], 4, 1),
+        (["word_before", "known_ending"], 4, 0),
+        (["known_ending"], 2, 2),
+        (["word_before"], 1, 3),
+        ([], 1, 9),
+        (["glued_before"], 0, 2),
+        (["glued_after"], 0, 2),
+    ],
+    "ip": [
+        (["double_colon", "hex_letter", "one_separator"], 6, 0),
+        (["double_colon", "hex_letter", "one_separator", "word_before"], 6, 0),
+        (["hex_letter", "one_separator", "word_before"], 6, 0),
+        (["hex_letter", "one_separator"], 4, 0),
+        (["double_colon", "one_separator", "word_before"], 4, 0),
+        (["double_colon", "one_separator"], 2, 2),
+        (["one_separator", "word_before"], 1, 2),
+        (["one_separator"], 0, 8),
+        (["one_separator", "zero_first"], 0, 4),
+        (["one_separator", "same_digits"], 0, 2),
+    ],
+    "card": [
+        (["dotted", "one_separator", "word_before"], 8, 0),
+        (["one_separator", "word_before"], 8, 0),
+        (["word_before"], 4, 0),
+        (["dotted", "word_before"], 3, 0),
+        (["dotted", "one_separator"], 4, 2),
+        (["one_separator"], 4, 2),
+        ([], 1, 3),
+        (["dotted"], 1, 3),
+        (["same_digits", "one_separator"], 0, 3),
+        (["glued_before", "one_separator"], 0, 3),
+        (["glued_after", "one_separator"], 0, 3),
+    ],
+    "phone": [
+        (["bracket", "word_before"], 6, 0),
+        (["word_before", "one_separator"], 8, 0),
+        (["word_before", "dotted", "one_separator"], 6, 0),
+        (["word_before", "zero_first", "one_separator"], 6, 0),
+        (["bracket"], 4, 1),
+        (["zero_first", "one_separator"], 3, 1),
+        (["one_separator"], 1, 4),
+        (["dotted", "one_separator"], 0, 5),
+        (["dotted"], 0, 4),
+        (["same_digits", "one_separator"], 0, 2),
+    ],
+}
 
 
 def digits_of(text: Column) -> Column:
@@ -73,59 +125,91 @@ def valid(kind: str, text: Column) -> Column:
     return F.length(digits_of(text)).between(9, 15)
 
 
-def with_matches(df: DataFrame, name: str, text: str, pattern: str, worth_it: Column) -> DataFrame:
-    """Add ``name``: array of (text, start, end) of the leftmost non-overlapping matches, in code points.
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    The pieces between the matches give the positions: a match starts where the pieces and matches before it end.
-    """
-    none = F.array().cast("array<string>")
-    df = df.withColumn("_hit", F.when(worth_it, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("_gap", F.when(F.size("_hit") > 0, F.split(text, pattern, -1)).otherwise(none))
-    lengths = F.zip_with("_hit", F.slice("_gap", 1, F.size("_hit")), lambda m, g: F.struct(m.alias("text"), F.length(g).alias("gap"), F.length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["n"]
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["text"].alias("text"), begin.alias("start"), end.alias("end")))).alias("out"))
+def scan(values: Column, op) -> Column:
+    """Running ``op`` over an array by doubling steps: each step combines every element with the one 1, 2, 4, … places before."""
+
+    def step(acc: Column, j: Column) -> Column:
+        far = F.pow(F.lit(2), j).cast("int")
+        return F.transform(acc, lambda x, i: F.when(i >= far, op(x, F.get(acc, i - far))).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int")), values, step)
 
-    found = F.when(F.size("_hit") > 0, F.aggregate(lengths, start, step)["out"]).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>"))
-    return df.withColumn(name, found).drop("_hit", "_gap")
 
+SPANS = "array<struct<kind:int,base:boolean,text:string,start:int,end:int,before:string,after:string>>"
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
+def matches(text: Column, kind: str, base: bool, worth_it: Column) -> Column:
+    """Array of (kind, base, text, start, end, before, after) of the leftmost non-overlapping matches, in code points.
+
+    A match starts where the pieces and matches before it end; its surroundings are the pieces beside it.
+    """
+    pattern = (BASE if base else WIDE)[kind]
+    none = F.array().cast(SPANS)
+
+    def placed(hits: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.length(m) + F.length(g))
 
-def fresh(wide: str, base: str) -> Column:
-    """The wide spans that are not a base span themselves and overlap no confirmed one of their kind."""
-    same = lambda x, b: (x["start"] == b["start"]) & (x["end"] == b["end"])
-    return F.filter(wide, lambda x: ~F.exists(base, lambda b: same(x, b) | b["label"] & overlaps(x, b)))
+            def shown(ends: Column) -> Column:
+                def one(m: Column, i: Column) -> Column:
+                    return F.struct(
+                        F.lit(KINDS.index(kind)).alias("kind"),
+                        F.lit(base).alias("base"),
+                        m.alias("text"),
+                        (F.get(ends, i) - F.length(m)).alias("start"),
+                        F.get(ends, i).alias("end"),
+                        F.substring(F.get(gaps, i), -24, 24).alias("before"),
+                        F.substring(F.get(gaps, i + 1), 1, 2).alias("after"),
+                    )
 
+                return F.transform(hits, one)
 
-def checked(kind: str, match: Column) -> Column:
-    return valid(kind, match["text"])
+            return let(scan(steps, lambda x, y: x + y), shown)
+
+        return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), with_gaps)).otherwise(none)
+
+    return F.when(worth_it, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
 def of_kind(spans: str, kind: int) -> Column:
     return F.filter(spans, lambda x: x["kind"] == kind)
 
 
-def feature_bits(kind: str, m: Column, before: Column, after: Column) -> Column:
+def labelled(x: Column) -> Column:
+    """Whether a strict match passes the check of its kind."""
+    of = lambda kind: x["kind"] == KINDS.index(kind)
+    return F.when(of("ip"), valid("ip", x["text"])).when(of("card"), valid("card", x["text"])).when(of("phone"), valid("phone", x["text"])).otherwise(F.lit(True))
+
+
+def proposable(x: Column) -> Column:
+    """Whether a wide match can be what it looks like: what its kind must satisfy, kept out of the features."""
+    of = lambda kind: x["kind"] == KINDS.index(kind)
+    return F.when(of("card"), luhn(digits_of(x["text"]))).when(of("phone"), F.length(digits_of(x["text"])).between(9, 15)).otherwise(F.lit(True))
+
+
+def feature_bits(x: Column) -> Column:
     """Format and context features of a candidate as bits of an integer."""
-    digits = digits_of(m)
+    m, before, after = x["text"], x["before"], x["after"]
+    word = F.lit(False)
+    for i, kind in enumerate(KINDS):
+        word = F.when(x["kind"] == i, before.rlike(WORDS_BEFORE[kind])).otherwise(word)
     flags = {
-        kind: F.lit(True),
-        "plus": m.startswith("+"),
-        "at_sign": m.contains("@"),
-        "luhn": luhn(digits),
-        "phone_digits": F.length(digits).between(9, 15),
         "bracket": m.rlike(r"[(\[{]"),
-        "one_separator": F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^ ._/-]", ""), ""))) <= 1,
-        "word_before": before.rlike(WORDS_BEFORE[kind]),
+        "one_separator": F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^ ._/:-]", ""), ""))) <= 1,
+        "dotted": m.rlike("[0-9][._/]+[0-9]"),
+        "word_before": word,
         "glued_before": before.rlike(r"[\p{L}\p{N}]$"),
         "glued_after": after.rlike(r"^[\p{L}\p{N}]"),
         "same_digits": m.rlike(r"([0-9])\1{3}"),
+        "known_ending": m.rlike(r"(?i)(?:com|org|net|edu|gov|info|io|[^a-z](?:[a-z]{2}|example))$"),
+        "double_colon": m.contains("::"),
+        "hex_letter": m.rlike("(?i)[0-9:][a-f]|[a-f][0-9:]"),
+        "zero_first": m.rlike(r"^\(?0"),
     }
     bits = F.lit(0)
     for name, flag in flags.items():
@@ -133,53 +217,49 @@ def feature_bits(kind: str, m: Column, before: Column, after: Column) -> Column:
     return bits
 
 
+def uncovered(wide: Column, confirmed: Column) -> Column:
+    """The wide spans that overlap no confirmed strict one: a sweep over both in the order of their starts."""
+
+    def sweep(both: Column) -> Column:
+        # of the confirmed spans that start no later: the farthest end; of those that start later: the nearest start
+        farthest = scan(F.transform(both, lambda y: F.when(y["sure"], y["end"]).otherwise(F.lit(-1))), lambda a, b: F.greatest(a, b))
+        nearest = F.reverse(scan(F.reverse(F.transform(both, lambda y: F.when(y["sure"], y["start"]).otherwise(F.lit(2**31 - 1)))), lambda a, b: F.least(a, b)))
+        free = F.zip_with(F.zip_with(both, farthest, lambda y, e: F.struct(y.alias("y"), e.alias("e"))), nearest, lambda z, s: F.when(~z["y"]["sure"] & (z["e"] <= z["y"]["start"]) & (s >= z["y"]["end"]), z["y"]["nth"]))
+        return F.transform(F.filter(free, lambda i: i.isNotNull()), lambda i: F.get(wide, i))
+
+    sure = F.transform(confirmed, lambda b: F.struct(b["start"].alias("start"), F.lit(True).alias("sure"), b["end"].alias("end"), F.lit(-1).alias("nth")))
+    open_ = F.transform(wide, lambda x, i: F.struct(x["start"].alias("start"), F.lit(False).alias("sure"), x["end"].alias("end"), i.alias("nth")))
+    return F.when(F.size(wide) == 0, wide).when(F.size(confirmed) == 0, wide).otherwise(let(F.array_sort(F.concat(sure, open_)), sweep))
+
+
 def with_candidates(df: DataFrame, text: str = "_text") -> DataFrame:
     """Add ``_cand``: array of (kind, start, end, base, label, bits) over all kinds.
 
-    A base match is labelled by its check. A wide match that is a base match itself or lies over a confirmed one of its own kind is
-    dropped; over a confirmed match of another kind it is labelled false; else it has no label.
+    A strict match is labelled by its check. A wide match that its kind cannot be, or that lies over a confirmed strict one, is
+    dropped; the others have no label.
     """
     t = F.col(text)
     has_digit = t.rlike("[0-9]")
     may = {
-        ("b", "email"): t.contains("@"),
-        ("b", "ip"): has_digit,
-        ("b", "card"): has_digit,
-        ("b", "phone"): t.contains("+"),
-        ("w", "email"): t.contains("dot") | t.contains("DOT"),
-        ("w", "ip"): has_digit & t.contains(":"),
-        ("w", "card"): has_digit,
-        ("w", "phone"): has_digit,
+        (True, "email"): t.contains("@"),
+        (True, "ip"): has_digit,
+        (True, "card"): has_digit,
+        (True, "phone"): t.contains("+"),
+        (False, "email"): t.contains("dot") | t.contains("DOT"),
+        (False, "ip"): has_digit & t.contains(":"),
+        (False, "card"): has_digit,
+        (False, "phone"): has_digit,
     }
-    for (tag, kind), worth_it in may.items():
-        df = with_matches(df, f"_{tag}_{kind}", text, (BASE if tag == "b" else WIDE)[kind], worth_it)
-
-    def described(tag: str, kind: str, base: bool, label) -> Column:
-        def one(x: Column) -> Column:
-            first = F.greatest(x["start"] - 24, F.lit(0))
-            before = F.substring(t, first + 1, x["start"] - first)
-            after = F.substring(t, x["end"] + 1, F.lit(2))
-            return F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"),
-                x["start"].alias("start"),
-                x["end"].alias("end"),
-                F.lit(base).alias("base"),
-                label(x).alias("label"),
-                feature_bits(kind, x["text"], before, after).alias("bits"),
-            )
-
-        return F.transform(f"_{tag}_{kind}", one)
-
-    for kind in KINDS:
-        df = df.withColumn(f"_base_{kind}", described("b", kind, True, partial(checked, kind)))
-    confirmed = F.filter(F.concat(*[F.col(f"_base_{k}") for k in KINDS]), lambda x: x["label"])
-    df = df.withColumn("_confirmed", confirmed)
-    for kind in KINDS:
-        df = df.withColumn(f"_w_{kind}", fresh(f"_w_{kind}", f"_base_{kind}"))
-        df = df.withColumn(f"_wide_{kind}", described("w", kind, False, lambda x: F.when(F.exists("_confirmed", lambda b: overlaps(x, b)), F.lit(False))))
-    parts = [F.col(f"_{tag}_{k}") for k in KINDS for tag in ("base", "wide")]
-    df = df.withColumn("_cand", F.concat(*parts))
-    return df.drop("_confirmed", *[f"_{tag}_{k}" for k in KINDS for tag in ("b", "w", "base", "wide")])
+    found = {tag: F.concat(*[matches(t, kind, base, worth) for (base, kind), worth in may.items() if base == tag]) for tag in (True, False)}
+
+    def described(x: Column, label: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"), label.alias("label"), feature_bits(x).alias("bits"))
+
+    def candidates(base: Column) -> Column:
+        wide = let(F.filter(found[False], proposable), lambda w: uncovered(w, F.filter(base, lambda b: b["label"])))
+        return F.concat(base, F.transform(wide, lambda x: described(x, F.lit(None).cast("boolean"))))
+
+    return df.withColumn("_cand", let(F.transform(found[True], lambda x: described(x, labelled(x))), candidates))
 
 
 # ---- boosting on counted feature combinations ----------------------------------------------------
@@ -187,78 +267,101 @@ def with_candidates(df: DataFrame, text: str = "_text") -> DataFrame:
 
 @dataclass
 class Model:
-    """Sum of trees; a tree asks two features and has a value for each of the four answers."""
+    """For each kind a sum of trees and a threshold; a tree asks two features and has a value for each of the four answers."""
 
-    start: float = 0.0
-    trees: list[tuple[int, int, list[float]]] = field(default_factory=list)
+    start: dict[int, float] = field(default_factory=dict)
+    trees: dict[int, list[tuple[int, int, list[float]]]] = field(default_factory=dict)
     threshold: dict[int, float] = field(default_factory=dict)
 
-    def score(self, bits: np.ndarray) -> np.ndarray:
-        out = np.full(len(bits), self.start)
-        for a, b, values in self.trees:
+    def score(self, kind: int, bits: np.ndarray) -> np.ndarray:
+        out = np.full(len(bits), self.start[kind])
+        for a, b, values in self.trees[kind]:
             out += np.array(values)[2 * ((bits >> a) & 1) + ((bits >> b) & 1)]
         return out
 
-    def column(self, bits: Column) -> Column:
-        out = F.lit(self.start)
-        for a, b, values in self.trees:
-            answer = F.shiftright(bits, a).bitwiseAND(F.lit(1)) * 2 + F.shiftright(bits, b).bitwiseAND(F.lit(1))
-            out = out + F.get(F.array(*[F.lit(float(v)) for v in values]), answer)
+    def chosen(self, x: Column) -> Column:
+        """Whether a candidate's score reaches the threshold of its kind."""
+        out = F.lit(False)
+        for kind, trees in self.trees.items():
+            score = F.lit(self.start[kind])
+            for a, b, values in trees:
+                answer = F.shiftright(x["bits"], a).bitwiseAND(F.lit(1)) * 2 + F.shiftright(x["bits"], b).bitwiseAND(F.lit(1))
+                score = score + F.get(F.array(*[F.lit(float(v)) for v in values]), answer)
+            out = F.when(x["kind"] == kind, score >= self.threshold[kind]).otherwise(out)
         return out
 
 
-def boost(rows: list[tuple[int, bool, bool, int]], trees: int = 24, rate: float = 0.4, ridge: float = 1.0, precision: float = 0.98) -> Model:
-    """Fit to (bits, label, held out, count) rows; thresholds per kind from the held-out ones."""
-    seen = np.array(sorted({r[0] for r in rows}), np.int64)
-    place = {int(b): i for i, b in enumerate(seen)}
-    n = np.zeros((2, 2, len(seen)))  # held out, label, combination
-    for bits, label, held, count in rows:
-        n[int(held), int(label), place[bits]] += count
+def prior_of(kind: str) -> dict[tuple[int, bool], float]:
+    """(bits, label) -> weight of the stated examples; they sum to one."""
+    total = sum(right + wrong for _, right, wrong in PRIOR[kind])
+    out: dict[tuple[int, bool], float] = {}
+    for names, right, wrong in PRIOR[kind]:
+        bits = sum(1 << FEATURES.index(n) for n in names)
+        for label, n in ((True, right), (False, wrong)):
+            out[bits, label] = out.get((bits, label), 0) + n / total
+    return out
+
+
+def boost(rows: list[tuple[int, int, bool, bool, int]], trees: int = 16, rate: float = 0.4, ridge: float = 0.01, precision: float = 0.75) -> Model:
+    """Fit to (kind, bits, label, held out, count) rows and the prior; thresholds per kind from the held-out ones and the prior.
+
+    The corpus weighs n / (n + PRIOR_ROWS) beside the prior's one, smoothly in n, so no size has rules of its own.
+    """
     model = Model()
-    if min(n[0, 0].sum(), n[0, 1].sum()) < LEAST_LABELS:
-        return model
-    model.start = math.log(n[0, 1].sum() / n[0, 0].sum())
-    f = np.full(len(seen), model.start)
-    total = n[0].sum(axis=0)
-    answers = {(a, b): 2 * ((seen >> a) & 1) + ((seen >> b) & 1) for a, b in combinations(range(len(FEATURES)), 2)}
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-f))
-        gradient, curvature = n[0, 1] - total * p, total * p * (1 - p)
-        best = None
-        for pair, leaf in answers.items():
-            g, h = np.bincount(leaf, gradient, 4), np.bincount(leaf, curvature, 4)
-            gain = float((g * g / (h + ridge)).sum())
-            if best is None or gain > best[0] + 1e-9:
-                best = gain, pair, rate * g / (h + ridge)
-        if best[0] < 1e-6:
-            break
-        (a, b), values = best[1], best[2]
-        model.trees.append((a, b, [float(v) for v in values]))
-        f += values[answers[a, b]]
-    for kind in range(len(KINDS)):
-        own = np.flatnonzero((seen >> kind) & 1)
-        order = own[np.argsort(-f[own], kind="stable")]
-        right, wrong = np.cumsum(n[1, 1, order]), np.cumsum(n[1, 0, order])
-        good = np.flatnonzero((right >= LEAST_LABELS / 5) & (right >= precision * (right + wrong)))
-        if len(good) and f[order[good[-1]]] > 0:
-            model.threshold[kind] = float(f[order[good[-1]]])
+    for kind, name in enumerate(KINDS):
+        prior = prior_of(name)
+        asked = [i for i, feature in enumerate(FEATURES) if any(feature in names for names, _, _ in PRIOR[name])]  # what matters to the kind
+        seen = np.array(sorted({b for b, _ in prior} | {r[1] for r in rows if r[0] == kind}), np.int64)
+        place = {int(b): i for i, b in enumerate(seen)}
+        stated, counted = np.zeros((2, len(seen))), np.zeros((2, 2, len(seen)))  # label; held out, label
+        for (bits, label), weight in prior.items():
+            stated[int(label), place[bits]] += weight
+        for k, bits, label, held, count in rows:
+            if k == kind:
+                counted[int(held), int(label), place[bits]] += count
+        # learning and held-out weights: the prior's sum to one, the corpus's to less, however many rows it has
+        learn, held_out = (stated + part / (part.sum() + PRIOR_ROWS) for part in counted)
+        start = math.log((learn[1].sum() + ridge) / (learn[0].sum() + ridge))
+        f = np.full(len(seen), start)
+        total = learn.sum(axis=0)
+        answers = {(a, b): 2 * ((seen >> a) & 1) + ((seen >> b) & 1) for a, b in combinations(asked, 2)}
+        grown = []
+        for _ in range(trees):
+            p = 1 / (1 + np.exp(-f))
+            gradient, curvature = learn[1] - total * p, total * p * (1 - p)
+            best = None
+            for pair, leaf in answers.items():
+                g, h = np.bincount(leaf, gradient, 4), np.bincount(leaf, curvature, 4)
+                gain = float((g * g / (h + ridge)).sum())
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, pair, rate * g / (h + ridge)
+            (a, b), values = best[1], best[2]
+            grown.append((a, b, [float(v) for v in values]))
+            f += values[answers[a, b]]
+        # from the highest score down, as long as what a score stands for is right often enough; rare ones lean on the score
+        scores = np.unique(f)[::-1]
+        right, wrong = (np.array([part[f == x].sum() for x in scores]) for part in (held_out[1], held_out[0]))
+        own = (right + ridge / (1 + np.exp(-scores))) / (right + wrong + ridge)
+        low = np.flatnonzero(own < precision)
+        good = scores[: low[0]] if len(low) else scores
+        model.start[kind], model.trees[kind] = start, grown
+        model.threshold[kind] = float(good[-1]) - 1e-9 if len(good) else float("inf")
     return model
 
 
 def train(df: DataFrame) -> Model:
-    """``df`` has ``_cand`` and ``_id``; at most 2**features * 4 counted rows reach the driver."""
+    """``df`` has ``_cand`` and ``_id``; at most kinds * 2**features * 4 counted rows reach the driver."""
     held = F.pmod(F.xxhash64("_id"), F.lit(5)) == 0
-    counted = df.select(held.alias("held"), F.explode("_cand").alias("c")).where("c.label IS NOT NULL")
-    counted = counted.groupBy("c.bits", "c.label", "held").agg(F.count("*").alias("n"))
-    return boost([(r["bits"], r["label"], r["held"], r["n"]) for r in counted.collect()])
+    counted = df.select(held.alias("held"), F.explode(F.filter("_cand", lambda x: x["label"].isNotNull())).alias("c"))
+    counted = counted.groupBy("c.kind", "c.bits", "c.label", "held").agg(F.count("*").alias("n"))
+    return boost([(r["kind"], r["bits"], r["label"], r["held"], r["n"]) for r in counted.collect()])
 
 
 def with_spans(df: DataFrame, model: Model) -> DataFrame:
     """Replace ``_cand`` by ``_base`` and ``_all``: arrays of (kind, start, end), sorted."""
     place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     df = df.withColumn("_base", F.array_sort(F.transform(F.filter("_cand", lambda x: x["base"] & x["label"]), place)))
-    limit = F.create_map(*[F.lit(v) for kv in model.threshold.items() for v in kv]) if model.threshold else F.lit(None).cast("map<int,double>")
-    chosen = F.filter("_cand", lambda x: ~x["base"] & x["label"].isNull() & F.coalesce(model.column(x["bits"]) >= limit[x["kind"]], F.lit(False)))
+    chosen = F.filter("_cand", lambda x: ~x["base"] & model.chosen(x))
     return df.withColumn("_all", F.array_sort(F.concat("_base", F.transform(chosen, place)))).drop("_cand")
 
 
@@ -270,10 +373,11 @@ def shown(spans: str) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: id, base matches per kind, digest of the base spans, and all spans.
 
-    Null text is empty. Null ids and repeated rows are searched like any other, very long texts whole. With too few
-    labelled candidates nothing is learnt and the base stands alone, as in an empty table. Other columns are not read.
+    Null text is empty. Null ids and repeated rows are searched like any other, very long texts whole. Candidates are
+    written once; without labelled ones the prior alone decides. An empty table gives an empty result. Other columns are not read.
     """
     rows = with_candidates(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))).drop("_text")
+    rows = written(rows, "pii-candidates")
     found = with_spans(rows, train(rows))
     counts = [F.size(of_kind("_base", i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select(F.col("_id").alias(id_col), *counts, F.sha2(shown("_base"), 256).alias("base_sha256"), shown("_all").alias("spans"))
@@ -286,19 +390,21 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), text.alias("_text"))
-    model = train(with_candidates(rows.select("_id", "_text")))
-    found = with_spans(with_candidates(rows), model)
-    by_place = F.array_sort(F.transform("_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    rows = written(with_candidates(rows).drop("_text"), "pii-candidates").withColumn("_text", F.coalesce(F.col("_doc")[text_col].cast("string"), F.lit("")))
+    found = with_spans(rows, train(rows))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring("_text", acc["at"] + 1, x["start"] - acc["at"])
-        new = F.struct(F.concat(acc["out"], gap, F.get(names, x["kind"])).alias("out"), x["end"].alias("at"))
-        more = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
-        return F.when(x["start"] >= acc["at"], new).otherwise(more)
+    def cut(spans: Column) -> Column:
+        # spans by start; one that starts before the farthest end so far belongs to the run before it
+        def runs(upto: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(upto, i - 1)).otherwise(F.lit(0))
+            part = lambda x, i: F.when(x["start"] >= before(i), F.concat(F.substring("_text", before(i) + 1, x["start"] - before(i)), F.get(names, x["kind"]))).otherwise(F.lit(""))
+            tail = F.substring(F.col("_text"), F.get(upto, F.size(upto) - 1) + 1, F.length("_text"))
+            return F.concat(F.array_join(F.transform(spans, part), ""), tail)
+
+        return let(scan(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b)), runs)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cleaned = F.aggregate(by_place, start, step, lambda a: F.concat(a["out"], F.substring("_text", a["at"] + 1, F.length("_text"))))
+    cleaned = let(F.array_sort(F.transform("_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))), cut)
     old = F.col("_doc")
     return found.select(*[(F.when(F.size("_all") > 0, cleaned).otherwise(old[c]) if c == text_col else old[c]).alias(c) for c in docs.columns])
 

@@ -82,7 +82,7 @@ def test_encoder_forgets_and_goes_on(ranks, plain, monkeypatch):
     h = words.hashes(known)
     order = np.argsort(h)
     ids = [plain._encode_single_piece(known[i]) for i in order]
-    encoder = bpe.TextEncoder(ranks, public_tokenizers.PATTERN, (h[order], np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.uint32)))
+    encoder = bpe.TextEncoder(ranks, public_tokenizers.PATTERN, ([known[i] for i in order], np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.uint32)))
     encoder.dictionary.limit = len(known) + 100
     monkeypatch.setattr(words, "BATCH_CHARS", 500)
     for t, (n, shown, decoded) in zip(texts, encoder.encode(texts), strict=True):
@@ -169,6 +169,35 @@ def test_trees_add_what_labels_support(spark):
     assert not any(got[d] for d, _ in dotted if d >= 2000)
 
 
+def test_planted_wide_spans(spark):
+    """Precision and recall on planted spans of formats that the strict patterns miss, with and without a corpus around them."""
+    random.seed(8)
+    name = lambda: "".join(random.choice("abcdefghij") for _ in range(6))
+    four = lambda: "".join(random.choice("123456789") for _ in range(4))
+    planted = [(f"write to {a} [at] {b} [dot] com now", f"email:9:{9 + len(a) + len(b) + 16}") for a, b in ((name(), name()) for _ in range(20))]
+    planted += [(f"call (0{a}) {b}-{c} please", f"phone:5:{5 + len(f'(0{a}) {b}-{c}')}") for a, b, c in ((random.randint(20, 99), four(), four()) for _ in range(20))]
+    planted += [(f"from 2001:db8::{a}:ff00:{b} only", f"ip:5:{5 + len(f'2001:db8::{a}:ff00:{b}')}") for a, b in ((four(), four()) for _ in range(20))]
+    clean = [f"we met at noon dot then left {i}" for i in range(20)] + [f"took 12:30:45:{i} at most" for i in range(10, 30)] + [f"part {a}-{b}-{c} in stock" for a, b, c in ((four()[:3], four()[:3], four()) for _ in range(20))]
+    for corpus in ([], [f"card 4111 1111 1111 111{i % 10} or 10.0.{i % 300}.1, a{i}@b.example" for i in range(2000)]):
+        rows = [(i, t) for i, (t, _) in enumerate(planted)] + [(1000 + i, t) for i, t in enumerate(clean)] + [(10_000 + i, t) for i, t in enumerate(corpus)]
+        got = {r.doc_id: r.spans for r in pii.find(docs_of(spark, rows)).collect()}
+        assert sum(got[i] == want for i, (_, want) in enumerate(planted)) >= 0.95 * len(planted)
+        assert sum(bool(got[1000 + i]) for i in range(len(clean))) <= 0.05 * len(clean)
+
+
+def test_many_numbers_in_one_text(spark):
+    text = " ".join(str(i * 7919 % 100_000) for i in range(30_000)) + " mail a@b.example"
+    (row,) = pii.find(docs_of(spark, [(1, text)])).collect()
+    (clean,) = pii.redact(docs_of(spark, [(1, text)])).collect()
+    assert row.n_email == 1 and clean.text.endswith(" mail [EMAIL]")
+
+
+def test_overlapping_spans_become_one(spark):
+    rows = [(1, "x +4111 1111 1111 1111 y"), (2, "a@b.c+4915112345678 and 4111-1111-1111-1111")]
+    got = {r.doc_id: r.text for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert got[1] in ("x [PHONE] y", "x +[CARD] y") and "4111" not in got[2] and "a@b" not in got[2]
+
+
 def test_redact(spark):
     rows = [(1, "mail a.b@c.example now, or 10.0.0.1!"), (2, "nothing"), (3, None), (None, "call +1 (372) 555-7739 x"), (4, "4111 1111 1111 1111")]
     df = docs_of(spark, rows)
