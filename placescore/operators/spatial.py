@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from placescore.functions import cells
 
 EDGE_M = 1e-6
-SALT = 8
+#: Facts of one cell that one task takes; a heavier cell is dealt to several.
+ROWS_PER_TASK = 50_000
 
 
 def with_cell(df: DataFrame, lat: str = "lat", lon: str = "lon", out: str = "cell") -> DataFrame:
@@ -60,13 +61,34 @@ def cover(targets: DataFrame, reach: float | Column, size: float = cells.FINE_CE
     return out.select(*targets.columns, "cell", "near_m", "far_m")
 
 
-def _salted(cover_rows: DataFrame, facts: DataFrame, salt: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Spread the rows of a hot cell over ``salt`` partitions; only the small side is repeated."""
-    if salt <= 1:
-        return cover_rows, facts, ["cell"]
-    left = cover_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    right = facts.withColumn("_salt", F.pmod(F.xxhash64("lat", "lon"), F.lit(salt)).cast("int"))
-    return left, right, ["cell", "_salt"]
+def _spread(cover_rows: DataFrame, facts: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Spread the rows of heavy cells: a cell is dealt to as many parts as its count asks for, and only there the cover is repeated.
+
+    Counts come from a pre-aggregated pass over one column; only cells above ``rows_per_task`` rows are looked up. Parts are
+    dealt by all columns of a row, so one address with most of the facts spreads too.
+    """
+    heavy = facts.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    heavy = heavy.select("cell", F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = cover_rows.join(heavy, "cell", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    dealt = facts.join(heavy, "cell", "left").withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), parts).cast("int"))
+    return left, dealt.drop("_parts"), ["cell", "_salt"]
+
+
+def within(
+    targets: DataFrame, radius_m: float, per_cell: DataFrame, per_point: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """(target_id, rest) of everything within the radius: cells wholly inside are taken from ``per_cell`` (cell, rest), the
+    cells that the circle cuts from ``per_point`` (cell, lat, lon, rest), whose coordinates are tested."""
+    rest = [c for c in per_cell.columns if c != "cell"]
+    covered = cover(targets.select("target_id", "lat", "lon"), radius_m)
+    inside = F.col("far_m") <= radius_m - EDGE_M
+    whole = covered.where(inside).select("target_id", "cell").join(per_cell, "cell")
+    edge = covered.where(~inside).select("target_id", F.col("lat").alias("target_lat"), F.col("lon").alias("target_lon"), "cell")
+    left, right, keys = _spread(edge, per_point, rows_per_task)
+    d2 = cells.fast_distance_sq_m(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon"))
+    cut = left.join(right, keys).where(d2 <= radius_m * radius_m)
+    return whole.select("target_id", *rest).unionByName(cut.select("target_id", *rest))
 
 
 def radius_join(
@@ -74,7 +96,7 @@ def radius_join(
     facts: DataFrame,
     radius_m: float,
     prefilter: str = "box",
-    salt: int = SALT,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Every (target, fact) pair within the radius; the pairs are the result, so they are all produced.
 
@@ -93,7 +115,7 @@ def radius_join(
         "target_id", F.col("lat").alias("target_lat"), F.col("lon").alias("target_lon"), "cell"
     )
     rows = facts if "cell" in facts.columns else with_cell(facts)
-    left, right, keys = _salted(wanted, rows.where(F.col("cell").isNotNull()), salt)
+    left, right, keys = _spread(wanted, rows.where(F.col("cell").isNotNull()), rows_per_task)
     d2 = cells.fast_distance_sq_m(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon"))
     joined = left.join(right, keys).withColumn("distance_sq", d2)
     return joined.where(F.col("distance_sq") <= radius_m * radius_m).drop("_salt")
@@ -105,7 +127,7 @@ def radius_measures(
     radius_m: float,
     sums: Mapping[str, Column],
     entity: str | None = None,
-    salt: int = SALT,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Per target: sums of ``sums`` (and distinct entities) over the facts within the radius.
 
@@ -114,23 +136,12 @@ def radius_measures(
     """
     rows = facts if "cell" in facts.columns else with_cell(facts)
     rows = rows.where(F.col("cell").isNotNull())
-    covered = cover(targets, radius_m)
-    inside = F.col("far_m") <= radius_m - EDGE_M
     keep = [] if entity is None else [entity]
     points = rows.groupBy("cell", "lat", "lon", *keep).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     # straight from the rows: the map side already folds a cell to one row per task, so this second scan
     # of a few columns shuffles almost nothing, unlike a second pass over the coordinates
     per_cell = rows.groupBy("cell", *keep).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-
-    whole = covered.where(inside).select("target_id", "cell").join(per_cell, "cell")
-    edge = covered.where(~inside).select(
-        "target_id", F.col("lat").alias("target_lat"), F.col("lon").alias("target_lon"), "cell"
-    )
-    left, right, keys = _salted(edge, points, salt)
-    d2 = cells.fast_distance_sq_m(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon"))
-    cut = left.join(right, keys).where(d2 <= radius_m * radius_m)
-    columns = ["target_id", *keep, *sums]
-    hits = whole.select(*columns).unionByName(cut.select(*columns))
+    hits = within(targets, radius_m, per_cell, points, rows_per_task)
     aggs = [F.sum(n).alias(n) for n in sums]
     if entity is not None:
         aggs.append(F.count_distinct(entity).alias("entities"))
