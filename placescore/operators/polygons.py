@@ -1,13 +1,15 @@
 """Point in polygon, polygon fill and cell allocation.
 
 A polygon is ``ARRAY<ARRAY<ARRAY<STRUCT<x, y>>>>`` (polygons, rings, vertices in degrees; the first ring
-is the outline, the rest are holes). Polygons are exploded to the cells their boxes touch and met by
-points in an equi-join, so a point only sees the few polygons of its own cell.
+is the outline, the rest are holes). An edge goes to the cells it crosses and nowhere else. Whether the corner of a cell is
+inside follows from the crossings further along its row, counted by parity; a point is inside when the path from it to
+that corner crosses an odd or even number of the cell's own edges. Cells without edges need no test. So the work is
+linear in edges and covered cells, however many vertices a polygon has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.functions import cells
@@ -27,15 +29,18 @@ def edges(shape: Column) -> Column:
     return F.flatten(F.transform(F.flatten(shape), _ring_edges))
 
 
-def crosses(x: Column, y: Column, edge_array: Column) -> Column:
-    """Even-odd rule: an odd number of edges to the right of the point."""
+def _spans(e: Column, y: Column) -> Column:
+    return (e["a"]["y"] > y) != (e["b"]["y"] > y)
+
 
-    def hit(e: Column) -> Column:
-        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        spans = (ay > y) != (by > y)
-        return spans & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+def _x_at(e: Column, y: Column) -> Column:
+    a, b = e["a"], e["b"]
+    return F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
 
-    return F.size(F.filter(edge_array, hit)) % 2 == 1
+
+def crosses(x: Column, y: Column, edge_array: Column) -> Column:
+    """Even-odd rule over a whole polygon: an odd number of edges to the right of the point."""
+    return F.size(F.filter(edge_array, lambda e: _spans(e, y) & (x < _x_at(e, y)))) % 2 == 1
 
 
 def boundary_distance_m(x: Column, y: Column, edge_array: Column) -> Column:
@@ -53,32 +58,67 @@ def boundary_distance_m(x: Column, y: Column, edge_array: Column) -> Column:
     return F.array_min(F.transform(edge_array, one))
 
 
-def prepare(polys: DataFrame, keep: list[str]) -> DataFrame:
-    """Edges and box per polygon, computed once."""
-    vertex = F.flatten(F.flatten(F.col("shape")))
-    xs, ys = F.transform(vertex, lambda p: p["x"]), F.transform(vertex, lambda p: p["y"])
-    return polys.select(
-        *keep,
-        edges(F.col("shape")).alias("edges"),
-        F.array_min(xs).alias("x0"),
-        F.array_max(xs).alias("x1"),
-        F.array_min(ys).alias("y0"),
-        F.array_max(ys).alias("y1"),
-    )
+#: Metres by which an edge reaches beyond itself, so that rounding never hides it from a cell.
+REACH_M = 1e-3
 
 
-def to_cells(prepared: DataFrame, buffer_m: float = 0.0, size: float = cells.FINE_CELL_M) -> DataFrame:
-    """One row per (polygon, cell its buffered box touches)."""
-    ix0 = F.floor((cells.metres_x(F.col("x0")) - buffer_m) / size)
-    ix1 = F.floor((cells.metres_x(F.col("x1")) + buffer_m) / size)
-    iy0 = F.floor((cells.metres_y(F.col("y0")) - buffer_m) / size)
-    iy1 = F.floor((cells.metres_y(F.col("y1")) + buffer_m) / size)
-    return (
-        prepared.withColumn("_ix", F.explode(F.sequence(ix0, ix1)))
-        .withColumn("_iy", F.explode(F.sequence(iy0, iy1)))
-        .withColumn("cell", cells.pack(F.col("_ix"), F.col("_iy")))
-        .drop("_ix", "_iy")
-    )
+def _corner(ix: Column, iy: Column, size: float) -> tuple[Column, Column]:
+    """Degrees of the lower right corner of a cell, the point whose side is known for every cell."""
+    return cells.lon_of((ix + 1) * size), cells.lat_of(iy * size)
+
+
+def edge_cells(polys: DataFrame, zone: str = "zone_id", buffer_m: float = 0.0, size: float = cells.FINE_CELL_M) -> DataFrame:
+    """(zone, edge, _ix, _iy): every edge with the cells that it, or what lies within ``buffer_m`` of it, touches."""
+    e = F.col("edge")
+    ends = {f"_{axis}{i}": f(e[v][axis]) for i, v in enumerate("ab") for axis, f in (("x", cells.metres_x), ("y", cells.metres_y))}
+    reach = buffer_m + REACH_M
+    rows = polys.select(zone, F.explode(edges(F.col("shape"))).alias("edge")).withColumns(ends)
+    low, high = F.least("_y0", "_y1"), F.greatest("_y0", "_y1")
+    rows = rows.withColumn("_iy", F.explode(F.sequence(F.floor((low - reach) / size), F.floor((high + reach) / size))))
+    dy = F.col("_y1") - F.col("_y0")
+
+    def x_near(y: Column) -> Column:
+        """x where the edge meets a height, or its end beyond that."""
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(y - F.col("_y0"), dy)))
+        return F.col("_x0") + part * (F.col("_x1") - F.col("_x0"))
+
+    below, above = F.col("_iy") * size - reach, (F.col("_iy") + 1) * size + reach
+    left = F.when(dy == 0, F.least("_x0", "_x1")).otherwise(F.least(x_near(below), x_near(above)))
+    right = F.when(dy == 0, F.greatest("_x0", "_x1")).otherwise(F.greatest(x_near(below), x_near(above)))
+    return rows.withColumn("_ix", F.explode(F.sequence(F.floor((left - reach) / size), F.floor((right + reach) / size)))).select(zone, "edge", "_ix", "_iy")
+
+
+def cell_index(polys: DataFrame, zone: str = "zone_id", size: float = cells.FINE_CELL_M) -> DataFrame:
+    """(zone, cell, edges, corner_in): the cells a polygon covers or cuts. Cells wholly inside have NULL edges."""
+    e = F.col("edge")
+    corner_x, corner_y = _corner(F.col("_ix"), F.col("_iy"), size)
+    at = _x_at(e, corner_y)
+    left_x = cells.lon_of(F.col("_ix") * size)
+    # the bottom line of the row meets the edge in this cell: right of the left corner, not right of the right one
+    toggles = _spans(e, corner_y) & (left_x < at) & ~(corner_x < at)
+    cut = edge_cells(polys, zone, 0.0, size).groupBy(zone, "_iy", "_ix").agg(F.collect_list("edge").alias("edges"), F.count_if(toggles).alias("_t"))
+    row = Window.partitionBy(zone, "_iy").orderBy(F.desc("_ix"))
+    beyond = F.coalesce(F.sum("_t").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = cut.withColumns({"_beyond": beyond, "_next": F.lead("_ix").over(row)})
+    own = seen.select(zone, "_ix", "_iy", "edges", (F.col("_beyond") % 2 == 1).alias("corner_in"))
+    run = F.when(((F.col("_beyond") + F.col("_t")) % 2 == 1) & (F.col("_next") < F.col("_ix") - 1), F.sequence(F.col("_next") + 1, F.col("_ix") - 1))
+    whole = seen.select(zone, F.explode(run).alias("_ix"), "_iy").withColumns({"edges": F.lit(None).cast(own.schema["edges"].dataType), "corner_in": F.lit(True)})
+    return own.unionByName(whole).select(zone, cells.pack(F.col("_ix"), F.col("_iy")).alias("cell"), "edges", "corner_in")
+
+
+def inside_cell(x: Column, y: Column, size: float = cells.FINE_CELL_M) -> Column:
+    """Whether a point is inside, given its cell's row of :func:`cell_index`: along the row to the right border, then down to the corner."""
+    right, bottom = _corner(cells.cell_ix(F.col("cell")), cells.cell_iy(F.col("cell")), size)
+
+    def flips(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        along = _spans(e, y) & ((x < _x_at(e, y)) != (right < _x_at(e, y)))
+        height = a["y"] + F.try_divide((right - a["x"]) * (b["y"] - a["y"]), b["x"] - a["x"])
+        down = ((a["x"] > right) != (b["x"] > right)) & ((height <= y) != (height <= bottom))
+        return along != down  # both at once cancel out
+
+    odd = F.size(F.filter("edges", flips)) % 2 == 1
+    return F.when(F.col("edges").isNull(), F.lit(True)).otherwise(F.col("corner_in") != odd)
 
 
 def pip_join(
@@ -90,14 +130,12 @@ def pip_join(
     always beats a buffered one. Points sharing a coordinate are tested once.
     """
     at = spatial.with_cell(points.select("lat", "lon").distinct())
-    near = at.join(to_cells(prepare(polys, [zone]), buffer_m), "cell")
-    inside = crosses(F.col("lon"), F.col("lat"), F.col("edges"))
+    tested = at.join(cell_index(polys, zone), "cell").where(inside_cell(F.col("lon"), F.col("lat"))).select("lat", "lon", zone, F.lit(0.0).alias("_gap"))
     if buffer_m > 0:
+        close = edge_cells(polys, zone, buffer_m).groupBy(zone, cells.pack(F.col("_ix"), F.col("_iy")).alias("cell")).agg(F.collect_list("edge").alias("edges"))
         gap = boundary_distance_m(F.col("lon"), F.col("lat"), F.col("edges"))
-        tested = near.withColumn("_gap", F.when(inside, 0.0).otherwise(gap)).where(F.col("_gap") <= buffer_m)
-    else:
-        boxed = F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-        tested = near.where(boxed).where(inside).withColumn("_gap", F.lit(0.0))
+        beside = at.join(close, "cell").select("lat", "lon", zone, gap.alias("_gap")).where(F.col("_gap") <= buffer_m)
+        tested = tested.unionByName(beside)
     zones = tested.groupBy("lat", "lon").agg(F.min(F.struct("_gap", zone))[zone].alias(zone))
     return points.join(zones, ["lat", "lon"]).select(id_col, "lat", "lon", zone)
 
@@ -109,9 +147,8 @@ def inside_buffered(points: DataFrame, polys: DataFrame, id_col: str, buffer_m:
 
 def fill_polygons(polys: DataFrame, zone: str = "zone_id") -> DataFrame:
     """Polygon to cells by centre containment; a polygon holding no centre gets the cell of its mean vertex."""
-    rows = to_cells(prepare(polys, [zone]))
     lat, lon = cells.centre_lat(F.col("cell")), cells.centre_lon(F.col("cell"))
-    hit = rows.where(crosses(lon, lat, F.col("edges"))).select(zone, "cell")
+    hit = cell_index(polys, zone).where(inside_cell(lon, lat)).select(zone, "cell")
     outline = F.col("shape")[0][0]
     n = F.size(outline) - 1
     corner = F.slice(outline, 1, n)
@@ -144,8 +181,8 @@ def land_fraction(units: DataFrame, polys: DataFrame, parts: int = 8, zone: str
             }
         )
     )
-    near = samples.join(to_cells(prepare(polys, [zone])), "cell", "left")
-    hit = F.coalesce(crosses(F.col("lon"), F.col("lat"), F.col("edges")), F.lit(False))
+    near = samples.join(cell_index(polys, zone), "cell", "left")
+    hit = F.when(F.col("corner_in").isNull(), F.lit(False)).otherwise(inside_cell(F.col("lon"), F.col("lat")))
     per_sample = near.groupBy("cell", "_i", "_j").agg(F.max(hit.cast("int")).alias("_in"))
     share = per_sample.groupBy("cell").agg(F.avg("_in").alias("land_fraction"))
     return share.where(F.col("land_fraction") >= 0.03).withColumn(

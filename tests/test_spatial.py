@@ -1,6 +1,7 @@
 """Spatial operators against brute force, with hot cells, copies and far-away points."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -93,6 +94,66 @@ def test_point_in_polygon_holes_and_parts(spark):
     assert near == {1, 2, 3, 4, 5}
 
 
+def _plain_inside(x, y, ring):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
+
+
+def test_a_polygon_of_fifty_thousand_vertices(spark):
+    """Edges go to the cells they cross: rows stay linear in edges and covered cells, and every point gets the right side."""
+    n, rng = 50_000, random.Random(4)
+    ring = []
+    for i in range(n):
+        r = 0.02 * (1 + 0.3 * math.sin(11 * 2 * math.pi * i / n) + 0.02 * rng.random())
+        ring.append((-73.95 + r * math.cos(2 * math.pi * i / n), 40.75 + r * math.sin(2 * math.pi * i / n)))
+    ring.append(ring[0])
+    z = spark.createDataFrame([(7, [[[{"x": x, "y": y} for x, y in ring]]])], f"zone_id int, shape {polygons.SHAPE}")
+    pts = [(i, 40.75 + rng.uniform(-0.03, 0.03), -73.95 + rng.uniform(-0.03, 0.03)) for i in range(150)]
+    pts += [(1000 + i, y + rng.uniform(-1e-5, 1e-5), x + rng.uniform(-1e-5, 1e-5)) for i, (x, y) in enumerate(rng.sample(ring, 100))]
+    got = {r.id for r in polygons.pip_join(spark.createDataFrame(pts, "id int, lat double, lon double"), z, "id").collect()}
+    assert got == {i for i, y, x in pts if _plain_inside(x, y, ring)}
+    index = polygons.cell_index(z).agg(F.count("*").alias("cells"), F.sum(F.size("edges")).alias("edges")).first()
+    assert index.edges < 1.5 * n + 20 * index.cells
+    filled = {r.cell for r in polygons.fill_polygons(z).collect()}
+    rows = polygons.cell_index(z).select("cell", cells.centre_lat(F.col("cell")).alias("y"), cells.centre_lon(F.col("cell")).alias("x")).collect()
+    assert filled == {r.cell for r in rows if _plain_inside(r.x, r.y, ring)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_polygons_on_the_lattice_lines(spark, seed):
+    """Edges along cell borders, corners on cell corners, self-crossing rings: every point as by the plain rule."""
+    rng = random.Random(seed)
+    step_x, step_y = 300 / K / C, 300 / K
+    corner = lambda: (-73.98 + rng.randint(-6, 6) * step_x / rng.choice([1, 2]), 40.72 + rng.randint(-6, 6) * step_y / rng.choice([1, 2]))
+    rings = []
+    for _ in range(6):
+        ring = [corner() for _ in range(rng.randint(3, 7))]
+        x0, y0, x1, y1 = *min(ring), *max(ring)
+        rings.append(ring + ring[:1])
+        rings.append([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)])
+    z = spark.createDataFrame([(i, [[[{"x": x, "y": y} for x, y in ring]]]) for i, ring in enumerate(rings)], f"zone_id int, shape {polygons.SHAPE}")
+    pts = [(i, 40.72 + rng.uniform(-7, 7) * step_y, -73.98 + rng.uniform(-7, 7) * step_x) for i in range(400)]
+    p = spark.createDataFrame(pts, "id int, lat double, lon double")
+    got = {r.id: r.zone_id for r in polygons.pip_join(p, z, "id").collect()}
+    want = {i: min(k) for i, y, x in pts if (k := [j for j, ring in enumerate(rings) if _plain_inside(x, y, ring)])}
+    assert got == want
+
+
+def test_one_address_with_most_of_the_facts_is_dealt_to_many_tasks(spark):
+    f = spark.range(3000).selectExpr("id AS event_id", "40.70D AS lat", "-74.0D + IF(id % 3 = 0, 0.0001D * id, 0.0D) AS lon", "1 AS one")
+    t = spark.createDataFrame([(1, 40.70, -74.0), (2, 40.701, -74.0)], "target_id int, lat double, lon double")
+    left, right, keys = spatial._spread(spatial.cover(t, 300.0).select("target_id", "cell"), spatial.with_cell(f), 100)
+    sizes = [r["count"] for r in right.groupBy(*keys).count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == 3000
+    plain = spatial.radius_join(t, f, 300.0).groupBy("target_id").count().orderBy("target_id").collect()
+    assert spatial.radius_join(t, f, 300.0, rows_per_task=100).groupBy("target_id").count().orderBy("target_id").collect() == plain
+    few = spatial.radius_measures(t, f, 300.0, {"n": F.col("one")}, entity="event_id", rows_per_task=50).orderBy("target_id").collect()
+    assert [(r.target_id, r.n, r.entities) for r in few] == [(r.target_id, r["count"], r["count"]) for r in plain]
+
+
 BOXES = {
     "west": (-74.00, 40.72, -73.985, 40.735, 9000.0, 100.0),
     "east": (-73.985, 40.72, -73.97, 40.735, 4000.0, 80.0),
