@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placescore.functions import text
+from placescore.session import cut_lineage
 
-POOL_CAP = 120
 ROUND_TOLERANCE = 0.5
 DERIVE_RELATIVE, DERIVE_ABSOLUTE = 0.0005, 0.005
 
@@ -77,36 +78,108 @@ def pass_power(attempts: DataFrame, key: str = "case_id") -> DataFrame:
     )
 
 
-def classify_numbers(rows: DataFrame, key: str, claimed: str, supported: str) -> DataFrame:
-    """(key, token, label) with label literal / rounded / derived / unsupported.
+# ---- grounding of numbers ------------------------------------------------------------------------
+
+#: Values of one group that one task pairs with the group's open claims.
+VALUES_PER_PART = 1_000
+
+
+def _near(v: Column, other: Column) -> Column:
+    slack = F.greatest(F.lit(DERIVE_ABSOLUTE), F.lit(DERIVE_RELATIVE) * F.greatest(F.abs(v), F.abs(other)))
+    return F.abs(v - other) <= slack
+
+
+def _near_range(v: Column) -> tuple[Column, Column]:
+    """Between what bounds the values near ``v`` lie."""
+    m = F.abs(v)
+    inner, outer = F.least(m - DERIVE_ABSOLUTE, m * (1 - DERIVE_RELATIVE)), F.greatest(m + DERIVE_ABSOLUTE, m / (1 - DERIVE_RELATIVE))
+    return F.when(v >= 0, inner).otherwise(-outer), F.when(v >= 0, outer).otherwise(-inner)
+
+
+def _exponent(x: Column) -> Column:
+    return F.floor(F.log2(F.greatest(F.abs(x), F.lit(1e-300)))).cast("int")
+
+
+def _bucket(x: Column, level: Column) -> Column:
+    return F.floor(x * F.pow(F.lit(2.0), -level)).cast("bigint")
+
 
-    ``claimed`` and ``supported`` are arrays of number texts. The derivation pool is the 120 smallest
-    supported values, the grading rule itself, so a row's work is bounded.
+def _levels(claims: DataFrame, values: DataFrame) -> tuple[int, int]:
+    """Between what exponents the levels of all probes lie, from the extremes of claims and values (one row each)."""
+    v = claims.agg(F.max(F.abs("v"))).first()[0] or 0.0
+    least, most = values.where("x <> 0").agg(F.min(F.abs("x")), F.max(F.abs("x"))).first()
+    least, most = least or 1.0, most or 1.0
+    narrow, wide = 2 * DERIVE_ABSOLUTE, max(2 * ROUND_TOLERANCE, v * 3 * DERIVE_RELATIVE, 2 * DERIVE_ABSOLUTE)
+    far = (most + v + wide) * (1 + (v + wide) / 100)
+    low = min(narrow, least * narrow / 100)
+    return math.floor(math.log2(low)) - 3, max(math.ceil(math.log2(max(wide, most * wide / 100))), math.ceil(math.log2(far)) - 51) + 1
+
+
+def _looked_up(probes: DataFrame, values: DataFrame, by: list[str], levels: tuple[int, int], fits: Column) -> DataFrame:
+    """Probes (by, token, v, a, op, low, high) that some value between the bounds satisfies.
+
+    A probe asks at the level whose buckets are at most half as wide as its range (or as fine as doubles are), so it touches
+    a handful, and of a bucket that its range cuts the least or the greatest value decides.
     """
-    pool = F.slice(
-        F.array_sort(F.array_distinct(F.transform(F.col(supported), lambda t: t.cast("double")))), 1, POOL_CAP
-    )
-    claims = rows.select(
-        key, F.col(supported).alias("_known"), pool.alias("_pool"), F.explode(F.array_distinct(F.col(claimed))).alias("token")
-    )
-    v = F.col("token").cast("double")
-
-    def near(other: Column) -> Column:
-        slack = F.greatest(F.lit(DERIVE_ABSOLUTE), F.lit(DERIVE_RELATIVE) * F.greatest(F.abs(v), F.abs(other)))
-        return F.abs(v - other) <= slack
-
-    def derived(a: Column, b: Column) -> Column:
-        ratio = F.when(b != 0, near(a / b * 100.0)).otherwise(False)
-        inverse = F.when(a != 0, near(b / a * 100.0)).otherwise(False)
-        return near(a - b) | near(b - a) | near(a + b) | ratio | inverse
-
-    label = (
-        F.when(F.array_contains("_known", F.col("token")), "literal")
-        .when(F.exists("_pool", lambda p: F.abs(v - p) <= ROUND_TOLERANCE), "rounded")
-        .when(F.exists("_pool", lambda a: F.exists("_pool", lambda b: (a <= b) & derived(a, b))), "derived")
-        .otherwise("unsupported")
+    spread = F.lit(1e-15) * (F.abs(F.coalesce("a", F.lit(0.0))) + F.abs("low") + F.abs("high"))
+    level = F.greatest(_exponent((F.col("high") - F.col("low")) / 2), _exponent(F.greatest(F.abs("low"), F.abs("high"))) - 51)
+    asked = probes.withColumn("_level", level).withColumns({"_low": F.col("low") - spread, "_high": F.col("high") + spread})
+    asked = asked.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_low"), F.col("_level")), _bucket(F.col("_high"), F.col("_level")))))
+    # each value is indexed at the levels that can be asked and that it can be told apart at
+    first = F.greatest(F.lit(levels[0]), F.least(F.lit(levels[1]), _exponent(F.col("x")) - 53))
+    indexed = values.withColumn("_level", F.explode(F.sequence(first, F.lit(levels[1]))))
+    index = indexed.groupBy(*by, "_level", _bucket(F.col("x"), F.col("_level")).alias("_bucket")).agg(F.min("x").alias("least"), F.max("x").alias("most"))
+    return asked.join(index, [*by, "_level", "_bucket"]).where(fits).select(*by, "token").distinct()
+
+
+def ground_numbers(claims: DataFrame, pool: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, token, label) for the distinct claimed tokens of each group: literal / rounded / derived / unsupported.
+
+    ``claims`` and ``pool`` hold number texts per group. Rounded is within half a unit of a pool value; derived is a
+    difference, sum or share in percent of two pool values (or of one with itself) within the derivation tolerance. Every
+    pool value counts: for each open claim and pool value the partner is looked up in buckets of values.
+    """
+    by = list(by)
+    asked, known = claims.select(*by, "token").where("token IS NOT NULL").distinct(), pool.select(*by, "token").distinct()
+    asked = cut_lineage(asked.join(known.withColumn("literal", F.lit(True)), [*by, "token"], "left"))
+    values = cut_lineage(known.select(*by, F.col("token").try_cast("double").alias("x")).where("x IS NOT NULL").distinct())
+    rest = asked.where("literal IS NULL").select(*by, "token", F.col("token").try_cast("double").alias("v")).where("v IS NOT NULL")
+    v, a = F.col("v"), F.col("a")
+
+    def by_ends(test) -> Column:
+        return test(F.col("least")) | test(F.col("most"))
+
+    levels = _levels(rest, values)
+    close = rest.select(*by, "token", "v", F.lit(None).cast("double").alias("a"), (v - ROUND_TOLERANCE).alias("low"), (v + ROUND_TOLERANCE).alias("high"))
+    rounded = cut_lineage(_looked_up(close, values, by, levels, by_ends(lambda b: F.abs(v - b) <= ROUND_TOLERANCE)))
+    rest = rest.join(rounded, [*by, "token"], "left_anti")
+    # every open claim meets every value of its group once, a large pool in parts
+    parts = values.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / VALUES_PER_PART).cast("int").alias("_parts"))
+    dealt = values.join(parts, by).select(*by, F.col("x").alias("a"), F.pmod(F.xxhash64("x"), F.col("_parts")).cast("int").alias("_part"))
+    meeting = rest.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    low, high = _near_range(v)
+    share = [a * low / 100, a * high / 100]
+    ranges = F.array(
+        F.struct(F.lit("difference").alias("op"), (a + low).alias("low"), (a + high).alias("high")),
+        F.struct(F.lit("sum").alias("op"), (low - a).alias("low"), (high - a).alias("high")),
+        F.when(a != 0, F.struct(F.lit("share").alias("op"), F.least(*share).alias("low"), F.greatest(*share).alias("high"))),
     )
-    return claims.select(key, "token", label.alias("label"))
+    probes = meeting.join(dealt, [*by, "_part"]).select(*by, "token", "v", "a", F.inline(F.array_compact(ranges)))
+
+    def derives(b: Column) -> Column:
+        made = F.when(F.col("op") == "difference", b - a).when(F.col("op") == "sum", a + b).otherwise(F.try_divide(b, a) * 100.0)
+        return _near(v, made)
+
+    derived = _looked_up(probes, values, by, levels, by_ends(derives))
+    found = rounded.withColumn("_how", F.lit("rounded")).unionByName(derived.withColumn("_how", F.lit("derived")))
+    label = F.when(F.col("literal"), "literal").otherwise(F.coalesce("_how", F.lit("unsupported")))
+    return asked.join(found, [*by, "token"], "left").select(*by, "token", label.alias("label"))
+
+
+def classify_numbers(rows: DataFrame, key: str, claimed: str, supported: str) -> DataFrame:
+    """(key, token, label) where each row brings its own arrays of claimed and supported number texts."""
+    claims = rows.select(key, F.explode(claimed).alias("token"))
+    return ground_numbers(claims, rows.select(key, F.explode(supported).alias("token")), [key])
 
 
 def unsupported_places(rows: DataFrame, key: str, answer: str, support: str, vocabulary: Sequence[str]) -> DataFrame:

@@ -264,24 +264,27 @@ def a38(spark, sf):
     return evals.summary(graded(spark, sf))
 
 
+_NEAR = "abs(v - {o}) <= greatest(0.005, 0.0005 * greatest(abs(v), abs({o})))"
+
+
 @query(
     "f34_number_grounding",
-    r"""WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\d+\.\d+|\d{2,}')) AS c FROM documents), s AS (SELECT source, list_distinct(flatten(list(c))) AS pool FROM n JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY 1),
-      j AS (SELECT doc_id, c, coalesce(pool, []) AS pool, list_slice(list_sort(list_distinct(list_transform(coalesce(pool, []), lambda t: t::DOUBLE))), 1, 120) AS p FROM n JOIN documents USING (doc_id) LEFT JOIN s USING (source)),
-      u AS (SELECT doc_id, unnest(c) AS token, pool, p FROM j), v AS (SELECT *, token::DOUBLE AS v FROM u)
-    SELECT doc_id, token, CASE WHEN list_contains(pool, token) THEN 'literal' WHEN len(list_filter(p, lambda x: abs(v - x) <= 0.5)) > 0 THEN 'rounded'
-      WHEN len(list_filter(p, lambda a: len(list_filter(p, lambda b: a <= b AND (abs(v - (a - b)) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(a - b))) OR abs(v - (b - a)) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(b - a)))
-        OR abs(v - (a + b)) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(a + b))) OR (b <> 0 AND abs(v - a / b * 100) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(a / b * 100)))) OR (a <> 0 AND abs(v - b / a * 100) <= greatest(0.005, 0.0005 * greatest(abs(v), abs(b / a * 100))))))) > 0)) > 0 THEN 'derived' ELSE 'unsupported' END AS label FROM v""",
+    rf"""WITH n AS (SELECT DISTINCT source, lang, unnest(regexp_extract_all(text, '\d+\.\d+|\d{{2,}}')) AS token FROM documents),
+      p AS (SELECT DISTINCT g.source, g.lang, n.token FROM (SELECT DISTINCT source, lang FROM n) g JOIN n ON n.source = g.source AND n.lang IS DISTINCT FROM g.lang),
+      x AS (SELECT source, lang, list_distinct(list(token::DOUBLE)) AS p, list(token) AS pool FROM p GROUP BY 1, 2),
+      c AS (SELECT n.source, n.lang, n.token, n.token::DOUBLE AS v, coalesce(p, []) AS p, coalesce(pool, []) AS pool FROM n LEFT JOIN x ON x.source = n.source AND x.lang IS NOT DISTINCT FROM n.lang)
+    SELECT source, lang, token, CASE WHEN list_contains(pool, token) THEN 'literal' WHEN len(list_filter(p, lambda x: abs(v - x) <= 0.5)) > 0 THEN 'rounded'
+      WHEN len(list_filter(p, lambda a: len(list_filter(p, lambda b: {_NEAR.format(o="(a - b)")} OR {_NEAR.format(o="(a + b)")} OR (b <> 0 AND {_NEAR.format(o="(a / b * 100)")}))) > 0)) > 0 THEN 'derived' ELSE 'unsupported' END AS label FROM c""",
 )
 def f34(spark, sf):
-    """Numbers of every document against the numbers of the English documents of its source."""
+    """Numbers of a source's documents in one language against all numbers of its documents in the other languages."""
     from placescore.functions import text
 
-    n = table(spark, sf, "documents").select("doc_id", "source", "lang", text.numbers(F.col("text")).alias("claimed"))
-    # distinct (source, number) first: copies of a text add nothing, whatever their share of the rows
-    pool = n.where("lang = 'en'").select("source", F.explode("claimed").alias("t")).distinct().groupBy("source").agg(F.collect_list("t").alias("supported"))
-    rows = n.join(pool, "source", "left").withColumn("supported", F.coalesce("supported", F.array().cast("array<string>")))
-    return evals.classify_numbers(rows, "doc_id", "claimed", "supported")
+    # distinct numbers first: copies of a text add nothing, whatever their share of the rows
+    n = table(spark, sf, "documents").select("source", F.coalesce("lang", F.lit("")).alias("lang"), F.explode(text.numbers(F.col("text"))).alias("token")).distinct()
+    groups = n.select("source", "lang").distinct()
+    pool = n.withColumnRenamed("lang", "_other").join(groups, "source").where(F.col("_other") != F.col("lang")).select("source", "lang", "token")
+    return evals.ground_numbers(n, pool, ["source", "lang"]).withColumn("lang", F.nullif("lang", F.lit("")))
 
 
 @query(

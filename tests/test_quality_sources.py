@@ -1,13 +1,14 @@
 """Cleaning vocabulary, scanners, readers, publication gates."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from placescore.functions import text
 from placescore.operators import tables
-from placescore.plans import quality, search
+from placescore.plans import evals, quality, search
 from placescore.session import scratch_path
 from placescore.sources import publish, readers
 
@@ -166,3 +167,36 @@ def test_counts_run_on_a_stream(spark, tmp_path):
     run.awaitTermination(120)
     batch = tables.count_by(with_cell(spark.read.parquet(src)), "cell")
     assert sorted(map(tuple, spark.table("live_cells").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def _plain_label(token, pool):
+    v, values = float(token), [float(t) for t in pool]
+
+    def near(other):
+        return abs(v - other) <= max(0.005, 0.0005 * max(abs(v), abs(other)))
+
+    if token in pool:
+        return "literal"
+    if any(abs(v - p) <= 0.5 for p in values):
+        return "rounded"
+    if any(near(a - b) or near(a + b) or (b != 0 and near(a / b * 100)) for a in values for b in values):
+        return "derived"
+    return "unsupported"
+
+
+def test_a_large_pool_grounds_its_largest_values(spark):
+    pool = [str(x) for x in range(1000, 1200)] + ["5000"]
+    rows = spark.createDataFrame([(1, ["5000.4", "1100", "4999.7", "6100", "88", "999999"], pool), (2, ["55"], [])], "k int, c array<string>, s array<string>")
+    got = {(r.k, r.token): r.label for r in evals.classify_numbers(rows, "k", "c", "s").collect()}
+    assert got == {(1, "5000.4"): "rounded", (1, "1100"): "literal", (1, "4999.7"): "rounded", (1, "6100"): "derived", (1, "88"): "derived", (1, "999999"): "unsupported", (2, "55"): "unsupported"}
+
+
+def test_grounding_equals_the_plain_rule(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(evals, "VALUES_PER_PART", 3)
+    number = lambda: rng.choice([str(rng.randint(10, 99)), f"{rng.uniform(0, 5):.3f}", str(rng.randint(1000, 10**6)), f"{rng.uniform(0, 0.1):.5f}", "0.0", str(rng.randint(10**14, 10**16)), f"{rng.uniform(100, 9000):.2f}"])
+    groups = [(k, [number() for _ in range(40)], [number() for _ in range(rng.choice([0, 1, 3, 6]))]) for k in range(12)]
+    rows = spark.createDataFrame(groups, "k int, c array<string>, s array<string>")
+    got = {(r.k, r.token): r.label for r in evals.classify_numbers(rows, "k", "c", "s").collect()}
+    assert got == {(k, t): _plain_label(t, set(s)) for k, c, s in groups for t in c}
+    assert set(got.values()) == {"literal", "rounded", "derived", "unsupported"} or len(set(got.values())) >= 3
