@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placescore.operators import tables
-from placescore.plans import registry, stats
+from placescore.plans import registry, scenarios, stats
 from placescore.session import cut_lineage
-from query_catalog.fixtures import INCIDENTS, KIND_METRIC, ORACLES, TARGETS, ctes, incidents, query, sql_pct, table, targets
-from query_catalog.jobs import metric_scores
+from query_catalog.fixtures import INCIDENTS, KIND_METRIC, ORACLES, PLACES, TARGETS, ctes, incidents, places, query, sql_d2, sql_pct, table, targets
+from query_catalog.jobs import _wsum, metric_scores
 from query_catalog.places import _DISK, _OFF
+from query_catalog.points import near_zip
 
 METRICS = sorted(KIND_METRIC.values())
 _KIND = {m: k for k, m in KIND_METRIC.items()}
@@ -88,6 +89,67 @@ def d27(spark, sf):
     return p.drop("delta")
 
 
+_SUBS = {"safety": {"collision": 0.3125, "311_sanitation": 0.125}, "transit": {"subway": 1.0}, "amenities": {"trees": 0.15, "linknyc": 0.1, "parks": 0.25}}
+_TOP = {"safety": 0.4, "transit": 0.3, "amenities": 0.3}
+_ADDED = [("click", "safety", "311_sanitation", "cell"), ("view", "transit", "subway", "cell"), ("purchase", "amenities", "trees", "cell"), ("signup", "amenities", "linknyc", "cell"), ("parks", "amenities", "parks", "zip")]
+_SOURCE = {"collision": "error"} | {metric: asset for asset, _, metric, _ in _ADDED}
+
+
+def _col(metric: str) -> str:
+    return "m_" + metric.replace("311_", "")
+
+
+def _composite(of) -> str:
+    cats = {c: _wsum([(of(m), w) for m, w in subs.items()]) for c, subs in _SUBS.items()}
+    return ", ".join(f"{sql} AS {c}" for c, sql in cats.items())
+
+
+_ALL = list(dict.fromkeys(_SOURCE.values()))
+_KS = 3
+_WHAT_IF = [
+    f"z AS (SELECT target_id, zip FROM targets t JOIN places p ON true QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {sql_d2('p.lat', 'p.lon', 't.lat', 't.lon')}, place_id) = 1)",
+    "own AS (SELECT target_id, cell AS own_cell FROM disk WHERE dx = 0 AND dy = 0)",
+    f"zs AS (SELECT *, {sql_pct('count')}::DOUBLE AS score FROM (SELECT 'parks' AS asset, zip, count(*)::DOUBLE AS count FROM places GROUP BY 2))",
+    "bo AS (SELECT asset, count, score FROM cs UNION ALL SELECT asset, count, score FROM zs)",
+    "mn2 AS (SELECT asset, count AS x, avg(score) AS y FROM bo GROUP BY 1, 2)",
+    "rm2 AS (SELECT asset, x, max(y) OVER (PARTITION BY asset ORDER BY x) AS y, row_number() OVER (PARTITION BY asset ORDER BY x) - 1 AS pos, count(*) OVER (PARTITION BY asset) AS total FROM mn2)",
+    "kn AS (SELECT asset, x, round(y, 3) AS y, lead(x) OVER (PARTITION BY asset ORDER BY x) AS x1, lead(round(y, 3)) OVER (PARTITION BY asset ORDER BY x) AS y1 FROM rm2 WHERE total <= 60 OR pos = total - 1 OR (ceil(pos * 60.0::DOUBLE / total) < 60 AND floor(ceil(pos * 60.0::DOUBLE / total) * total / 60.0::DOUBLE) = pos))",
+    "fq AS (SELECT *, rank() OVER (PARTITION BY asset ORDER BY count) + (count(*) OVER (PARTITION BY asset, count) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY asset ORDER BY score) + (count(*) OVER (PARTITION BY asset, score) - 1) / 2.0 AS rb FROM bo)",
+    "en AS (SELECT k.asset, min(k.x) AS fx, arg_min(k.y, k.x) AS fy, max(k.x) AS lx, arg_max(k.y, k.x) AS ly, any_value(f.sl) AS sl, any_value(f.rho) AS rho FROM kn k JOIN (SELECT asset, round(regr_slope(score, count), 6) AS sl, round(corr(ra, rb), 4) AS rho, count(*) AS c FROM fq GROUP BY 1) f USING (asset) WHERE f.c >= 10 GROUP BY 1)",
+    "u AS (SELECT d.target_id, c.asset, c.cell = o.own_cell AS mine, c.count, c.score FROM disk d JOIN own o USING (target_id) JOIN cs c ON c.cell = d.cell UNION ALL SELECT target_id, asset, true, count, score FROM z JOIN zs USING (zip))",
+    "al AS (SELECT unnest([" + ", ".join(f"'{a}'" for a in _ALL) + "]) AS asset)",
+    "lo AS (SELECT t.target_id, al.asset, avg(score) AS mean, coalesce(sum(score) FILTER (NOT mine), 0) AS others, count(score) FILTER (NOT mine) AS n, max(score) FILTER (mine) AS s, coalesce(max(count) FILTER (mine), 0) AS x FROM targets t JOIN al ON true LEFT JOIN u ON u.target_id = t.target_id AND u.asset = al.asset GROUP BY 1, 2)",
+    f"ev AS (SELECT lo.*, en.rho, q.k, CASE WHEN x + q.k <= fx THEN fy WHEN x + q.k > lx THEN least(100, greatest(ly, ly + sl * (x + q.k - lx))) ELSE (SELECT kn.y + (lo.x + q.k - kn.x) / (kn.x1 - kn.x) * (kn.y1 - kn.y) FROM kn WHERE kn.asset = lo.asset AND kn.x < lo.x + q.k AND kn.x1 >= lo.x + q.k) END AS c FROM lo JOIN en USING (asset) JOIN (VALUES (0), ({_KS})) q(k) ON true)",
+    f"ab AS (SELECT target_id, asset, any_value(mean) AS mean, any_value(others) AS others, any_value(n) AS n, any_value(s) AS s, any_value(x) AS x, any_value(rho) AS rho, max(c) FILTER (k = 0) AS c0, max(c) FILTER (k = {_KS}) AS c1 FROM ev GROUP BY 1, 2)",
+    "pj AS (SELECT *, CASE WHEN s IS NULL THEN c1 ELSE least(100, greatest(0, s + c1 - c0)) END AS unit, CAST(round_even(mean, 0) AS INT) AS sub_before, CAST(round_even((others + CASE WHEN s IS NULL THEN c1 ELSE least(100, greatest(0, s + c1 - c0)) END) / (n + 1), 0) AS INT) AS sub_after FROM ab)",
+    "pw AS (SELECT target_id, " + ", ".join(f"max(CAST(round_even(mean, 0) AS INT)) FILTER (asset = '{a}') AS {_col(m)}" for m, a in _SOURCE.items()) + " FROM lo GROUP BY 1)",
+    "b0 AS (SELECT target_id, " + _composite(_col) + " FROM pw)",
+    "pa AS (SELECT pj.target_id, pj.asset, " + ", ".join(f"CASE WHEN pj.asset = '{a}' THEN sub_after ELSE {_col(m)} END AS {_col(m)}" for m, a in _SOURCE.items()) + " FROM pj JOIN pw USING (target_id))",
+    "a0 AS (SELECT target_id, asset, " + _composite(_col) + " FROM pa)",
+    "b1 AS (SELECT *, " + _wsum([(c, w) for c, w in _TOP.items()]) + " AS overall FROM b0)",
+    "a1 AS (SELECT *, " + _wsum([(c, w) for c, w in _TOP.items()]) + " AS overall FROM a0)",
+]
+_CATS = [*_SUBS, "overall"]
+
+
+@query(
+    "d27_what_if_all_scores",
+    ctes(INCIDENTS, TARGETS, PLACES, _OFF, _DISK, _CURVE_ROWS, *_WHAT_IF)
+    + f"SELECT target_id, pj.asset, 'ok' AS status, x AS count_before, x + {_KS} AS count_after, s AS unit_before, round(unit, 2) AS unit_after, sub_before, sub_after, coalesce(rho, 1) < 0.7 AS weak_fit, "
+    + ", ".join(f"b1.{c} AS {c}_before, a1.{c} AS {c}_after, round(a1.{c} - b1.{c}, 2) AS {c}_delta" for c in _CATS)
+    + " FROM pj JOIN b1 USING (target_id) JOIN a1 USING (target_id, asset) WHERE pj.asset <> 'error'",
+)
+def d27_all(spark, sf):
+    """Five assets added at every target, four by cell and one by postal code: every score before, after and its change."""
+    c = curve_rows(spark, sf).select("asset", "cell", "count", F.col("score").cast("double").alias("score"))
+    p = places(spark, sf).groupBy("zip").agg(F.count(F.lit(1)).cast("double").alias("count"))
+    zips = tables.percentile_score(p, "count", True).select(F.lit("parks").alias("asset"), "zip", "count", F.col("score").cast("double").alias("score"))
+    c, zips = cut_lineage(c), cut_lineage(zips)
+    fits = stats.fit_curves(c.select("asset", "count", "score").unionByName(zips.select("asset", "count", "score")))
+    t = targets(spark, sf).join(near_zip(spark, sf), "target_id", "left")
+    return scenarios.what_if(t, c, zips, fits, [scenarios.Asset(*a) for a in _ADDED], _SOURCE, _SUBS, _TOP, _KS, 500.0)
+
+
 # ---- sensitivity -------------------------------------------------------------------------------
 
 DRAWS, SEED = 60, 20260811
