@@ -46,7 +46,7 @@ def shown_bytes() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int, capacity: int, cache_words: int = 1_500_000) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, end_id: int, capacity: int, cache_words: int = 600_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): only documents over ``capacity`` are cut, the first piece may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, e
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        dictionary, special = word_encoder(vocabulary, 1_500_000)
+        dictionary, special = word_encoder(vocabulary, 600_000)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for first, part in words.chunks(texts):

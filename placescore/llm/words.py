@@ -151,7 +151,7 @@ class Dictionary:
     gets an entry without a key.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, weight: int = 64_000_000, dtype=np.uint32):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 600_000, weight: int = 24_000_000, dtype=np.uint32):
         self.encode, self.limit, self.weight = encode, limit, weight
         none = np.zeros(0, np.int64)
         self.keys, self.slot, self.count, self.first, self.flat = none.astype(np.uint64), none, none, none, none.astype(dtype)
