@@ -223,12 +223,12 @@ BAD_NAME_CHARACTERS = " !@#$%^&*()+=[]{}|;:'\",<>?/\\"
 
 
 def date_shape(c: Column, shape: str) -> Column:
-    return F.coalesce(F.trim(c).rlike(DATE_SHAPES[shape]), F.lit(False))
+    return F.coalesce(strip(c).rlike(DATE_SHAPES[shape]), F.lit(False))
 
 
 def any_date_shape(c: Column) -> Column:
     return F.coalesce(
-        F.trim(c).rlike("|".join(f"(?:{p})" for p in DATE_SHAPES.values())), F.lit(False)
+        strip(c).rlike("|".join(f"(?:{p})" for p in DATE_SHAPES.values())), F.lit(False)
     )
 
 

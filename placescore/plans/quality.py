@@ -7,13 +7,14 @@ row that comes back is turned into one row per column or issue inside Spark.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placescore.functions import clean
+from placescore.functions import clean, compare
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -203,7 +204,7 @@ def _row_tests(df: DataFrame, names: Sequence[str]) -> list[tuple[str, str, str,
         if _is_text(df, c):
             faults.append(("whitespace_drift", c, "low", col != clean.strip(col)))
             faults.append(
-                ("invalid_dates", c, "high", clean.any_date_shape(col) & _lenient_date(F.trim(col)).isNull())
+                ("invalid_dates", c, "high", clean.any_date_shape(col) & _lenient_date(clean.strip(col)).isNull())
             )
         elif _is_number(df, c):
             if any(h in lower for h in POSITIVE_HINTS):
@@ -338,6 +339,7 @@ def duplicate_identifiers(df: DataFrame, id_columns: Sequence[str]) -> DataFrame
 
 # ---- cleaning ----------------------------------------------------------------------------------
 
+# The type names a cast may use.
 CAST_TYPES = {
     "BOOLEAN": "boolean", "TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "BIGINT": "bigint",
     "HUGEINT": "decimal(38,0)", "UTINYINT": "smallint", "USMALLINT": "int", "UINTEGER": "bigint",
@@ -348,6 +350,15 @@ CAST_TYPES = {
 }
 
 
+@dataclass(frozen=True)
+class Step:
+    """What an operation does to the rows before it: new columns, which rows stay, and in which its value could not be had."""
+
+    df: DataFrame
+    keep: Column | None = None
+    fault: Column | None = None
+
+
 def _known(df: DataFrame, column: str | None) -> str:
     if column not in df.columns:
         raise ValueError(f"unknown column {column!r}")
@@ -372,7 +383,7 @@ def _replace_values(df: DataFrame, p: Mapping) -> DataFrame:
     return df.withColumn(c, F.coalesce(F.try_element_at(clean.literal_map(mapping), F.col(c)), F.col(c)))
 
 
-def _cast_type(df: DataFrame, p: Mapping) -> DataFrame:
+def _cast_type(df: DataFrame, p: Mapping) -> Step:
     c = _known(df, p.get("column"))
     target = str(p.get("target_type")).upper().partition("(")[0].strip()  # DECIMAL(10,2) counts as DECIMAL
     if target not in CAST_TYPES:
@@ -381,14 +392,15 @@ def _cast_type(df: DataFrame, p: Mapping) -> DataFrame:
     if target == "BOOLEAN":
         out = clean.parse_boolean(col)
     elif target == "DATE" or target.startswith("TIMESTAMP"):
-        out = _lenient_date(F.trim(col.cast("string"))).cast(CAST_TYPES[target])
+        out = _lenient_date(clean.strip(col.cast("string"))).cast(CAST_TYPES[target])
     elif "int" in CAST_TYPES[target] and target != "INTERVAL":
         out = clean.to_float(col).try_cast(CAST_TYPES[target])
     else:
         out = col.try_cast(CAST_TYPES[target])
     if target.startswith("U") and target != "UUID":
         out = F.when(out >= 0, out)
-    return df.withColumn(c, out)
+    given = F.coalesce(clean.strip(col.cast("string")) != "", F.lit(False))
+    return Step(df.withColumn(c, out), fault=given & out.isNull())
 
 
 def _drop_duplicates(df: DataFrame, p: Mapping) -> DataFrame:
@@ -402,42 +414,16 @@ def _drop_duplicates(df: DataFrame, p: Mapping) -> DataFrame:
     return drop_duplicates(df, subset, p.get("order") or [c for c in df.columns if c not in subset])
 
 
-def _drop_nulls(df: DataFrame, p: Mapping) -> DataFrame:
-    return df.dropna(subset=[_known(df, p.get("column"))])
-
-
-def condition(c: Column, kind: str, value: object = None, value2: object = None, values: Sequence | None = None) -> Column:
-    """Row condition; a NULL comparison is false."""
-    if kind == "is_null":
-        return c.isNull()
-    if kind == "not_null":
-        return c.isNotNull()
-    if kind in ("in", "not_in"):
-        if not values:
-            raise ValueError(f"{kind} needs values")
-        hit = F.coalesce(c.isin(list(values)), F.lit(False))
-        return ~hit if kind == "not_in" else hit
-    if value is None or (kind == "between" and value2 is None):
-        raise ValueError(f"{kind} needs a value")
-    tests: dict[str, Callable[[], Column]] = {
-        "gt": lambda: c > value,
-        "lt": lambda: c < value,
-        "gte": lambda: c >= value,
-        "lte": lambda: c <= value,
-        "eq": lambda: c == value,
-        "neq": lambda: c.isNull() | (c != value),
-        "between": lambda: c.between(value, value2),
-    }
-    if kind not in tests:
-        raise ValueError(f"condition {kind!r} is not allowed")
-    return F.coalesce(tests[kind](), F.lit(False))
-
-
-def _filter_rows(df: DataFrame, p: Mapping) -> DataFrame:
+def _drop_nulls(df: DataFrame, p: Mapping) -> Step:
+    c = F.col(f"`{_known(df, p.get('column'))}`")
+    missing = F.isnan(c) if dict(df.dtypes)[p["column"]] in ("float", "double") else F.lit(False)
+    return Step(df, keep=c.isNotNull() & ~F.coalesce(missing, F.lit(False)))
+
+
+def _filter_rows(df: DataFrame, p: Mapping) -> Step:
     c = _known(df, p.get("column"))
-    numbers = [x for x in (p.get("value"), p.get("value2"), *(p.get("values") or ())) if isinstance(x, (int, float)) and not isinstance(x, bool)]
-    left = clean.as_double(F.col(c)) if numbers and _is_text(df, c) else F.col(c)  # a text that is no number meets no number test
-    return df.where(condition(left, p.get("condition"), p.get("value"), p.get("value2"), p.get("values")))
+    test, fault = compare.condition(df, c, p.get("condition"), p.get("value"), p.get("value2"), p.get("values"))
+    return Step(df, keep=test, fault=fault)
 
 
 def _strip(df: DataFrame, p: Mapping) -> DataFrame:
@@ -483,7 +469,8 @@ def _polygon_centroid(df: DataFrame, p: Mapping) -> DataFrame:
     return df.withColumns({lon: c["lon"], lat: c["lat"]})
 
 
-OPERATIONS: dict[str, Callable[[DataFrame, Mapping], DataFrame]] = {
+# The operations a cleaning plan may name.
+OPERATIONS: dict[str, Callable[[DataFrame, Mapping], DataFrame | Step]] = {
     "drop_column": _drop_column,
     "rename_column": _rename_column,
     "replace_values": _replace_values,
@@ -497,48 +484,112 @@ OPERATIONS: dict[str, Callable[[DataFrame, Mapping], DataFrame]] = {
     "transform_coords": _transform_coords,
     "polygon_centroid": _polygon_centroid,
 }
-ROW_CHANGING = {"drop_duplicates", "drop_nulls", "filter_rows"}
 
 
-def apply_plan(df: DataFrame, plan: Sequence[Mapping]) -> tuple[DataFrame, list[dict], list[DataFrame]]:
-    """Fold the operations; an unknown or failing one is noted and skipped. Returns result, log, stages."""
-    log, stages, now = [], [df], df
-    for step, op in enumerate(plan, start=1):
+@dataclass
+class Applied:
+    """A cleaning plan over a table: the rows, and what is needed to count its log.
+
+    Row tests do not drop rows at once but mark them, so all steps between two that shuffle are counted in one pass over
+    the rows. ``segments`` holds those passes: the marked rows with the counters of their steps.
+    """
+
+    df: DataFrame
+    log: list[dict]
+    segments: list[tuple[DataFrame, dict[str, Column]]]
+
+
+_ALIVE = "_alive"
+
+
+def applied(df: DataFrame, plan: Sequence[Mapping]) -> Applied:
+    """Fold the operations; an unknown one, or one whose columns or literals do not fit, is noted and skipped."""
+    log: list[dict] = []
+    segments: list[tuple[DataFrame, dict[str, Column]]] = []
+    now = df.withColumn(_ALIVE, F.lit(True))
+    counters, flags = {"start": F.count(F.lit(1))}, [0]
+
+    def flag(rows: DataFrame, column: Column) -> tuple[DataFrame, str]:
+        flags[0] += 1
+        return rows.withColumn(f"_flag{flags[0]}", column), f"_flag{flags[0]}"
+
+    for number, op in enumerate(plan, start=1):
         kind = op.get("op")
+        entry = {"step": number, "op": str(kind), "status": "ok", "detail": "", "segment": len(segments), "after": None, "faults": None}
         try:
             if kind not in OPERATIONS:
                 raise ValueError(f"unknown operation {kind!r}")
-            now = OPERATIONS[kind](now, op)
-            now.schema  # noqa: B018  (resolves names now, so a bad step fails here and not later)
-            log.append({"step": step, "op": kind, "status": "ok", "detail": ""})
+            shown = now.drop(*[c for c in now.columns if c == _ALIVE or c.startswith("_flag")])
+            if kind == "drop_duplicates":
+                rows = OPERATIONS[kind](now.where(_ALIVE).select(*shown.columns), op)
+                rows.schema  # noqa: B018  (resolves names now, so a bad step fails here and not later)
+                segments.append((now, counters))
+                now, counters = rows.withColumn(_ALIVE, F.lit(True)), {"start": F.count(F.lit(1))}
+                entry["segment"] = len(segments)
+            else:
+                made = OPERATIONS[kind](now, op)
+                step = made if isinstance(made, Step) else Step(made)
+                step.df.schema  # noqa: B018
+                source, fresh = now, {}
+                if step.fault is not None:
+                    source, name = flag(now, F.col(_ALIVE) & step.fault)
+                    fresh[f"faults{number}"] = F.count_if(name)
+                    made = OPERATIONS[kind](source, op)
+                    step = made if isinstance(made, Step) else Step(made)
+                rows = step.df
+                if step.keep is not None:
+                    rows = rows.withColumn(_ALIVE, F.col(_ALIVE) & step.keep)
+                    rows, name = flag(rows, F.col(_ALIVE))
+                    fresh[f"after{number}"] = F.count_if(name)
+                    entry["after"] = f"after{number}"
+                rows.schema  # noqa: B018
+                entry["faults"] = f"faults{number}" if step.fault is not None else None
+                now, counters = rows, counters | fresh
         except Exception as problem:  # noqa: BLE001
-            log.append({"step": step, "op": str(kind), "status": "skipped", "detail": type(problem).__name__})
-        stages.append(now)
-    return now, log, stages
+            entry |= {"status": "skipped", "detail": type(problem).__name__, "segment": len(segments), "after": None, "faults": None}
+        log.append(entry)
+    segments.append((now, counters))
+    out = now.where(_ALIVE).select(*[c for c in now.columns if c != _ALIVE and not c.startswith("_flag")])
+    return Applied(out, log, segments)
+
+
+def apply_plan(df: DataFrame, plan: Sequence[Mapping]) -> tuple[DataFrame, list[dict], list]:
+    """Cleaned rows, the log as far as it is known without reading rows, and the passes that count it."""
+    a = applied(df, plan)
+    return a.df, a.log, a.segments
 
 
 def run_plan(df: DataFrame, plan: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:
-    """Cleaned rows and a log (step, op, status, rows_before, rows_after).
+    """Cleaned rows and a log (step, op, status, detail, rows_before, rows_after, faults).
 
-    Steps that cannot change the row count reuse the count before them; the others are counted in one
-    union job.
+    ``faults`` counts the rows whose value a step could not have: a cast that gave nothing, a text beside a number test. No
+    row ends the run. The log takes one pass per shuffling step and one more.
     """
     spark = df.sparkSession
-    out, log, stages = apply_plan(df, plan)
-    size_of, index = {0: 0}, 0
-    for i, entry in enumerate(log, start=1):
-        if entry["status"] == "ok" and entry["op"] in ROW_CHANGING:
-            index = i
-        size_of[i] = index
-    counted = [stages[i].agg(F.lit(i).alias("stage"), F.count(F.lit(1)).alias("rows")) for i in sorted(set(size_of.values()))]
-    counts = reduce(DataFrame.unionByName, counted)
-    steps = spark.createDataFrame(
-        [(e["step"], e["op"], e["status"], e["detail"], size_of[e["step"] - 1], size_of[e["step"]]) for e in log],
-        "step int, op string, status string, detail string, _b int, _a int",
+    plan_of = applied(df, plan)
+    passes = []
+    for i, (rows, counters) in enumerate(plan_of.segments):
+        pairs = F.create_map(*[x for name, c in counters.items() for x in (F.lit(name), c)])
+        passes.append(rows.agg(pairs.alias("counts")).withColumn("segment", F.lit(i)))
+    counts = reduce(DataFrame.unionByName, passes).groupBy().agg(F.map_from_entries(F.collect_list(F.struct("segment", "counts"))).alias("all"))
+    rows, last, segment = [], "start", 0
+    for e in plan_of.log:
+        if e["segment"] != segment:  # a shuffling step: the rows before it are those the last segment ends with
+            rows.append((e["step"], e["op"], e["status"], e["detail"], segment, last, e["segment"], "start", None))
+            segment, last = e["segment"], "start"
+        else:
+            after = e["after"] or last
+            rows.append((e["step"], e["op"], e["status"], e["detail"], segment, last, segment, after, e["faults"]))
+            last = after
+    steps = spark.createDataFrame(rows, "step int, op string, status string, detail string, _bs int, _b string, _as int, _a string, _f string")
+
+    def count(segment: str, name: str) -> Column:
+        return F.try_element_at(F.try_element_at(F.col("all"), F.col(segment)), F.col(name))
+
+    joined = steps.join(F.broadcast(counts), F.lit(True))  # one row
+    return plan_of.df, joined.select(
+        "step", "op", "status", "detail", count("_bs", "_b").alias("rows_before"), count("_as", "_a").alias("rows_after"), F.coalesce(count("_as", "_f"), F.lit(0)).alias("faults")
     )
-    before = counts.select(F.col("stage").alias("_b"), F.col("rows").alias("rows_before"))
-    after = counts.select(F.col("stage").alias("_a"), F.col("rows").alias("rows_after"))
-    return out, steps.join(before, "_b").join(after, "_a").drop("_a", "_b")
 
 
 # ---- differences and audits --------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placescore.functions import clean, text
+from placescore.functions import clean, compare, text
 from placescore.session import cut_lineage
 
 
@@ -67,30 +67,29 @@ def search(queries: DataFrame, sources: Sequence[DataFrame], limit: int = 5) ->
 def fold_filters(df: DataFrame, filters: Mapping[str, object]) -> tuple[Column, list[str], list[str]]:
     """Filter document to one condition, plus unknown columns and malformed entries.
 
-    Scalar: equality. List: membership (empty: ignored). {min, max}: inclusive range.
+    Scalar: equality. List: membership, each literal as its own type (empty: ignored). {min, max}: inclusive range; a bound
+    that has no order with the column is malformed.
     """
     test, unknown, bad = F.lit(True), [], []
     for name, want in filters.items():
         if name not in df.columns:
             unknown.append(name)
-            continue
-        c = F.col(f"`{name}`")
-        asked = [*want.values()] if isinstance(want, Mapping) else want if isinstance(want, (list, tuple)) else [want]
-        if df.schema[name].dataType.typeName() == "string" and any(isinstance(x, (int, float)) and not isinstance(x, bool) for x in asked):
-            c = clean.as_double(c)  # a text that is no number meets no number test
-        if isinstance(want, Mapping):
-            if not want or set(want) - {"min", "max"}:
+        elif isinstance(want, Mapping):
+            bounds = {"gte": want.get("min"), "lte": want.get("max")}
+            if not want or set(want) - {"min", "max"} or any(isinstance(x, (list, tuple, dict)) for x in bounds.values()):
                 bad.append(name)
                 continue
-            if want.get("min") is not None:
-                test = test & (c >= F.lit(want["min"]))
-            if want.get("max") is not None:
-                test = test & (c <= F.lit(want["max"]))
+            try:
+                for kind, bound in bounds.items():
+                    if bound is not None:
+                        test = test & compare.ordered(df, name, kind, bound)[0]
+            except compare.Incomparable:
+                bad.append(name)
         elif isinstance(want, (list, tuple)):
             if want:
-                test = test & c.isin(list(want))
+                test = test & compare.one_of(df, name, want)[0]
         elif isinstance(want, (str, int, float, bool)):
-            test = test & (c == F.lit(want))
+            test = test & compare.equals(df, name, want)[0]
         else:
             bad.append(name)
     return test, unknown, bad

@@ -104,6 +104,32 @@ def d37(spark, sf):
         {"op": "drop_duplicates", "subset": ["borough", "segment"], "order": ["row_id"]},
     ]
     _, log = quality.run_plan(dirty(spark, sf), plan)
+    return log.drop("detail", "faults")
+
+
+_FAULTY = [
+    {"op": "filter_rows", "column": "balance", "condition": "gt", "value": "abc"},
+    {"op": "filter_rows", "column": "segment", "condition": "in", "values": [1, "BUILDING", True, "AUTOMOBILE", "building"]},
+    {"op": "cast_type", "column": "amount_text", "target_type": "DOUBLE"},
+    {"op": "filter_rows", "column": "active", "condition": "lte", "value": 1},
+    {"op": "filter_rows", "column": "balance", "condition": "in", "values": ["x", 3]},
+]
+
+
+@query(
+    "d37_faulty_steps_p21",
+    ctes(
+        DIRTY,
+        "s AS (SELECT * FROM dirty WHERE segment IN ('BUILDING', 'AUTOMOBILE', 'building'))",
+        "n AS (SELECT *, CASE WHEN NOT regexp_matches(active, '[A-Za-z]\\s*$') THEN TRY_CAST(active AS DOUBLE) END AS a FROM s)",
+        "c AS (SELECT (SELECT count(*) FROM dirty) AS d, (SELECT count(*) FROM s) AS s, (SELECT count(*) FROM s WHERE trim(amount_text) <> '' AND TRY_CAST(amount_text AS DOUBLE) IS NULL) AS bad, (SELECT count(*) FROM n WHERE a <= 1) AS n, (SELECT count(*) FROM n WHERE trim(active) <> '' AND a IS NULL) AS odd, (SELECT count(*) FROM n WHERE a <= 1 AND balance = 3) AS z)",
+    )
+    + """SELECT 1 AS step, 'filter_rows' AS op, 'skipped' AS status, d AS rows_before, d AS rows_after, 0 AS faults FROM c UNION ALL SELECT 2, 'filter_rows', 'ok', d, s, 0 FROM c
+      UNION ALL SELECT 3, 'cast_type', 'ok', s, s, bad FROM c UNION ALL SELECT 4, 'filter_rows', 'ok', s, n, odd FROM c UNION ALL SELECT 5, 'filter_rows', 'ok', n, z, 0 FROM c""",
+)
+def d37_faulty(spark, sf):
+    """Literals of another type, mixed lists and casts that give nothing: logged and counted, never an abort."""
+    _, log = quality.run_plan(dirty(spark, sf), _FAULTY)
     return log.drop("detail")
 
 

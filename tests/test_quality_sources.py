@@ -200,3 +200,25 @@ def test_grounding_equals_the_plain_rule(spark, monkeypatch):
     got = {(r.k, r.token): r.label for r in evals.classify_numbers(rows, "k", "c", "s").collect()}
     assert got == {(k, t): _plain_label(t, set(s)) for k, c, s in groups for t in c}
     assert set(got.values()) == {"literal", "rounded", "derived", "unsupported"} or len(set(got.values())) >= 3
+
+
+def test_no_literal_or_cast_ends_a_cleaning_run(spark):
+    rows = [(1, 5.0, "a", "1"), (2, None, "7", "x"), (3, 3.0, None, "0"), (4, float("nan"), "A", None)]
+    df = spark.createDataFrame(rows, "id int, n double, t string, f string")
+    keep = lambda **step: sorted(r.id for r in quality.run_plan(df, [{"op": "filter_rows", **step}])[0].collect())
+    assert keep(column="t", condition="in", values=[1, "a"]) == [1]
+    assert keep(column="t", condition="in", values=[7, "a", True]) == [1, 2]
+    assert keep(column="n", condition="in", values=["x", 3]) == [3]
+    assert keep(column="n", condition="neq", value="abc") == [1, 2, 3, 4]
+    assert keep(column="n", condition="gt", value="abc") == [1, 2, 3, 4]  # skipped
+    plan = [{"op": "filter_rows", "column": "n", "condition": "gt", "value": "abc"}, {"op": "cast_type", "column": "f", "target_type": "INTEGER"}, {"op": "filter_rows", "column": "t", "condition": "lt", "value": 8}, {"op": "cast_type", "column": "t", "target_type": "DATE"}]
+    out, log = quality.run_plan(df, plan)
+    assert [(r.status, r.rows_before, r.rows_after, r.faults) for r in log.orderBy("step").collect()] == [("skipped", 4, 4, 0), ("ok", 4, 4, 1), ("ok", 4, 1, 2), ("ok", 1, 1, 1)]
+    assert [(r.id, r.f, r.t) for r in out.collect()] == [(2, None, None)]
+
+
+def test_filter_document_meets_each_literal_as_what_it_is(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "1"), (3, "2.5")], "id int, t string")
+    ids = lambda filters: sorted(r.id for r in df.where(search.fold_filters(df, filters)[0]).collect())
+    assert ids({"t": [1, "a"]}) == [1, 2] and ids({"id": ["x", 3]}) == [3] and ids({"id": "x"}) == [] and ids({"t": {"min": 1, "max": 2.5}}) == [2, 3]
+    assert search.fold_filters(df, {"id": {"min": "x"}})[2] == ["id"] and search.fold_filters(df, {"t": {"min": [1]}})[2] == ["t"]
