@@ -185,27 +185,46 @@ def patterns(series: DataFrame, directions: DataFrame, target: str = "target_id"
     )
 
 
+def with_history(trend_rows: DataFrame, series: DataFrame, keys: Sequence[str], quarters: int = 4) -> DataFrame:
+    """Trend rows with their newest quarters (oldest first) and the anomaly of the latest complete one."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc("_qi"))
+    numbered = series.where(F.col("value").isNotNull()).withColumn("_qi", clean.quarter_index(F.col("quarter")))
+    kept = numbered.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= quarters)
+    chain = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_qi", "quarter", "value"))).alias("quarters"))
+    odd = anomaly(series, keys).select(*keys, "is_anomaly", "z_score", "context")
+    return trend_rows.join(chain, list(keys), "left").join(odd, list(keys), "left")
+
+
 def trend_sentence(t: DataFrame) -> Column:
-    """Evidence sentence of a trend row."""
+    """What a trend row says, its parts divided by semicolons; parts without figures are left out.
+
+    Windows, season, gap and run come from the row; quarters and anomaly are told where :func:`with_history` added them.
+    """
 
-    def part(test: Column, *pieces: Column | str) -> Column:
-        return F.when(test, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces]))
+    def sign(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.format_string("%+.1f %%", F.col(c)))
+
+    def told(test: Column, *pieces: Column | str) -> Column:
+        return F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in pieces]))
+
+    def versus(now: str, then: str, change: str, days: str, before: str) -> Column:
+        both = F.col(now).isNotNull() & F.col(then).isNotNull()
+        moved = F.coalesce(F.concat(F.lit(" ("), sign(change), F.lit(")")), F.lit(""))
+        return told(both, days, F.col(now), before, F.col(then), moved)
 
-    pct = lambda c: F.format_string("%+.1f", F.col(c))
-    text = lambda c: F.col(c).cast("string")
     parts = [
-        part(F.col("prev_30d") == 0, "Last 30 days: ", text("last_30d"), " event(s) (previous 30 days: 0)."),
-        part(
-            F.col("recent").isNotNull(), "Last 30 days: ", text("last_30d"), " event(s) (previous 30 days: ",
-            text("prev_30d"), ", change ", pct("recent"), "%).",
-        ),
-        part(F.col("gap").isNotNull(), "Baseline gap: ", pct("gap"), "% vs baseline (", F.col("gap_label"), ")."),
-        part(F.col("persistence") > 0, "Persistence: ", text("persistence"), " consecutive elevated quarter(s)."),
+        versus("last_30d", "prev_30d", "recent", "30 d: ", " after "),
+        versus("last_90d", "same_90d_last_year", "seasonal", "90 d: ", ", a year before "),
+        told(F.col("gap").isNotNull(), "to baseline ", sign("gap"), F.coalesce(F.concat(F.lit(", "), "gap_label"), F.lit(""))),
+        told(F.col("persistence") > 0, "high for ", F.col("persistence"), " quarters"),
     ]
-    body = F.concat_ws(" ", *parts)
-    return F.concat(
-        F.col("signal"), F.lit(": "), F.when(body != "", body).otherwise("runtime trend summary unavailable.")
-    )
+    if "quarters" in t.columns:
+        chain = F.transform("quarters", lambda q: F.concat_ws("=", q["quarter"], q["value"].cast("string")))
+        parts.insert(2, told(F.size("quarters") > 0, F.array_join(chain, " ")))
+    if "is_anomaly" in t.columns:
+        z = F.when(F.col("z_score").isNotNull(), F.format_string(" by z %+.2f", F.col("z_score"))).otherwise("")
+        parts.append(told(F.col("is_anomaly"), "unusual", z, " [", F.col("context"), "]"))
+    return F.concat_ws(" ", F.concat("signal", F.lit(":")), F.coalesce(F.nullif(F.concat_ws("; ", *parts), F.lit("")), F.lit("no figures")))
 
 
 def evidence(query_rows: DataFrame, trend_rows: DataFrame, pattern_rows: DataFrame | None = None, target: str = "target_id") -> DataFrame:

@@ -390,18 +390,44 @@ def d21(spark, sf):
     return series.why_now(place_trends(spark, sf))
 
 
+_SAID = """h AS (SELECT target_id, signal, string_agg(quarter || '=' || value, ' ' ORDER BY qi) AS chain FROM (SELECT *, row_number() OVER (PARTITION BY target_id, signal ORDER BY qi DESC) AS r FROM sr) WHERE r <= 4 GROUP BY 1, 2),
+  oo AS (SELECT *, row_number() OVER (PARTITION BY target_id, signal ORDER BY qi DESC) AS r FROM sr WHERE period_complete),
+  an AS (SELECT target_id, signal, count(*) AS n, avg(value) FILTER (r > 1) AS m, stddev_pop(value) FILTER (r > 1) AS sd, max(value) FILTER (r = 1) AS v FROM oo GROUP BY 1, 2),
+  ax AS (SELECT target_id, signal, CASE WHEN n >= 4 AND CASE WHEN sd = 0 THEN v <> m ELSE abs((v - m) / sd) > 1.5 END THEN 'unusual' || CASE WHEN sd <> 0 THEN ' by z ' || printf('%+.2f', round((v - m) / sd, 2)) ELSE '' END || ' [' ||
+    CASE WHEN sd = 0 THEN 'zero_variance_baseline' WHEN v > m THEN 'above_historical_mean' ELSE 'below_historical_mean' END || ']' END AS odd FROM an),
+  sy AS (SELECT td.target_id, td.signal, td.signal || ': ' || concat_ws('; ', '30 d: ' || a || ' after ' || b || coalesce(' (' || printf('%+.1f %%', recent) || ')', ''), '90 d: ' || c || ', a year before ' || d || coalesce(' (' || printf('%+.1f %%', seasonal) || ')', ''), chain,
+    'to baseline ' || printf('%+.1f %%', gap) || ', ' || CASE WHEN td.value <= p25 THEN 'below_average' WHEN td.value <= p50 THEN 'average' WHEN td.value <= bs.p75 THEN 'above_average' ELSE 'high' END, CASE WHEN persistence > 0 THEN 'high for ' || persistence || ' quarters' END, odd) AS summary
+    FROM td JOIN wc USING (target_id, signal) JOIN bs USING (signal) LEFT JOIN h USING (target_id, signal) LEFT JOIN ax USING (target_id, signal))"""
+
+
+def told_trends(spark, sf):
+    """Trend rows with everything their sentence tells."""
+    t = place_trends(spark, sf)
+    w = with_as_of(facts(spark, sf).withColumnRenamed("place", "target_id"), "day")
+    counts = tables.window_counts(w, ["target_id", "signal"], "day", F.col("as_of"))
+    return series.with_history(t.join(counts, ["target_id", "signal"]), place_series(spark, sf), ["target_id", "signal"])
+
+
+@query("d21_trend_evidence", ctes(FACTS, SERIES, _RUNS, TRENDS, _SAID) + "SELECT target_id, 'trend_' || signal AS evidence_id, summary FROM sy")
+def d21_trend_evidence(spark, sf):
+    """Evidence sentences: windows, season, last quarters, gap, run and anomaly."""
+    rows = told_trends(spark, sf)
+    none = rows.sparkSession.createDataFrame([], "target_id bigint, evidence_id string, summary string")
+    return series.evidence(none, rows.withColumn("summary", series.trend_sentence(rows)))
+
+
 @query(
     "d21_verified_actions",
     ctes(FACTS, SERIES, _RUNS, TRENDS, _PRIO) + """SELECT target_id, signal, priority_score FROM pa WHERE rank <= 5 AND EXISTS (SELECT 1 FROM td WHERE td.target_id = pa.target_id AND td.signal = pa.signal)
-      AND EXISTS (SELECT 1 FROM facts WHERE place = pa.target_id AND signal = pa.signal AND amount > 450000)""",
+      AND EXISTS (SELECT 1 FROM facts WHERE place = pa.target_id AND signal = pa.signal GROUP BY place HAVING max(amount) > 450000)""",
 )
 def d21v(spark, sf):
     """Actions stay only when both the trend row and the query row they cite exist."""
     t = place_trends(spark, sf)
-    f = facts(spark, sf).where("amount > 450000").select(F.col("place").alias("target_id"), F.concat(F.lit("q_"), "signal").alias("evidence_id"), F.lit("large facts").alias("summary")).distinct()
-    w = with_as_of(facts(spark, sf).withColumnRenamed("place", "target_id"), "day")
-    counts = tables.window_counts(w, ["target_id", "signal"], "day", F.col("as_of"))
-    rows = t.join(counts, ["target_id", "signal"])
+    largest = facts(spark, sf).groupBy(F.col("place").alias("target_id"), "signal").agg(F.max("amount").alias("amount"))
+    stands = largest.where("amount > 450000")  # the rule by which a query row exists, as a count above zero is elsewhere
+    f = stands.select("target_id", F.concat(F.lit("q_"), "signal").alias("evidence_id"), F.concat(F.lit("largest fact "), F.col("amount").cast("string")).alias("summary"))
+    rows = told_trends(spark, sf)
     e = series.evidence(f, rows.withColumn("summary", series.trend_sentence(rows)))
     actions = composite.priority_actions(t, _ACT, F.lit(0.72)).withColumn("evidence_ids", F.array(F.concat(F.lit("trend_"), "signal"), F.concat(F.lit("q_"), "signal")))
     return series.verify(actions, e).select("target_id", "signal", "priority_score")

@@ -342,13 +342,17 @@ def f15(spark, sf):
     """WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 3 END AS a, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 7 END AS c,
       CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 13 END AS b FROM customer)
     SELECT id, CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN 'unknown' WHEN a >= 1 AND c >= 1 THEN 'serious' WHEN a >= 1 OR c >= 5 THEN 'elevated' WHEN c >= 1 OR b >= 10 THEN 'watch' ELSE 'none' END AS level,
-      CASE WHEN a IS NULL THEN 1 WHEN a >= 1 AND c >= 1 THEN 2 WHEN a >= 1 OR c >= 5 THEN (a >= 1)::INT + (c >= 5)::INT WHEN c >= 1 OR b >= 10 THEN (c >= 1)::INT + (b >= 10)::INT ELSE 1 END AS n_reasons FROM b""",
+      CASE WHEN a IS NULL THEN 1 WHEN a >= 1 AND c >= 1 THEN 2 WHEN a >= 1 OR c >= 5 THEN (a >= 1)::INT + (c >= 5)::INT WHEN c >= 1 OR b >= 10 THEN (c >= 1)::INT + (b >= 10)::INT ELSE 1 END AS n_reasons,
+      CASE WHEN a IS NULL THEN 'nothing known' WHEN a >= 1 AND c >= 1 THEN 'aep:' || a || ',class_c:' || c WHEN a >= 1 OR c >= 5 THEN concat_ws(',', CASE WHEN a >= 1 THEN 'aep:' || a END, CASE WHEN c >= 5 THEN 'class_c:' || c END)
+        WHEN c >= 1 OR b >= 10 THEN concat_ws(',', CASE WHEN c >= 1 THEN 'class_c:' || c END, CASE WHEN b >= 10 THEN 'class_b:' || b END) ELSE 'all below' END AS reasons, a AS n_aep, c AS n_class_c, b AS n_class_b FROM b""",
 )
 def f20(spark, sf):
     k = F.col("c_custkey")
     known = lambda c: F.when(k % 9 != 0, c)
     flag = score.risk_flag(known(k % 3), known(k % 7), known(k % 13))
-    return table(spark, sf, "customer").select(k.alias("id"), flag["level"].alias("level"), F.size(flag["reasons"]).alias("n_reasons"))
+    shown = F.array_join(F.transform(flag["reasons"], lambda r: F.concat_ws(":", r["input"], r["count"].cast("string"))), ",")
+    counts = [flag["counts"][c].alias(f"n_{c}") for c in ("aep", "class_c", "class_b")]
+    return table(spark, sf, "customer").select(k.alias("id"), flag["level"].alias("level"), F.size(flag["reasons"]).alias("n_reasons"), shown.alias("reasons"), *counts)
 
 
 @query(
