@@ -2,30 +2,53 @@
 
 A plain ``rank() over (order by v)`` sends the whole table to one task. Here the values are first collapsed to one row per
 distinct value (ties, however hot, become a count), then cut at split points taken from those very values, so that narrow
-and wide ranges are cut alike. Only the bucket totals meet in one task; there are at most SPLITS + 1 per group. Values
-keep their own type; NaN is larger than any number, infinities are ordinary values. Group keys may be NULL.
+and wide ranges are cut alike. Only the bucket totals meet in one task; one for some VALUES_PER_BUCKET distinct
+values. Values keep their own type; NaN is larger than any number, infinities are ordinary values. Group keys may be NULL.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 127
+from placescore.session import cut_lineage
 
+#: Distinct values one task takes without any cut, those that a bucket is meant to hold at most, and the split points of a level.
+VALUES_UNCUT, VALUES_PER_BUCKET, SPLITS = 20_000, 100_000, 127
 
-def with_bucket(df: DataFrame, value: str, out: str) -> DataFrame:
+
+def with_bucket(counts: DataFrame, value: str, out: str) -> DataFrame:
     """Add an order-preserving bucket: how many split points are at or below the value.
 
-    The split points are one row of SPLITS values near the quantiles of the rows given. Any choice of them keeps the order.
+    ``counts`` has a row per distinct value; it is written once and everything below reads that. Buckets follow the number of
+    values. Beyond SPLITS + 1 of them there are two levels: coarse buckets, and split points inside each, looked up
+    by an equi-join on the coarse bucket. Split points lie near the quantiles; any choice of them keeps the order.
     """
-    shares = [(i + 1) / (SPLITS + 1) for i in range(SPLITS)]
-    splits = df.agg(F.percentile_approx(value, shares, 1_000).alias("_splits"))
-    at = F.size(F.filter("_splits", lambda s: s <= F.col(value)))
-    return df.join(F.broadcast(splits), F.lit(True)).withColumn(out, at).drop("_splits")
+    written = cut_lineage(counts)
+    values = written.count()
+    if values <= VALUES_UNCUT:
+        return written.withColumn(out, F.lit(0))
+    buckets = max(SPLITS + 1, -(-values // VALUES_PER_BUCKET))
+    coarse = buckets if buckets == SPLITS + 1 else max(SPLITS + 1, math.isqrt(buckets - 1) + 1)
+    placed = _below(written.join(F.broadcast(written.agg(_split_points(value, coarse))), F.lit(True)), value, out)  # one row
+    if coarse == buckets:
+        return placed
+    fine = -(-buckets // coarse)
+    inner = placed.groupBy(F.col(out).alias("_coarse")).agg(_split_points(value, fine))
+    again = _below(placed.withColumnRenamed(out, "_coarse").join(inner, "_coarse"), value, "_fine")
+    return again.withColumn(out, F.col("_coarse") * fine + F.col("_fine")).drop("_coarse", "_fine")
+
+
+def _split_points(value: str, buckets: int) -> Column:
+    return F.percentile_approx(value, [(i + 1) / buckets for i in range(buckets - 1)], max(1_000, 8 * buckets)).alias("_splits")
+
+
+def _below(df: DataFrame, value: str, out: str) -> DataFrame:
+    return df.withColumn(out, F.size(F.filter("_splits", lambda s: s <= F.col(value)))).drop("_splits")
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

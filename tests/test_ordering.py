@@ -107,3 +107,14 @@ def test_narrow_values_are_spread_over_buckets(spark):
     for c in ("v", "w"):
         sizes = [r["count"] for r in ordering.with_bucket(df, c, "b").groupBy("b").count().collect()]
         assert len(sizes) > 100 and max(sizes) < 4 * 100_000 / len(sizes)
+
+
+def test_two_levels_of_split_points_follow_the_values(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "VALUES_UNCUT", 10)
+    monkeypatch.setattr(ordering, "VALUES_PER_BUCKET", 50)
+    monkeypatch.setattr(ordering, "SPLITS", 7)
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("v"))
+    sizes = {r["b"]: r["count"] for r in ordering.with_bucket(df, "v", "b").groupBy("b").count().collect()}
+    assert len(sizes) > 300 and max(sizes.values()) < 4 * 50
+    got = ordering.value_positions(df, "v").orderBy("v").collect()
+    assert [r.below for r in got] == list(range(20_000)) and {r.total for r in got} == {20_000}
