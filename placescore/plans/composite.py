@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placescore.functions import score as S
 from placescore.operators import ordering, spatial
+from placescore.session import cut_lineage
 
 
 def prepared_scores(targets: DataFrame, scored: DataFrame, radius_m: float) -> DataFrame:
@@ -185,6 +187,69 @@ def similar(scores: DataFrame, target_id: object, columns: list[str], k: int = 5
     )
 
 
+#: Pivots of the search for similar places, and rings of equal width around each.
+PIVOTS, RINGS = 48, 64
+
+
+def similar_places(scores: DataFrame, columns: list[str], k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+    """(target_id, similar_id, distance, rank): for every place the k whose score vectors lie closest, ties by id.
+
+    Exact nearest neighbours without pairs of places. Equal vectors are one, with the k + 1 smallest ids that can ever be
+    needed. Every vector belongs to its nearest pivot and to a ring around it. The pivots' nearest vectors bound how far the
+    k-th neighbour can be; only rings that this bound reaches (by the triangle inequality, and by the plane between two
+    pivots) are joined. Distances are rounded to four places, as they are ordered. A place with a missing score takes no part.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = scores.select("target_id", v.alias("v")).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    smallest = Window.partitionBy("v").orderBy("target_id")
+    held = rows.withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k + 1)
+    vectors = cut_lineage(held.groupBy("v").agg(F.array_sort(F.collect_list("target_id")).alias("ids")))
+    chosen = [r["v"] for r in vectors.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()]  # at most ``pivots`` vectors
+    if not chosen:
+        return rows.select("target_id", F.col("target_id").alias("similar_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+
+    def literal(values) -> Column:
+        return F.array(*[literal(x) if isinstance(x, list) else F.lit(float(x)) for x in values])
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+    between = [[math.dist(a, b) for b in chosen] for a in chosen]
+    placed = vectors.withColumn("far", F.transform(literal(chosen), lambda p: apart(F.col("v"), p)))
+    placed = placed.withColumn("own", F.array_min("far")).withColumn("cell", F.array_position("far", F.col("own")).cast("int") - 1)
+    placed = cut_lineage(placed)
+    first = Window.partitionBy("cell").orderBy("own")
+    near = placed.select("cell", "own", F.row_number().over(first).alias("_r")).where(F.col("_r") <= k + 1).groupBy("cell").agg(F.array_sort(F.collect_list("own")).alias("near"))
+    edge = placed.groupBy("cell").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    known = {r["cell"]: r for r in near.join(edge, "cell").collect()}  # a row per pivot, k + 1 numbers each
+    nothing = float("inf")
+    low, high = ([known[j][c] if j in known else x for j in range(len(chosen))] for c, x in (("low", nothing), ("high", -1.0)))
+    width = max(max(high), 1e-9) / RINGS
+    sums = F.flatten(F.transform(F.arrays_zip(F.col("far").alias("d"), F.array(*[F.array(*[F.lit(float(x)) for x in (known[j]["near"] if j in known else [])]).cast("array<double>") for j in range(len(chosen))]).alias("n")), lambda z: F.transform(z["n"], lambda x: x + z["d"])))
+    bound = F.coalesce(F.get(F.array_sort(sums), F.lit(k)), F.lit(nothing)) + 1e-3  # a margin for what rounding makes equal
+    asked = placed.withColumn("bound", bound)
+
+    def rings(j: Column) -> Column:
+        """Rings of cell j that can hold a neighbour."""
+        d, limit = F.get("far", j), F.col("bound")
+        plane = F.try_divide(d * d - F.col("own") * F.col("own"), 2 * F.get(F.get(literal(between), F.col("cell")), j))
+        lows, highs = F.greatest(F.get(literal(low), j), d - limit), F.least(F.get(literal(high), j), d + limit)
+        reach = (lows <= highs) & ((j == F.col("cell")) | F.coalesce(plane <= limit, F.lit(True)))
+        span = F.sequence(F.floor(F.least(lows, highs) / width).cast("int"), F.floor(highs / width).cast("int"))
+        return F.when(reach, F.transform(span, lambda r: F.struct(j.alias("cell"), r.alias("ring"))))
+
+    probes = F.flatten(F.filter(F.transform(F.array(*[F.lit(j) for j in known]), rings), lambda x: x.isNotNull()))
+    probing = asked.select(F.col("v").alias("_v"), F.explode(probes).alias("p")).select("_v", "p.cell", "p.ring")
+    bucket = placed.select("cell", F.floor(F.col("own") / width).cast("int").alias("ring"), "v", "ids")
+    met = probing.join(bucket, ["cell", "ring"]).select("_v", F.round(apart(F.col("_v"), F.col("v")), 4).alias("distance"), F.explode("ids").alias("similar_id"))
+    best = Window.partitionBy("_v").orderBy("distance", "similar_id")
+    top = met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
+    lists = top.groupBy("_v").agg(F.array_sort(F.collect_list(F.struct("distance", "similar_id"))).alias("found"))
+    answered = rows.join(lists.withColumnRenamed("_v", "v"), "v")
+    others = F.slice(F.filter("found", lambda x: x["similar_id"] != F.col("target_id")), 1, k)
+    return answered.select("target_id", F.posexplode(others)).select("target_id", "col.similar_id", "col.distance", (F.col("pos") + 1).alias("rank"))
+
+
 def score_places(
     targets: DataFrame, scores: DataFrame, radius_m: float, metrics: list, overall: Mapping[str, float]
 ) -> DataFrame:

@@ -655,21 +655,64 @@ def audit_ready(tables: Mapping[str, DataFrame], as_of: Column, box: tuple[float
 
 
 def audit_raw(expected: DataFrame, actual: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
-    """Snapshot files against expectations: ok, missing, incompatible (columns), invalid (unexpected).
+    """(path, rows, status, errors) of every expected or present file of a snapshot.
 
-    ``expected`` is (path, columns), ``actual`` (path, columns, rows); columns are sorted arrays.
+    ``expected`` is (path, columns) and perhaps ``expected_rows``; ``actual`` is (path, columns, rows) and perhaps ``parsed``, false
+    where the full parse failed. A present file that nothing expects is ``auxiliary`` when allowed, else ``unexpected``; an
+    expected one is ``missing``, ``invalid`` (not parsed), ``incompatible`` (columns missing or doubled, no rows, another row
+    count) or ``ok``.
     """
-    j = expected.withColumnRenamed("columns", "_want").withColumn("_e", F.lit(True)).join(
-        actual.withColumnRenamed("columns", "_have").withColumn("_a", F.lit(True)), "path", "full"
+    want = expected.select("path", F.col("columns").alias("_want"), (F.col("expected_rows") if "expected_rows" in expected.columns else F.lit(None)).cast("bigint").alias("_rows"), F.lit(True).alias("_e"))
+    have = actual.select("path", F.col("columns").alias("_have"), "rows", (F.col("parsed") if "parsed" in actual.columns else F.lit(True)).alias("_parsed"), F.lit(True).alias("_a"))
+    j = want.join(have, "path", "full")
+    lost = F.array_except("_want", "_have")
+    doubled = F.array_distinct(F.filter("_have", lambda c: F.size(F.filter("_have", lambda d: d == c)) > 1))
+    found = F.array_compact(
+        F.array(
+            F.when(F.size(lost) > 0, F.concat(F.lit("without "), F.array_join(F.array_sort(lost), ","))),
+            F.when(F.size(doubled) > 0, F.concat(F.lit("twice "), F.array_join(F.array_sort(doubled), ","))),
+            F.when(F.col("rows") == 0, F.lit("no rows")),
+            F.when(F.col("rows") != F.col("_rows"), F.concat(F.lit("rows "), F.col("rows").cast("string"), F.lit(" of "), F.col("_rows").cast("string"))),
+        )
     )
     status = (
         F.when(F.col("_a").isNull(), "missing")
-        .when(F.col("_e").isNull() & F.col("path").isin(list(allowed)), "auxiliary")
-        .when(F.col("_e").isNull(), "invalid")
-        .when(F.size(F.array_except("_want", "_have")) > 0, "incompatible")
+        .when(F.col("_e").isNull(), F.when(F.col("path").isin(list(allowed)), "auxiliary").otherwise("unexpected"))
+        .when(~F.coalesce("_parsed", F.lit(False)), "invalid")
+        .when(F.size(found) > 0, "incompatible")
+        .otherwise("ok")
+    )
+    judged = j.withColumn("status", status)
+    errors = F.when(F.col("status") == "incompatible", F.array_join(found, "; ")).when(F.col("status") == "invalid", "not parsed").otherwise("")
+    return judged.select("path", "rows", "status", errors.alias("errors"))
+
+
+BAD_STATUS = ["missing", "unexpected", "invalid", "incompatible"]
+
+
+def audit_status(judged: DataFrame, status: str = "status") -> DataFrame:
+    """One row: how many of each status, and whether the whole is ok."""
+    names = ["ok", "auxiliary", *BAD_STATUS]
+    counts = judged.agg(*[F.count_if(F.col(status) == n).alias(n) for n in names])
+    return counts.withColumn("status", F.when(sum((F.col(n) for n in BAD_STATUS), F.lit(0)) == 0, "ok").otherwise("invalid"))
+
+
+def audit_ready_set(audited: DataFrame, expected: Sequence[str], auxiliary: Sequence[str] = (), partial: str = ".partial") -> DataFrame:
+    """The tables of :func:`audit_ready` against the set that should be there: (table, rows, status).
+
+    Status is ok, missing, unexpected, auxiliary, ``incompatible`` (a gate failed) or ``invalid`` (a write that was not finished).
+    """
+    names = F.array(*[F.lit(n) for n in expected])
+    want = audited.sparkSession.range(1).select(F.explode(names).alias("table"), F.lit(True).alias("_e"))  # a fixed list
+    j = want.join(audited.select("table", "rows", "valid"), "table", "full")
+    status = (
+        F.when(F.col("valid").isNull(), "missing")
+        .when(F.col("table").endswith(partial), "invalid")
+        .when(F.col("_e").isNull(), F.when(F.col("table").isin(list(auxiliary)), "auxiliary").otherwise("unexpected"))
+        .when(~F.col("valid"), "incompatible")
         .otherwise("ok")
     )
-    return j.select("path", "rows", status.alias("status"))
+    return j.select("table", "rows", status.alias("status"))
 
 
 def assert_domain(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

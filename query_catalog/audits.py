@@ -168,14 +168,44 @@ def d38(spark, sf):
 
 @query(
     "d39_raw_snapshot_audit",
-    """SELECT source AS path, count(*) AS rows, CASE WHEN source IN ('src1', 'src2') THEN 'invalid' WHEN source = 'src3' THEN 'auxiliary' WHEN source = 'src4' THEN 'incompatible' ELSE 'ok' END AS status FROM documents GROUP BY source
+    """SELECT source AS path, count(*) AS rows, CASE WHEN source IN ('src1', 'src2') THEN 'unexpected' WHEN source = 'src3' THEN 'auxiliary' WHEN source = 'src4' THEN 'incompatible' ELSE 'ok' END AS status FROM documents GROUP BY source
     UNION ALL SELECT 'src99', NULL, 'missing'""",
 )
 def d39(spark, sf):
     have = table(spark, sf, "documents").groupBy(F.col("source").alias("path")).agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.array(F.lit("doc_id"), F.lit("text")))
     want = have.where(~F.col("path").isin("src1", "src2", "src3")).select("path", F.when(F.col("path") == "src4", F.array(F.lit("doc_id"), F.lit("gone"))).otherwise(F.array(F.lit("doc_id"))).alias("columns"))
     want = want.unionByName(spark.createDataFrame([("src99", ["doc_id"])], "path string, columns array<string>"))
-    return quality.audit_raw(want, have, allowed=["src3"])
+    return quality.audit_raw(want, have, allowed=["src3"]).drop("errors")
+
+
+def _snapshot(spark, sf):
+    """Every source is a file; its number decides what is expected of it and how its header reads."""
+    k = F.regexp_extract("path", r"(\d+)$", 1).cast("int") % 7
+    have = table(spark, sf, "documents").groupBy(F.col("source").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+    header = F.when(k == 2, F.array(*map(F.lit, ("doc_id", "text", "text")))).when(k == 3, F.array(F.lit("doc_id"))).otherwise(F.array(F.lit("doc_id"), F.lit("text")))
+    have = have.withColumns({"columns": header, "parsed": k != 4})
+    want = have.where(k != 5).select("path", F.array(F.lit("doc_id"), F.lit("text")).alias("columns"), F.when(k == 6, F.col("rows") + 1).otherwise(F.col("rows")).alias("expected_rows"))
+    return want, have
+
+
+_SNAPSHOT = r"""f AS (SELECT source AS path, count(*) AS rows, CAST(regexp_extract(source, '(\d+)$', 1) AS INT) % 7 AS k FROM documents GROUP BY 1),
+  j AS (SELECT path, rows, CASE k WHEN 5 THEN CASE WHEN path = 'src5' THEN 'auxiliary' ELSE 'unexpected' END WHEN 4 THEN 'invalid' WHEN 2 THEN 'incompatible' WHEN 3 THEN 'incompatible' WHEN 6 THEN 'incompatible' ELSE 'ok' END AS status,
+    CASE k WHEN 4 THEN 'not parsed' WHEN 2 THEN 'twice text' WHEN 3 THEN 'without text' WHEN 6 THEN 'rows ' || rows || ' of ' || (rows + 1) ELSE '' END AS errors FROM f)"""
+
+
+@query("d39_snapshot_audit", ctes(_SNAPSHOT) + "SELECT * FROM j")
+def d39_snapshot(spark, sf):
+    """Every status of a raw snapshot with what is wrong."""
+    return quality.audit_raw(*_snapshot(spark, sf), allowed=["src5"])
+
+
+@query(
+    "d39_snapshot_status",
+    ctes(_SNAPSHOT) + """SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'auxiliary') AS auxiliary, 0 AS missing, count(*) FILTER (status = 'unexpected') AS unexpected, count(*) FILTER (status = 'invalid') AS invalid,
+      count(*) FILTER (status = 'incompatible') AS incompatible, CASE WHEN count(*) FILTER (status NOT IN ('ok', 'auxiliary')) = 0 THEN 'ok' ELSE 'invalid' END AS status FROM j""",
+)
+def d39_status(spark, sf):
+    return quality.audit_status(quality.audit_raw(*_snapshot(spark, sf), allowed=["src5"]))
 
 
 @query(
@@ -191,6 +221,20 @@ def d40(spark, sf):
     return quality.audit_ready({"quarterly": q, "points": incidents(spark, sf)}, F.lit("2030-01-01").cast("date"), cells.CITY_BOX)
 
 
+@query(
+    "d40_ready_set",
+    ctes(INCIDENTS, "q AS (SELECT count(*) AS n, count(*) FILTER (NOT o_totalprice / 5000 BETWEEN 0 AND 100) AS bad FROM orders)")
+    + """SELECT 'quarterly' AS "table", n AS rows, CASE WHEN bad = 0 THEN 'ok' ELSE 'incompatible' END AS status FROM q UNION ALL SELECT 'points', count(*), 'ok' FROM incidents UNION ALL SELECT 'extra', count(*), 'unexpected' FROM incidents
+      UNION ALL SELECT 'notes', count(*), 'auxiliary' FROM documents UNION ALL SELECT 'points.partial', count(*), 'invalid' FROM incidents UNION ALL SELECT 'baselines', NULL, 'missing'""",
+)
+def d40_set(spark, sf):
+    """Published tables against the expected set: missing, unexpected, unfinished and failing ones."""
+    i = incidents(spark, sf)
+    have = {"quarterly": facts(spark, sf).select((F.col("amount") / 5000).alias("score")), "points": i, "extra": i, "notes": table(spark, sf, "documents").select("doc_id"), "points.partial": i}
+    audited = quality.audit_ready(have, F.lit("2030-01-01").cast("date"), cells.CITY_BOX)
+    return quality.audit_ready_set(audited, ["quarterly", "points", "baselines"], ["notes"])
+
+
 @query(
     "a37_extra_checks",
     """SELECT round(count(*) FILTER (o_totalprice IS NOT NULL AND o_custkey IS NOT NULL) / count(*), 4) AS completeness, count(*) FILTER (o_totalprice > 10 * (SELECT quantile_cont(o_totalprice, 0.99) FROM orders)) AS outliers,

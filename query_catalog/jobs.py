@@ -574,6 +574,21 @@ def d15(spark, sf):
     return scored.join(inside, "target_id", "left_semi").select("target_id", F.col("overall_score").alias("overall"))
 
 
+@query(
+    "d31_similar_all_places",
+    """WITH s AS (SELECT o_custkey AS target_id, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b, count(*) FILTER (o_orderstatus = 'P') AS c, round(avg(o_totalprice) / 10000, 0) AS d FROM orders GROUP BY 1)
+    SELECT x.target_id, y.target_id AS similar_id, round(sqrt((y.a - x.a) ** 2 + (y.b - x.b) ** 2 + (y.c - x.c) ** 2 + (y.d - x.d) ** 2), 4) AS distance,
+      CAST(row_number() OVER (PARTITION BY x.target_id ORDER BY round(sqrt((y.a - x.a) ** 2 + (y.b - x.b) ** 2 + (y.c - x.c) ** 2 + (y.d - x.d) ** 2), 4), y.target_id) AS INTEGER) AS rank
+    FROM s x JOIN s y ON x.target_id <> y.target_id QUALIFY rank <= 5""",
+)
+def d31_all(spark, sf):
+    """For every customer the five whose order counts by status and mean price lie closest."""
+    o = table(spark, sf, "orders")
+    counts = [F.count_if(F.col("o_orderstatus") == k).alias(n) for k, n in (("F", "a"), ("O", "b"), ("P", "c"))]
+    s = o.groupBy(F.col("o_custkey").alias("target_id")).agg(*counts, F.round(F.avg("o_totalprice") / 10000, 0).alias("d"))
+    return composite.similar_places(s, ["a", "b", "c", "d"], 5)
+
+
 @query(
     "d31_similar_places",
     ctes(FACTS, "s AS (SELECT place AS target_id, count(*) FILTER (class = 'F') AS a, count(*) FILTER (class = 'O') AS b, count(*) FILTER (class = 'P') AS c FROM facts GROUP BY 1)")

@@ -222,3 +222,21 @@ def test_filter_document_meets_each_literal_as_what_it_is(spark):
     ids = lambda filters: sorted(r.id for r in df.where(search.fold_filters(df, filters)[0]).collect())
     assert ids({"t": [1, "a"]}) == [1, 2] and ids({"id": ["x", 3]}) == [3] and ids({"id": "x"}) == [] and ids({"t": {"min": 1, "max": 2.5}}) == [2, 3]
     assert search.fold_filters(df, {"id": {"min": "x"}})[2] == ["id"] and search.fold_filters(df, {"t": {"min": [1]}})[2] == ["t"]
+
+
+def test_table_digest_ignores_order_and_sees_a_doubled_file(spark):
+    one = spark.createDataFrame([("a" * 64,), ("b" * 64,), ("0" * 63 + "1",)], "sha256 string")
+    digest = lambda df: publish.folded(df).first().sha256
+    assert digest(one) == digest(one.orderBy(F.desc("sha256")).repartition(3)) != digest(one.unionByName(one.limit(1)))
+    assert digest(one.limit(0)) != digest(one)
+
+
+def test_large_files_are_hashed_as_a_stream(spark, tmp_path):
+    import hashlib
+
+    for i, n in enumerate((10, 5000, 300_000)):
+        (tmp_path / f"f{i}.txt").write_bytes(bytes(range(256)) * (n // 256) + b"x" * (n % 256))
+    want = {p.name: (hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size) for p in tmp_path.iterdir()}
+    for limit in (1, 1000, 1 << 30):
+        got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.size_bytes) for r in publish.fingerprint(spark, str(tmp_path), limit).collect()}
+        assert got == want

@@ -145,3 +145,25 @@ def test_baseline_sentences(spark):
     assert _one(spark, score.baseline_sentence(F.lit(35.0), *q)) == "35 — among the worst ~25% citywide (median 20.0)"
     assert _one(spark, score.baseline_sentence(F.lit(12.0), *q)) == "12 — at or below city median of 20.0"
     assert _one(spark, score.baseline_sentence(F.lit(5.0), *q, higher_is_worse=False)) == "5 — among the lowest ~25% citywide (median 20.0)"
+
+
+@pytest.mark.parametrize("pivots", [1, 7, 48])
+def test_similar_places_equal_brute_force(spark, pivots):
+    import math
+    import random
+
+    from placescore.plans import composite
+
+    rng = random.Random(pivots)
+    rows = [(i, rng.randint(0, 6), rng.uniform(0, 100), float(rng.randint(0, 3))) for i in range(300)]
+    rows += [(1000 + i, 3, 50.0, 1.0) for i in range(150)]  # one vector held by a third of the rows
+    rows += [(5000, None, 1.0, 1.0), (5001, 3, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "target_id int, a int, b double, c double")
+    known = [r for r in rows if None not in r and r[2] == r[2]]
+    want = set()
+    for t, *x in known:
+        best = sorted((round(math.dist(x, y), 4), o) for o, *y in known if o != t)[:5]
+        want |= {(t, o, d, n + 1) for n, (d, o) in enumerate(best)}
+    assert {tuple(r) for r in composite.similar_places(df, ["a", "b", "c"], 5, pivots).collect()} == want
+    assert composite.similar_places(df.limit(0), ["a", "b", "c"]).collect() == []
+    assert composite.similar_places(df.limit(1), ["a", "b", "c"]).collect() == []
