@@ -10,7 +10,7 @@ from placescore.plans import composite, evals, quality, search
 from placescore.session import cut_lineage, scratch_path
 from placescore.sources import publish, readers
 from query_catalog.fixtures import (
-    FACTS, INCIDENTS, PLACES, TARGETS, cell_counts, ctes, facts, incidents, places, query, sql_cell, sql_ix, sql_iy, sql_pct, sql_x, sql_y,
+    FACTS, INCIDENTS, PLACES, TARGETS, cell_counts, ctes, facts, incidents, places, query, sql_cell, sql_d2, sql_hav, sql_ix, sql_iy, sql_pack, sql_pct, sql_x, sql_y,
     table, targets, with_as_of,
 )
 from query_catalog.shaping import DIRTY, dirty
@@ -401,7 +401,29 @@ def d33(spark, sf):
     return composite.overview_context(targets(spark, sf), cut_lineage(tables.percentile_score(c, "n")))
 
 
-@query("d22_hotspots")
+_EPS = 20.0
+_SIDE = "(20.0::DOUBLE / sqrt(2.0::DOUBLE))"
+_KM = "12742000::DOUBLE"
+#: Density clusters from first principles: neighbours by distance, cores by count, clusters by recursion.
+_HOT = f"""pt AS (SELECT lat, lon, {sql_x('lon')} AS x, {sql_y('lat')} AS y, count(*) AS w FROM incidents GROUP BY 1, 2),
+  gr AS (SELECT *, floor(x / {_SIDE}) AS gx, floor(y / {_SIDE}) AS gy, {sql_pack(f"floor(x / {_SIDE})", f"floor(y / {_SIDE})")} AS g FROM pt),
+  nb AS (SELECT a.lat, a.lon, a.g, b.lat AS blat, b.lon AS blon, b.g AS bg, b.w FROM gr a JOIN gr b ON b.gx BETWEEN a.gx - 2 AND a.gx + 2 AND b.gy BETWEEN a.gy - 2 AND a.gy + 2 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {_EPS} + 1e-9),
+  co AS (SELECT lat, lon, g FROM nb GROUP BY 1, 2, 3 HAVING sum(w) >= 6),
+  ed AS (SELECT DISTINCT nb.g AS u, nb.bg AS v FROM nb JOIN co c ON c.lat = nb.lat AND c.lon = nb.lon JOIN co d ON d.lat = blat AND d.lon = blon),
+  cl AS (SELECT u, u AS label FROM ed UNION SELECT cl.u, ed.v FROM cl JOIN ed ON ed.u = cl.label),
+  lb AS (SELECT u AS g, min(label) AS cluster FROM cl GROUP BY 1),
+  me AS (SELECT lat, lon, cluster FROM co JOIN lb USING (g) UNION ALL SELECT nb.lat, nb.lon, min(cluster) FROM nb JOIN co d ON d.lat = blat AND d.lon = blon JOIN lb ON lb.g = d.g LEFT JOIN co c ON c.lat = nb.lat AND c.lon = nb.lon WHERE c.g IS NULL GROUP BY 1, 2),
+  ht AS (SELECT i.*, cluster FROM incidents i JOIN me USING (lat, lon)),
+  ce AS (SELECT cluster, avg(lat) AS c_lat, avg(lon) AS c_lon, count(*) AS n FROM ht GROUP BY 1),
+  kd AS (SELECT cluster, kind, count(*) AS k FROM ht GROUP BY 1, 2),
+  dm AS (SELECT cluster, arg_min(kind, (-k, kind)) AS dominant, count(*) AS n_kinds FROM kd GROUP BY 1)"""
+
+
+@query(
+    "d22_hotspots",
+    ctes(INCIDENTS, _HOT).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"SELECT cluster, n, round(c_lat, 6) AS lat, round(c_lon, 6) AS lon, round(max({sql_hav('ht.lat', 'ht.lon', 'c_lat', 'c_lon')}), 2) AS radius_m, dominant, CAST(n_kinds AS INT) AS n_kinds FROM ce JOIN ht USING (cluster) JOIN dm USING (cluster) GROUP BY ALL",
+)
 def d22(spark, sf):
     """Clusters of all incidents; checked against brute force in the tests."""
     h = cluster.hotspots(incidents(spark, sf).select("event_id", "lat", "lon", "kind"), eps=20.0, min_samples=6)
@@ -429,6 +451,30 @@ def p20(spark, sf):
     return walk_graph(spark, sf)[1]
 
 
+_BUDGET = "(3.0::DOUBLE * 60.0::DOUBLE * 1.33::DOUBLE)"
+_NEAR = f"(abs(n.lat - t.lat) * 111320::DOUBLE <= {_BUDGET} * 1.45::DOUBLE AND abs(n.lon - t.lon) * 111320::DOUBLE * 0.7580107::DOUBLE <= {_BUDGET} * 1.45::DOUBLE)"
+
+
+@query(
+    "d28_reachable_nodes",
+    ctes(
+        PLACES,
+        TARGETS,
+        "ex AS (SELECT c_custkey AS u, (c_custkey * 7 + 1) % n AS v, 20.0::DOUBLE + c_custkey % 80 AS l FROM customer, (SELECT count(*) AS n FROM customer) UNION ALL SELECT c_custkey, (c_custkey + 1) % n, 20.0::DOUBLE + c_custkey % 80 FROM customer, (SELECT count(*) AS n FROM customer))",
+        "eg AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(l) AS l FROM ex WHERE u <> v AND u IN (SELECT place_id FROM places) AND v IN (SELECT place_id FROM places) GROUP BY 1, 2)",
+        "bo AS (SELECT u, v, l FROM eg UNION ALL SELECT v, u, l FROM eg)",
+        f"sn AS (SELECT target_id, place_id AS node FROM targets t JOIN places n ON abs(n.lat - t.lat) * 111320::DOUBLE <= {_BUDGET} * 1.45::DOUBLE AND abs(n.lon - t.lon) * 111320::DOUBLE * 0.7580107::DOUBLE <= {_BUDGET} * 1.45::DOUBLE QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {sql_d2('n.lat', 'n.lon', 't.lat', 't.lon')}, place_id) = 1)",
+        f"wk AS (SELECT target_id, node, 0.0::DOUBLE AS dist FROM sn UNION SELECT wk.target_id, bo.v, wk.dist + bo.l FROM wk JOIN bo ON bo.u = wk.node JOIN targets t ON t.target_id = wk.target_id JOIN places n ON n.place_id = bo.v WHERE wk.dist + bo.l <= {_BUDGET} AND {_NEAR})",
+        "ds AS (SELECT target_id, node, min(dist) AS dist FROM wk GROUP BY 1, 2)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT target_id, node, round(dist, 4) AS dist FROM ds WHERE target_id IN (SELECT target_id FROM ds GROUP BY 1 HAVING count(*) >= 4)",
+)
+def d28_nodes(spark, sf):
+    """Every node a target reaches within three minutes, with its walking distance."""
+    nodes, edges = walk_graph(spark, sf)
+    return graph.reachable(targets(spark, sf), nodes, edges, minutes=3.0).withColumn("dist", F.round("dist", 4))
+
+
 @query("d28_reachability")
 def d28(spark, sf):
     """Nodes and hull area within three minutes of every target; checked against a shortest-path search in the tests."""
