@@ -255,8 +255,38 @@ def identify(
     return result.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("posterior") >= min_posterior))
 
 
-#: What a page shows nobody: comments, scripts, styles and tags.
-MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[a-z/!?][^>]*>", re.I | re.S)
+#: What a page shows nobody: comments, scripts, styles and tags. Where each ends once it has begun.
+ENDS = {"comment": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "tag": re.compile(">")}
+NAMED, TAG = re.compile(r"<(script|style)\b", re.I), re.compile("<[a-z/!?]", re.I)
+
+
+def shown_text(markup: str) -> str:
+    """The text of a page, each piece of markup a blank. It only moves forward: an end that is not found is never sought again."""
+    out, at, none = [], 0, set()
+
+    def end_of(kind: str, start: int) -> int:
+        if kind in none:
+            return -1
+        found = ENDS[kind].search(markup, start)
+        if found is None:
+            none.add(kind)
+            return -1
+        return found.end()
+
+    begin = markup.find("<")
+    while begin >= 0:
+        end = -1
+        if markup.startswith("<!--", begin):
+            end = end_of("comment", begin + 4)
+        elif (named := NAMED.match(markup, begin)) is not None:
+            end = end_of(named[1].lower(), named.end())
+        if end < 0 and TAG.match(markup, begin):
+            end = end_of("tag", begin + 2)
+        if end >= 0:
+            out += [markup[at:begin], " "]
+            at = end
+        begin = markup.find("<", max(at, begin + 1))
+    return "".join([*out, markup[at:]])
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -267,11 +297,12 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else html.unescape(MARKUP.sub(" ", t)) for t in batch.column(3).to_pylist()]
+            texts = [None if t is None else html.unescape(shown_text(t)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["doc_id", "lang", "host", "text"])
 
     markup = F.col("html").cast("string")
-    declared = F.regexp_extract(markup, r"""(?is)<html\b[^>]*?\slang\s*=\s*["']?([a-z]+)""", 1)
+    attributes = F.regexp_extract(markup, r"(?is)<html\b([^>]*+)", 1)  # of the first such tag
+    declared = F.regexp_extract(attributes, r"""(?is)\slang\s*+=\s*+["']?([a-z]+)""", 1)
     columns = pages.select(F.col("page_id").cast("bigint").alias("doc_id"), declared.alias("lang"), host_of(F.col("url").cast("string")).alias("host"), markup.alias("html"))
     texts = columns.mapInArrow(shown, "doc_id bigint, lang string, host string, text string")
     last = F.substring_index("host", ".", -1)

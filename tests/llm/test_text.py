@@ -266,6 +266,21 @@ def test_more_languages_than_a_model_of_two_hundred(spark):
     assert all(got[d].language == f"l{d // 10:03}" and got[d].accepted for d, *_ in rows)
 
 
+def test_shown_text_equals_the_pattern_and_stays_linear():
+    import time
+
+    pattern = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[a-z/!?][^>]*>", re.I | re.S)
+    random.seed(14)
+    parts = ["<", ">", "<!--", "-->", "<script", "<style>", "</script >", "</STYLE>", "</", "a", " ", "\n", "<p>", "<!", "/", "x", "<scripts", "--"]
+    for _ in range(4000):
+        t = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
+        assert language.shown_text(t) == pattern.sub(" ", t), t
+    begin = time.perf_counter()
+    for piece in ("<!--", "<script ", "<style>", "<a ", "<", "</"):
+        language.shown_text(piece * 200_000)
+    assert time.perf_counter() - begin < 20
+
+
 def test_language_of_pages_uses_address_and_markup(spark):
     """Pages without text or declaration are told by host, parent domain and suffix; the registered query judges every page."""
     random.seed(13)
