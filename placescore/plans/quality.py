@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placescore.functions import clean, compare
+from placescore.session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -30,22 +31,24 @@ def _is_number(df: DataFrame, c: str) -> bool:
 def increasing_violations(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows whose key does not exceed the key before it in ``order`` (ties by key).
 
-    Minutes are compared in parallel; only each minute's first and last key meet in one window.
+    Equal rows are counted once with their number; each copy after the first is a violation. What is left is dealt by ranges of
+    (order, key), so a burst within one moment is split too. A range passes on its ends, and only these meet: a row per range.
     """
-    slot = df.select(key, order, F.date_trunc("minute", order).alias("_slot"))
-    within = Window.partitionBy("_slot").orderBy(order, key)
-    inside = slot.withColumn("_prev", F.lag(key).over(within))
-    seams = inside.groupBy("_slot").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col(key) <= F.col("_prev")).alias("_bad"),
-        F.min(F.struct(order, key))[key].alias("_first"),
-        F.max(F.struct(order, key))[key].alias("_last"),
-    )
-    linked = seams.withColumn("_before", F.lag("_last").over(Window.orderBy("_slot")))
-    return linked.agg(
-        (F.sum("_bad") + F.count_if(F.col("_first") <= F.col("_before"))).alias("violations"),
-        F.sum("rows").alias("rows"),
+    pairs = df.groupBy(order, key).agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut_lineage(pairs.repartitionByRange(order, key).withColumn("_range", F.spark_partition_id()))
+    before = F.lag(key).over(Window.partitionBy("_range").orderBy(order, key))
+    inside = ranged.withColumn("_prev", before)
+    copies = F.when(F.col(key).isNotNull(), F.col("n") - 1).otherwise(0)
+    ends = inside.groupBy("_range").agg(
+        F.sum("n").alias("rows"),
+        (F.count_if(F.col(key) <= F.col("_prev")) + F.sum(copies)).alias("bad"),
+        F.min(F.struct(order, key))[key].alias("first"),
+        F.max(F.struct(order, key))[key].alias("last"),
     )
+    whole = ends.agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad"), F.array_sort(F.collect_list(F.struct("_range", "first", "last"))).alias("_ends"))
+    n = F.size("_ends")
+    seams = F.zip_with(F.slice("_ends", 1, F.greatest(n - 1, F.lit(0))), F.slice("_ends", 2, n), lambda a, b: b["first"] <= a["last"])
+    return whole.select((F.col("bad") + F.size(F.filter(seams, lambda x: x))).alias("violations"), "rows")
 
 
 # ---- profile -----------------------------------------------------------------------------------

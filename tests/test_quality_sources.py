@@ -240,3 +240,15 @@ def test_large_files_are_hashed_as_a_stream(spark, tmp_path):
     for limit in (1, 1000, 1 << 30):
         got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.size_bytes) for r in publish.fingerprint(spark, str(tmp_path), limit).collect()}
         assert got == want
+
+
+def test_a_burst_in_one_moment_is_split_and_counted(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 50), f"2024-01-01 00:{m:02d}:00") for m in range(60) for _ in range(5)]
+    rows += [(rng.randint(0, 5000), "2024-01-01 00:30:00") for _ in range(2000)] + [(7, "2024-01-01 00:40:00")] * 500
+    df = spark.createDataFrame(rows, "k int, t string").withColumn("t", F.to_timestamp("t"))
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = sum(b[0] <= a[0] for a, b in zip(ordered, ordered[1:], strict=False))
+    got = quality.increasing_violations(df.repartition(7), "k", "t").first()
+    assert (got.violations, got.rows) == (want, len(rows))
+    assert quality.increasing_violations(df.limit(1), "k", "t").first().violations == 0
