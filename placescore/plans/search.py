@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,38 +28,43 @@ def search(queries: DataFrame, sources: Sequence[DataFrame], limit: int = 5) ->
     )
     parsed = asked_by.groupBy("_set", "_in").agg(F.first("tokens").alias("tokens"), F.first("borough").alias("borough"))
     parsed = parsed.withColumn("query_id", F.struct("_set", "_in")).select("query_id", "tokens", "borough")
-    found = None
-    for rank, source in enumerate(sources):
-        named = source if "borough" in source.columns else source.withColumn("borough", F.lit(None).cast("string"))
-        # one row per distinct (name, borough): a name repeated in a third of the rows is matched once
-        names = (
-            named.groupBy("name", "borough")
-            .agg(F.min("place_id").alias("place_id"))
-            .withColumn("_words", clean.words_of(F.col("name")))
+    ranked = [
+        (source if "borough" in source.columns else source.withColumn("borough", F.lit(None).cast("string"))).select(
+            "place_id", "name", "borough", F.lit(rank).alias("source_rank")
         )
-        names = cut_lineage(names)
-        postings = names.withColumn("_w", F.explode("_words"))
-        frequency = postings.groupBy("_w").agg(F.count(F.lit(1)).alias("_f"))
-        probe = (
-            parsed.select("query_id", F.explode(F.array_distinct("tokens")).alias("_w"))
-            .join(frequency, "_w", "left")
-            .groupBy("query_id")
-            .agg(F.min_by("_w", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_w").alias("w"))).alias("_w"))
-        )
-        asked = parsed.withColumnRenamed("borough", "_want").join(probe, "query_id")
-        hits = (
-            asked.join(postings, "_w")
-            .where(F.size(F.array_except("tokens", "_words")) == 0)
-            .where(F.col("_want").isNull() | F.col("borough").isNull() | (F.upper("borough") == F.col("_want")))
-            .select("query_id", F.lit(rank).alias("source_rank"), "place_id", "name")
-        )
-        found = hits if found is None else found.unionByName(hits)
-    first = found.groupBy("query_id").agg(F.min("source_rank").alias("source_rank"))
-    w = Window.partitionBy("query_id").orderBy(F.length("name"), "name")
+        for rank, source in enumerate(sources)
+    ]
+    # all sources at once; one row per distinct (name, borough): a name repeated in a third of the rows is matched once
+    names = cut_lineage(
+        reduce(DataFrame.unionByName, ranked)
+        .groupBy("source_rank", "name", "borough")
+        .agg(F.min("place_id").alias("place_id"))
+        .withColumn("_words", clean.words_of(F.col("name")))
+    )
+    postings = names.withColumn("_w", F.explode("_words"))
+    frequency = postings.groupBy("source_rank", "_w").agg(F.count(F.lit(1)).alias("_f"))
+    ranks = F.array(*[F.lit(r) for r in range(len(ranked))])
+    probe = (
+        parsed.select("query_id", F.explode("tokens").alias("_w"))
+        .withColumn("source_rank", F.explode(ranks))
+        .join(frequency, ["source_rank", "_w"], "left")
+        .groupBy("query_id", "source_rank")
+        .agg(F.min_by("_w", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_w").alias("w"))).alias("_w"))
+    )
+    asked = parsed.withColumnRenamed("borough", "_want").join(probe, "query_id")
+    found = (
+        asked.join(postings, ["source_rank", "_w"])
+        .where(F.size(F.array_except("tokens", "_words")) == 0)
+        .where(F.col("_want").isNull() | F.col("borough").isNull() | (F.upper("borough") == F.col("_want")))
+        .select("query_id", "source_rank", "place_id", "name")
+    )
+    # rows of the first source come first, so its rows have the first ranks and the others are told by their source
+    w = Window.partitionBy("query_id").orderBy("source_rank", F.length("name"), "name")
     answers = (
-        found.join(first, ["query_id", "source_rank"], "left_semi")
-        .withColumn("rank", F.row_number().over(w))
+        found.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= limit)
+        .withColumn("_first", F.min("source_rank").over(Window.partitionBy("query_id")))
+        .where(F.col("source_rank") == F.col("_first"))
         .select("query_id._set", "query_id._in", "source_rank", "place_id", "name", "rank")
     )
     return asked_by.select("query_id", "_set", "_in").join(answers, ["_set", "_in"]).drop("_set", "_in")
