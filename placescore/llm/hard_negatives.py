@@ -19,29 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placescore.llm.blocks import CHUNK_ROWS, FILE_ROWS, LEAST, MOST, block_of, by_length, chunks_of, in_blocks, inner_products, row_files, units, usable
 from placescore.llm.common import query, table, written
-from placescore.llm.warc import shared_files
-from placescore.session import scratch_path
 
-#: Rows in a file and scored at once, anchors in a block, most files that a task takes together.
-FILE_ROWS, CHUNK_ROWS, BLOCK_ANCHORS, UNIT_FILES = 200_000, 8_192, 512, 64
+BLOCK_ANCHORS = 512
 SCALE = 256
-LEAST, MOST = -(2**63) + 1, 2**63 - 1
-
-
-def whole(vectors: np.ndarray) -> np.ndarray:
-    """floor(SCALE * x), as whole numbers in doubles; what a double cannot hold stops at its largest."""
-    with np.errstate(over="ignore"):
-        return np.nan_to_num(np.floor(vectors * SCALE))
-
-
-def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of every row of ``a`` with every row of ``b``; beyond 64 bits they stop at the ends."""
-    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1) < 2**53:
-        return (a @ b.T).astype(np.int64)  # every partial sum is a whole number that a double holds
-    left = [[int(x) for x in r] for r in a.tolist()]
-    right = [[int(x) for x in r] for r in b.tolist()]
-    return np.array([[min(MOST, max(LEAST, sum(x * y for x, y in zip(p, q, strict=True)))) for q in right] for p in left], np.int64).reshape(len(left), len(right))
 
 
 class Best:
@@ -67,20 +49,6 @@ class Best:
         self.floor.flat[group[last]], self.floor_id.flat[group[last]] = self.score[last], self.id[last]
 
 
-def vectors_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(length of each vector, all components)."""
-    return np.asarray(column.value_lengths(), np.int64), np.asarray(column.flatten(), np.float64)
-
-
-def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(components, positions, matrix) for the vectors of each length."""
-    n, flat = vectors_of(column)
-    first = np.cumsum(n) - n
-    for d in np.unique(n).tolist():
-        at = np.flatnonzero(n == d)
-        yield d, at, whole(flat[first[at][:, None] + np.arange(d)])
-
-
 def search(units: DataFrame, folder: str, k: int, limited: bool) -> DataFrame:
     """(a, anchor_id, slot, score, id): per unit (files, block) the k best rows of every anchor and slot.
 
@@ -89,16 +57,11 @@ def search(units: DataFrame, folder: str, k: int, limited: bool) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.dataset as ds
-        import pyarrow.parquet as pq
-        from pyarrow.fs import FileType
-
-        fs, path = shared_files(folder)
         for batch in batches:
             for files, block in zip(batch.column("files").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if fs.get_file_info(f"{path}/block={block}").type == FileType.NotFound:
+                asked = block_of(folder, block)
+                if asked is None:
                     continue
-                asked = ds.dataset(f"{path}/block={block}", format="parquet", filesystem=fs).to_table().combine_chunks()
                 ids, labels = (asked.column(c).to_numpy() for c in ("id", "label"))
                 if limited:
                     limits = np.full((len(asked), k), LEAST - 1)
@@ -106,26 +69,23 @@ def search(units: DataFrame, folder: str, k: int, limited: bool) -> DataFrame:
                         limits[i, : len(own)] = own
                     lowest = np.array([own[-1] - own[-1] // 5 for own in asked.column("limits").to_pylist()], np.int64)  # 80 % rounded up
                 best = Best(len(asked), k if limited else 1, k)
-                groups = {d: (at, m) for d, at, m in by_length(asked.column("v").combine_chunks())}
-                for file in files:
-                    source, inside = shared_files(file)
-                    with source.open_input_file(inside) as f:
-                        for rows in pq.ParquetFile(f).iter_batches(CHUNK_ROWS, columns=["id", "label", "v"]):
-                            row_ids, row_labels = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-                            for d, at, matrix in by_length(rows.column(2)):
-                                if d not in groups:
-                                    continue
-                                mine, left = groups[d]
-                                score = inner_products(left, matrix)
-                                same = labels[mine][:, None] == row_labels[at][None, :]
-                                if limited:
-                                    fits = ~same & (score <= limits[mine, :1]) & (score >= lowest[mine][:, None])
-                                else:
-                                    fits = same & (ids[mine][:, None] != row_ids[at][None, :]) & (score >= best.floor[mine])
-                                x, y = np.nonzero(fits)
-                                found, anchor = score[x, y], mine[x]
-                                slot = (limits[anchor] >= found[:, None]).sum(axis=1) - 1 if limited else np.zeros(len(x), np.int64)
-                                best.add(anchor, slot, found, row_ids[at][y])
+                groups = {d: (at, m) for d, at, m in by_length(asked.column("v").combine_chunks(), SCALE)}
+                for rows in chunks_of(files, ["id", "label", "v"], CHUNK_ROWS):
+                    row_ids, row_labels = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                    for d, at, matrix in by_length(rows.column(2), SCALE):
+                        if d not in groups:
+                            continue
+                        mine, left = groups[d]
+                        score = inner_products(left, matrix)
+                        same = labels[mine][:, None] == row_labels[at][None, :]
+                        if limited:
+                            fits = ~same & (score <= limits[mine, :1]) & (score >= lowest[mine][:, None])
+                        else:
+                            fits = same & (ids[mine][:, None] != row_ids[at][None, :]) & (score >= best.floor[mine])
+                        x, y = np.nonzero(fits)
+                        found, anchor = score[x, y], mine[x]
+                        slot = (limits[anchor] >= found[:, None]).sum(axis=1) - 1 if limited else np.zeros(len(x), np.int64)
+                        best.add(anchor, slot, found, row_ids[at][y])
                 keys = asked.column("a").take(pa.array(best.anchor)).combine_chunks()
                 yield pa.RecordBatch.from_arrays([keys, pa.array(ids[best.anchor]), pa.array(best.slot.astype(np.int32)), pa.array(best.score), pa.array(best.id)], names=["a", "anchor_id", "slot", "score", "id"])
 
@@ -138,14 +98,6 @@ def best_of(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def in_blocks(anchors: DataFrame, blocks: int, name: str) -> str:
-    """Anchors written as a folder per block, which tasks read."""
-    path = scratch_path(anchors.sparkSession, name)
-    dealt = anchors.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    dealt.repartition(blocks, "block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
-    return path
-
-
 def suffix_merged(slots: Column, k: int) -> Column:
     """Of slots in descending order: the k best of each slot and all below it."""
 
@@ -173,25 +125,15 @@ def mine(
     repeated with all its values is asked once. Scores beyond 64 bits stop at its ends. A positive with a negative score has
     no negatives. An empty table gives an empty result; other columns are not read.
     """
-    spark = vectors.sparkSession
-    v = F.col("v")
     own = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    usable = own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    folder = scratch_path(spark, "mine-rows")
-    usable.write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
-    rows = spark.read.schema(usable.schema).parquet(folder)
+    rows = row_files(own.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v"))), "mine-rows", FILE_ROWS)
     asked = written(rows.where(F.col("id") % every == 0).withColumn("a", F.sha2(F.to_json(F.struct("id", "label", "v")), 256)).dropDuplicates(["a"]), "mine-anchors")
     blocks = max(1, -(-asked.count() // BLOCK_ANCHORS))
-    files = written(rows.select(F.input_file_name().alias("file")).distinct(), "mine-files")
-    n = files.count()
-    together = min(UNIT_FILES, max(1, n * blocks // (4 * spark.sparkContext.defaultParallelism)))
-    grouped = files.withColumn("part", F.pmod(F.xxhash64("file"), F.lit(max(1, n // together)))).groupBy("part").agg(F.collect_list("file").alias("files"))  # about ``together`` names
-    units = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("files", "block")
-    units = units.repartition(min(20_000, max(1, n // together * blocks)))
-    near = written(best_of(search(units, in_blocks(asked, blocks, "mine-blocks"), positives, False), positives), "mine-positives")
+    pairs = units(rows, blocks)
+    near = written(best_of(search(pairs, in_blocks(asked, blocks, "mine-blocks"), positives, False), positives), "mine-positives")
     limits = near.where("score >= 0").groupBy("a").agg(F.sort_array(F.collect_set("score"), asc=False).alias("limits"))
     limited = in_blocks(asked.join(limits, "a"), blocks, "mine-limits")
-    negatives = best_of(search(units, limited, max(k, positives), True), k)
+    negatives = best_of(search(pairs, limited, max(k, positives), True), k)
     return windows(near, negatives, k)
 
 

@@ -1,61 +1,112 @@
 """Exact top-k inner product by MaxScore over shards of vectors.
 
 Every dimension is a query term whose posting list is the dimension's column in a shard. From the shard's extremes each
-term has a score bound; the terms with the largest bounds are essential and are traversed for the whole shard, the others
-are probed only for candidates that can still reach the k-th best score. Shards are ordered blocks of rows; each block of
-queries meets each shard in one task, and the shard results are merged per query.
+term has a score bound; the terms whose bounds together stay below what a candidate still needs for the k-th best score are
+non-essential. Essential terms are traversed for the whole shard, the others are probed only for candidates that can still
+reach that score, which goes on from shard to shard. Shards are row files on shared storage; a task takes a block of
+queries past a group of them, and the results of the groups are merged per query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from placescore.llm.blocks import block_of, by_length, chunks_of, in_blocks, inner_products, row_files, units, usable
 from placescore.llm.common import query, table, written
 
-SHARD_ROWS = 4_096
-QUERY_ROWS = 512
-#: Share of the summed bounds that the essential terms hold.
-ESSENTIAL = 0.6
+#: Rows of a shard, shards in a file, queries in a block, terms probed at once.
+SHARD_ROWS, SHARDS, QUERY_ROWS, STEP = 4_096, 48, 512, 8
+SCALE = 1024
 
 
 def max_score(shard: np.ndarray, ids: np.ndarray, asked: np.ndarray, own: int | None, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the k best rows of a shard for one query; ties to the smaller id; rows of ``own`` id take no part.
 
-    ``shard`` has a row per dimension (posting list), ``floor`` is a score that the k best certainly reach.
+    ``shard`` has a row per dimension (posting list), ``floor`` is a score below which no row is wanted.
     """
-    highest, lowest = shard.max(axis=1), shard.min(axis=1)
-    bound = np.maximum(asked * highest, asked * lowest)
-    spread = bound - np.minimum(asked * highest, asked * lowest)
-    order = np.argsort(-spread, kind="stable")
-    rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # best possible sum of the terms from here on
-    share = np.cumsum(spread[order])
-    split = int(np.searchsorted(share, ESSENTIAL * share[-1])) + 1 if len(share) else 0
+    ends = asked[:, None] * np.stack([shard.min(axis=1), shard.max(axis=1)], axis=1)
+    least, bound = ends.min(axis=1), ends.max(axis=1)
+    order = np.argsort(least - bound, kind="stable")  # widest spread first
+    above = np.concatenate([np.cumsum((bound - least)[order][::-1])[::-1], [0]])  # what terms from here on add at most to their least
+    base = np.concatenate([np.cumsum(least[order][::-1])[::-1], [0]])  # what they add at least
     alive = np.flatnonzero(ids != own) if own is not None else np.arange(len(ids))
-    essential = order[:split]
-    partial = asked[essential] @ shard[essential][:, alive]
-    step = 8
-    for first in range(split, len(order) + step, step):
-        if len(alive) > k:
-            low = floor
-            if first - step < len(order):
-                # the k-th best of what the candidates reach at the least
-                least = np.minimum(asked * highest, asked * lowest)[order[first:]].sum() if first < len(order) else 0
-                kth = np.partition(partial, len(partial) - k)[len(partial) - k] + least
-                low = kth if low is None else max(low, kth)
-            keep = partial + (rest[first] if first < len(order) else 0) >= low
+    # essential: without them a row has no more than the least of all terms and the spreads of the others
+    split = len(order) if floor is None or base[0] >= floor else int(np.argmax(base[0] + above < floor))
+    partial = asked[order[:split]] @ shard[order[:split]][:, alive]
+    for first in range(split, len(order), STEP):
+        low = floor
+        if len(alive) > k:  # the k-th best of what the candidates reach at the least
+            kth = np.partition(partial, len(partial) - k)[len(partial) - k] + base[first]
+            low = kth if low is None else max(low, kth)
+        if low is not None:
+            keep = partial + base[first] + above[first] >= low
             alive, partial = alive[keep], partial[keep]
-        terms = order[first : first + step]
-        if len(terms):
-            partial = partial + asked[terms] @ shard[terms][:, alive]
+        terms = order[first : first + STEP]
+        partial = partial + asked[terms] @ shard[terms][:, alive]
+    if floor is not None:
+        alive, partial = alive[partial >= floor], partial[partial >= floor]
     best = np.lexsort((ids[alive], -partial))[:k]
     return ids[alive][best], partial[best]
 
 
-def whole_numbers(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * 1024).cast("bigint"))
+def exact(shard: np.ndarray, asked: np.ndarray) -> bool:
+    """Whether doubles hold every sum of products."""
+    return float(np.abs(shard).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(len(asked), 1) < 2**52
+
+
+class Found:
+    """The k best (score, id) of one query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @property
+    def floor(self) -> int | None:
+        return int(self.scores[-1]) if len(self.scores) == self.k else None
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores.astype(np.int64)])
+        best = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[best], scores[best]
+
+
+def search(pairs: DataFrame, folder: str, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best per query and unit."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for files, block in zip(batch.column("files").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                asked = block_of(folder, block)
+                if asked is None:
+                    continue
+                query_ids = asked.column("id").to_numpy()
+                found = [Found(k) for _ in query_ids]
+                groups = {d: (at, m) for d, at, m in by_length(asked.column("v").combine_chunks(), SCALE)}
+                for rows in chunks_of(files, ["id", "v"], SHARD_ROWS):
+                    row_ids = rows.column(0).to_numpy()
+                    for d, at, matrix in by_length(rows.column(1), SCALE):
+                        if d not in groups:
+                            continue
+                        mine, vectors = groups[d]
+                        by_id = np.argsort(row_ids[at], kind="stable")
+                        ids, matrix = row_ids[at][by_id], matrix[by_id]
+                        shard = np.ascontiguousarray(matrix.T)
+                        for q, v in zip(mine.tolist(), vectors, strict=True):
+                            if exact(shard, v):
+                                found[q].add(*max_score(shard, ids, v, int(query_ids[q]), k, found[q].floor))
+                            else:
+                                other = ids != query_ids[q]
+                                found[q].add(ids[other], inner_products(v[None, :], matrix[other])[0])
+                counts = [len(f.ids) for f in found]
+                columns = [np.repeat(query_ids, counts), np.concatenate([f.ids for f in found]), np.concatenate([f.scores for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return pairs.mapInArrow(task, "query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -63,40 +114,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
 
     Components are floor(1024 * x); the score is the integer inner product, ties go to the smaller id. Vectors that are
     null or empty, hold null or non-finite components, have a null id or another length than the query take no part in it. Rows repeated
-    with an id are candidates each, but never of their own id. An empty table gives an empty result; other columns are not read.
+    with an id are candidates each, but never of their own id; a query repeated with its vector is asked once, and queries of
+    one id share its k answers. Scores beyond 64 bits stop at its ends. An empty table gives an empty result; other columns are
+    not read.
     """
-    vector = F.col("v")
-    usable = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where(
-        F.col("id").isNotNull()
-        & (F.size(vector) > 0)
-        & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    )
-    rows = written(usable.select("id", F.size("v").alias("dims"), whole_numbers(vector).alias("v")), "topk-vectors")
-    n = rows.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    asked = rows.where(F.col("id") % every == 0)
+    own = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = row_files(own.where(F.col("id").isNotNull() & usable(F.col("v"))), "topk-rows", SHARD_ROWS * SHARDS)
+    asked = written(rows.where(F.col("id") % every == 0).distinct().withColumn("a", F.col("id").cast("string")), "topk-queries")
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    # the stated query set against all rows, in blocks: a shard is sent once for each block of queries
-    left = asked.select("id", "dims", "v", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    right = rows.select("id", "dims", "v", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-
-    def search(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for dims, mine in queries.groupby("dims"):
-            own = rows[rows["dims"] == dims]
-            if not len(own):
-                continue
-            ids = own["id"].to_numpy()
-            at = np.argsort(ids, kind="stable")
-            matrix = np.ascontiguousarray(np.stack(own["v"].to_numpy())[at].T.astype(np.int64))
-            for query_id, v in zip(mine["id"].to_numpy(), mine["v"], strict=True):
-                best, score = max_score(matrix, ids[at], np.asarray(v, np.int64), int(query_id), k)
-                found.append(pd.DataFrame({"query_id": np.int64(query_id), "vec_id": best, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    partial = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
+    partial = search(units(rows, blocks), in_blocks(asked, blocks, "topk-blocks"), k)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

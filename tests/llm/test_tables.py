@@ -121,6 +121,33 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_max_score_leaves_terms_unread_and_carries_its_threshold():
+    rng = np.random.default_rng(5)
+    shard = np.floor(rng.normal(size=(24, 500)) * 1024 * np.linspace(4, 0.05, 24)[:, None])
+    ids, asked = np.arange(500), np.floor(rng.normal(size=24) * 1024)
+    scores = asked @ shard
+    order = np.lexsort((ids, -scores))[:10]
+    for floor in (None, int(scores[order[-1]]), int(scores[order[4]]), int(scores.max()) + 1, int(scores.min()) - 1):
+        got, score = topk.max_score(shard, ids, asked, None, 10, floor)
+        want = [i for i in order if floor is None or scores[i] >= floor]
+        assert got.tolist() == want and score.tolist() == scores[want].tolist()
+
+    class Counted(np.ndarray):
+        pass
+
+    read = []
+    view = shard.view(Counted)
+    Counted.__getitem__ = lambda self, key: (read.append(key), np.ndarray.__getitem__(self, key))[1]
+    topk.max_score(view, ids, asked, None, 10, int(scores[order[-1]]))
+    assert 0 < len(read[0]) < 24  # essential terms alone are traversed for all rows
+
+
+def test_top_k_of_huge_components(spark):
+    df = spark.createDataFrame([(100, [3e38, 0.0]), (1, [3e38, 1.0]), (2, [-3e38, 0.0]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 0), (2, -(2**63) + 1)]
+
+
 def test_pipeline_stages(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + awkward()
     docs = docs_of(spark, rows)
