@@ -32,6 +32,23 @@ def test_words_with_one_hash_stay_apart():
         assert seen.gather(seen.slots(joined, starts, ends, h))[0].tolist() == [97, 98, 119, 98]
 
 
+def test_shingles_and_encoders_keep_such_words_apart(spark):
+    import base64
+
+    from placescore.llm import bpe, packing, shingles
+
+    a, b = thue_morse(1024)
+    sets = shingles.shingle_sets([a, b, f"{a} x y", f"{b} x y"], 3)
+    assert len(set(sets.values.tolist())) == 4
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+    docs = docs_of(spark, [(1, a), (2, b), (3, a)])
+    decoded = {r.doc_id: r.decoded_sha256 for r in bpe.encode_documents(docs, ranks, P.PATTERN).collect()}
+    assert decoded == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in ((1, a), (2, b), (3, a))}
+    crc = {r.doc_id: r.ids_crc32 for r in packing.pack(docs, JSON).collect() if r.piece == 0}
+    assert crc[1] == crc[3] != crc[2]
+
+
 # ---- hard negatives ----
 
 
