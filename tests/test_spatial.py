@@ -229,3 +229,39 @@ def test_nearest_searches_have_no_farthest_distance(spark):
         near = sorted(_d((a, b), (c, d)) for j, c, d in goals if j != i)[:3]
         assert mean[i] == pytest.approx(sum(near) / 3, abs=0.01)
     assert spatial.nearest_cell(t, known.limit(0)).where("cell IS NULL").count() == len(goals)
+
+
+def test_entities_are_counted_without_pairs(spark, monkeypatch):
+    facts, goals = _points(3000, 21), _points(70, 22) + [(999, 40.9, -73.7), (998, None, -74.0)]
+    who = lambda i: 7 if i % 4 == 0 else i % 211  # noqa: E731  one entity has a quarter of the rows
+    f = spark.createDataFrame([(f"e{who(i)}", a, b) for i, a, b in facts], "who string, lat double, lon double").repartition(5)
+    t = spark.createDataFrame(goals, "target_id int, lat double, lon double")
+    monkeypatch.setattr(spatial, "ENTITY_TARGETS", 30)
+    paired = []
+    plain = spatial.within
+    monkeypatch.setattr(spatial, "within", lambda targets, r, per_cell, *rest: paired.append(per_cell) or plain(targets, r, per_cell, *rest))
+    for r in (200.0, 1000.0):
+        for most in (400, 100_000):
+            got = {x.target_id: x.entities for x in spatial.distinct_within(t, f, r, "who", entity_rows=most).collect()}
+            want = {i: len({who(j) for j, c, d in facts if _d((a, b), (c, d)) <= r}) for i, a, b in goals if a is not None}
+            assert got == {i: n for i, n in want.items() if n}
+    assert all({x[0] for x in p.select("_entity").distinct().collect()} == {"e7"} for p in paired) and len(paired) == 2
+
+
+def test_radius_join_tests_a_coordinate_once(spark):
+    f = spark.createDataFrame([(i, 40.7101, -74.0) for i in range(500)] + [(i, 40.7302, -74.0) for i in range(500, 520)], "fact_id int, lat double, lon double")
+    t = spark.createDataFrame([(1, 40.71, -74.0), (2, 40.73, -74.0)], "target_id int, lat double, lon double")
+    j = spatial.radius_join(t, f, 200.0)
+    assert j.columns == ["cell", "target_id", "target_lat", "target_lon", "fact_id", "lat", "lon", "distance_sq"]
+    assert sorted((x.target_id, x.fact_id) for x in j.collect()) == [(1, i) for i in range(500)] + [(2, i) for i in range(500, 520)]
+    assert "collect_list" in j._jdf.queryExecution().toString()
+
+
+def test_cells_by_centre_from_totals(spark):
+    facts, goals = _points(800, 23), _points(30, 24)
+    f = spatial.with_cell(spark.createDataFrame(facts, "fact_id int, lat double, lon double"))
+    t = spark.createDataFrame(goals, "target_id int, lat double, lon double")
+    n = F.count("*").alias("n")
+    got = spatial.within(t, 500.0, f.groupBy("cell").agg(n), f.groupBy("cell", "lat", "lon").agg(n), prefilter="cell_center").groupBy("target_id").agg(F.sum("n").alias("n"))
+    want = spatial.radius_join(t, f, 500.0, prefilter="cell_center").groupBy("target_id").agg(n)
+    assert sorted(got.collect()) == sorted(want.collect())
