@@ -202,7 +202,7 @@ def trend_sentence(t: DataFrame) -> Column:
     """
 
     def sign(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.format_string("%+.1f %%", F.col(c)))
+        return F.when(F.col(c).isNotNull(), F.format_string("%+.1f %%", F.col(c) + 0.0))  # no sign on a zero
 
     def told(test: Column, *pieces: Column | str) -> Column:
         return F.when(test, F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in pieces]))
@@ -222,7 +222,7 @@ def trend_sentence(t: DataFrame) -> Column:
         chain = F.transform("quarters", lambda q: F.concat_ws("=", q["quarter"], q["value"].cast("string")))
         parts.insert(2, told(F.size("quarters") > 0, F.array_join(chain, " ")))
     if "is_anomaly" in t.columns:
-        z = F.when(F.col("z_score").isNotNull(), F.format_string(" by z %+.2f", F.col("z_score"))).otherwise("")
+        z = F.when(F.col("z_score").isNotNull(), F.format_string(" by z %+.2f", F.col("z_score") + 0.0)).otherwise("")
         parts.append(told(F.col("is_anomaly"), "unusual", z, " [", F.col("context"), "]"))
     return F.concat_ws(" ", F.concat("signal", F.lit(":")), F.coalesce(F.nullif(F.concat_ws("; ", *parts), F.lit("")), F.lit("no figures")))
 

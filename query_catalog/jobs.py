@@ -393,10 +393,10 @@ def d21(spark, sf):
 _SAID = """h AS (SELECT target_id, signal, string_agg(quarter || '=' || value, ' ' ORDER BY qi) AS chain FROM (SELECT *, row_number() OVER (PARTITION BY target_id, signal ORDER BY qi DESC) AS r FROM sr) WHERE r <= 4 GROUP BY 1, 2),
   oo AS (SELECT *, row_number() OVER (PARTITION BY target_id, signal ORDER BY qi DESC) AS r FROM sr WHERE period_complete),
   an AS (SELECT target_id, signal, count(*) AS n, avg(value) FILTER (r > 1) AS m, stddev_pop(value) FILTER (r > 1) AS sd, max(value) FILTER (r = 1) AS v FROM oo GROUP BY 1, 2),
-  ax AS (SELECT target_id, signal, CASE WHEN n >= 4 AND CASE WHEN sd = 0 THEN v <> m ELSE abs((v - m) / sd) > 1.5 END THEN 'unusual' || CASE WHEN sd <> 0 THEN ' by z ' || printf('%+.2f', round((v - m) / sd, 2)) ELSE '' END || ' [' ||
+  ax AS (SELECT target_id, signal, CASE WHEN n >= 4 AND CASE WHEN sd = 0 THEN v <> m ELSE abs((v - m) / sd) > 1.5 END THEN 'unusual' || CASE WHEN sd <> 0 THEN ' by z ' || printf('%+.2f', round((v - m) / sd, 2) + 0.0) ELSE '' END || ' [' ||
     CASE WHEN sd = 0 THEN 'zero_variance_baseline' WHEN v > m THEN 'above_historical_mean' ELSE 'below_historical_mean' END || ']' END AS odd FROM an),
-  sy AS (SELECT td.target_id, td.signal, td.signal || ': ' || concat_ws('; ', '30 d: ' || a || ' after ' || b || coalesce(' (' || printf('%+.1f %%', recent) || ')', ''), '90 d: ' || c || ', a year before ' || d || coalesce(' (' || printf('%+.1f %%', seasonal) || ')', ''), chain,
-    'to baseline ' || printf('%+.1f %%', gap) || ', ' || CASE WHEN td.value <= p25 THEN 'below_average' WHEN td.value <= p50 THEN 'average' WHEN td.value <= bs.p75 THEN 'above_average' ELSE 'high' END, CASE WHEN persistence > 0 THEN 'high for ' || persistence || ' quarters' END, odd) AS summary
+  sy AS (SELECT td.target_id, td.signal, td.signal || ': ' || concat_ws('; ', '30 d: ' || a || ' after ' || b || coalesce(' (' || printf('%+.1f %%', recent + 0.0) || ')', ''), '90 d: ' || c || ', a year before ' || d || coalesce(' (' || printf('%+.1f %%', seasonal + 0.0) || ')', ''), chain,
+    'to baseline ' || printf('%+.1f %%', gap + 0.0) || ', ' || CASE WHEN td.value <= p25 THEN 'below_average' WHEN td.value <= p50 THEN 'average' WHEN td.value <= bs.p75 THEN 'above_average' ELSE 'high' END, CASE WHEN persistence > 0 THEN 'high for ' || persistence || ' quarters' END, odd) AS summary
     FROM td JOIN wc USING (target_id, signal) JOIN bs USING (signal) LEFT JOIN h USING (target_id, signal) LEFT JOIN ax USING (target_id, signal))"""
 
 
