@@ -66,10 +66,12 @@ _SHAPES = {
          """md AS (SELECT 'mixed_date_formats' AS type, "column", """ + " + ".join(f"({n} > 0)::INT" for n in _SHAPES) + """ AS n, 'high' AS severity, """ + " + ".join(_SHAPES) + """ AS total, k FROM sh)""",
          """nu AS (SELECT "column", count(TRY_CAST(replace(trim(v), ',', '') AS DOUBLE)) AS n, count(*) AS k FROM tx GROUP BY 1)""",
          """ng AS (SELECT 'negative_value_unexpected' AS type, 'balance' AS "column", count(*) AS n, 'high' AS severity FROM dirty WHERE balance < 0)""",
-         """la AS (SELECT 'geographic_out_of_bounds' AS type, 'lat' AS "column", count(*) AS n, 'high' AS severity FROM dirty WHERE lat NOT BETWEEN -90 AND 90)""")
+         """la AS (SELECT 'geographic_out_of_bounds' AS type, 'lat' AS "column", count(*) AS n, 'high' AS severity FROM dirty WHERE lat NOT BETWEEN -90 AND 90)""",
+         """ze AS (SELECT 'suspicious_zero' AS type, 'balance' AS "column", count(*) FILTER (balance = 0) AS n, 'medium' AS severity FROM dirty HAVING count(*) FILTER (balance = 0) > 0 AND count(*) FILTER (balance = 0) < 0.5 * count(balance))""",
+         """du AS (SELECT 'exact_row_duplicates' AS type, '' AS "column", CAST(sum(n) AS BIGINT) AS n, 'high' AS severity FROM (SELECT count(*) AS n FROM dirty GROUP BY name, segment, joined, active, amount_text, balance, lat, zip, borough HAVING count(*) > 1) HAVING count(*) > 0)""")
     + """SELECT * FROM ws UNION ALL SELECT * FROM ca UNION ALL SELECT * FROM bo UNION ALL SELECT type, "column", n, severity FROM md WHERE n >= 2 AND total > 0.25 * k
       UNION ALL SELECT CASE WHEN n / k >= 0.95 THEN 'numeric_stored_as_string' ELSE 'mixed_numeric_string' END, "column", n, CASE WHEN n / k >= 0.95 THEN 'medium' ELSE 'high' END FROM nu WHERE n / k >= 0.7
-      UNION ALL SELECT * FROM ng UNION ALL SELECT * FROM la""",
+      UNION ALL SELECT * FROM ng UNION ALL SELECT * FROM la UNION ALL SELECT * FROM ze UNION ALL SELECT * FROM du""",
 )
 def d36(spark, sf):
     return quality.scan_quality(dirty(spark, sf), row_id="row_id").drop("example_rows")
