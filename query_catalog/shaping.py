@@ -299,10 +299,12 @@ def f12(spark, sf):
     line = F.concat(F.lit("LINESTRING ("), n(F.col("lon")), F.lit(" "), n(F.col("lat")), F.lit(", 5 7, "), n(F.col("lon") + 0.001), F.lit(" "), n(F.col("lat")), F.lit(", "), n(F.col("lon")), F.lit(" "), n(F.col("lat") + 0.001), F.lit(")"))
     corner = lambda dx, dy: F.concat(n(F.col("lon") + dx), F.lit(" "), n(F.col("lat") + dy))
     poly = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(0.0, 0.0), corner(0.002, 0.0), corner(0.002, 0.002), corner(0.0, 0.002), corner(0.0, 0.0)), F.lit("))"))
-    v, c = cells.wkt_vertices(line), cells.polygon_centroid(poly)
-    return p.select(
-        "place_id", F.size(v).alias("n_vertices"), F.round(v[0]["lon"], 6).alias("first_lon"),
-        F.round(c["lon"], 6).alias("centre_lon"), F.round(c["lat"], 6).alias("centre_lat"),
+    # a step each, so a text is made and read once however often its parts are named
+    written = p.select("place_id", line.alias("line"), poly.alias("poly"))
+    read = written.select("place_id", cells.wkt_vertices(F.col("line")).alias("v"), cells.polygon_centroid(F.col("poly")).alias("c"))
+    return read.select(
+        "place_id", F.size("v").alias("n_vertices"), F.round(F.col("v")[0]["lon"], 6).alias("first_lon"),
+        F.round("c.lon", 6).alias("centre_lon"), F.round("c.lat", 6).alias("centre_lat"),
     )
 
 
