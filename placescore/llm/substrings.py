@@ -4,8 +4,8 @@ A window of ``width`` bytes is owned by its minimiser: the leftmost smallest has
 minimisers at equal distances, so only places with a common minimiser can repeat each other. The bytes of all windows that a minimiser
 owns at one place are its region. Equal regions are settled by a key; from each class only the earliest place goes on, and
 only where a minimiser has several classes. These regions are the documents of the column-wise construction: each round
-puts one more symbol in front of every region's suffix and rewrites the collection's transform in order, until all suffixes are sorted; neighbours that
-agree on a whole window repeat each other. Rounds over whole documents would be as many as the longest has bytes.
+puts one more column of up to eight symbols in front of every region's suffix and rewrites the collection's transform in order, until all suffixes are
+sorted; neighbours that agree on a whole window repeat each other. Rounds over whole documents would follow the bytes of the longest.
 """
 
 from __future__ import annotations
@@ -175,11 +175,29 @@ def regions(docs: DataFrame, settled: DataFrame, width: int) -> DataFrame:
     return rows.select("key", "packed", "found").mapInArrow(cut, "h bigint, key bigint, lo int, bytes binary")
 
 
+def columns_of(text: np.ndarray, left_of_end: np.ndarray) -> tuple[int, np.ndarray]:
+    """(width, rank of the symbols from each place on): as many symbols to a column as have at most 65,536 different fillings.
+
+    A column that reaches past the end of its string is filled with the end's symbol.
+    """
+    rank, wide = np.unique(text, return_inverse=True)[1].reshape(-1), 1
+    while wide < 8:
+        after = np.zeros(len(text), np.int64)
+        after[:-wide] = rank[wide:] if len(text) > wide else 0
+        after[left_of_end < wide] = 0  # the end is the smallest symbol, and so is a column of nothing else
+        found, twice = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)
+        if len(found) > 1 << 16:
+            break
+        rank, wide = twice.reshape(-1), wide * 2
+    return wide, rank.astype(np.uint16)
+
+
 def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start) of all non-empty suffixes in order, by the column-wise construction, and the text they lie in.
 
-    Round t knows the order of the suffixes of at most t symbols and, for each, the symbol before it where that suffix was not the last one put
-    in: the collection's transform. Dealing the transform by symbol, in order, is the order of the suffixes of at most t + 1.
+    A round knows the order of the suffixes up to some size and, for each, the column before it: the collection's transform.
+    Dealing the transform by column, in order, is the order of the suffixes one column longer. A column has as many symbols
+    as 16 bits can tell apart, so a round deals by a radix of that size.
     """
     count = len(strings)
     length = np.array([len(s) for s in strings])
@@ -192,12 +210,13 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     text[inner] = np.delete(flat, first[1:-1] - 1).astype(np.int16) + 1
     left = np.arange(first[-1]) - np.repeat(first[:-1], length + 1)  # symbols before a suffix in its string
     size = np.repeat(length, length + 1) - left
-    ends = first[1:] - 1
-    order = ends
-    for t in range(int(length.max(initial=0))):
-        before = order[(left[order] > 0) & (size[order] <= t)] - 1
-        before = before[np.argsort(text[before], kind="stable")]
-        order = np.concatenate([ends, before])
+    wide, column = columns_of(text, size)
+    short = np.flatnonzero(size < wide)
+    order = short[np.argsort(column[short], kind="stable")]
+    for _ in range(int(length.max(initial=0)) // wide):
+        before = order[left[order] >= wide] - wide
+        every = np.concatenate([short, before])
+        order = every[np.argsort(column[every], kind="stable")]
     owner = np.repeat(np.arange(count), length + 1)
     order = order[count:]
     return owner[order], left[order], order
