@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from placescore.functions import text
 from placescore.session import cut_lineage
@@ -80,56 +83,109 @@ def pass_power(attempts: DataFrame, key: str = "case_id") -> DataFrame:
 
 # ---- grounding of numbers ------------------------------------------------------------------------
 
-#: Values of one group that one task pairs with the group's open claims.
-VALUES_PER_PART = 1_000
+#: Values, and claims, of one group that one task holds at once.
+VALUES_PER_PART, CLAIMS_PER_PART = 20_000, 5_000
+#: Partners looked up at once.
+LOOKUPS = 1_000_000
 
 
-def _near(v: Column, other: Column) -> Column:
-    slack = F.greatest(F.lit(DERIVE_ABSOLUTE), F.lit(DERIVE_RELATIVE) * F.greatest(F.abs(v), F.abs(other)))
-    return F.abs(v - other) <= slack
+def _near(v: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.abs(v - other) <= np.maximum(DERIVE_ABSOLUTE, DERIVE_RELATIVE * np.maximum(np.abs(v), np.abs(other)))
 
 
-def _near_range(v: Column) -> tuple[Column, Column]:
+def _near_range(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Between what bounds the values near ``v`` lie."""
-    m = F.abs(v)
-    inner, outer = F.least(m - DERIVE_ABSOLUTE, m * (1 - DERIVE_RELATIVE)), F.greatest(m + DERIVE_ABSOLUTE, m / (1 - DERIVE_RELATIVE))
-    return F.when(v >= 0, inner).otherwise(-outer), F.when(v >= 0, outer).otherwise(-inner)
+    m = np.abs(v)
+    inner, outer = np.minimum(m - DERIVE_ABSOLUTE, m * (1 - DERIVE_RELATIVE)), np.maximum(m + DERIVE_ABSOLUTE, m / (1 - DERIVE_RELATIVE))
+    return np.where(v >= 0, inner, -outer), np.where(v >= 0, outer, -inner)
 
 
-def _exponent(x: Column) -> Column:
-    return F.floor(F.log2(F.greatest(F.abs(x), F.lit(1e-300)))).cast("int")
+def _some_between(b: np.ndarray, low: np.ndarray, high: np.ndarray, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Whether one of the ascending ``b`` from low to high passes ``fits(which, value)``. All but the outermost pass, so the ends are tried first."""
+    first, last = np.searchsorted(b, low), np.searchsorted(b, high, "right") - 1
+    out = np.zeros(len(low), bool)
+    asked = np.flatnonzero(first <= last)
+    while len(asked):
+        out[asked] = fits(asked, b[first[asked]]) | fits(asked, b[last[asked]])
+        first[asked] += 1
+        last[asked] -= 1
+        asked = asked[~out[asked] & (first[asked] <= last[asked])]
+    return out
 
 
-def _bucket(x: Column, level: Column) -> Column:
-    return F.floor(x * F.pow(F.lit(2.0), -level)).cast("bigint")
+def _spread(*sizes: np.ndarray) -> np.ndarray:
+    """What rounding can make of numbers of these sizes."""
+    return 4e-15 * sum(np.abs(x) for x in sizes)
 
 
-def _levels(claims: DataFrame, values: DataFrame) -> tuple[int, int]:
-    """Between what exponents the levels of all probes lie, from the extremes of claims and values (one row each)."""
-    v = claims.agg(F.max(F.abs("v"))).first()[0] or 0.0
-    least, most = values.where("x <> 0").agg(F.min(F.abs("x")), F.max(F.abs("x"))).first()
-    least, most = least or 1.0, most or 1.0
-    narrow, wide = 2 * DERIVE_ABSOLUTE, max(2 * ROUND_TOLERANCE, v * 3 * DERIVE_RELATIVE, 2 * DERIVE_ABSOLUTE)
-    far = (most + v + wide) * (1 + (v + wide) / 100)
-    low = min(narrow, least * narrow / 100)
-    return math.floor(math.log2(low)) - 3, max(math.ceil(math.log2(max(wide, most * wide / 100))), math.ceil(math.log2(far)) - 51) + 1
+def _is_rounded(v: np.ndarray, b: np.ndarray) -> np.ndarray:
+    reach = ROUND_TOLERANCE + _spread(v)
+    return _some_between(b, v - reach, v + reach, lambda i, y: np.abs(v[i] - y) <= ROUND_TOLERANCE)
 
 
-def _looked_up(probes: DataFrame, values: DataFrame, by: list[str], levels: tuple[int, int], fits: Column) -> DataFrame:
-    """Probes (by, token, v, a, op, low, high) that some value between the bounds satisfies.
+def _is_derived(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``v`` are near y - x, x + y or y / x in percent, for one x of ``a`` and one y of the ascending ``b``.
 
-    A probe asks at the level whose buckets are at most half as wide as its range (or as fine as doubles are), so it touches
-    a handful, and of a bucket that its range cuts the least or the greatest value decides.
+    A few of ``a`` are tried first, in no order, then more and more at a time: what a few derive never meets the others.
     """
-    spread = F.lit(1e-15) * (F.abs(F.coalesce("a", F.lit(0.0))) + F.abs("low") + F.abs("high"))
-    level = F.greatest(_exponent((F.col("high") - F.col("low")) / 2), _exponent(F.greatest(F.abs("low"), F.abs("high"))) - 51)
-    asked = probes.withColumn("_level", level).withColumns({"_low": F.col("low") - spread, "_high": F.col("high") + spread})
-    asked = asked.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col("_low"), F.col("_level")), _bucket(F.col("_high"), F.col("_level")))))
-    # each value is indexed at the levels that can be asked and that it can be told apart at
-    first = F.greatest(F.lit(levels[0]), F.least(F.lit(levels[1]), _exponent(F.col("x")) - 53))
-    indexed = values.withColumn("_level", F.explode(F.sequence(first, F.lit(levels[1]))))
-    index = indexed.groupBy(*by, "_level", _bucket(F.col("x"), F.col("_level")).alias("_bucket")).agg(F.min("x").alias("least"), F.max("x").alias("most"))
-    return asked.join(index, [*by, "_level", "_bucket"]).where(fits).select(*by, "token").distinct()
+    done = np.zeros(len(v), bool)
+    a = np.random.default_rng(0).permutation(a)
+    at, size = 0, 4
+    while at < len(a) and not done.all():
+        rest, part = np.flatnonzero(~done), a[at : at + size]
+        x, w = np.tile(part, len(rest)), np.repeat(v[rest], len(part))
+        low, high = _near_range(w)
+        hit = np.zeros(len(x), bool)
+
+        def ask(on: np.ndarray, one: np.ndarray, other: np.ndarray, made: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+            spread = _spread(x[on], one, other)  # noqa: B023
+            hit[on] = _some_between(b, np.minimum(one, other) - spread, np.maximum(one, other) + spread, lambda i, y: _near(w[on[i]], made(x[on[i]], y)))  # noqa: B023
+
+        on = np.arange(len(x))
+        ask(on, x + low, x + high, lambda x, y: y - x)
+        on = np.flatnonzero(~hit)
+        ask(on, low[on] - x[on], high[on] - x[on], lambda x, y: x + y)
+        on = np.flatnonzero(~hit & (x != 0))
+        ask(on, x[on] * low[on] / 100, x[on] * high[on] / 100, lambda x, y: y / x * 100.0)
+        done[rest] = hit.reshape(len(rest), -1).any(axis=1)
+        at += size
+        size = max(1, min(size * 4, LOOKUPS // max(1, int((~done).sum()))))
+    return done
+
+
+def _blocks(numbers: DataFrame, by: list[str], size: int) -> DataFrame:
+    """(by, block, least, most, held): the distinct numbers ``x`` of each group, ascending, in runs of at most ``size``."""
+    dealt = numbers.repartitionByRange(*by, "x").withColumn("_part", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_part", *by).orderBy("x")) - 1
+    run = F.col("_part").cast("bigint") * (1 << 32) + F.floor(place / size)
+    return cut_lineage(dealt.withColumn("block", run).groupBy(*by, "block").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.array_sort(F.collect_list("x")).alias("held")))
+
+
+def _met(by: list[str], blocks: Mapping[str, DataFrame], reach: Column, judge: Callable[..., np.ndarray]) -> DataFrame:
+    """(by, x): claims that ``judge`` finds where blocks of a group meet as far as ``reach`` says; each meeting is a task's own, however large the group."""
+    heads = [df.select(*by, *[F.col(c).alias(f"{n}_{c}") for c in ("block", "least", "most")]) for n, df in blocks.items()]
+    names = list(blocks)
+    keys = [*by, *[f"{n}_block" for n in names]]
+    meetings = cut_lineage(reduce(lambda x, y: x.join(y, by), heads).where(reach).select(*keys))
+    rows = meetings
+    for n, df in blocks.items():
+        rows = rows.join(df.select(*by, F.col("block").alias(f"{n}_block"), F.col("held").alias(f"{n}_held")), [*by, f"{n}_block"])
+
+    def found(t: pa.Table) -> pa.Table:
+        claims, *others = (t.column(f"{n}_held").combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in names)
+        hit = claims[judge(claims, *others)]
+        return pa.table({c: t.column(c).take(pa.array(np.zeros(len(hit), np.int64))) for c in by} | {"x": hit})
+
+    kind = StructType([*[meetings.schema[c] for c in by], StructField("x", DoubleType())])
+    spread = rows.repartition(min(4_000, max(1, meetings.count())), *keys)  # few bytes, much work: a number that is not merged away
+    return spread.groupBy(*keys).applyInArrow(found, kind).distinct()
+
+
+def _overlap(name: str, *ends: Column) -> Column:
+    """Whether a block has room between the least and the greatest of ``ends``."""
+    low, high = F.least(*ends), F.greatest(*ends)
+    more = F.lit(1e-9) * (F.abs(low) + F.abs(high))
+    return (F.col(f"{name}_most") >= low - more) & (F.col(f"{name}_least") <= high + more)
 
 
 def ground_numbers(claims: DataFrame, pool: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -137,43 +193,30 @@ def ground_numbers(claims: DataFrame, pool: DataFrame, by: Sequence[str]) -> Dat
 
     ``claims`` and ``pool`` hold number texts per group. Rounded is within half a unit of a pool value; derived is a
     difference, sum or share in percent of two pool values (or of one with itself) within the derivation tolerance. Every
-    pool value counts: for each open claim and pool value the partner is looked up in buckets of values.
+    pool value counts. Claims and values meet as ascending blocks of a group, three at a time where their ranges allow it; no
+    pair of a claim and a value is written. An infinite number (a text of over 308 digits) is near anything by the tolerance.
     """
     by = list(by)
     asked, known = claims.select(*by, "token").where("token IS NOT NULL").distinct(), pool.select(*by, "token").distinct()
     asked = cut_lineage(asked.join(known.withColumn("literal", F.lit(True)), [*by, "token"], "left"))
-    values = cut_lineage(known.select(*by, F.col("token").try_cast("double").alias("x")).where("x IS NOT NULL").distinct())
-    rest = asked.where("literal IS NULL").select(*by, "token", F.col("token").try_cast("double").alias("v")).where("v IS NOT NULL")
-    v, a = F.col("v"), F.col("a")
-
-    def by_ends(test) -> Column:
-        return test(F.col("least")) | test(F.col("most"))
-
-    levels = _levels(rest, values)
-    close = rest.select(*by, "token", "v", F.lit(None).cast("double").alias("a"), (v - ROUND_TOLERANCE).alias("low"), (v + ROUND_TOLERANCE).alias("high"))
-    rounded = cut_lineage(_looked_up(close, values, by, levels, by_ends(lambda b: F.abs(v - b) <= ROUND_TOLERANCE)))
-    rest = rest.join(rounded, [*by, "token"], "left_anti")
-    # every open claim meets every value of its group once, a large pool in parts
-    parts = values.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / VALUES_PER_PART).cast("int").alias("_parts"))
-    dealt = values.join(parts, by).select(*by, F.col("x").alias("a"), F.pmod(F.xxhash64("x"), F.col("_parts")).cast("int").alias("_part"))
-    meeting = rest.join(parts, by).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    low, high = _near_range(v)
-    share = [a * low / 100, a * high / 100]
-    ranges = F.array(
-        F.struct(F.lit("difference").alias("op"), (a + low).alias("low"), (a + high).alias("high")),
-        F.struct(F.lit("sum").alias("op"), (low - a).alias("low"), (high - a).alias("high")),
-        F.when(a != 0, F.struct(F.lit("share").alias("op"), F.least(*share).alias("low"), F.greatest(*share).alias("high"))),
-    )
-    probes = meeting.join(dealt, [*by, "_part"]).select(*by, "token", "v", "a", F.inline(F.array_compact(ranges)))
-
-    def derives(b: Column) -> Column:
-        made = F.when(F.col("op") == "difference", b - a).when(F.col("op") == "sum", a + b).otherwise(F.try_divide(b, a) * 100.0)
-        return _near(v, made)
-
-    derived = _looked_up(probes, values, by, levels, by_ends(derives))
+    number = F.col("token").try_cast("double")
+    values = cut_lineage(known.select(*by, number.alias("x")).where("x IS NOT NULL").distinct())
+    rest = cut_lineage(asked.where("literal IS NULL").select(*by, number.alias("x")).where("x IS NOT NULL").distinct())
+    finite = F.abs("x") < float("inf")
+    in_blocks = _blocks(values.where(finite), by, VALUES_PER_PART)
+    c_least, c_most, a_least, a_most = (F.col(f"{n}_{e}") for n in "ca" for e in ("least", "most"))
+    close = _overlap("b", c_least - ROUND_TOLERANCE, c_most + ROUND_TOLERANCE)
+    rounded = cut_lineage(_met(by, {"c": _blocks(rest.where(finite), by, CLAIMS_PER_PART), "b": in_blocks}, close, _is_rounded))
+    rest = rest.join(rounded, [*by, "x"], "left_anti").join(values.groupBy(*by).agg((~F.bool_and(finite)).alias("_any")), by)
+    endless = rest.where(F.col("_any") | ~finite).select(*by, "x")
+    slack = lambda x: F.greatest(F.lit(DERIVE_ABSOLUTE), F.abs(x) * DERIVE_RELATIVE * 1.01)
+    low, high = c_least - slack(c_least), c_most + slack(c_most)
+    reach = _overlap("b", a_least + low, a_most + high) | _overlap("b", low - a_most, high - a_least) | _overlap("b", *[x * y / 100 for x in (a_least, a_most) for y in (low, high)])
+    open_blocks = _blocks(rest.where(~F.col("_any") & finite).select(*by, "x"), by, CLAIMS_PER_PART)
+    derived = _met(by, {"c": open_blocks, "a": in_blocks, "b": in_blocks}, reach, _is_derived).unionByName(endless)
     found = rounded.withColumn("_how", F.lit("rounded")).unionByName(derived.withColumn("_how", F.lit("derived")))
     label = F.when(F.col("literal"), "literal").otherwise(F.coalesce("_how", F.lit("unsupported")))
-    return asked.join(found, [*by, "token"], "left").select(*by, "token", label.alias("label"))
+    return asked.withColumn("x", number).join(found, [*by, "x"], "left").select(*by, "token", label.alias("label"))
 
 
 def classify_numbers(rows: DataFrame, key: str, claimed: str, supported: str) -> DataFrame:
