@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placescore.llm.common import query, table, written
+from placescore.llm.common import few_rows, query, table, written
 from placescore.llm.url_filters import host_of
 from placescore.llm.words import LETTER, char_classes
 
@@ -27,7 +27,8 @@ from placescore.llm.words import LETTER, char_classes
 BUCKETS = 4096
 #: Class of text that fits no language.
 UNKNOWN = "und"
-CHARS_AT_ONCE = 2_000_000
+#: Letters whose trigrams are counted together: a dozen arrays of 8 bytes each are held for them.
+CHARS_AT_ONCE = 250_000
 #: What UNKNOWN pays per trigram, so that only text far from every language goes there.
 UNKNOWN_COST = 1.0
 #: With fewer trigrams a language has no likelihood: one it never showed would cost less than under UNKNOWN, so it would draw in whatever fits no language.
@@ -71,7 +72,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
                 seen = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([declared] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64())], names=["declared", "bucket", "n"])
 
-        for batch in batches:
+        for batch in few_rows(batches):
             declared, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for i, n in trigrams(texts):
                 if declared[i] not in sums and len(sums) >= 512:
@@ -115,7 +116,7 @@ def evidence(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFr
     names = np.array(languages, object)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [t or "" for t in batch.column(5).to_pylist()]
             kept, fits, shares, ends, best, read = [], [], [], [0], [], []
             for _, n in trigrams(texts):
@@ -296,7 +297,7 @@ def of_pages(pages: DataFrame) -> DataFrame:
     """
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = [None if t is None else html.unescape(shown_text(t)) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["doc_id", "lang", "host", "text"])
 

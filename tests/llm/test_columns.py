@@ -23,3 +23,17 @@ def test_columns_hold_what_sixteen_bits_tell_apart():
     finally:
         substrings.columns_of = plain
     assert widths[0] == 8 and widths[2] == 2 and len(np.unique(widths)) > 1
+
+
+def test_language_reads_few_documents_at_once(monkeypatch):
+    """Pipeline: a whole Arrow batch of texts, and two million letters with a dozen arrays each, took language_id over an executor's memory."""
+    import pyarrow as pa
+
+    from placescore.llm import common, language
+
+    assert language.CHARS_AT_ONCE <= 250_000 and language.few_rows is common.few_rows
+    texts = ["Ein Satz über Äpfel. " * n for n in (0, 1, 40, 3, 900)]
+    whole = [n.tolist() for _, n in language.trigrams(texts)]
+    monkeypatch.setattr(language, "CHARS_AT_ONCE", 50)
+    assert [n.tolist() for _, n in language.trigrams(texts)] == whole
+    assert [b.num_rows for b in common.few_rows(iter([pa.record_batch({"x": list(range(1001))})]))] == [1000, 1]
